@@ -1 +1,4 @@
+"""The query catalogue: importing a module registers its queries."""
 
+from . import lexical_queries, profile_queries, score_queries, series_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
