@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .linear import squared_hinge_svm
 
-SAMPLE, DIMS = 4000, 4096
+SAMPLE, DIMS = 3000, 4096
 UNDETERMINED = "und"
 #: Language families. A language not listed is a family of its own.
 FAMILIES = {
@@ -52,7 +52,10 @@ class Hierarchy:
         self.family = {lang: _FAMILY.get(lang, lang) for lang in self.langs}
         self.families = sorted(set(self.family.values()))
         fam = np.array([self.family[lang] for lang in langs])
-        self.top = [squared_hinge_svm(x, np.where(fam == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
+        # of two families one machine tells both: the other is its mirror image
+        self.top = [squared_hinge_svm(x, np.where(fam == f, 1, -1)) for f in (self.families if len(self.families) > 2 else self.families[1:])]
+        if len(self.top) == 1:
+            self.top.insert(0, (-self.top[0][0], -self.top[0][1]))
         self.pairs = {}
         for f in self.families:
             for a, b in combinations([lang for lang in self.langs if self.family[lang] == f], 2):

@@ -5,23 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 
-def squared_hinge_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def squared_hinge_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
     """(weights, offset) of the L2-regularised squared-hinge SVM by accelerated gradient steps; y is +1 or -1.
 
     Both classes weigh the same, however many examples each has.
     """
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    x1, y = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32), y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v = np.random.default_rng(0).normal(size=x1.shape[1]).astype(np.float32)
     for _ in range(20):
         v = x1.T @ (share * (x1 @ v))
         v /= np.linalg.norm(v) or 1
-    step = 1 / (2.2 * float(np.linalg.norm(x1.T @ (share * (x1 @ v)))) + ridge)
+    step = np.float32(1 / (2.2 * float(np.linalg.norm(x1.T @ (share * (x1 @ v)))) + ridge))
     w = look = np.zeros(x1.shape[1], np.float32)
     for i in range(rounds):
         slack = np.maximum(0, 1 - y * (x1 @ look))
-        grad = -2 * (x1.T @ (share * y * slack)) + ridge * look
+        grad = np.float32(-2) * (x1.T @ (share * y * slack)) + np.float32(ridge) * look
         new = look - step * grad
-        look = new + i / (i + 3) * (new - w)
+        look = new + np.float32(i / (i + 3)) * (new - w)
         w = new
     return w[:-1], float(w[-1])
