@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,20 @@ _DRAW = 1 << 40
 
 
 def features(text: str) -> set[int]:
-    """Hashes of the distinct words of a text and of the beginnings of its longer words."""
+    """Hashes of the distinct words of a text and of the beginnings of its longer words.
+
+    A beginning shared by two or more, or by four or more, distinct words has features of its own.
+    """
     words = set(_WORD.findall(text.lower()))
     found = {zlib.crc32(w.encode()) for w in words}
     for n in _STEMS:
-        found |= {zlib.crc32(s.encode(), n) for s in {w[:n] for w in words if len(w) > n}}
+        stems = Counter([w[:n] for w in words if len(w) > n])
+        found |= {zlib.crc32(s.encode(), n) for s in stems}
+        for s, k in stems.items():
+            if k > 1:
+                found.add(zlib.crc32(s.encode(), n + 16))
+                if k > 3:
+                    found.add(zlib.crc32(s.encode(), n + 32))
     return found
 
 
@@ -47,8 +57,8 @@ class Classifier:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, f)))))
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05,
-         ridge: float = 2e-4, min_positive: int = 5, min_share: float = 0.02, purity: float = 0.5) -> Classifier:
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.05,
+         ridge: float = 2e-5, min_positive: int = 5, min_share: float = 0.02, purity: float = 0.5) -> Classifier:
     """Train on the feature hashes of positive and of unlabelled texts.
 
     Kept are the features found in ``min_positive`` positives and in the share ``min_share`` of
@@ -64,21 +74,25 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     at = np.searchsorted(u_all, p_all)
     in_u = np.where((at < len(u_all)) & (u_all[np.minimum(at, max(0, len(u_all) - 1))] == p_all), u_n[np.minimum(at, max(0, len(u_n) - 1))], 0) if len(u_all) else np.zeros(len(p_all))
     enough = max(min_positive, min_share * len(positive))
-    keep = p_all[(p_n >= enough) & (prior * p_n / len(positive) >= purity * (in_u + 0.5) / (len(unlabelled) + 1))]
+    pure = (p_n / len(positive)) / ((in_u + 0.5) / (len(unlabelled) + 1))
+    (pr, pf), (ur, uf), n_p, n_u = _present(positive, p_all), _present(unlabelled, p_all), len(positive), max(1, len(unlabelled))
+    order = np.flatnonzero(p_n >= enough)
+    order = order[np.argsort(-pure[order], kind="stable")]
+    for k in [1 << i for i in range(len(order).bit_length())]:
+        # of any set, P(set) >= pi * P(set | positive): the labels' share may be too high for the corpus
+        top = np.zeros(len(p_all), bool)
+        top[order[:k]] = True
+        shown_p, shown_u = len(np.unique(pr[top[pf]])) / n_p, (len(np.unique(ur[top[uf]])) + 1) / n_u
+        sure_u, sure_p = shown_u + 2 * np.sqrt(shown_u / n_u), shown_p - 2 * np.sqrt(shown_p / n_p)
+        if sure_p >= 0.3:
+            prior = min(prior, sure_u / sure_p)
+    kept = np.flatnonzero((p_n >= enough) & (prior * pure >= purity))
+    keep = p_all[kept]
     if not len(keep):
         return Classifier({}, float(np.log(prior / (1 - prior))))
-
-    def rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) numbers of the kept features present."""
-        r, f = [], []
-        for i, t in enumerate(texts):
-            j = np.searchsorted(keep, t)
-            j = j[(j < len(keep)) & (keep[np.minimum(j, len(keep) - 1)] == t)]
-            r.append(np.full(len(j), i))
-            f.append(j)
-        return np.concatenate([*r, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*f, np.empty(0, np.int64)]).astype(np.int64)
-
-    (pr, pf), (ur, uf), n_p, n_u = rows(positive), rows(unlabelled), len(positive), max(1, len(unlabelled))
+    place = np.full(len(p_all), -1)
+    place[kept] = np.arange(len(kept))
+    (pr, pf), (ur, uf) = (((r[place[f] >= 0], place[f][place[f] >= 0])) for r, f in ((pr, pf), (ur, uf)))
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -99,6 +113,17 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Classifier(dict(zip(keep.tolist(), w.tolist(), strict=True)), b)
 
 
+def _present(texts: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature number) of the sorted features present in each text."""
+    r, f = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, t in enumerate(texts):
+        j = np.searchsorted(features, t)
+        j = j[(j < len(features)) & (features[np.minimum(j, len(features) - 1)] == t)]
+        r.append(np.full(len(j), i))
+        f.append(j)
+    return np.concatenate(r), np.concatenate(f)
+
+
 def _hashes(batches):
     for b in batches:
         for at in range(0, b.num_rows, 256):
