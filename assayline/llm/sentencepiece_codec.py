@@ -121,6 +121,9 @@ class Normalizer:
         if self.dummy_prefix:
             head = _MARK if self.escape else b" "
             source, text = np.r_[np.full(len(head), source[0]), source], head + text
+        while self.squeeze and text.endswith(_MARK if self.escape else b" "):  # marks of the text itself count as blanks here
+            text = text[:-len(_MARK if self.escape else b" ")]
+        source = source[:len(text)]
         return text, np.r_[source, len(data)]
 
 
