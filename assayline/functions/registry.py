@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,17 @@ cholesterol;Cholesterol;Χοληστερόλη;CHOL;;mg/dL;10;1000
 """.strip().splitlines()
 
 
+def _constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is part of the plan: one literal, no Python on the executors."""
+    names_ = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names_, r, strict=True)) for r in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
 def markers(spark: SparkSession) -> DataFrame:
     """(ord, marker_key, en, unit, low, high): a fixed dimension, small enough to broadcast anywhere."""
     rows = [(i, f[0], f[1], f[5], float(f[6]), float(f[7])) for i, f in enumerate(m.split(";") for m in MARKERS)]
-    cols = ("ord", "marker_key", "en", "unit", "low", "high")
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(cols, r, strict=True)]) for r in rows])))
+    return _constant(spark, rows, "ord int, marker_key string, en string, unit string, low double, high double")
 
 
 def names(spark: SparkSession) -> DataFrame:
@@ -53,6 +61,5 @@ def names(spark: SparkSession) -> DataFrame:
     for i, f in enumerate(m.split(";") for m in MARKERS):
         rows += [(i, f[0], "abbreviation", a) for a in f[3].split("|") if a]
         rows += [(i, f[0], "alias", a) for a in [f[1], f[2], *f[4].split("|")] if a]
-    cols = ("ord", "marker_key", "kind", "name")
-    t = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(cols, r, strict=True)]) for r in rows])))
+    t = _constant(spark, rows, "ord int, marker_key string, kind string, name string")
     return t.withColumn("norm", F.when(F.col("kind") == "alias", normalise_label(F.col("name"))).otherwise(normalise_abbreviation(F.col("name"))))

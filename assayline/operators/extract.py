@@ -98,12 +98,14 @@ def anchors(rows: DataFrame, fuzzy: bool = True) -> DataFrame:
             .when(F.col("norm") == F.col("known"), 2).when(F.contains(pad("norm"), pad("known")), 3))
     if fuzzy:
         tier = F.coalesce(tier, F.when(~is_code & (F.col("bound") > 0) & may_be_near(F.col("norm"), F.col("known"), F.col("bound")), 4))
-    row = Window.partitionBy(*keys)
-    hits = c.join(known, tier.isNotNull()).withColumn("t", tier)
-    hits = hits.withColumn("first", F.min("t").over(row)).where(F.col("t") == F.col("first"))
-    hits = hits.withColumn("brackets", F.max("bracketed").over(row)).where((F.col("t") != 1) | (F.col("bracketed") == F.col("brackets")))
+    # Laboratories print the same few labels over and over: each distinct text meets the registry once.
+    parts = ["norm", "code", "bound", "bracketed", "code_beside"]
+    met = c.select(*parts).distinct().join(known, tier.isNotNull()).withColumn("t", tier)
     edits = F.when(F.col("t") == 4, osa_distance(F.col("norm"), F.col("known"), F.col("bound"))).otherwise(0) if fuzzy else F.lit(0)
-    near = hits.withColumn("d", edits).where(F.col("d") <= F.col("bound") + F.when(F.col("t") < 4, 9).otherwise(0))
+    met = met.withColumn("d", edits).where((F.col("t") < 4) | (F.col("d") <= F.col("bound"))).select(*parts, "t", "d", "ord", "marker_key")
+    row = Window.partitionBy(*keys)
+    hits = c.join(met, parts).withColumn("first", F.min("t").over(row)).where(F.col("t") == F.col("first"))
+    near = hits.withColumn("brackets", F.max("bracketed").over(row)).where((F.col("t") != 1) | (F.col("bracketed") == F.col("brackets")))
     best = near.groupBy(*keys, "start", "stop", "t").agg(F.min(F.struct("d", "ord", "marker_key")).alias("b"), F.collect_set(F.struct("d", "marker_key")).alias("all"))
     rivals = F.filter("all", lambda r: r["d"] == F.col("b.d"))
     best = best.where((F.col("t") != 4) | (F.size(rivals) == 1))
