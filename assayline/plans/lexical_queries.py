@@ -30,20 +30,16 @@ def slug_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", lexical.derived_key(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("marker_key"))
 
 
-_NUMBER_SQL = """
-    CASE WHEN s <> '' THEN TRUE END AS is_number FROM (SELECT *, regexp_extract(t, '^[<>≤≥]?\\s*([+-]?\\d+(?:[.,]\\d+)?)$', 1) AS s FROM x)"""
-
-
 @query("""
     WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS t FROM documents),
     y AS (SELECT doc_id, regexp_extract(t, '^[<>≤≥]?\\s*([+-]?\\d+(?:[.,]\\d+)?)$', 1) AS s FROM x)
-    SELECT doc_id, count(*) AS n_numbers, round(sum(CAST(replace(s, ',', '.') AS DOUBLE)), 6) AS total,
+    SELECT doc_id, count(*) AS n_numbers, min(CAST(replace(s, ',', '.') AS DOUBLE)) AS least, max(CAST(replace(s, ',', '.') AS DOUBLE)) AS most,
         count(*) FILTER (WHERE regexp_matches(s, '^[+-]?[1-9]\\d{0,2}[.,]\\d{3}$')) AS n_ambiguous
     FROM y WHERE s <> '' GROUP BY doc_id""")
 def parse_number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", F.explode(lexical.tokens(F.col("text"))).alias("t"))
     p = t.where(F.col("t").rlike(r"\d$")).select("doc_id", numeric.parse_number(F.col("t")).alias("p")).where(F.col("p").isNotNull())
-    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_numbers"), F.round(F.sum("p.value"), 6).alias("total"), F.count_if("p.ambiguous").alias("n_ambiguous"))
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_numbers"), F.min("p.value").alias("least"), F.max("p.value").alias("most"), F.count_if("p.ambiguous").alias("n_ambiguous"))
 
 
 _NUMBERS = "('6.93'), ('6,93'), ('<1.03'), ('< 1.03'), ('≤5'), ('≥ 7,5'), ('1e5'), ('1.234'), ('12,345'), ('0.123'), ('-3'), ('+4.5'), ('>= 3'), ('abc'), ('1.2.3'), ('')"
