@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .linear import squared_hinge_svm
 
-SAMPLE, DIMS = 3000, 4096
+SAMPLE, DIMS = 2000, 2048
 UNDETERMINED = "und"
 #: Language families. A language not listed is a family of its own.
 FAMILIES = {
@@ -36,7 +36,7 @@ def slots(text: bytes) -> np.ndarray:
     b = np.frombuffer(b" " + text.translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.empty(0, np.uint32)
-    return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(20)
+    return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(21)
 
 
 def features(text: bytes) -> np.ndarray:
@@ -109,7 +109,10 @@ def _draw(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
             yield pa.RecordBatch.from_arrays([b["lang"], pa.array(x, pa.binary())], ["lang", "x"])
 
     got = drawn.mapInArrow(run, "lang string, x binary").limit(sample).toArrow()
-    return np.array([np.frombuffer(x, np.float32) for x in got["x"].to_pylist()]).reshape(-1, DIMS), got["lang"].to_pylist()
+    x, langs = np.array([np.frombuffer(x, np.float32) for x in got["x"].to_pylist()]).reshape(-1, DIMS), got["lang"].to_pylist()
+    del got
+    pa.default_memory_pool().release_unused()
+    return x, langs
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:

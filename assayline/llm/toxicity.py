@@ -68,16 +68,12 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     prior = min(max(prior, 1e-4), 0.9)
     if not positive:
         return Classifier({}, float(np.log(prior / (1 - prior))))
-    p_all, p_n = np.unique(np.concatenate(positive), return_counts=True)
-    u_flat = np.concatenate([*unlabelled, np.empty(0, np.int64)])
-    u_all, u_n = np.unique(u_flat, return_counts=True)
-    at = np.searchsorted(u_all, p_all)
-    in_u = np.where((at < len(u_all)) & (u_all[np.minimum(at, max(0, len(u_all) - 1))] == p_all), u_n[np.minimum(at, max(0, len(u_n) - 1))], 0) if len(u_all) else np.zeros(len(p_all))
     enough = max(min_positive, min_share * len(positive))
-    pure = (p_n / len(positive)) / ((in_u + 0.5) / (len(unlabelled) + 1))
+    p_all, p_n = np.unique(np.concatenate(positive), return_counts=True)
+    p_all, p_n = p_all[p_n >= enough], p_n[p_n >= enough]
     (pr, pf), (ur, uf), n_p, n_u = _present(positive, p_all), _present(unlabelled, p_all), len(positive), max(1, len(unlabelled))
-    order = np.flatnonzero(p_n >= enough)
-    order = order[np.argsort(-pure[order], kind="stable")]
+    pure = (p_n / n_p) / ((np.bincount(uf, minlength=len(p_all)) + 0.5) / (len(unlabelled) + 1))
+    order = np.argsort(-pure, kind="stable")
     for k in [1 << i for i in range(len(order).bit_length())]:
         # of any set, P(set) >= pi * P(set | positive): the labels' share may be too high for the corpus
         top = np.zeros(len(p_all), bool)
@@ -86,7 +82,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         sure_u, sure_p = shown_u + 2 * np.sqrt(shown_u / n_u), shown_p - 2 * np.sqrt(shown_p / n_p)
         if sure_p >= 0.3:
             prior = min(prior, sure_u / sure_p)
-    kept = np.flatnonzero((p_n >= enough) & (prior * pure >= purity))
+    kept = np.flatnonzero(prior * pure >= purity)
     keep = p_all[kept]
     if not len(keep):
         return Classifier({}, float(np.log(prior / (1 - prior))))
@@ -116,7 +112,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 def _present(texts: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature number) of the sorted features present in each text."""
     r, f = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, t in enumerate(texts):
+    for i, t in enumerate(texts if len(features) else []):
         j = np.searchsorted(features, t)
         j = j[(j < len(features)) & (features[np.minimum(j, len(features) - 1)] == t)]
         r.append(np.full(len(j), i))
@@ -134,7 +130,10 @@ def _hashes(batches):
 
 def _collect(texts: DataFrame, most: int) -> list[np.ndarray]:
     got = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_hashes, "x binary").limit(most).toArrow()
-    return [np.frombuffer(x, np.uint32).astype(np.int64) for x in got["x"].to_pylist()]
+    found = [np.frombuffer(x, np.uint32) for x in got["x"].to_pylist()]
+    del got
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Classifier:
