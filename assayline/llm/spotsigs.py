@@ -19,26 +19,42 @@ ANCHORS = (
     "de la le les et des en un une du que est "
     "el los las y no lo su se por con para").split()
 CHAIN = 2
-_STOP = "(?:" + "|".join(ANCHORS) + ")"
 _MISSING = -(1 << 63)
+_MARK = "\x01"
 
 
-def normalised(text: Column) -> Column:
-    """Lower-case words between single blanks, one blank at each end; no words: two blanks or one."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def _stop_pattern() -> str:
+    """The anchors as a pattern that branches on the first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(ANCHORS)):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{h}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for h, rest in heads.items()) + ")"
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def marked(text: Column) -> Column:
+    """Lower-case content words between single blanks, with a mark on those that an anchor precedes."""
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    return F.regexp_replace(words, f"(?: {_stop_pattern()}(?= ))++ (?=[^ ]|$)", f" {_MARK}")
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The distinct signature hashes of a text, sorted.
 
-    A text without any signature has one of its whole word sequence, so equal texts always have
-    equal sets and a set is never empty.
+    Anchors in a row before the same content word give the same chain, so a signature is a chain of
+    ``chain`` content words of which the first follows an anchor. A text without any signature has
+    one of its whole word sequence, so equal texts always have equal sets and a set is never empty.
     """
-    words = normalised(text)
-    step = rf"(?: {_STOP}(?= ))*+ [^ ]+(?= )"
-    spots = F.regexp_extract_all(words, F.lit(rf" {_STOP}(?=((?:{step}){{{chain}}}))"), F.lit(1))
-    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, rf" {_STOP}(?= )", "")))
-    return F.array_sort(F.when(F.size(spots) > 0, F.array_distinct(hashed)).otherwise(F.array(F.hash(F.trim(words)))))
+    spot = rf"{_MARK}(?=([^ ]+(?: [^ ]+){{{chain - 1}}}) )"
+    plain = lambda s: F.hash(F.replace(s, F.lit(_MARK), F.lit("")))
+    hashed = lambda words: F.transform(F.regexp_extract_all(words, F.lit(spot), F.lit(1)), plain)
+    whole = F.array(F.hash(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))))
+    found = _once(marked(text), lambda words: F.array_distinct(hashed(words)))
+    return _once(found, lambda f: F.array_sort(F.when(F.size(f) > 0, f).otherwise(whole)))
 
 
 def fingerprint(hashes: Column) -> Column:
