@@ -113,3 +113,15 @@ def test_pruned_contexts_still_count(spark):
     every = {r.doc_id: r.score for r in ctw.score(df, df["doc_id"] < 50, depth=3).collect()}
     few = {r.doc_id: r.score for r in ctw.score(df, df["doc_id"] < 50, depth=3, most=40).collect()}
     assert all(few[i] < 0 and abs(few[i] / every[i] - 1) < 0.5 for i in few)
+
+
+def test_no_context_is_cut_whatever_is_looked_up(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("abcdefgh é", k=rng.randrange(200)))) for i in range(40)] + [(40, None), (41, "zzz"), (3, "again"), (3, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth, most in ((5, 50), (5, 1 << 21), (2, 20), (1, 20), (0, 3)):
+        whole = ctw.Mixture(levels([(t or "").encode() for i, t in rows if i < 30], depth))
+        want = sorted(zip([i for i, _ in rows], whole.log10([(t or "").encode() for _, t in rows]), strict=True))
+        got = sorted((r.doc_id, r.score) for r in ctw.score(df, df["doc_id"] < 30, depth=depth, most=most).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4), (depth, most)
