@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
@@ -204,11 +204,136 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the smallest doc_id.
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted; a shorter text is one shingle."""
+    words = text.lower().split()
+    shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)] or [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), np.uint64, len(shingles)).view(np.int64))
+
+
+def _least_common(n: int, least: float) -> int:
+    """How many of its n shingles a set shares at least with any set of that likeness."""
+    return int(np.ceil(n * least - 1e-9))
+
+
+def _shingled(width: int, least: float):
+    """Per row its set as a node (hash of the set), the set's size, and the lowest hashes, of which a partner has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t or b"", width) for t in b["text"].cast(pa.binary()).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            prefix = pa.array([s[:len(s) - _least_common(len(s), least) + 1] for s in sets], pa.list_(pa.int64()))
+            sketch = pa.array([np.packbits(np.bincount(s & 511, minlength=512).astype(np.uint8) & 1).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), prefix, sketch], ["doc_id", "h", "node", "n", "prefix", "sketch"])
 
-    Of repeated rows under that id one stays; rows without an id stay.
+    return run
+
+
+def _apart(least: float):
+    """The pairs under a key in different components that can have the likeness; rows arrive sorted by key.
+
+    A sketch has the parity of the hashes in each of 512 classes, so two sets differ in at least as many
+    hashes as their sketches in bits: no pair of the likeness is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 4 + [np.empty((0, 8), np.uint64)]
+
+        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, node, n, c, sketch = cols
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends, a, b = np.r_[starts[1:], len(key)], [node[:0]], [node[:0]]
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                if (c[lo:hi] == c[lo]).all():
+                    continue
+                for i in range(lo, hi - 1):
+                    j = slice(i + 1, hi)
+                    ok = (c[j] != c[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
+                    ok &= np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[j] + n[i]) + 1e-6
+                    b.append(node[j][ok])
+                    a.append(np.full(len(b[-1]), node[i]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, 8)
+            rest = [np.concatenate([r, x]) for r, x in zip(rest, [*(np.asarray(b[k]) for k in ("key", "node", "n", "c")), sketch], strict=True)]
+            last = int(np.searchsorted(rest[0], rest[0][-1], "left"))
+            if last:
+                yield pairs([x[:last] for x in rest])
+                rest = [x[last:] for x in rest]
+        if len(rest[0]):
+            yield pairs(rest)
+
+    return run
+
+
+def _alike(width: int, least: float):
+    """The pairs whose sets have the likeness, computed exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = []
+            for ta, tb in zip(b["ta"].cast(pa.binary()).to_pylist(), b["tb"].cast(pa.binary()).to_pylist(), strict=True):
+                x, y = shingle_set(ta or b"", width), shingle_set(tb or b"", width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                held.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    return run
+
+
+def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, h, component): rows with an id, ``h`` the hash of the text, linked where the Jaccard likeness of their
+    shingle sets is ``least`` or more.
+
+    Fingerprints do not find these pairs: they differ in up to a dozen bits. Instead each distinct set
+    is filed under its lowest hashes, so many that two sets of that likeness share one of them; no
+    pair is lost. Every set is first compared to one set under each of its keys and the links
+    are followed; then all pairs of sets under a key that are still apart are compared.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    shingled = materialise(rows.mapInArrow(_shingled(width, least), "doc_id long, h long, node long, n long, prefix array<long>, sketch binary"), "shingled")
+    nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "prefix", "sketch")).alias("set"))
+    filed = nodes.select("node", F.col("set.n").alias("n"), F.explode("set.prefix").alias("key"))
+    bucket = Window.partitionBy("key")
+    filed = filed.select("*", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("first"))
+    filed = materialise(filed.where("size > 1").select("key", "node", "n", F.col("first.node").alias("to"), F.col("first.n").alias("to_n")), "filed")
+    names = materialise(nodes.select("node", "row.doc_id", "row.h", "set.sketch"), "nodes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(names.drop("sketch"), "node")
+        texts = materialise(rows.join(needed, ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        out = materialise(both.mapInArrow(_alike(width, least), "a long, b long"), name)
+        discard(pairs)
+        discard(texts)
+        return out
+
+    fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    found = verified(filed.where((F.col("node") != F.col("to")) & fits(F.col("n"), F.col("to_n"))).select(F.col("node").alias("a"), F.col("to").alias("b")), "links")
+    joined = components(found)
+    placed = filed.select("key", "node", "n").join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    mixed = placed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").drop("lo", "hi")
+    mixed = mixed.join(names.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key")
+    apart = mixed.select("key", "node", "n", "c", "sketch").mapInArrow(_apart(least), "a long, b long")
+    joined = components(found.unionByName(verified(apart, "links")))
+    for t in (filed, names):
+        discard(t)
+    return shingled.select("doc_id", "h", "node").join(joined, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: that of the smallest doc_id.
+
+    Of rows repeated under that id with one text one stays; rows without an id stay. Texts under
+    one id are told apart, so none is lost for its id.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept_id"]).drop("_kept_id").dropDuplicates(["doc_id"])
+    keep = similar_components(docs, width, least).groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("row"))
+    keep = keep.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.h").alias("_kept_h"))
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    kept = rows.join(keep, (rows["doc_id"].cast("long") == keep["_kept_id"]) & (rows["_h"] == keep["_kept_h"])).dropDuplicates(["doc_id", "_h"]).drop("_kept_id", "_kept_h", "_h")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

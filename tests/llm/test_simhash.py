@@ -76,3 +76,25 @@ def test_odd_rows_and_empty_table(odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and None in ids
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_deduplicate_finds_every_similar_pair(spark):
+    rng = random.Random(11)
+    rows, words = [], [f"w{i}" for i in range(3000)]
+    for _ in range(30):
+        t = rng.choices(words, k=rng.randrange(4, 250))
+        for edits in (0, 1, 2, 3):
+            w = list(t)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(0, "another text under an id that is taken"), (0, "another text under an id that is taken")]
+    sets = [{" ".join(s) for s in zip(*(t.split()[i:] for i in range(5)))} or {t} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[i] for i in set(root))
