@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,10 +23,12 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, a single machine) a local one is set.
+    Only where a session on one machine names none (tests) a local one is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="assayline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,9 +44,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a materialised table that no later step reads."""
+    """Delete a materialised table that no later step reads, and let Spark drop the shuffles behind it."""
     path = getattr(df, "_shared_path", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``left`` joined to ``right``, a materialised table with one row of a key and in ``times`` the key's rows in ``left``.
+
+    Keys with more than one in ``share`` of those rows, so fewer than ``share`` keys, are broadcast; only the others
+    are shuffled, so no key gathers in one task.
+    """
+    total = right.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") * share > total
+    hot = right.where(often)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~often), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)

@@ -24,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, spread_join
 
 RADIUS = 2
+#: Shingles whose frequency is looked up, shingles counted at a time, and sets of a key compared in one block.
+MAX_COMMON, _CHUNK, _BLOCK = 1 << 20, 1 << 21, 2048
 _CUTS = (0, 10, 20, 31, 42, 53, 64)
 
 
@@ -169,8 +171,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if not small:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(lowest, "u")
+        lowest = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times")).withColumn("m", F.least("u", "m")), "stars")
+        joined = spread_join(both, lowest, "u")
+        lowest = lowest.drop("times")
         if small:
             moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
         else:
@@ -197,11 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component but never names it. An empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = links(nodes.where(F.col("rep").isNotNull()))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"))
+    edges = links(nodes.where(F.col("rep").isNotNull()).drop("times"))
     comp = components(edges)
-    classes = nodes.join(comp, nodes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialise(nodes.join(comp, nodes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "times"), "classes")
+    return spread_join(fps, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -216,50 +219,118 @@ def _least_common(n: int, least: float) -> int:
     return int(np.ceil(n * least - 1e-9))
 
 
-def _shingled(width: int, least: float):
-    """Per row its set as a node (hash of the set), the set's size, and the lowest hashes, of which a partner has one."""
+def _common(width: int):
+    """The shingles that several of a few thousand texts share, and how many texts those are.
+
+    Only the order of the hashes in ``_shingled`` hangs on these counts, and any order finds every
+    pair: what a count leaves out costs time, never a link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], ["hash", "times"])
+
         for b in batches:
-            sets = [shingle_set(t or b"", width) for t in b["text"].cast(pa.binary()).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            prefix = pa.array([s[:len(s) - _least_common(len(s), least) + 1] for s in sets], pa.list_(pa.int64()))
-            sketch = pa.array([np.packbits(np.bincount(s & 511, minlength=512).astype(np.uint8) & 1).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), prefix, sketch], ["doc_id", "h", "node", "n", "prefix", "sketch"])
+            for t in b["text"].cast(pa.binary()):
+                held.append(shingle_set(t.as_py() or b"", width))
+                size += len(held[-1])
+                if size > _CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
 
-def _apart(least: float):
-    """The pairs under a key in different components that can have the likeness; rows arrive sorted by key.
+def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``MAX_COMMON`` shingles that most texts share, at most, sorted, and their numbers of texts."""
+    counts = materialise(rows.select("text").mapInArrow(_common(width), "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "common")
+    steps = counts.groupBy(F.floor(8 * F.log2("times")).cast("int").alias("step")).count().collect()
+    total, least = 0, None
+    for step, n in sorted(steps, reverse=True):
+        total += n
+        if total > MAX_COMMON:
+            break
+        least = step
+    if least is None:
+        got = [np.empty(0, np.int64)] * 2
+    else:
+        found = counts.where(F.floor(8 * F.log2("times")) >= least).toArrow()
+        got = [np.asarray(found["hash"]), np.asarray(found["times"])]
+    discard(counts)
+    order = np.argsort(got[0])
+    return got[0][order], got[1][order]
+
+
+def _shingled(width: int, least: float, sent):
+    """Per row its set as a node (hash of the set), the set's size, and its rarest hashes, of which a partner has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = sent.value
+        for b in batches:
+            nodes, sizes, prefixes, sketches = [], [], [], []
+            for t in b["text"].cast(pa.binary()):
+                s = shingle_set(t.as_py() or b"", width)
+                keep = len(s) - _least_common(len(s), least) + 1
+                rank = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rank = np.where(common[at] == s, times[at], 0)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                prefixes.append(s[np.argsort(rank, kind="stable")[:keep]])
+                sketches.append(np.packbits(np.bincount(s & 511, minlength=512).astype(np.uint8) & 1).view(np.int64))
+            cols = [b["doc_id"], b["h"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "prefix", "sketch"])
+
+    return run
+
+
+def _possible(least: float, na, nb, differing):
+    """Whether two sets of these sizes can have the likeness, their sketches being so many bits apart.
 
     A sketch has the parity of the hashes in each of 512 classes, so two sets differ in at least as many
     hashes as their sketches in bits: no pair of the likeness is left out.
     """
+    return differing * (1 + least) <= (1 - least) * (na + nb) + 1e-6
+
+
+def _apart(least: float):
+    """The possible pairs of a block in different components; rows arrive sorted by key, lo, hi.
+
+    A block holds one part of a key's sets (lo = hi), or two, whose sets are compared crosswise.
+    """
+    names = ("block", "node", "n", "c", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4 + [np.empty((0, 8), np.uint64)]
+        rest = [np.empty(0, np.int64)] * len(names) + [np.empty((0, 8), np.int64)]
 
         def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, node, n, c, sketch = cols
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends, a, b = np.r_[starts[1:], len(key)], [node[:0]], [node[:0]]
+            block, node, n, c, side, sketch = cols
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            ends, a, b = np.r_[starts[1:], len(block)], [node[:0]], [node[:0]]
             for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
                 if (c[lo:hi] == c[lo]).all():
                     continue
                 for i in range(lo, hi - 1):
                     j = slice(i + 1, hi)
-                    ok = (c[j] != c[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
-                    ok &= np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[j] + n[i]) + 1e-6
-                    b.append(node[j][ok])
-                    a.append(np.full(len(b[-1]), node[i]))
+                    ok = (c[j] != c[i]) & ((side[j] < 0) | (side[j] != side[i])) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
+                    if ok.any():
+                        k = i + 1 + np.flatnonzero(ok)
+                        k = k[_possible(least, n[k], n[i], np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))]
+                        b.append(node[k])
+                        a.append(np.full(len(k), node[i]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, 8)
-            rest = [np.concatenate([r, x]) for r, x in zip(rest, [*(np.asarray(b[k]) for k in ("key", "node", "n", "c")), sketch], strict=True)]
+            sketch = np.asarray(b["sketch"].flatten()).reshape(-1, 8)
+            rest = [np.concatenate([r, x]) for r, x in zip(rest, [*(np.asarray(b[k]) for k in names), sketch], strict=True)]
             last = int(np.searchsorted(rest[0], rest[0][-1], "left"))
             if last:
                 yield pairs([x[:last] for x in rest])
@@ -276,8 +347,8 @@ def _alike(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = []
-            for ta, tb in zip(b["ta"].cast(pa.binary()).to_pylist(), b["tb"].cast(pa.binary()).to_pylist(), strict=True):
-                x, y = shingle_set(ta or b"", width), shingle_set(tb or b"", width)
+            for ta, tb in zip(b["ta"].cast(pa.binary()), b["tb"].cast(pa.binary()), strict=True):
+                x, y = shingle_set(ta.as_py() or b"", width), shingle_set(tb.as_py() or b"", width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 held.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(held, pa.bool_()))
@@ -290,38 +361,68 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     shingle sets is ``least`` or more.
 
     Fingerprints do not find these pairs: they differ in up to a dozen bits. Instead each distinct set
-    is filed under its lowest hashes, so many that two sets of that likeness share one of them; no
-    pair is lost. Every set is first compared to one set under each of its keys and the links
-    are followed; then all pairs of sets under a key that are still apart are compared.
+    is filed under its rarest hashes, so many that two sets of that likeness share one of them; no
+    pair is lost, and a passage in many unlike texts files them together only if it is most of them.
+    Twice each set is compared to one set at the head of one of its keys and the links are followed. Then all pairs
+    of sets under a key that are still in different components are compared, keys with many sets in blocks.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    shingled = materialise(rows.mapInArrow(_shingled(width, least), "doc_id long, h long, node long, n long, prefix array<long>, sketch binary"), "shingled")
+    sent = spark.sparkContext.broadcast(_frequent(rows, width))
+    shingled = materialise(rows.mapInArrow(_shingled(width, least, sent), "doc_id long, h long, node long, n long, prefix array<long>, sketch array<long>"), "shingled")
     nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "prefix", "sketch")).alias("set"))
-    filed = nodes.select("node", F.col("set.n").alias("n"), F.explode("set.prefix").alias("key"))
-    bucket = Window.partitionBy("key")
-    filed = filed.select("*", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("first"))
-    filed = materialise(filed.where("size > 1").select("key", "node", "n", F.col("first.node").alias("to"), F.col("first.n").alias("to_n")), "filed")
-    names = materialise(nodes.select("node", "row.doc_id", "row.h", "set.sketch"), "nodes")
+    nodes = materialise(nodes.select("node", "row.doc_id", "row.h", "set.*"), "nodes")
+    names = nodes.drop("prefix")
+    every = nodes.select(F.explode("prefix").alias("key"), "node")
+    keys = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("times > 1"), "keys")
+    filed = materialise(spread_join(every, keys, "key"), "filed")
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(names.drop("sketch"), "node")
-        texts = materialise(rows.join(needed, ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        """The pairs (a, b), distinct, that have the likeness."""
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(names.select("node", "doc_id", "h"), "node")
+        texts = materialise(rows.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("text", ignorenulls=True).alias("text")), "texts")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         out = materialise(both.mapInArrow(_alike(width, least), "a long, b long"), name)
-        discard(pairs)
         discard(texts)
         return out
 
-    fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    found = verified(filed.where((F.col("node") != F.col("to")) & fits(F.col("n"), F.col("to_n"))).select(F.col("node").alias("a"), F.col("to").alias("b")), "links")
-    joined = components(found)
-    placed = filed.select("key", "node", "n").join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = placed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").drop("lo", "hi")
-    mixed = mixed.join(names.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key")
-    apart = mixed.select("key", "node", "n", "c", "sketch").mapInArrow(_apart(least), "a long, b long")
-    joined = components(found.unionByName(verified(apart, "links")))
-    for t in (filed, names):
+    def apart(joined: DataFrame | None) -> DataFrame:
+        """(key, node, times, low, high, c): what is filed under keys that hold several components."""
+        if joined is None:
+            return filed.withColumn("c", F.col("node"))
+        placed = materialise(filed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
+        mixed = materialise(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("key", "times"), "mixed")
+        out = materialise(spread_join(placed.drop("times"), mixed, "key"), "apart")
+        discard(placed)
+        discard(mixed)
+        return out
+
+    found = joined = None
+    for head in ("low", "high"):
+        now = apart(joined)
+        pairs = now.where(F.col("node") != F.col(head)).select(F.col("node").alias("a"), F.col(head).alias("b")).distinct()
+        pairs = pairs.join(names.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(names.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        pairs = pairs.where(fits).select("a", "b", (differing / (F.col("na") + F.col("nb"))).alias("d"), (F.col("na") + F.col("nb")).alias("sizes"))
+        pairs = pairs.where(_possible(least, F.col("sizes"), F.lit(0), F.col("d") * F.col("sizes")))
+        pairs = materialise(pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), "pairs")
+        links = verified(pairs, "links")
+        found = links if found is None else found.unionByName(links)
+        joined = components(found)
+        discard(pairs)
+        if now is not filed and joined is not None:
+            discard(now)
+    now = apart(joined)
+    parts = F.ceil(F.col("times") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
+    met = now.select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
+    met = met.join(names.select("node", "n", "sketch"), "node").repartition("block").sortWithinPartitions("block")
+    pairs = met.select("block", "node", "n", "c", "side", "sketch").mapInArrow(_apart(least), "a long, b long")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    joined = components(found.unionByName(verified(pairs, "links")))
+    for t in (filed, keys, nodes, now, pairs):
         discard(t)
     return shingled.select("doc_id", "h", "node").join(joined, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
 
@@ -332,8 +433,10 @@ def deduplicate(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     Of rows repeated under that id with one text one stays; rows without an id stay. Texts under
     one id are told apart, so none is lost for its id.
     """
-    keep = similar_components(docs, width, least).groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("row"))
-    keep = keep.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.h").alias("_kept_h"))
+    members = similar_components(docs, width, least).groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
+    keep = materialise(members.groupBy("component").agg(F.min(F.struct("doc_id", "h", "times")).alias("row")).select("row.*").toDF("_kept_id", "_kept_h", "_times"), "kept")
     rows = docs.withColumn("_h", F.xxhash64("text"))
-    kept = rows.join(keep, (rows["doc_id"].cast("long") == keep["_kept_id"]) & (rows["_h"] == keep["_kept_h"])).dropDuplicates(["doc_id", "_h"]).drop("_kept_id", "_kept_h", "_h")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = rows.join(keep, (rows["doc_id"].cast("long") == keep["_kept_id"]) & (rows["_h"] == keep["_kept_h"]))
+    once = kept.where("_times = 1").select(*docs.columns)
+    repeated = kept.where("_times > 1").dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
