@@ -31,7 +31,7 @@ from .common import discard, materialise
 
 END = 0xFF
 DEPTH, TOP, MAX_GRAMS, MAX_WORDS = 5, 2, 1 << 21, 1 << 16
-_FLUSH, _CHUNK = 200_000, 1 << 22
+_FLUSH, _CHUNK = 200_000, 1 << 19
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -219,9 +219,9 @@ def _gather(depth: int):
                     words[b""] += len(texts)
                 for lo, hi in _runs(texts):
                     found.append(np.unique(_codes(texts[lo:hi], depth), return_counts=True))
-                    if len(found) > 4:
+                    if sum(len(c) for c, _ in found[1:]) > 5 * _FLUSH:
                         found[:] = [_merged(found)]
-                        if len(found[0][0]) > 10 * _FLUSH:
+                        if len(found[0][0]) > 5 * _FLUSH:
                             yield out([], [], *found.pop(), learned)
         if words:
             yield out([*words], [*words.values()], none, none, True)
