@@ -13,7 +13,7 @@ share their ``TOP`` latest bytes make a subtree, built in the task that the coun
 the contexts above, 257 at most, are mixed on the driver. Each byte gram that occurs in any text gets
 its exact probability there. The ``MAX_GRAMS`` grams seen most often are looked up in the scan (67 MB, whatever
 the corpus), all others are joined, so what is broadcast is bounded and the scores do not depend on it.
-Words of the unigram base go the same way: the at most ``MAX_WORDS`` most frequent, of 64 bytes at most, are
+Words of the unigram base go the same way, long ones as digests: the at most ``MAX_WORDS`` most frequent are
 looked up in the scan; all others are joined on the word. So no join key is hot.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 END = 0xFF
-DEPTH, TOP, MAX_GRAMS, MAX_WORDS = 5, 2, 1 << 21, 1 << 16
+DEPTH, TOP, MAX_GRAMS, MAX_WORDS, LONG = 5, 2, 1 << 21, 1 << 16, 64
 _FLUSH, _CHUNK = 200_000, 1 << 19
 
 
@@ -168,8 +169,11 @@ def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _words(text: bytes) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space."""
-    return text.lower().split()
+    """A-Z lower-cased, split at ASCII white space; words over ``LONG`` bytes as a digest of 128 bits.
+
+    A digest starts with a vertical tab, which no word holds, so all words can be looked up in the scan.
+    """
+    return [w if len(w) <= LONG else b"\x0b" + blake2b(w, digest_size=16).hexdigest().encode() for w in text.lower().split()]
 
 
 def _codes(texts: list[bytes], depth: int) -> np.ndarray:
@@ -486,7 +490,7 @@ def score(docs: DataFrame, train, depth: int = DEPTH, most: int = MAX_GRAMS) ->
     held, others = _most_frequent(_probabilities(counts.where(F.col("gram").isNotNull()).select("gram", "n", "m"), depth), "m", most)
     held = held.select("gram", "lp").toArrow()
     lookup = _Lookup(np.asarray(held["gram"]), np.asarray(held["lp"]), depth)
-    top = _most_frequent(known.where((F.col("word") != "") & (F.octet_length("word") <= 64)), "c", MAX_WORDS)[0].toArrow()
+    top = _most_frequent(known.where(F.col("word") != ""), "c", MAX_WORDS)[0].toArrow()
     frequent = {w.encode(): float(np.log10(c + 1.0)) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)}
     sent = spark.sparkContext.broadcast((lookup, frequent))
     ends = known.where(F.col("word") == "").select("c").first()

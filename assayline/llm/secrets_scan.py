@@ -4,6 +4,8 @@ A text is scanned as it stands; then URL escapes, Unicode escapes, base64 and co
 are unwrapped, each new layer is scanned and put on the worklist again, until no new layer
 appears. Layers seen before are not entered twice, so cycles end. Every character of a layer
 knows the span of the original text it came from, and findings are reported as such spans.
+Compressed data are looked for in every layer, at any place; all their members are read, however
+much they unfold to, in pieces cut at line ends. Bytes that are no text are scanned like text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import html
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,16 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_LITERAL = re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|[nrtabfv0\\'"])""")
+_SIMPLE = dict(zip("nrtabfv0\\'\"", "\n\r\t\a\b\f\v\0\\'\"", strict=True))
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: What a compressed layer may unfold to, in bytes: a guard against decompression bombs.
-MAX_LAYER = 1 << 26
+#: Base64 over several lines, all but the last of 40 signs or more.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: How compressed data begin (gzip, zlib, bzip2, xz).
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00")
+_MAGIC_TEXT, _BYTES = re.compile(_MAGIC.pattern.decode("latin-1")), re.compile(r"[\x00-\xff]+")
+#: Layers unfold in pieces of about so many bytes, cut at line ends; a longer line's pieces overlap.
+PIECE, OVERLAP = 1 << 24, 1 << 16
 
 
 def scan_plain(text: str) -> list[tuple[int, int, int]]:
@@ -51,46 +61,92 @@ def scan_plain(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; begins and ends say where in the original each character came from."""
-
-    def __init__(self, text: str, begins: np.ndarray, ends: np.ndarray, path: tuple[str, ...]) -> None:
-        self.text, self.begins, self.ends, self.path = text, begins, ends, path
+    """A decoded text; begins and ends say where in the original each character came from.
 
+    A layer made of bytes also has these, with the spans of each.
+    """
 
-def _readable(data: bytes) -> str | None:
-    """The text of data if it is UTF-8 without control characters other than white space."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+    def __init__(self, text: str, begins: np.ndarray, ends: np.ndarray, path: tuple[str, ...], data: tuple[bytes, np.ndarray, np.ndarray] | None = None) -> None:
+        self.text, self.begins, self.ends, self.path, self.data = text, begins, ends, path, data
 
+    @classmethod
+    def of_bytes(cls, data: bytes, begins: np.ndarray, ends: np.ndarray, path: tuple[str, ...]) -> Layer:
+        """Bytes as UTF-8; each that belongs to no character becomes a character of its own."""
+        text, whole = data.decode("utf-8", "surrogateescape"), (data, begins, ends)
+        if len(text) < len(data):
+            at = np.cumsum([0, *(len(c.encode("utf-8", "surrogateescape")) for c in text)])
+            begins, ends = begins[at[:-1]], ends[at[1:] - 1]
+        return cls(re.sub("[\udc80-\udcff]", "\ufffd", text), begins, ends, path, whole)
 
-def _inflate(data: bytes) -> bytes | None:
-    """One compressed layer taken off; None if there is none or it is damaged."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    return None
 
+def _stream(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What compressed data that begin here unfold to, member by member, and up to where they were read.
 
-def _url_part(run: str) -> tuple[str, list[tuple[int, int]]]:
-    data = bytes.fromhex(run.replace("%", ""))
-    out, spans, at = [], [], 0
-    for ch in data.decode("utf-8", "replace"):
-        n = len(ch.encode()) if ch != "�" else 1
-        out.append(ch)
-        spans.append((3 * at, min(3 * (at + n), len(run))))
-        at += n
-    return "".join(out), spans
+    Damaged data give what could be read before the damage.
+    """
+    while _MAGIC.match(data, at):
+        unzip = {0x1F: lambda: zlib.decompressobj(31), 0x78: zlib.decompressobj, 0x42: bz2.BZ2Decompressor, 0xFD: lzma.LZMADecompressor}[data[at]]()
+        tail = b""
+        while not unzip.eof:
+            fed = data[at:at + OVERLAP] if not tail and getattr(unzip, "needs_input", True) else b""
+            at += len(fed)
+            try:
+                out = unzip.decompress(tail + fed, PIECE)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            tail = getattr(unzip, "unconsumed_tail", b"")
+            if not out and not fed and not unzip.eof:
+                return
+            if out:
+                yield out, at - len(unzip.unused_data)
+        at -= len(unzip.unused_data)
+
+
+def _pieces(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """The unfolded data in pieces that no finding can straddle, but for lines of more than ``PIECE`` bytes."""
+    held, used = b"", at
+    for part, used in _stream(data, at):
+        held += part
+        if len(held) >= PIECE:
+            cut = held.rfind(b"\n") + 1 or len(held)
+            yield held[:cut], used
+            held = held[cut:] if cut < len(held) or held.endswith(b"\n") else held[-OVERLAP:]
+    if held:
+        yield held, used
+
+
+def _inflated(layer: Layer) -> Iterator[Layer]:
+    """The layers compressed in a layer, wherever they begin."""
+    data, begins, ends = layer.data or (b"", layer.begins, layer.ends)
+    runs = [(0, data)] if layer.data else [(m.start(), m[0].encode("latin-1")) for m in _BYTES.finditer(layer.text)] if _MAGIC_TEXT.search(layer.text) else []
+    for low, run in runs:
+        for m in _MAGIC.finditer(run):
+            for piece, used in _pieces(run, m.start()):
+                n = len(piece)
+                yield Layer.of_bytes(piece, np.full(n, begins[low + m.start()]), np.full(n, ends[low + used - 1]), (*layer.path, "compressed"))
+
+
+def _unquoted(layer: Layer) -> Layer | None:
+    """The whole layer with its URL escapes decoded; None if there are none."""
+    data, begins, ends, at = [], [], [], 0
+
+    def literal(lo: int, hi: int) -> None:
+        part = layer.text[lo:hi]
+        data.append(part.encode("utf-8", "replace"))
+        sizes = [1] * len(part) if part.isascii() else [len(c.encode("utf-8", "replace")) for c in part]
+        begins.append(np.repeat(layer.begins[lo:hi], sizes))
+        ends.append(np.repeat(layer.ends[lo:hi], sizes))
+
+    for m in _URL.finditer(layer.text):
+        literal(at, m.start())
+        at = m.end()
+        data.append(bytes.fromhex(m[0].replace("%", "")))
+        begins.append(layer.begins[m.start():at:3])
+        ends.append(layer.ends[m.start() + 2:at:3])
+    if not at:
+        return None
+    literal(at, len(layer.text))
+    return Layer.of_bytes(b"".join(data), np.concatenate(begins), np.concatenate(ends), (*layer.path, "url"))
 
 
 def _unicode_part(run: str) -> tuple[str, list[tuple[int, int]]]:
@@ -126,48 +182,52 @@ def _substituted(layer: Layer, pattern: re.Pattern, part, name: str) -> Layer |
     return Layer("".join([*text, layer.text[at:]]), join(begins, layer.begins[at:]), join(ends, layer.ends[at:]), (*layer.path, name))
 
 
-def _unpacked(layer: Layer, m: re.Match) -> Layer | None:
-    """A base64 run's text, with any compressed layers below it taken off."""
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+def _literal_part(run: str) -> tuple[str, list[tuple[int, int]]]:
+    return chr(int(run[2:], 16)) if run[1] == "x" else _SIMPLE[run[1]], [(0, len(run))]
+
+
+def _decoded(layer: Layer, m: re.Match) -> Layer | None:
+    """A base64 run, over one line or several."""
+    signs = np.array([i for i, c in enumerate(m[0]) if c not in "=\r\n \t"]) if "\n" in m[0] else np.arange(len(m[0].rstrip("=")))
+    body = "".join(m[0].split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    begins, ends = layer.begins[m.start():m.end()], layer.ends[m.start():m.end()]
-    path, seen = (*layer.path, "base64"), set()
-    while data not in seen and (inner := _inflate(data)) is not None:
-        seen.add(data)
-        data, path = inner, (*path, "compressed")
-    text = _readable(data)
-    if text is None:
-        return None
-    if seen:
-        return Layer(text, np.full(len(text), begins[0]), np.full(len(text), ends[-1]), path)
-    at = np.cumsum([0, *(len(c.encode()) for c in text)])
-    last = np.minimum(-(-at[1:] * 8 // 6), len(body)) - 1
-    return Layer(text, begins[at[:-1] * 8 // 6], ends[last], path)
+    at = np.arange(len(data))
+    last = np.minimum(-(-(at + 1) * 8 // 6), len(body)) - 1
+    return Layer.of_bytes(data, layer.begins[m.start() + signs[at * 8 // 6]], layer.ends[m.start() + signs[last]], (*layer.path, "base64"))
+
+
+def _below(layer: Layer) -> Iterator[Layer | None]:
+    """The layers straight below one."""
+    text = layer.text
+    if "%" in text:
+        yield _unquoted(layer)
+    if "\\" in text or "&#" in text:
+        yield _substituted(layer, _UNICODE, _unicode_part, "unicode")
+        if "\\x" in text:
+            yield _substituted(layer, _LITERAL, _literal_part, "literal")
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            yield _decoded(layer, m)
+    yield from _inflated(layer)
 
 
 def unwrapped(text: str) -> Iterator[Layer]:
-    """All layers below a text, each once, outermost first."""
-    has_escape = "%" in text or "\\" in text or "&#" in text
-    if not has_escape and not _BASE64.search(text):
-        return
+    """All layers below a text, each once for the place it begins, outermost first.
+
+    The text itself counts as seen, so a layer that unfolds to what it came from ends there.
+    """
     at = np.arange(len(text), dtype=np.int64)
-    todo, seen = [Layer(text, at, at + 1, ())], {text}
+    todo, seen = deque([Layer(text, at, at + 1, ())]), {(text, 0)}
     while todo:
-        layer = todo.pop(0)
-        found = []
-        if "%" in layer.text:
-            found.append(_substituted(layer, _URL, _url_part, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            found.append(_substituted(layer, _UNICODE, _unicode_part, "unicode"))
-        found += [_unpacked(layer, m) for m in _BASE64.finditer(layer.text)]
-        for new in found:
-            if new is not None and (new.text, len(new.text) and int(new.begins[0])) not in seen and new.text != layer.text:
-                seen.add((new.text, len(new.text) and int(new.begins[0])))
+        layer = todo.popleft()
+        for new in _below(layer):
+            if new is not None and new.text and (mark := (new.text, int(new.begins[0]))) not in seen:
+                seen.add(mark)
                 todo.append(new)
                 yield new
 

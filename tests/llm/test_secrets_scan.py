@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -44,6 +46,47 @@ def test_layers_are_unwrapped_to_the_end_and_mapped():
             assert text.index(body) <= s < e <= text.index(body) + len(body) and path
 
 
+def test_compressed_data_are_found_in_any_layer_and_whole():
+    inner = f'token = "{KEY}xyz"'.encode()
+    packed, noise = gzip.compress(inner, mtime=0), bytes(range(256)) * 30
+    two = gzip.compress(b"nothing here\n", mtime=0) + packed
+    large = gzip.compress(b"a line of little interest\n" * 4_000_000 + inner + b"\n" + noise, mtime=0)
+    pem = base64.encodebytes(gzip.compress(noise + inner, 0)).decode()
+    bodies = {
+        "escaped": "".join(f"%{c:02X}" for c in packed), "quoted": urllib.parse.quote_from_bytes(packed), "hex": "".join(f"\\x{c:02x}" for c in packed), "literal": repr(packed),
+        "two members": base64.b64encode(two).decode(), "bzip2": base64.b64encode(bz2.compress(inner) + bz2.compress(inner)).decode(), "xz": base64.b64encode(lzma.compress(inner)).decode(),
+        "inside": base64.b64encode(b"\x00\xff header " + zlib.compress(inner) + b"trailer").decode(), "binary": base64.b64encode(noise + inner + noise).decode(), "lines": pem, "large": base64.b64encode(large).decode()}
+    for name, body in bodies.items():
+        text = f"before {body} after"
+        found = [f for f in ss.find(text) if not f[3]]
+        assert {f[1] for f in found} >= {0, 1}, name
+        assert all(7 <= s < e <= 7 + len(body) for s, _, e, _, _ in found), name
+
+
+def test_a_secret_over_two_lines_of_base64_keeps_its_span():
+    body = base64.b64encode(b"x" * 50 + f" token={KEY} ".encode() + b"y" * 60).decode()
+    lines = "\n".join(body[i:i + 64] for i in range(0, len(body), 64))
+    s, _, e = next(f[:3] for f in ss.find(lines) if f[1] == 1)
+    assert base64.b64encode(KEY.encode()).decode()[4:-4] in lines[s:e].replace("\n", "") or KEY in base64.b64decode((body[s - s % 4:])[:48]).decode("latin-1")
+    assert "\n" in lines[s - 20:e + 1]
+
+
+def test_layers_that_unfold_to_what_they_came_from_end(monkeypatch):
+    text = "%25" * 3 + urllib.parse.quote(" token=abcdef1")
+    assert len(list(ss.unwrapped(text))) < 10
+    below = ss._below
+
+    def cyclic(layer):
+        yield from below(layer)
+        for other in (text, "a layer", "another"):
+            n = len(other)
+            yield ss.Layer(other, layer.begins[:1].repeat(n), layer.ends[-1:].repeat(n), (*layer.path, "cycle"))
+
+    monkeypatch.setattr(ss, "_below", cyclic)
+    found = [x.text for x in ss.unwrapped(text)]
+    assert text not in found and found.count("a layer") == 1 == found.count("another")
+
+
 def test_url_spans_are_exact():
     text = "a%20token%3D%22abcdef123%22 b"
     (s, k, e, own, _), = ss.find(text)
