@@ -92,25 +92,29 @@ def _odds(margin: float) -> float:
 def _draw(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
     """Features and languages of at most ``sample`` labelled documents, few of a language spared.
 
-    Each language gets an equal part of the sample, drawn by hash.
+    Each language gets an equal part of the sample: its rows of the lowest hashes of id and text.
+    So the draw hangs on the rows alone, not on their order or files.
     """
     known = docs.where(F.col("lang").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return np.empty((0, DIMS), np.float32), []
     each = max(1, sample // len(sizes))
+    enough = each + 6 * each**0.5 + 6  # so many are expected under the bound below; it is exceeded by far less than one draw in a million
     pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, 1.1 * each / n) * (1 << 40)))])
-    drawn = known.where(pick < F.element_at(share, F.col("lang"))).select("lang", F.col("text").cast("string").alias("text"))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, enough / n) * (1 << 40)))])
+    drawn = known.where(pick < F.element_at(share, F.col("lang"))).select("lang", pick.alias("pick"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
             x = [features(t).tobytes() for t in b["text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["lang"], pa.array(x, pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([b["lang"], b["pick"], pa.array(x, pa.binary())], ["lang", "pick", "x"])
 
-    got = drawn.mapInArrow(run, "lang string, x binary").limit(sample).toArrow()
-    x, langs = np.array([np.frombuffer(x, np.float32) for x in got["x"].to_pylist()]).reshape(-1, DIMS), got["lang"].to_pylist()
-    del got
+    got = drawn.mapInArrow(run, "lang string, pick long, x binary").toArrow()
+    found = sorted(zip(got["lang"].to_pylist(), got["pick"].to_pylist(), got["x"].to_pylist(), strict=True))
+    kept = [r for i, r in enumerate(found) if i < each or found[i - each][0] != r[0]]
+    x, langs = np.array([np.frombuffer(r[2], np.float32) for r in kept]).reshape(-1, DIMS), [r[0] for r in kept]
+    del got, found, kept
     pa.default_memory_pool().release_unused()
     return x, langs
 

@@ -6,7 +6,8 @@ prior: the estimated risk of the hidden negatives cannot go below zero, and wher
 step is reversed (Kiryo et al., 2017). pi is the share of toxic rows among the labels learned
 from. Features are presence bits of words and of word beginnings, over whole texts.
 
-Training reads at most ``sample`` positives and twice as many unlabelled texts, drawn by hash.
+Training reads at most ``sample`` positives and twice as many unlabelled texts: those of the lowest
+hashes of their ids, whatever the order of the rows. An id with any toxic label counts as toxic.
 """
 
 from __future__ import annotations
@@ -57,6 +58,21 @@ class Classifier:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, f)))))
 
 
+def risk_step(w: np.ndarray, b: float, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, np.ndarray, float]:
+    """(estimated risk of the hidden negatives, gradient for the weights, gradient for the offset).
+
+    Each side is (text numbers, feature numbers, number of texts). The gradient is that of the whole
+    risk while the hidden part is zero or more, else that of the hidden part reversed.
+    """
+    (pr, pf, n_p), (ur, uf, n_u) = positive, unlabelled
+    zp, zu = b + np.bincount(pr, w[pf], n_p), b + np.bincount(ur, w[uf], n_u)
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    hidden = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    gu, gp = su / n_u, -prior * sp / n_p
+    gp, gu = (gp + prior * (sp - 1) / n_p, gu) if hidden >= 0 else (-gp, -gu)
+    return hidden, np.bincount(pf, gp[pr], len(w)) + np.bincount(uf, gu[ur], len(w)), float(gp.sum() + gu.sum())
+
+
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.05,
          ridge: float = 2e-5, min_positive: int = 5, min_share: float = 0.02, purity: float = 0.5) -> Classifier:
     """Train on the feature hashes of positive and of unlabelled texts.
@@ -92,17 +108,8 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        zp = b + np.bincount(pr, w[pf], n_p)
-        zu = b + np.bincount(ur, w[uf], n_u)
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        hidden = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        minus_u, minus_p = su / n_u, -prior * sp / n_p
-        if hidden >= 0:
-            gp, gu = prior * (sp - 1) / n_p + minus_p, minus_u
-        else:
-            gp, gu = -minus_p, -minus_u
-        grad = np.bincount(pf, gp[pr], len(w)) + np.bincount(uf, gu[ur], len(w)) + ridge * w
-        gb = float(gp.sum() + gu.sum())
+        _, grad, gb = risk_step(w, b, (pr, pf, n_p), (ur, uf, n_u), prior)
+        grad = grad + ridge * w
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         scale = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w, b = w - scale * m / (np.sqrt(v) + 1e-10), b - scale * mb / (np.sqrt(vb) + 1e-10)
@@ -124,13 +131,14 @@ def _hashes(batches):
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            x = [np.fromiter(features(t or ""), np.int64).astype(np.uint32).tobytes() for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["x"])
+            x = [np.sort(np.fromiter(features(t or ""), np.int64).astype(np.uint32)).tobytes() for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["pick"], pa.array(x, pa.binary())], ["pick", "x"])
 
 
 def _collect(texts: DataFrame, most: int) -> list[np.ndarray]:
-    got = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_hashes, "x binary").limit(most).toArrow()
-    found = [np.frombuffer(x, np.uint32) for x in got["x"].to_pylist()]
+    """The features of the ``most`` rows of the lowest hashes among those drawn: whatever their order."""
+    got = texts.select(_pick("doc_id").alias("pick"), F.col("text").cast("string").alias("text")).mapInArrow(_hashes, "pick long, x binary").toArrow()
+    found = [np.frombuffer(x, np.uint32) for _, x in sorted(zip(got["pick"].to_pylist(), got["x"].to_pylist(), strict=True))[:most]]
     del got
     pa.default_memory_pool().release_unused()
     return found
@@ -143,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Cl
     drawn positives, at most ``sample``, are what is broadcast to find their texts. Null labels
     are unlabelled. Without positives every score is the class prior, one half at most.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(learn(F.col("doc_id"))).select("doc_id", "toxic")
-    n_labels, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    n_labels, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n_docs = docs.count()
-    drawn = usable.where(F.col("toxic") == 1).where(_draw("doc_id", sample, n_toxic)).select("doc_id").limit(sample).distinct()
+    drawn = usable.where(F.col("toxic") == 1).where(_draw("doc_id", sample, n_toxic)).select("doc_id")
     positive = _collect(docs.join(F.broadcast(drawn), "doc_id", "left_semi"), sample)
     unlabelled = _collect(docs.where(learn(F.col("doc_id"))).where(_draw("doc_id", 2 * sample, n_docs)), 2 * sample)
     return nnpu(positive, unlabelled, n_toxic / n_labels if n_labels else 0.1)
@@ -154,8 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Cl
 
 def _draw(column: str, wanted: int, there: int) -> Column:
     """A hash draw of about ``wanted`` of ``there`` rows, all if there are no more."""
-    share = int(min(1.0, 1.05 * wanted / max(1, there)) * _DRAW)
-    return F.pmod(F.xxhash64(F.col(column), F.lit(11)), F.lit(_DRAW)) < share
+    share = int(min(1.0, (wanted + 6 * wanted**0.5) / max(1, there)) * _DRAW)
+    return _pick(column) < share
+
+
+def _pick(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column), F.lit(11)), F.lit(_DRAW))
 
 
 def scorer(docs: DataFrame, model: Classifier):

@@ -36,6 +36,54 @@ def test_the_risk_never_goes_below_zero_for_long():
     assert s([1, 2]) > 0.5 > s([9])
 
 
+def test_the_gradient_is_that_of_the_corrected_risk():
+    rng = np.random.default_rng(3)
+    xp, xu, w, b = rng.random((7, 4)) < 0.5, rng.random((11, 4)) < 0.4, rng.normal(size=4), 0.3
+    sides = [(*np.nonzero(x), len(x)) for x in (xp, xu)]
+
+    def risk(w, b, prior):
+        loss = lambda z: np.log(1 + np.exp(-z))
+        hidden = loss(-(xu @ w + b)).mean() - prior * loss(-(xp @ w + b)).mean()
+        return hidden, prior * loss(xp @ w + b).mean() + hidden if hidden >= 0 else -hidden
+
+    for prior in (0.2, 0.99):
+        for shift in (0.0, 6.0):
+            u, v = w + shift * (prior > 0.5) * np.array([1, -1, 1, -1]), b - shift
+            hidden, grad, gb = toxicity.risk_step(u, v, *sides, prior)
+            assert np.isclose(hidden, risk(u, v, prior)[0])
+            e = 1e-6
+            slope = [(risk(u + e * d, v, prior)[1] - risk(u - e * d, v, prior)[1]) / (2 * e) for d in np.eye(4)]
+            assert np.allclose(grad, slope, atol=1e-6) and np.isclose(gb, (risk(u, v + e, prior)[1] - risk(u, v - e, prior)[1]) / (2 * e), atol=1e-6)
+    far = np.full(4, 9.0)
+    hidden, grad, _ = toxicity.risk_step(far, 5.0, sides[0], (np.array([0]), np.array([0]), 11), 0.99)
+    assert hidden < 0 or grad.any()
+
+
+def test_models_do_not_hang_on_the_order_of_rows(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    other, others = docs.repartition(7, "n_chars").orderBy(F.desc("n_chars")), labels.union(labels).repartition(3)
+    known = lambda d: d.where(id_remainder(F.col("doc_id"), 3) != 1)
+    a, b = langid.train(known(docs), 200), langid.train(known(other), 200)
+    assert a.langs == b.langs and all(np.allclose(a.pairs[k][0], b.pairs[k][0], atol=1e-5) for k in a.pairs)
+    a, b = (toxicity.train(d, x, lambda i: id_remainder(i, 5) != 0, sample=30) for d, x in ((docs, labels), (other, others)))
+    assert a.weights.keys() == b.weights.keys() and all(np.isclose(a.weights[k], b.weights[k]) for k in a.weights)
+
+
+def test_prediction_is_the_votes_within_the_best_family():
+    rng = np.random.default_rng(4)
+    texts = {lang: [" ".join(rng.choice([f"{lang}{i}{lang[::-1]}" for i in range(30)], 20)) for _ in range(8)] for lang in ("en", "de", "nl", "fr", "es")}
+    x = np.array([langid.features(t.encode()) for ts in texts.values() for t in ts])
+    h = langid.Hierarchy(x, [lang for lang, ts in texts.items() for _ in ts])
+    for lang, ts in texts.items():
+        for t in ts:
+            f = langid.features(t.encode())
+            family = h.families[int(np.argmax([f @ w + c for w, c in h.top]))]
+            members = [m for m in h.langs if h.family[m] == family]
+            wins = {m: sum((f @ h.pairs[p][0] + h.pairs[p][1] >= 0) == (p[0] == m) for p in h.pairs if m in p) for m in members}
+            got, score = h.predict(t.encode())
+            assert got in members and wins[got] == max(wins.values()) and got == lang and 0 <= score <= 1
+
+
 def test_toxicity_without_examples(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for docs in (odd_docs, no_docs):

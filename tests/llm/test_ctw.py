@@ -106,13 +106,19 @@ def test_scores_and_base(spark, odd_docs, odd_rows, no_docs):
     assert ctw.score(no_docs, id_remainder(no_docs["doc_id"], 7) != 2).count() == 0
 
 
-def test_pruned_contexts_still_count(spark):
-    rng = random.Random(1)
-    rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(30))) for i in range(60)]
+def test_long_words_are_looked_up_like_others(spark, monkeypatch):
+    long = "boilerplate" * 30
+    rows = [(i, f"{long} w{i % 3} {long.upper()}") for i in range(20)] + [(20, long + "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    every = {r.doc_id: r.score for r in ctw.score(df, df["doc_id"] < 50, depth=3).collect()}
-    few = {r.doc_id: r.score for r in ctw.score(df, df["doc_id"] < 50, depth=3, most=40).collect()}
-    assert all(few[i] < 0 and abs(few[i] / every[i] - 1) < 0.5 for i in few)
+    tokens = lambda t: t.lower().split() + [""]
+    c = Counter(w for i, t in rows if i < 18 for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for most in (1 << 16, 1):
+        monkeypatch.setattr(ctw, "MAX_WORDS", most)
+        for r in ctw.score(df, df["doc_id"] < 18).collect():
+            text = tokens(rows[r.doc_id][1])
+            assert r.n_tokens == len(text) and r.n_known == sum(c[w] > 0 for w in text)
+            assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in text), rel_tol=1e-9)
 
 
 def test_no_context_is_cut_whatever_is_looked_up(spark):
