@@ -1,12 +1,15 @@
 """Sum-of-squares online packing of tokenised documents into windows of a fixed length.
 
-A packer keeps a level array: N[h] counts its open windows filled to h tokens. A document's
-tail (what remains after whole windows are cut off) goes to the fill level that makes the sum of
-N[h]**2 smallest, a fresh window being level 0; a window that reaches the full length closes.
-Windows still open at the end of a partition, or whenever ``max_open`` of them are open, are
-drained: their pieces, in order, are cut into full windows anew, and what is left over into
-windows whose lengths are powers of two, which need no padding. Each partition packs alone, so
-there is no shuffle and memory is bounded by the open windows.
+A packer keeps a level array: N[h] counts its open windows at fill level h, a level being a
+``LEVELS``-th of a window, rounded up. A document's tail (what remains after whole windows are cut off) is
+placed, or cut once to close a window with its first part and open a fresh one with the rest, in the way
+that makes the sum of N[h]**2 smallest, a cut counting as ``CUT`` more. A window that reaches the full length
+closes. A level with over CUT / 2 + 1 windows is never chosen while another way is left, so at
+most (LEVELS + 1) * (CUT / 2 + 2) windows are open, whatever the documents.
+
+Windows still open at the end of a partition are drained: their pieces, in order, are cut into full
+windows anew, and what is left over into windows whose lengths are powers of two, which need no
+padding. Each partition packs alone, so there is no shuffle and memory is bounded by the open windows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, END_ID, MAX_OPEN = 4096, 2, 1024
+WINDOW, END_ID, LEVELS, CUT = 4096, 2, 16, 8
 _CACHE = 600_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -87,11 +90,15 @@ class WordCache:
 class Packer:
     """One partition's online packer. Pieces come out when their window closes."""
 
-    def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
-        self.window, self.max_open, self.next_sequence = window, max_open, first_sequence
-        self.levels = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[list[tuple]]] = {}
+    def __init__(self, first_sequence: int, window: int = WINDOW, levels: int = LEVELS, cut: int = CUT) -> None:
+        self.window, self.unit, self.cut, self.next_sequence = window, max(1, window // levels), cut, first_sequence
+        self.levels = np.zeros(-(-window // self.unit) + 1, np.int64)
+        #: The fill of the window that was last put on each level; level 0 is the fresh window.
+        self.fills = np.full(len(self.levels), -1, np.int64)
+        self.fills[0] = 0
+        self.open: dict[int, list[tuple[int, list[tuple]]]] = {}
         self.done: list[tuple] = []
+        self.drained = 0
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -102,13 +109,28 @@ class Packer:
         self.next_sequence += 1
 
     def choose(self, size: int) -> int:
-        """The level to fill from (0: a fresh window) with the least sum of squares after it."""
-        levels, room = self.levels, self.window - size
-        after = 2 * levels[size:self.window + 1] + 1
-        after[room] = 0
-        change = after - np.where(levels[:room + 1] > 0, 2 * levels[:room + 1] - 1, 0)
-        change[1:][levels[1:room + 1] == 0] = np.iinfo(np.int64).max
-        return room - int(np.argmin(change[::-1]))
+        """The level to fill from (0: a fresh window) with the least sum of squares after it; the fuller one of equals.
+
+        Where the size is over the room left there, the document is to be cut.
+        """
+        full = self.fills + size
+        whole = full <= self.window
+        rest = np.where(whole, full, full - self.window)
+        to = -(-rest // self.unit)
+        change = np.where(rest == self.window, 0, 2 * self.levels[to] + 1) - np.where(self.fills > 0, 2 * self.levels - 1, 0)
+        change += np.where((to == np.arange(len(to))) & (self.fills > 0) & (rest < self.window), -2, 0)  # that level's own window is gone by then
+        change = 2 * (change + np.where(whole, 0, self.cut)) + ~whole
+        change[self.fills < 0] = np.iinfo(np.int64).max
+        return len(change) - 1 - int(np.argmin(change[::-1]))
+
+    def _put(self, fill: int, pieces: list[tuple]) -> None:
+        if fill == self.window:
+            self._close(pieces)
+            return
+        level = -(-fill // self.unit)
+        self.open.setdefault(level, []).append((fill, pieces))
+        self.levels[level] += 1
+        self.fills[level] = fill
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, w = len(ids) // 4, self.window
@@ -117,24 +139,26 @@ class Packer:
             self._close([(doc_id, at, ids[4 * at:4 * (at + w)], total)])
         if whole == total:
             return
-        piece, size = (doc_id, whole, ids[4 * whole:], total), total - whole
+        size = total - whole
         level = self.choose(size)
-        pieces = self.open[level].pop() if level else []
-        self.levels[level] -= bool(level)
-        pieces.append(piece)
-        if level + size == w:
-            self._close(pieces)
-        else:
-            self.open.setdefault(level + size, []).append(pieces)
-            self.levels[level + size] += 1
-        if int(self.levels.sum()) >= self.max_open:
-            self.drain()
+        fill, pieces = 0, []
+        if level:
+            left = self.open[level]
+            fill, pieces = left.pop()
+            self.levels[level] -= 1
+            self.fills[level] = left[-1][0] if left else -1
+        first = min(size, w - fill)
+        pieces.append((doc_id, whole, ids[4 * whole:4 * (whole + first)], total))
+        self._put(fill + first, pieces)
+        if first < size:
+            self._put(size - first, [(doc_id, whole + first, ids[4 * (whole + first):], total)])
 
     def drain(self) -> None:
         """Cut what the open windows hold into full windows and a rest in powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for win in self.open[level] for p in win]
+        pieces = [p for level in sorted(self.open, reverse=True) for _, held in self.open[level] for p in held]
         left = sum(len(p[2]) // 4 for p in pieces)
-        self.open, self.levels[:] = {}, 0
+        self.drained += left
+        self.open, self.levels[:], self.fills[1:] = {}, 0, -1
         current, room = [], 0
         for doc_id, start, ids, total in pieces:
             n, at = len(ids) // 4, 0

@@ -43,7 +43,7 @@ def check(rows, docs, window=4096):
 def test_packer_covers_everything_without_padding():
     rng = random.Random(4)
     docs = {i: np.arange(rng.choice([1, 3, 70, 900, 4095, 4096, 4097, 20000])).astype("<u4").tobytes() for i in range(400)}
-    p = packing.Packer(5, max_open=40)
+    p = packing.Packer(5)
     for i, ids in docs.items():
         p.add(i, ids)
     p.drain()
@@ -52,24 +52,47 @@ def test_packer_covers_everything_without_padding():
 
 def test_choice_has_the_least_sum_of_squares():
     rng = np.random.default_rng(0)
-    p = packing.Packer(0, window=32)
-    for _ in range(200):
-        p.levels[:] = 0
-        p.levels[1:32] = rng.integers(0, 3, 31)
-        size = int(rng.integers(1, 32))
+    for _ in range(400):
+        p = packing.Packer(0, window=64, levels=8, cut=int(rng.integers(0, 9)))
+        for fill in rng.integers(1, 64, rng.integers(0, 30)).tolist():
+            p._put(fill, [])
+        size = int(rng.integers(1, 64))
 
         def total(level):
-            n = p.levels.copy()
-            if level:
-                n[level] -= 1
-            if level + size < 32:
-                n[level + size] += 1
-            return int((n[1:32] ** 2).sum())
-
-        options = [0] + [h for h in range(1, 33 - size) if p.levels[h]]
+            n = [0, *map(len, (p.open.get(h, []) for h in range(1, 9)))]
+            fill = p.open[level][-1][0] if level else 0
+            n[level] -= bool(level)
+            rest = fill + size if fill + size <= 64 else fill + size - 64
+            if rest < 64:
+                n[-(-rest // 8)] += 1
+            return sum(x * x for x in n) + p.cut * (fill + size > 64)
+
+        options = [0] + [h for h in range(1, 9) if p.open.get(h)]
         assert total(p.choose(size)) == min(map(total, options))
 
 
+def test_open_windows_are_few_whatever_the_sizes():
+    rng = random.Random(6)
+    for sizes in ([2049], [2100, 1], [1400, 2800], [4095], [1], [3000, 3001, 3002], list(range(1, 4096))):
+        p = packing.Packer(0)
+        for i in range(3000):
+            p.add(i, bytes(4 * rng.choice(sizes)))
+            assert p.levels.max() <= packing.CUT // 2 + 2
+        assert int(p.levels.sum()) <= (packing.LEVELS + 1) * (packing.CUT // 2 + 2)
+
+
+def test_little_is_left_to_the_end_of_a_partition():
+    rng = random.Random(8)
+    p = packing.Packer(0)
+    total = 0
+    for i in range(8000):
+        n = int(rng.paretovariate(1.3) * 150) % 9000 + 1
+        total += n
+        p.add(i, bytes(4 * n))
+    p.drain()
+    assert p.drained < 0.05 * total
+
+
 def test_table(spark, odd_docs, no_docs, odd_rows):
     rows = [tuple(r) for r in packing.pack(odd_docs.where("doc_id IS NOT NULL AND doc_id <> 2"), PATH).collect()]
     cache = packing.WordCache(PATH)
