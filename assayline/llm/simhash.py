@@ -28,7 +28,7 @@ from .common import discard, materialise, spread_join
 
 RADIUS = 2
 #: Shingles whose frequency is looked up, shingles counted at a time, and sets of a key compared in one block.
-MAX_COMMON, _CHUNK, _BLOCK = 1 << 20, 1 << 21, 2048
+MAX_COMMON, _CHUNK, _BLOCK = 1 << 19, 1 << 21, 2048
 _CUTS = (0, 10, 20, 31, 42, 53, 64)
 
 
@@ -356,6 +356,20 @@ def _alike(width: int, least: float):
     return run
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(a, b): every node's root, from one smaller parent each, by pointer jumping: rounds as the logarithm of the depth."""
+    now = materialise(parents, "parents")
+    while True:
+        up = now.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        nxt = materialise(now.join(up, now["b"] == up["_a"], "left").select("a", F.coalesce("_b", "b").alias("b"), F.col("_b").isNotNull().alias("moved")), "parents")
+        moved = nxt.where("moved").limit(1).count()
+        discard(now)
+        now = nxt.drop("moved")
+        now._shared_path = nxt._shared_path
+        if not moved:
+            return now
+
+
 def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, h, component): rows with an id, ``h`` the hash of the text, linked where the Jaccard likeness of their
     shingle sets is ``least`` or more.
@@ -363,8 +377,8 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     Fingerprints do not find these pairs: they differ in up to a dozen bits. Instead each distinct set
     is filed under its rarest hashes, so many that two sets of that likeness share one of them; no
     pair is lost, and a passage in many unlike texts files them together only if it is most of them.
-    Twice each set is compared to one set at the head of one of its keys and the links are followed. Then all pairs
-    of sets under a key that are still in different components are compared, keys with many sets in blocks.
+    First each set is compared to the one nearest by its sketch among the heads (the smallest sets) of its keys, which gives
+    trees; then all pairs of sets under a key that are in different trees are compared, keys with many sets in blocks.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
@@ -372,59 +386,47 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     shingled = materialise(rows.mapInArrow(_shingled(width, least, sent), "doc_id long, h long, node long, n long, prefix array<long>, sketch array<long>"), "shingled")
     nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "prefix", "sketch")).alias("set"))
     nodes = materialise(nodes.select("node", "row.doc_id", "row.h", "set.*"), "nodes")
-    names = nodes.drop("prefix")
     every = nodes.select(F.explode("prefix").alias("key"), "node")
-    keys = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("times > 1"), "keys")
+    keys = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("head")).where("times > 1"), "keys")
     filed = materialise(spread_join(every, keys, "key"), "filed")
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    discard(keys)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), distinct, that have the likeness."""
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(names.select("node", "doc_id", "h"), "node")
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id", "h"), "node")
         texts = materialise(rows.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("text", ignorenulls=True).alias("text")), "texts")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        out = materialise(both.mapInArrow(_alike(width, least), "a long, b long"), name)
+        out = materialise(both.mapInArrow(_alike(width, least), "a long, b long"), "links")
         discard(texts)
+        discard(pairs)
         return out
 
-    def apart(joined: DataFrame | None) -> DataFrame:
-        """(key, node, times, low, high, c): what is filed under keys that hold several components."""
-        if joined is None:
-            return filed.withColumn("c", F.col("node"))
-        placed = materialise(filed.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
-        mixed = materialise(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("key", "times"), "mixed")
-        out = materialise(spread_join(placed.drop("times"), mixed, "key"), "apart")
-        discard(placed)
-        discard(mixed)
-        return out
-
-    found = joined = None
-    for head in ("low", "high"):
-        now = apart(joined)
-        pairs = now.where(F.col("node") != F.col(head)).select(F.col("node").alias("a"), F.col(head).alias("b")).distinct()
-        pairs = pairs.join(names.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(names.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        pairs = pairs.where(fits).select("a", "b", (differing / (F.col("na") + F.col("nb"))).alias("d"), (F.col("na") + F.col("nb")).alias("sizes"))
-        pairs = pairs.where(_possible(least, F.col("sizes"), F.lit(0), F.col("d") * F.col("sizes")))
-        pairs = materialise(pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), "pairs")
-        links = verified(pairs, "links")
-        found = links if found is None else found.unionByName(links)
-        joined = components(found)
-        discard(pairs)
-        if now is not filed and joined is not None:
-            discard(now)
-    now = apart(joined)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = filed.where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b", differing.alias("d"), (F.col("na") + F.col("nb")).alias("sizes"))
+    pairs = pairs.where(_possible(least, F.col("sizes"), F.lit(0), F.col("d"))).groupBy("a").agg(F.min_by("b", F.struct(F.col("d") / F.col("sizes"), "b")).alias("b"))
+    roots = _roots(verified(materialise(pairs, "pairs")))
+    placed = materialise(filed.join(roots.toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c")), "placed")
+    discard(filed)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("key", "times")
     parts = F.ceil(F.col("times") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    met = now.select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = placed.join(materialise(mixed, "mixed"), "key").select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
-    met = met.join(names.select("node", "n", "sketch"), "node").repartition("block").sortWithinPartitions("block")
-    pairs = met.select("block", "node", "n", "c", "side", "sketch").mapInArrow(_apart(least), "a long, b long")
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    joined = components(found.unionByName(verified(pairs, "links")))
-    for t in (filed, keys, nodes, now, pairs):
+    met = met.join(nodes.select("node", "n", "sketch"), "node").repartition("block").sortWithinPartitions("block")
+    apart = met.select("block", "node", "n", "c", "side", "sketch").mapInArrow(_apart(least), "a long, b long")
+    apart = materialise(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    root = lambda x: F.coalesce(F.col(f"r{x}"), F.col(x)).alias(x)
+    links = verified(apart).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(root("a"), root("b")).distinct()
+    links = materialise(links, "links")
+    if not links.isEmpty():
+        joined = components(links)
+        roots = roots.join(joined.toDF("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("b")).unionByName(joined.toDF("a", "b"))
+        roots = materialise(roots.groupBy("a").agg(F.min("b").alias("b")), "roots")
+    for t in (placed, nodes, links):
         discard(t)
-    return shingled.select("doc_id", "h", "node").join(joined, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
+    return shingled.select("doc_id", "h", "node").join(roots.toDF("node", "root"), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -78,7 +78,8 @@ def test_odd_rows_and_empty_table(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_deduplicate_finds_every_similar_pair(spark):
+def test_deduplicate_finds_every_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 2)  # so that keys of three sets are cut into blocks
     rng = random.Random(11)
     rows, words = [], [f"w{i}" for i in range(3000)]
     for _ in range(30):
@@ -88,6 +89,8 @@ def test_deduplicate_finds_every_similar_pair(spark):
             for _ in range(edits):
                 w[rng.randrange(len(w))] = rng.choice(words)
             rows.append((len(rows), " ".join(w)))
+    shared = rng.choices(words, k=60)
+    rows += [(len(rows) + i, " ".join(shared + rng.choices(words, k=rng.choice([8, 9, 12, 15, 40])))) for i in range(25)]
     rows += [(0, "another text under an id that is taken"), (0, "another text under an id that is taken")]
     sets = [{" ".join(s) for s in zip(*(t.split()[i:] for i in range(5)))} or {t} for _, t in rows]
     root = list(range(len(rows)))
