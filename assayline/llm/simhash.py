@@ -377,6 +377,7 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     Fingerprints do not find these pairs: they differ in up to a dozen bits. Instead each distinct set
     is filed under its rarest hashes, so many that two sets of that likeness share one of them; no
     pair is lost, and a passage in many unlike texts files them together only if it is most of them.
+    Of keys with the same sets under them one is kept.
     First each set is compared to the one nearest by its sketch among the heads (the smallest sets) of its keys, which gives
     trees; then all pairs of sets under a key that are in different trees are compared, keys with many sets in blocks.
     """
@@ -387,7 +388,9 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "prefix", "sketch")).alias("set"))
     nodes = materialise(nodes.select("node", "row.doc_id", "row.h", "set.*"), "nodes")
     every = nodes.select(F.explode("prefix").alias("key"), "node")
-    keys = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("head")).where("times > 1"), "keys")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("head"), *members).where("times > 1")
+    keys = materialise(keys.groupBy("times", "head", "m0", "m1").agg(F.min("key").alias("key")).drop("m0", "m1"), "keys")
     filed = materialise(spread_join(every, keys, "key"), "filed")
     discard(keys)
 
