@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
-def _closed_alphabet() -> tuple[str, str]:
-    """Latin and Greek letters whose compatibility decomposition is one letter and marks."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.category(c).startswith("M"))
-        if len(plain) == 1 and plain != chr(code):
-            source.append(chr(code))
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, marks dropped, is one other character, and those with a longer one.
+
+    All of the basic plane but Hangul syllables, and the mathematical letters.
+    """
+    source, target, longer = [], [], {}
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.category(c).startswith("M"))
+        if plain == char or (not plain and unicodedata.category(char).startswith("M")):
+            continue
+        if len(plain) == 1:
+            source.append(char)
             target.append(plain)
-    return "".join(source), "".join(target)
+        else:
+            longer[char] = plain
+    return "".join(source), "".join(target), longer
 
 
-_FROM, _TO = _closed_alphabet()
+_FROM, _TO, _LONGER = _decompositions()
+_LATIN_GREEK = [i for i, c in enumerate(_FROM) if c < "\u0400" or "\u1e00" <= c < "\u2000"]
+_NEAR_FROM, _NEAR_TO = ("".join(t[i] for i in _LATIN_GREEK) for t in (_FROM, _TO))
+#: What the short table does not cover: characters with a longer decomposition, and letters of other scripts that have one.
+_RARE = r"[" + "".join(c for c in _LONGER if c < "\u0400" or "\u1e00" <= c < "\u2000") + r"\u0400-\u1dff\u2000-\uabff\uf900-\uffff\x{1d400}-\x{1d7ff}]"
 #: Greek letters and the Latin ones they are confused with in codes.
 GREEK, LATIN = "αβεζηικμνορτυχ", "abezhikmnoptyx"
 #: Identifier patterns, in the order of their scan; word boundaries are ASCII.
@@ -32,28 +43,20 @@ IDENTIFIERS = [
 ]
 
 
-def normalise_label(text: Column) -> Column:
-    """Compatibility letters, no marks, lower case, one sigma, single blanks.
-
-    Exact for Latin and Greek script, inside code generation; ``normalise_label_any`` covers the rest.
-    """
-    plain = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}", "")
-    return F.trim(F.regexp_replace(F.translate(F.lower(plain), "ς", "σ"), r"(?U)\s+", " "))
+#: Control characters, which no stored label may hold.
+CONTROL = r"[\x00-\x1F\x7F]"
 
 
-def _normalise_any(labels: pd.Series) -> pd.Series:
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M"))
-        return " ".join(plain.lower().replace("ς", "σ").split())
-
-    return labels.map(one)
-
+def normalise_label(text: Column) -> Column:
+    """Compatibility letters, no marks, lower case, one sigma, single blanks; exact but for Hangul syllables.
 
-def normalise_label_any(text: Column) -> Column:
-    """``normalise_label`` for every script, by an Arrow batch."""
-    return pandas_udf(_normalise_any, "string")(text)
+    Texts of Latin and Greek letters stay inside code generation with a short table; only texts with a
+    rarer character go through the long ones.
+    """
+    table = F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>")
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    plain = F.when(text.rlike(_RARE), F.translate(spelt, _FROM, _TO)).otherwise(F.translate(text, _NEAR_FROM, _NEAR_TO))
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.regexp_replace(plain, r"\p{M}", "")), "ς", "σ"), r"(?U)\s+", " "))
 
 
 def normalise_abbreviation(text: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .lexical import normalise_label
 
+#: A printed number, and one that could have thousands.
 NUMBER = r"[+-]?\d+(?:[.,]\d+)?"
+AMBIGUOUS = r"^[+-]?[1-9]\d{0,2}[.,]\d{3}$"
 _COMPARATORS = "<>≤≥"
 #: Words that print an upper bound, normalised.
 UPPER_WORDS = ("εωσ", "μεχρι")
@@ -29,7 +31,7 @@ def parse_number(text: Column) -> Column:
     """
     sign = F.regexp_extract(text, rf"^([{_COMPARATORS}]?)\s*({NUMBER})$", 1)
     number = F.regexp_extract(text, rf"^([{_COMPARATORS}]?)\s*({NUMBER})$", 2)
-    parsed = F.struct(to_double(number).alias("value"), _comparator(sign).alias("comparator"), number.rlike(r"^[+-]?[1-9]\d{0,2}[.,]\d{3}$").alias("ambiguous"))
+    parsed = F.struct(to_double(number).alias("value"), _comparator(sign).alias("comparator"), number.rlike(AMBIGUOUS).alias("ambiguous"))
     return F.when(number != "", parsed)
 
 
@@ -41,10 +43,10 @@ def parse_range(text: Column) -> Column:
     """(kind, min, max, comparator) of a printed reference range; null if it is none."""
     t = normalise_label(text)
     none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
-    upper = F.regexp_extract(t, rf"^(?:{'|'.join(UPPER_WORDS)})\s*({NUMBER})$", 1)
-    sign = F.regexp_extract(t, rf"^([{_COMPARATORS}]|<=|>=)\s*({NUMBER})$", 1)
-    bound = F.regexp_extract(t, rf"^([{_COMPARATORS}]|<=|>=)\s*({NUMBER})$", 2)
-    comparator = F.coalesce(_comparator(sign), sign)
+    upper = F.regexp_extract(t, rf"^(?:{'|'.join(UPPER_WORDS)})\s+({NUMBER})$", 1)
+    sign = F.regexp_extract(t, rf"^([{_COMPARATORS}])\s*({NUMBER})$", 1)
+    bound = F.regexp_extract(t, rf"^([{_COMPARATORS}])\s*({NUMBER})$", 2)
+    comparator = _comparator(sign)
     low, high = (to_double(F.regexp_extract(t, rf"^({NUMBER})\s*[-–—]\s*({NUMBER})$", i)) for i in (1, 2))
     below = F.startswith(comparator, F.lit("<"))
     return (F.when(upper != "", _range(F.lit("maxOnly"), none, to_double(upper), F.lit("<=")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,14 @@ def normalise_unit(unit: Column) -> Column:
     return F.coalesce(F.element_at(table, u), u)
 
 
+def fold_unit(unit: str) -> str:
+    """``normalise_unit`` of one text, for the kernels that read rows in Arrow batches."""
+    u = "".join(unit.split()).replace("μ", "µ")
+    u = re.sub("[Κκk](?=/)", "K", re.sub("Μ(?=/)", "M", u))
+    u = re.sub("l$", "L", u)
+    return PRINTED.get(u, u)
+
+
 def is_known_unit(unit: Column) -> Column:
     return normalise_unit(unit).isin(*KNOWN)
 

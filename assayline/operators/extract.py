@@ -97,7 +97,9 @@ def anchors(rows: DataFrame, fuzzy: bool = True) -> DataFrame:
     tier = (F.when(is_code, F.when((F.col("code") == F.col("known")) & (F.col("bracketed") | ~F.col("code_beside")), 1))
             .when(F.col("norm") == F.col("known"), 2).when(F.contains(pad("norm"), pad("known")), 3))
     if fuzzy:
-        tier = F.coalesce(tier, F.when(~is_code & (F.col("bound") > 0) & may_be_near(F.col("norm"), F.col("known"), F.col("bound")), 4))
+        sign = lambda x: F.when(F.contains(F.col(x), F.lit("%")), "%").when(F.contains(F.col(x), F.lit("#")), "#")
+        differ = F.coalesce(sign("norm") != sign("known"), F.lit(False))  # a share and a count are never near
+        tier = F.coalesce(tier, F.when(~is_code & ~differ & (F.col("bound") > 0) & may_be_near(F.col("norm"), F.col("known"), F.col("bound")), 4))
     # Laboratories print the same few labels over and over: each distinct text meets the registry once.
     parts = ["norm", "code", "bound", "bracketed", "code_beside"]
     met = c.select(*parts).distinct().join(known, tier.isNotNull()).withColumn("t", tier)
@@ -152,4 +154,4 @@ def parse(items: DataFrame) -> DataFrame:
     medium = (F.col("tier") == "T4") | F.col("comparator").isNotNull() | has("unparsed-range", "unrecognised-unit", "competing-anchors")
     order = F.row_number().over(Window.partitionBy("source_id").orderBy("row_no")) - 1
     return out.select("source_id", "collected_date", "page", "row_no", order.alias("source_order"), F.coalesce("marker", derived_key(F.col("c_label"))).alias("marker_key"), F.col("c_label").alias("label"), "tier",
-                      "status", "value", "comparator", "text_value", "unit", "range_kind", "range_min", "range_max", "range_comparator", F.when(low, "low").when(medium, "medium").otherwise("high").alias("confidence"), "flags")
+                      "status", "value", "comparator", "text_value", "categorical_reference", "unit", "range_kind", "range_min", "range_max", "range_comparator", F.when(low, "low").when(medium, "medium").otherwise("high").alias("confidence"), "flags")

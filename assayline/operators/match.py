@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexical import normalise_label
+
 _KEY_WORDS = 3
 
 
-def _windows(text: Column, words: int) -> Column:
-    """All runs of ``words`` blank-separated words; none for shorter texts."""
-    w = F.split(text, " ", -1)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
-    return F.when(F.size(w) >= words, F.transform(starts, lambda i: F.array_join(F.slice(w, i, words), " "))).otherwise(F.array().cast("array<string>"))
+def _windows(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many blank-separated words, for each size.
+
+    The words are bound once as a lambda's variable: an expression used inside a lambda is evaluated for every element.
+    """
+    starts = lambda w, n: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + n - 1 <= F.size(w))
+    runs = lambda w, n: F.transform(starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.array_distinct(F.transform(F.array(F.split(text, " ", -1)), lambda w: F.concat(*[runs(w, n) for n in sizes]))[0])
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): documents whose text contains an item's ``alias``; empty aliases match nothing.
+    """(doc_id, item_id): documents whose text contains an item's ``alias`` as whole words, once each.
 
-    A text that contains an alias of five words or more contains its second to fourth words as
-    whole words, so those are the join key; the full test follows. Shorter aliases go through a
-    containment join of their own, which is what they need.
+    Both sides are normalised labels. A text that contains an alias contains its first words, three at
+    most, so these are the join key whatever the alias's length; only ids and keys are spread, and the
+    pairs found meet their texts again for the full test. Empty aliases match nothing.
     """
-    items = items.where(F.length("alias") > 0)
     words = F.split("alias", " ", -1)
-    long = F.size(words) >= _KEY_WORDS + 2
-    keyed = items.where(long).withColumn("key", F.array_join(F.slice(words, 2, _KEY_WORDS), " "))
-    spread = docs.select("doc_id", "text", F.explode(F.array_distinct(_windows(F.col("text"), _KEY_WORDS))).alias("key"))
-    by_key = spread.join(keyed, "key").where(F.contains("text", F.col("alias"))).select("doc_id", "item_id")
-    by_text = docs.join(items.where(~long), F.contains(F.col("text"), F.col("alias"))).select("doc_id", "item_id")
-    return by_key.unionByName(by_text)
+    items = items.select("item_id", normalise_label(F.col("alias")).alias("alias")).where(F.col("alias") != "")
+    keyed = items.withColumn("size", F.least(F.size(words), F.lit(_KEY_WORDS))).withColumn("key", F.array_join(F.slice(words, F.lit(1), F.col("size")), " "))
+    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
+    texts = docs.select("doc_id", normalise_label(F.col("text")).alias("text"))
+    if not sizes:
+        return texts.join(keyed, F.lit(False)).select("doc_id", "item_id")
+    spread = texts.select("doc_id", F.explode(_windows(F.col("text"), sizes)).alias("key"))
+    near = spread.join(keyed.select("key", "item_id", "alias"), "key").select("doc_id", "item_id", "alias").distinct()
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return texts.join(near, "doc_id").where(F.contains(pad("text"), pad("alias"))).select("doc_id", "item_id").distinct()
 
 
 def greedy(spans: DataFrame, row: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexical import CONTROL, IDENTIFIERS
+
+LONGEST_LABEL = 120
+
 
 def _content(df: DataFrame, key: str) -> Column:
     return F.struct(*[c for c in df.columns if c != key])
@@ -75,3 +79,45 @@ def measurement_violations(measurements: DataFrame, extra: dict[str, Column] | N
     rules = {name: rule() for name, rule in RULES.items()} | (extra or {})
     broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
     return measurements.withColumn("rule", F.explode(broken))
+
+
+def apply_merge(stored: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(profile_id, error, n_reports) of every profile after a merge.
+
+    Reports are (profile_id, report_id, collected_date, time, ...). A report id held with other content refuses
+    the whole profile, then a day shared without times; a refused profile keeps what it had.
+    """
+    plan = merge_plan(stored, arriving, "report_id")
+    added = plan.where(F.col("outcome") == "addition").drop("outcome")
+    days = same_day_conflicts(stored, added).join(added.select(F.col("report_id").alias("added_id"), "profile_id"), "added_id").select("profile_id", F.lit(True).alias("_day"))
+    per = plan.groupBy("profile_id").agg(F.count_if(F.col("outcome") == "addition").alias("_added"), F.bool_or(F.col("outcome") == "report-id").alias("_id"))
+    held = stored.groupBy("profile_id").agg(F.count(F.lit(1)).alias("_held"))
+    j = held.join(per, "profile_id", "full").join(days.distinct(), "profile_id", "left")
+    error = F.when(F.col("_id"), "report-id-conflict").when(F.col("_day"), "same-day-precision-conflict")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return j.withColumn("error", error).select("profile_id", "error", (zero("_held") + F.when(F.col("error").isNull(), zero("_added")).otherwise(0)).alias("n_reports"))
+
+
+def unsafe_labels(measurements: DataFrame) -> DataFrame:
+    """Each labelled measurement once for every reason that its label may not be stored."""
+    label = F.col("label")
+    identifier = {f"label-{kind}": label.rlike(pattern) for kind, pattern in IDENTIFIERS}
+    rules = {"label-on-known-key": ~F.startswith(F.col("marker_key"), F.lit("x:")), "label-too-long": F.length(label) > LONGEST_LABEL, "label-control-characters": label.rlike(CONTROL)} | identifier
+    broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+    return measurements.where(label.isNotNull()).withColumn("rule", F.explode(broken))
+
+
+def validated(measurements: DataFrame, broken: Column, field: str) -> DataFrame:
+    """(report_id, written, path): a report is written whole or not at all; ``path`` names the first field that breaks a rule."""
+    bad = F.coalesce(broken, F.lit(False))
+    g = measurements.groupBy("report_id").agg(F.min(F.when(bad, F.col("row_no"))).alias("_first"))
+    path = F.concat(F.lit("reports["), F.col("report_id").cast("string"), F.lit("].measurements["), F.col("_first").cast("string"), F.lit(f"].{field}"))
+    return g.select("report_id", F.col("_first").isNull().alias("written"), path.alias("path"))
+
+
+def evidence(refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """References (source_id, page) with what can be shown: evidence, unavailable, unknown-source or unknown-page."""
+    j = refs.join(sources.withColumn("_s", F.lit(True)), "source_id", "left")
+    outcome = (F.when(F.col("_s").isNull(), "unknown-source").when(~F.col("evidence_available"), "unavailable").when(~F.col("held"), "unknown-source")
+               .when(~F.col("page").between(1, F.col("pages")), "unknown-page").otherwise("evidence"))
+    return j.withColumn("outcome", outcome).drop("_s")

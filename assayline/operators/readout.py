@@ -9,13 +9,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.units import KNOWN, fold_unit
+
+#: A printed number, one that could have thousands, a number with its unit glued on.
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,]\d+)?")
 _AMBIGUOUS = re.compile(r"[+-]?[1-9]\d{0,2}[.,]\d{3}")
-_PAIR = re.compile(rf"({_NUMBER.pattern})[-–—]({_NUMBER.pattern})")
+_GLUED_UNIT = re.compile(rf"({_NUMBER.pattern})([^\W\d_].*|%.*)")
+_PAIR = re.compile(rf"({_NUMBER.pattern})\s*[-–—]\s*({_NUMBER.pattern})")
 _SIGNS = {"<": "<", ">": ">", "≤": "<=", "≥": ">="}
-_DASHES = "-–—"
+_DASHES = ("-", "–", "—")
 _UPPER = {"έως", "εως", "μέχρι", "μεχρι"}
-SCHEMA = "value double, comparator string, text_value string, range_kind string, range_min double, range_max double, range_comparator string, flags array<string>, status string"
+MOST_UNIT_TOKENS = 3
+SCHEMA = ("value double, comparator string, text_value string, categorical_reference string, range_kind string, range_min double, range_max double, range_comparator string, "
+          "printed_unit string, flags array<string>, status string")
 
 
 def _double(text: str) -> float:
@@ -26,45 +32,74 @@ def _is_number(text: str) -> bool:
     return bool(_NUMBER.fullmatch(text))
 
 
-def _closed(low: str, high: str) -> tuple | None:
-    a, b = _double(low), _double(high)
-    return ("closed", a, b, None) if a <= b else None
+def _known(unit: str) -> bool:
+    return fold_unit(unit) in KNOWN
 
 
-def _bound(sign: str, number: str) -> tuple:
+def _one_sided(sign: str, number: str) -> tuple:
     v = _double(number)
     return ("maxOnly", None, v, sign) if sign[0] == "<" else ("minOnly", v, None, sign)
 
 
+def interval(tokens: list[str]) -> tuple | None:
+    """(kind, low, high, comparator) if the tokens, joined, are one reference range."""
+    text = " ".join(tokens)
+    head, _, rest = text.partition(" ")
+    if head.lower() in _UPPER and _is_number(rest):
+        return "maxOnly", None, _double(rest), "<="
+    if text[:1] in _SIGNS:
+        rest = text[1:].strip()
+        return _one_sided(_SIGNS[text[0]], rest) if _is_number(rest) else None
+    m = _PAIR.fullmatch(text)
+    return ("closed", _double(m[1]), _double(m[2]), None) if m and _double(m[1]) <= _double(m[2]) else None
+
+
 @dataclass
 class Group:
-    """Tokens read as one thing: a number, a comparator with its number, or a range."""
+    """Tokens read as one thing: a number, a comparator with its number, or a range (bounds None: it does not parse)."""
 
     kind: str
+    start: int
     stop: int
     value: str = ""
     sign: str = ""
     bounds: tuple | None = None
 
 
-def groups(tokens: list[str]) -> list[Group]:
-    """Left to right; what is none of the three is passed over."""
-    out, i, n = [], 0, len(tokens)
+def split_glued(token: str) -> list[str]:
+    """A number with its unit glued on as two tokens; any other token as it is."""
+    m = _GLUED_UNIT.fullmatch(token)
+    return [m[1], m[2]] if m else [token]
+
+
+def groups(tokens: list[str], regions: list[int] | None = None) -> list[Group]:
+    """Left to right; what is none of the three is passed over.
+
+    The token after a range in the same region belongs to it unless it is a number or a dash: a known
+    unit is dropped, anything else leaves a range that does not parse.
+    """
+    regions, out, i, n = regions or [0] * len(tokens), [], 0, len(tokens)
+
+    def ranged(start: int, stop: int) -> Group:
+        tail = tokens[stop] if stop < n and regions[stop] == regions[stop - 1] else None
+        if tail is None or _is_number(tail) or tail in _DASHES:
+            return Group("range", start, stop, bounds=interval(tokens[start:stop]))
+        return Group("range", start, stop + 1, bounds=interval(tokens[start:stop + (not _known(tail))]))
+
     while i < n:
-        t = tokens[i]
-        nxt = tokens[i + 1] if i + 1 < n else ""
+        t, nxt = tokens[i], tokens[i + 1] if i + 1 < n else ""
         if t[:1] in _SIGNS and _is_number(t[1:]):
-            g = Group("comparator", i + 1, t[1:], _SIGNS[t[0]])
+            g = Group("comparator", i, i + 1, t[1:], _SIGNS[t[0]])
         elif t in _SIGNS and _is_number(nxt):
-            g = Group("comparator", i + 2, nxt, _SIGNS[t])
-        elif _is_number(t) and nxt in _DASHES and nxt and i + 2 < n and _is_number(tokens[i + 2]):
-            g = Group("range", i + 3, bounds=_closed(t, tokens[i + 2]))
+            g = Group("comparator", i, i + 2, nxt, _SIGNS[t])
+        elif _is_number(t) and nxt in _DASHES and i + 2 < n and _is_number(tokens[i + 2]):
+            g = ranged(i, i + 3)
         elif _is_number(t):
-            g = Group("number", i + 1, t)
+            g = Group("number", i, i + 1, t)
         elif t.lower() in _UPPER and _is_number(nxt):
-            g = Group("range", i + 2, bounds=("maxOnly", None, _double(nxt), "<="))
-        elif m := _PAIR.fullmatch(t):
-            g = Group("range", i + 1, bounds=_closed(m[1], m[2]))
+            g = ranged(i, i + 2)
+        elif interval([t]):
+            g = ranged(i, i + 1)
         else:
             i += 1
             continue
@@ -73,6 +108,22 @@ def groups(tokens: list[str]) -> list[Group]:
     return out
 
 
+def unit_window(tokens: list[str], regions: list[int], start: int) -> list[str]:
+    """What may spell the unit of a value that ends at ``start``: tokens of its region up to a number, range, dash or comparator."""
+    window = []
+    for t, r in zip(tokens[start:], regions[start:], strict=True):
+        if (start and r != regions[start - 1]) or _is_number(t) or t in _DASHES or t in _SIGNS or (t[:1] in _SIGNS and _is_number(t[1:])) or interval([t]):
+            break
+        window.append(t)
+    return window
+
+
+def unit_run(window: list[str]) -> str | None:
+    """The longest beginning of the window, three tokens at most, that is a known unit."""
+    runs = (" ".join(window[:k]) for k in range(min(MOST_UNIT_TOKENS, len(window)), 0, -1))
+    return next((r for r in runs if _known(r)), None)
+
+
 @dataclass
 class Cells:
     """What a row's tokens say."""
@@ -80,52 +131,86 @@ class Cells:
     value: float | None = None
     comparator: str | None = None
     bounds: tuple | None = None
+    unit: str | None = None
     flags: list[str] = field(default_factory=list)
 
 
-def roles(tokens: list[str], unit_known: bool) -> Cells:
-    """The first plain number is the value, the first range the range.
+def roles(tokens: list[str], unit_known: bool = False, regions: list[int] | None = None, found: list[Group] | None = None) -> Cells:
+    """The first plain number is the value, the first range the range, parsed or not.
 
-    A comparator before any value is a censored value; without a known unit, and no range read
-    yet, that is doubtful. A comparator after the value is a one-sided range.
+    A comparator before any value is a censored value if a known unit follows (or stands in the unit column);
+    otherwise it is passed over after a range, and doubtful before one. A comparator after the value is a
+    one-sided range if there was no range yet.
     """
-    out, have = Cells(), False
-    for g in groups(tokens):
+    regions = regions or [0] * len(tokens)
+    out, seen, stop, doubtful, unparsed = Cells(), False, None, False, False
+    for g in groups(tokens, regions) if found is None else found:
         if g.kind == "range":
-            if g.bounds is None:
-                out.flags.append("unparsed-range")
-            elif out.bounds is None:
-                out.bounds = g.bounds
-        elif g.kind == "number" and not have:
-            out.value, have = _double(g.value), True
+            if not seen:
+                out.bounds, unparsed, seen = g.bounds, g.bounds is None, True
+        elif stop is not None:
+            if g.kind == "comparator" and not seen:
+                out.bounds, seen = _one_sided(g.sign, g.value), True
+        elif g.kind == "number":
+            out.value, stop = _double(g.value), g.stop
             if _AMBIGUOUS.fullmatch(g.value):
                 out.flags.append("ambiguous-thousands")
-        elif g.kind == "comparator" and have:
-            out.bounds = out.bounds or _bound(g.sign, g.value)
-        elif g.kind == "comparator" and (unit_known or out.bounds is None):
-            out.value, out.comparator, have = _double(g.value), g.sign, True
-            if not unit_known:
-                out.flags.append("ambiguous-role")
+        else:
+            sure = unit_known or unit_run(unit_window(tokens, regions, g.stop)) is not None
+            if sure or not seen:
+                out.value, out.comparator, stop, doubtful = _double(g.value), g.sign, g.stop, not sure
+                if _AMBIGUOUS.fullmatch(g.value):
+                    out.flags.append("ambiguous-thousands")
+    out.flags += ["ambiguous-role"] * doubtful + ["unparsed-range"] * unparsed
+    window = unit_window(tokens, regions, stop) if stop is not None else []
+    out.unit = unit_run(window) or (window[0] if window else None)
     return out
 
 
-def read(tokens: list[str], in_value: list[bool], unit_known: bool) -> tuple:
-    """One row of SCHEMA. Without any group the value column's first cell is a categorical value; a lone dash is none."""
-    got = roles(tokens, unit_known)
+def read(tokens: list[str], in_value: list[bool], unit_known: bool = False, regions: list[int] | None = None, cells: list[int] | None = None) -> tuple:
+    """One row of SCHEMA.
+
+    Without any group the first cell is a categorical value, if it stands in the value column, and what
+    follows in its region its reference; a lone dash is none. ``cells`` numbers the cell of each token;
+    without it all tokens of the value column are one cell.
+    """
+    regions = regions or [0] * len(tokens)
+    found = groups(tokens, regions)
+    got = roles(tokens, unit_known, regions, found)
     kind, low, high, sign = got.bounds or (None, None, None, None)
-    words = [t for t, v in zip(tokens, in_value, strict=True) if v]
-    text = None
-    if got.value is None and got.bounds is None and words and not all(w in _DASHES for w in words):
-        text = " ".join(words)
+    text = reference = None
+    if not found and tokens and in_value[0]:
+        head = [i for i in range(len(tokens)) if regions[i] == regions[0] and (cells[i] == cells[0] if cells else in_value[i])]
+        rest = [t for i, t in enumerate(tokens) if regions[i] == regions[0] and i not in head]
+        words = " ".join(tokens[i] for i in head)
+        if not all(c in _DASHES for c in words):
+            text, reference = words, " ".join(rest) or None
     status = "categorical" if text else "value" if got.value is not None else "missing"
-    return got.value, got.comparator, text, kind, low, high, sign, got.flags, status
+    return got.value, got.comparator, text, reference, kind, low, high, sign, got.unit, got.flags, status
 
 
-def _read_all(tokens: pd.Series, in_value: pd.Series, known: pd.Series) -> pd.DataFrame:
-    rows = [read(list(t), list(v), bool(k)) for t, v, k in zip(tokens, in_value, known, strict=True)]
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
     return out.astype({c: "float64" for c in ("value", "range_min", "range_max")})
 
 
+def _read_all(tokens: pd.Series, in_value: pd.Series, known: pd.Series) -> pd.DataFrame:
+    return _frame([read(list(t), list(v), bool(k)) for t, v, k in zip(tokens, in_value, known, strict=True)])
+
+
+def _read_outward(tokens: pd.Series, regions: pd.Series, cells: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, r, c in zip(tokens, regions, cells, strict=True):
+        split = [(x, reg, cell) for word, reg, cell in zip(t, r, c, strict=True) for x in split_glued(word)]
+        rows.append(read([x[0] for x in split], [True] * len(split), False, [x[1] for x in split], [x[2] for x in split]))
+    return _frame(rows)
+
+
 def read_cells(tokens: Column, in_value: Column, unit_known: Column) -> Column:
+    """A row read by its bound columns."""
     return pandas_udf(_read_all, SCHEMA)(tokens, in_value, unit_known)
+
+
+def read_outward(tokens: Column, regions: Column, cells: Column) -> Column:
+    """A row read outward from its anchor: tokens with the region (1 right, 2 below, 3 left) and the cell they stand in."""
+    return pandas_udf(_read_outward, SCHEMA)(tokens, regions, cells)

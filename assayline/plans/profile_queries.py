@@ -24,14 +24,11 @@ def marker_key_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT d.doc_id, min(b.item_id) AS item_id, count(*) AS n_items FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text) GROUP BY d.doc_id)
-    SELECT doc_id, item_id, n_items FROM m""")
+    WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) || ' ' AS t FROM documents),
+    b AS (SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS a FROM benchmark)
+    SELECT doc_id, min(item_id) AS item_id, count(DISTINCT item_id) AS n_items FROM d JOIN b ON a <> '' AND contains(t, ' ' || a || ' ') GROUP BY doc_id""")
 def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which dictionary texts a document holds; the first in registry order wins.
-
-    Both sides are cut into word windows of the dictionary texts' shortest length, so documents
-    meet only entries whose opening words they hold: an equi-join, verified by containment.
-    """
+    """Which dictionary texts a document holds as whole words; the first in registry order wins."""
     from ..operators.match import contained
 
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("alias"))
@@ -188,18 +185,6 @@ def same_day_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.same_day_precision(r)
 
 
-@query("""
-    WITH g AS (SELECT o_custkey AS profile_id, bool_and(o_totalprice > 0) AS priced, bool_and(o_orderstatus IN ('O', 'F', 'P')) AS known, count(*) AS n_reports, count(*) = count(DISTINCT o_orderdate) AS dated
-        FROM orders GROUP BY 1)
-    SELECT c_custkey AS profile_id, coalesce(n_reports, 0) AS n_reports, coalesce(priced AND known AND dated AND n_reports > 0, FALSE) AS may_confirm FROM customer LEFT JOIN g ON c_custkey = profile_id""")
-def confirm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("profile_id"), "o_orderdate").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("o_totalprice") > 0).alias("a"), F.bool_and(F.col("o_orderstatus").isin("O", "F", "P")).alias("b"))
-    g = o.groupBy("profile_id").agg(F.sum("n").alias("n_reports"), F.bool_and(F.col("a") & F.col("b") & (F.col("n") == 1)).alias("ok"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"))
-    return c.join(g, "profile_id", "left").select("profile_id", F.coalesce("n_reports", F.lit(0).cast("long")).alias("n_reports"), F.coalesce("ok", F.lit(False)).alias("may_confirm"))
-
-
 @query(f"""WITH {MEASUREMENTS_SQL} SELECT 'measurement' AS subject, report_id, marker_key, count(*) AS n FROM measurements GROUP BY report_id, marker_key HAVING count(*) > 1
     UNION ALL SELECT 'report', report_id, NULL, count(*) FROM reports GROUP BY report_id HAVING count(*) > 1""")
 def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

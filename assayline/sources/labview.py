@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Conversion factors by remainder of the part key modulo 3; the third kind has none.
@@ -52,3 +52,17 @@ MEASUREMENTS_SQL = """
             CASE kind WHEN 'minOnly' THEN '>=' WHEN 'maxOnly' THEN '<' END AS range_comparator
         FROM lineitem JOIN kinds ON l_partkey = p_partkey
     )"""
+
+
+def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements as the rows of review drafts, numbered in printed order; a tenth of the markers is unknown."""
+    m, key = measurements(spark, sf_dir), F.col("l_partkey")
+    key = F.when(key % 10 == 7, F.concat(F.lit("x:m"), key.cast("string"))).otherwise(F.concat(F.lit("m"), (key % 25).cast("string")))
+    row_no = F.row_number().over(Window.partitionBy("report_id").orderBy(*LINE_ORDER)).cast("long")
+    return m.withColumn("marker_key", key).withColumn("row_no", row_no)
+
+
+DRAFTS_SQL = MEASUREMENTS_SQL + f""", draft_rows AS (
+        SELECT * REPLACE (CASE WHEN l_partkey % 10 = 7 THEN 'x:m' || l_partkey ELSE 'm' || (l_partkey % 25) END AS marker_key),
+            row_number() OVER (PARTITION BY report_id ORDER BY {', '.join(LINE_ORDER)}) AS row_no FROM measurements
+    )"""

@@ -24,7 +24,13 @@ LABELS = ["Αιμοσφαιρίνη  (HGB)", "ΟΥΡΙΑΣ", "Έως 200", "µg
 
 def test_label_forms_agree(spark):
     assert column(spark, LABELS, lexical.normalise_label) == [plain_label(x) for x in LABELS]
-    assert column(spark, [*LABELS, "ﬁ①"], lexical.normalise_label_any) == [plain_label(x) for x in [*LABELS, "ﬁ①"]]
+    rare = ["ﬁ①", "½ ĳ ŉ ǆ", "℃ № ™ … ﬀ", "Ｈｂ", "𝐀𝔹", "Йод", "한", "ſ", "a\u0301b", "㎎/㎗", "ﷺ"]
+    assert column(spark, rare[:6] + rare[7:], lexical.normalise_label) == [plain_label(x) for x in rare[:6] + rare[7:]]
+
+
+def test_every_character_of_the_tables_folds_alike(spark):
+    chars = [c for c in lexical._FROM + "".join(lexical._LONGER) if not c.isspace()]
+    assert column(spark, ["a" + c + "b" for c in chars], lexical.normalise_label) == [plain_label("a" + c + "b") for c in chars]
 
 
 def test_abbreviations_fold_look_alikes(spark):
@@ -49,6 +55,19 @@ def test_numbers(spark, text, want):
     assert (got and tuple(got)) == want
 
 
+def test_ranges(spark):
+    text = ["4.0 - 11.0", "4,5–5,9", "10 — 2", "< 5", "≤5.5", ">= 60", "<= 3", "> 1,2", "Έως 200", "έως200", "μέχρι 35", "7", "-2 - 3", "<1 - 2", "4 - 5 foo"]
+    want = [("closed", 4.0, 11.0, None), ("closed", 4.5, 5.9, None), None, ("maxOnly", None, 5.0, "<"), ("maxOnly", None, 5.5, "<="), None, None, ("minOnly", 1.2, None, ">"),
+            ("maxOnly", None, 200.0, "<="), None, ("maxOnly", None, 35.0, "<="), None, ("closed", -2.0, 3.0, None), None, None]
+    assert [r and tuple(r) for r in column(spark, text, numeric.parse_range)] == want
+    assert [readout.interval(t.split()) for t in text] == want
+
+
+def test_units_fold_alike(spark):
+    text = ["mg/dl", " mg / dL", "μmol/l", "k/μl", "Κ/μL", "Μ/μl", "gr/dl", "fl", "x10^3/μL", "%", "u/L", "k/ml", "foo l"]
+    assert column(spark, text, units.normalise_unit) == [units.fold_unit(t) for t in text]
+
+
 def test_dates(spark):
     got = column(spark, ["31-12-2024", "31-02-2024", "1-2-2024", " 01-01-2020 ", "2024-01-01", "29-02-2024"], dates.parse_document_date)
     assert [str(d) if d else None for d in got] == ["2024-12-31", None, None, "2020-01-01", None, "2024-02-29"]
@@ -84,12 +103,29 @@ def test_conversion_divides_back(spark):
     (["<", "1.03"], False, (1.03, "<", None, ["ambiguous-role"])),
     (["1.234"], True, (1.234, None, None, ["ambiguous-thousands"])),
     (["7", "10", "-", "2"], True, (7.0, None, None, ["unparsed-range"])),
-    (["5", "Έως", "200"], True, (5.0, None, ("maxOnly", None, 200.0, "<="), []))])
+    (["5", "Έως", "200"], True, (5.0, None, ("maxOnly", None, 200.0, "<="), [])),
+    (["10", "-", "2", "<5"], False, (None, None, None, ["unparsed-range"])),
+    (["10", "-", "2", "4", "-", "5"], True, (None, None, None, ["unparsed-range"])),
+    (["4", "-", "5", "10", "-", "2"], True, (None, None, ("closed", 4.0, 5.0, None), [])),
+    (["7", "4.0", "-", "10.0", "foo"], True, (7.0, None, None, ["unparsed-range"])),
+    (["7", "4.0", "-", "10.0", "k/μl"], True, (7.0, None, ("closed", 4.0, 10.0, None), [])),
+    (["<", "1.03", "mg/L", "<", "5"], False, (1.03, "<", ("maxOnly", None, 5.0, "<"), [])),
+    (["3-5", "<", "1.03"], False, (1.03, None, None, ["unparsed-range"])),
+    (["12,345"], False, (12.345, None, None, ["ambiguous-thousands"]))])
 def test_roles(tokens, known, want):
     got = readout.roles(tokens, known)
     assert (got.value, got.comparator, got.bounds, got.flags) == want
 
 
+def test_regions_bound_tails_and_units():
+    got = readout.roles(["3-5", "<", "1.03"], False, [1, 2, 2])
+    assert (got.value, got.bounds, got.flags) == (None, ("closed", 3.0, 5.0, None), [])
+    assert readout.roles(["5", "mg", "/", "dL", "x"]).unit == "mg / dL" and readout.roles(["5", "mg/dL"], False, [1, 2]).unit is None
+    assert readout.roles(["5", "foo", "bar"]).unit == "foo" and readout.split_glued("5,5mg/dL") == ["5,5", "mg/dL"] and readout.split_glued("5%") == ["5", "%"]
+
+
 def test_categorical_and_missing():
-    assert readout.read(["Αρνητικό"], [True], False)[2::6] == ("Αρνητικό", "categorical")
+    assert readout.read(["Αρνητικό"], [True], False)[2::8] == ("Αρνητικό", "categorical")
+    assert readout.read(["Αρνητικό", "<10", "x"], [True] * 3)[-1] == "value" and readout.read(["Ίχνη", "Αρνητικό"], [True, False])[2:4] == ("Ίχνη", "Αρνητικό")
+    assert readout.read(["%"], [False])[-1] == "missing"
     assert readout.read(["-"], [True], False)[-1] == "missing" and readout.read([], [], True)[-1] == "missing"
