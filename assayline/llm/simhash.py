@@ -300,43 +300,50 @@ def _possible(least: float, na, nb, differing):
 
 
 def _apart(least: float):
-    """The possible pairs of a block in different components; rows arrive sorted by key, lo, hi.
+    """The possible pairs of a block in different components; rows arrive sorted by block.
 
-    A block holds one part of a key's sets (lo = hi), or two, whose sets are compared crosswise.
+    A block holds one part of a key's sets, or two, whose sets are compared crosswise. A pair that meets under
+    several keys is reported under the lowest.
     """
-    names = ("block", "node", "n", "c", "side")
+    names = ("block", "key", "node", "n", "c", "side")
+
+    def pairs(cols: list[np.ndarray], sketch: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+        block, key, node, n, c, side = cols
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        a, b = [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+            if (c[lo:hi] == c[lo]).all():
+                continue
+            held: dict[int, frozenset] = {}
+            for i in range(lo, hi - 1):
+                j = slice(i + 1, hi)
+                ok = (c[j] != c[i]) & ((side[j] < 0) | (side[j] != side[i])) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
+                k = i + 1 + np.flatnonzero(ok)
+                if len(k):
+                    k = k[_possible(least, n[k], n[i], np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))]
+                for x in k.tolist():
+                    for y in (i, x):
+                        if y not in held:
+                            held[y] = frozenset(keys[y].tolist())
+                    if min(held[i] & held[x]) == key[i]:
+                        a.append(node[i])
+                        b.append(node[x])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * len(names) + [np.empty((0, 8), np.int64)]
-
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            block, node, n, c, side, sketch = cols
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            ends, a, b = np.r_[starts[1:], len(block)], [node[:0]], [node[:0]]
-            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-                if (c[lo:hi] == c[lo]).all():
-                    continue
-                for i in range(lo, hi - 1):
-                    j = slice(i + 1, hi)
-                    ok = (c[j] != c[i]) & ((side[j] < 0) | (side[j] != side[i])) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
-                    if ok.any():
-                        k = i + 1 + np.flatnonzero(ok)
-                        k = k[_possible(least, n[k], n[i], np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))]
-                        b.append(node[k])
-                        a.append(np.full(len(k), node[i]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
+        cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, 8), np.int64), []
         for b in batches:
             if not b.num_rows:
                 continue
-            sketch = np.asarray(b["sketch"].flatten()).reshape(-1, 8)
-            rest = [np.concatenate([r, x]) for r, x in zip(rest, [*(np.asarray(b[k]) for k in names), sketch], strict=True)]
-            last = int(np.searchsorted(rest[0], rest[0][-1], "left"))
+            cols = [np.concatenate([r, np.asarray(b[k])]) for r, k in zip(cols, names, strict=True)]
+            sketch = np.concatenate([sketch, np.asarray(b["sketch"].flatten()).reshape(-1, 8)])
+            keys += np.split(np.asarray(b["keys"].flatten()), np.cumsum(np.asarray(b["keys"].value_lengths()))[:-1])
+            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if last:
-                yield pairs([x[:last] for x in rest])
-                rest = [x[last:] for x in rest]
-        if len(rest[0]):
-            yield pairs(rest)
+                yield pairs([x[:last] for x in cols], sketch[:last], keys[:last])
+                cols, sketch, keys = [x[last:] for x in cols], sketch[last:], keys[last:]
+        if len(cols[0]):
+            yield pairs(cols, sketch, keys)
 
     return run
 
@@ -413,12 +420,15 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     placed = materialise(filed.join(roots.toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c")), "placed")
     discard(filed)
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("key", "times")
+    mixed = materialise(placed.join(materialise(mixed, "mixed"), "key"), "mixed")
+    discard(placed)
+    own_keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a part of one set's hashes
     parts = F.ceil(F.col("times") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    met = placed.join(materialise(mixed, "mixed"), "key").select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
-    met = met.join(nodes.select("node", "n", "sketch"), "node").repartition("block").sortWithinPartitions("block")
-    apart = met.select("block", "node", "n", "c", "side", "sketch").mapInArrow(_apart(least), "a long, b long")
+    met = mixed.select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key", "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
+    met = met.join(nodes.select("node", "n", "sketch"), "node").join(own_keys, "node").repartition("block").sortWithinPartitions("block")
+    apart = met.select("block", "key", "node", "n", "c", "side", "sketch", "keys").mapInArrow(_apart(least), "a long, b long")
     apart = materialise(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     root = lambda x: F.coalesce(F.col(f"r{x}"), F.col(x)).alias(x)
     links = verified(apart).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(root("a"), root("b")).distinct()
@@ -427,7 +437,7 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
         joined = components(links)
         roots = roots.join(joined.toDF("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("b")).unionByName(joined.toDF("a", "b"))
         roots = materialise(roots.groupBy("a").agg(F.min("b").alias("b")), "roots")
-    for t in (placed, nodes, links):
+    for t in (mixed, nodes, links):
         discard(t)
     return shingled.select("doc_id", "h", "node").join(roots.toDF("node", "root"), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("component"))
 
