@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -59,11 +60,22 @@ def normalise_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.regexp_replace(plain, r"\p{M}", "")), "ς", "σ"), r"(?U)\s+", " "))
 
 
+def fold_label(text: str) -> str:
+    """``normalise_label`` of a constant, on the driver."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M"))
+    return " ".join(plain.lower().replace("ς", "σ").split())
+
+
 def normalise_abbreviation(text: Column) -> Column:
     """Labels with blanks around brackets dropped and Greek look-alikes as Latin letters."""
     return F.translate(F.regexp_replace(normalise_label(text), r"\s*([()])\s*", "$1"), GREEK, LATIN)
 
 
+def fold_abbreviation(text: str) -> str:
+    """``normalise_abbreviation`` of a constant, on the driver."""
+    return re.sub(r"\s*([()])\s*", r"\1", fold_label(text)).translate(str.maketrans(GREEK, LATIN))
+
+
 def tokens(text: Column) -> Column:
     """Runs of characters other than white space."""
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))

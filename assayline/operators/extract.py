@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_document_date
 from ..functions.fuzzy import fuzzy_bound, may_be_near, osa_distance
-from ..functions.lexical import GREEK, LATIN, derived_key, normalise_label
-from ..functions.registry import markers, names
+from ..functions.lexical import GREEK, LATIN, derived_key, fold_label, normalise_label
+from ..functions.registry import Marker, markers, names
 from ..functions.units import is_known_unit, normalise_unit
 from .layout import cluster_rows, rows_of
 from .match import greedy
@@ -25,15 +25,15 @@ _RUN = 5
 
 
 def _norm(text: str) -> Column:
-    return normalise_label(F.lit(text))
+    return F.lit(fold_label(text))
 
 
 def with_columns(rows: DataFrame) -> DataFrame:
     """Rows with header flags, and the source's columns from its first header row as x_<role>."""
-    text = normalise_label(F.col("text"))
-    header = text.contains(_norm("Περιγραφή"))
+    rows = rows.withColumn("norm_text", normalise_label(F.col("text")))
+    header = F.lit(True)
     for h in HEADINGS.values():
-        header = header & text.contains(_norm(h))
+        header = header & F.col("norm_text").contains(_norm(h))
     rows = rows.withColumn("is_header", header)
     start = lambda role: F.array_min(F.transform(F.filter("items", lambda i: F.startswith(normalise_label(i["text"]), _norm(HEADINGS[role].split()[0]))), lambda i: i["x"]))
     whole = Window.partitionBy("source_id")
@@ -50,8 +50,10 @@ def gate(rows: DataFrame) -> DataFrame:
     colon = F.instr("text", ":")
     label = F.when((F.col("page") == 1) & (colon > 1), normalise_label(F.substring_index("text", ":", 1)))
     value = F.trim(F.substr("text", colon + 1))
+    rows = rows.withColumn("label_text", label)
+    label = F.col("label_text")
     g = rows.groupBy("source_id").agg(
-        F.bool_or((F.col("page") == 1) & normalise_label(F.col("text")).contains(_norm(TITLE))).alias("title"),
+        F.bool_or((F.col("page") == 1) & F.col("norm_text").contains(_norm(TITLE))).alias("title"),
         *[F.bool_or(F.coalesce(label == _norm(m), F.lit(False))).alias(f"m{i}") for i, m in enumerate(METADATA)],
         F.bool_and(F.least(*[F.col(f"x_{r}") for r in _ROLES]).isNotNull() & F.col("x_label").isNotNull() & F.col("x_value").isNotNull() & F.col("x_unit").isNotNull() & F.col("x_range").isNotNull()).alias("table"),
         F.min_by(F.when(label == _norm(COLLECTED), value), F.when(label == _norm(COLLECTED), F.col("row_no"))).alias("printed"))
@@ -64,7 +66,7 @@ def gate(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Word runs of each row's items: (row keys, start, stop, text, bracketed, code_beside)."""
+    """Word runs of each row's items: (row keys, start, stop, text, sign printed right after, bracketed, code_beside)."""
     spread = rows.select("source_id", "row_no", F.posexplode("items").alias("item_pos", "i"))
     tokens = spread.select("source_id", "row_no", "item_pos", F.posexplode(F.split(F.trim("i.text"), r"\s+")).alias("token_pos", "token"))
     bracket = r"(\([^()]*\))$"
@@ -73,23 +75,25 @@ def _candidates(rows: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("code_beside", beside).withColumn("pos", F.row_number().over(order) - 1)
     tokens = tokens.select("*", *[F.lead("token", k).over(order).alias(f"t{k}") for k in range(1, _RUN)])
     ahead = [F.col(f"t{k}") for k in range(1, _RUN)]
-    runs = [F.struct(F.lit(n).alias("n"), F.array_join(F.array(F.col("token"), *ahead[:n - 1]), " ").alias("text")) for n in range(1, _RUN + 1)]
+    after = [*ahead, F.lit(None).cast("string")]
+    runs = [F.struct(F.lit(n).alias("n"), F.array_join(F.array(F.col("token"), *ahead[:n - 1]), " ").alias("text"), F.when(after[n - 1].isin("%", "#"), after[n - 1]).alias("sign")) for n in range(1, _RUN + 1)]
     open_runs = F.array(*[F.when(F.lit(True) if n == 1 else ahead[n - 2].isNotNull(), r) for n, r in enumerate(runs, 1)])
     glued = F.regexp_extract("token", r"^.+" + bracket, 1)
-    all_runs = F.concat(F.array_compact(open_runs), F.when(glued != "", F.array(F.struct(F.lit(1).alias("n"), glued.alias("text")))).otherwise(F.array().cast("array<struct<n:int,text:string>>")))
+    all_runs = F.concat(F.array_compact(open_runs), F.when(glued != "", F.array(F.struct(F.lit(1).alias("n"), glued.alias("text"), F.lit(None).cast("string").alias("sign")))).otherwise(F.array().cast("array<struct<n:int,text:string,sign:string>>")))
     c = tokens.select("source_id", "row_no", F.col("pos").alias("start"), "code_beside", F.explode(all_runs).alias("r"))
-    return c.select("source_id", "row_no", "start", (F.col("start") + F.col("r.n")).alias("stop"), F.col("r.text").alias("text"), F.col("r.text").rlike(r"^\([^()]*\)$").alias("bracketed"), "code_beside")
+    return c.select("source_id", "row_no", "start", (F.col("start") + F.col("r.n")).alias("stop"), F.col("r.text").alias("text"), F.col("r.sign").alias("sign"), F.col("r.text").rlike(r"^\([^()]*\)$").alias("bracketed"), "code_beside")
 
 
-def anchors(rows: DataFrame, fuzzy: bool = True) -> DataFrame:
+def anchors(rows: DataFrame, fuzzy: bool = True, registry: list[Marker] | None = None) -> DataFrame:
     """(source_id, row_no, start, stop, marker, tier) of the markers that rows name.
 
     Tiers: bracketed or bare abbreviation, exact name, contained name, name within a bounded number
     of edits. A row's first tier with any hit decides; later tiers are searched only in rows
-    without one. Overlaps are settled by length, then position.
+    without one. Overlaps are settled by length, then position. Equally near names are told apart by the section
+    above the row, if rows have a ``section`` and just one of them belongs to it.
     """
     keys = ["source_id", "row_no"]
-    known = F.broadcast(names(rows.sparkSession).withColumnRenamed("norm", "known"))
+    known = F.broadcast(names(rows.sparkSession, registry).withColumnsRenamed({"norm": "known", "section": "hint"}))
     c = _candidates(rows).withColumn("norm", normalise_label(F.col("text")))
     c = c.withColumn("code", F.regexp_replace(F.translate(F.regexp_replace("norm", r"\s*([()])\s*", "$1"), GREEK, LATIN), "^\\(|\\)$", "")).withColumn("bound", fuzzy_bound(F.col("norm")))
     pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
@@ -98,25 +102,48 @@ def anchors(rows: DataFrame, fuzzy: bool = True) -> DataFrame:
             .when(F.col("norm") == F.col("known"), 2).when(F.contains(pad("norm"), pad("known")), 3))
     if fuzzy:
         sign = lambda x: F.when(F.contains(F.col(x), F.lit("%")), "%").when(F.contains(F.col(x), F.lit("#")), "#")
-        differ = F.coalesce(sign("norm") != sign("known"), F.lit(False))  # a share and a count are never near
+        differ = F.coalesce(F.coalesce(sign("norm"), F.nullif("sign", F.lit(""))) != sign("known"), F.lit(False))  # a share and a count are never near
         tier = F.coalesce(tier, F.when(~is_code & ~differ & (F.col("bound") > 0) & may_be_near(F.col("norm"), F.col("known"), F.col("bound")), 4))
     # Laboratories print the same few labels over and over: each distinct text meets the registry once.
-    parts = ["norm", "code", "bound", "bracketed", "code_beside"]
+    parts = ["norm", "code", "bound", "bracketed", "code_beside"] + ["sign"] * fuzzy
+    c = c.withColumn("sign", F.coalesce("sign", F.lit("")))
     met = c.select(*parts).distinct().join(known, tier.isNotNull()).withColumn("t", tier)
     edits = F.when(F.col("t") == 4, osa_distance(F.col("norm"), F.col("known"), F.col("bound"))).otherwise(0) if fuzzy else F.lit(0)
-    met = met.withColumn("d", edits).where((F.col("t") < 4) | (F.col("d") <= F.col("bound"))).select(*parts, "t", "d", "ord", "marker_key")
+    met = met.withColumn("d", edits).where((F.col("t") < 4) | (F.col("d") <= F.col("bound"))).select(*parts, "t", "d", "ord", "marker_key", "hint")
     row = Window.partitionBy(*keys)
     hits = c.join(met, parts).withColumn("first", F.min("t").over(row)).where(F.col("t") == F.col("first"))
     near = hits.withColumn("brackets", F.max("bracketed").over(row)).where((F.col("t") != 1) | (F.col("bracketed") == F.col("brackets")))
-    best = near.groupBy(*keys, "start", "stop", "t").agg(F.min(F.struct("d", "ord", "marker_key")).alias("b"), F.collect_set(F.struct("d", "marker_key")).alias("all"))
+    if "section" in rows.columns:
+        near = near.join(rows.select(*keys, normalise_label(F.col("section")).alias("section")), keys)
+    else:
+        near = near.withColumn("section", F.lit(None).cast("string"))
+    best = near.groupBy(*keys, "start", "stop", "t").agg(
+        F.min(F.struct("d", "ord", "marker_key")).alias("b"), F.collect_set(F.struct("d", "marker_key")).alias("all"),
+        F.collect_set(F.when(normalise_label(F.col("hint")) == F.col("section"), F.struct("d", "marker_key"))).alias("hinted"))
     rivals = F.filter("all", lambda r: r["d"] == F.col("b.d"))
-    best = best.where((F.col("t") != 4) | (F.size(rivals) == 1))
-    best = best.select(F.struct(*keys).alias("row_id"), "start", "stop", F.col("b.marker_key").alias("marker"), F.concat(F.lit("T"), F.col("t").cast("string")).alias("tier"))
+    here = F.filter("hinted", lambda r: r["d"] == F.col("b.d"))
+    marker = F.when((F.col("t") != 4) | (F.size(rivals) == 1), F.col("b.marker_key")).when(F.size(here) == 1, here[0]["marker_key"])
+    best = best.withColumn("marker", marker).where(F.col("marker").isNotNull())
+    best = best.select(F.struct(*keys).alias("row_id"), "start", "stop", "marker", F.concat(F.lit("T"), F.col("t").cast("string")).alias("tier"))
     tiers = best.select("row_id", "tier").distinct()
     return greedy(best, "row_id").join(tiers, "row_id").select("row_id.*", "start", "stop", "marker", "tier")
 
 
-def parse(items: DataFrame) -> DataFrame:
+def headings(rows: DataFrame) -> DataFrame:
+    """Rows with ``is_heading`` and the ``section`` they stand in, from ``with_columns``.
+
+    After the first table header a row is a heading if the next row is a table header or if it has nothing in the value,
+    unit and range columns; a row's section is the last heading at or above it, across pages.
+    """
+    doc = Window.partitionBy("source_id").orderBy("row_no")
+    in_cells = F.exists("items", lambda i: (i["x"] >= F.col("x_value")) & (i["x"] < F.coalesce("x_notes", F.lit(1.0))))
+    ahead = F.coalesce(F.lead("is_header").over(doc), F.lit(False))
+    rows = rows.withColumn("is_heading", (F.col("row_no") > F.col("header_row")) & ~F.col("is_header") & (ahead | ~in_cells))
+    rows = rows.withColumn("is_heading", F.coalesce("is_heading", F.lit(False)))
+    return rows.withColumn("section", F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     """Parsed rows of all accepted sources; nothing is read from a rejected one.
 
     ``items``: (source_id, page, item, text, x, y, w, h). Rows of known and unknown markers alike, in
@@ -124,10 +151,10 @@ def parse(items: DataFrame) -> DataFrame:
     come from the bound columns; flags say what is doubtful and grade the confidence.
     """
     spark = items.sparkSession
-    rows = with_columns(rows_of(cluster_rows(items)))
+    rows = headings(with_columns(rows_of(cluster_rows(items))))
     passed = gate(rows).where("ok").select("source_id", "collected_date")
     table = rows.join(passed, "source_id")
-    table = table.where(~F.col("is_header") & (F.col("row_no") > F.col("header_row")))
+    table = table.where(~F.col("is_header") & ~F.col("is_heading") & (F.col("row_no") > F.col("header_row")))
     centre = lambda i: i["x"] + i["w"] / 2
     ends = {r: F.col(f"x_{n}") if n else F.lit(2.0) for r, n in zip(_ROLES, [*_ROLES[1:], None], strict=True)}
     column = lambda role: F.filter("items", lambda i: (centre(i) >= F.col(f"x_{role}")) & (centre(i) < F.coalesce(ends[role], F.lit(2.0))))
@@ -135,7 +162,7 @@ def parse(items: DataFrame) -> DataFrame:
     table = table.select("*", *[text(r).alias(f"c_{r}") for r in ("label", "value", "unit", "range")])
     body = table.where((F.col("c_value") != "") | (F.col("c_unit") != "") | (F.col("c_range") != ""))
     body = body.withColumn("label_items", column("label"))
-    found = anchors(body.select("source_id", "row_no", F.col("label_items").alias("items")))
+    found = anchors(body.select("source_id", "row_no", "section", F.col("label_items").alias("items")), registry=registry)
     per_row = found.groupBy("source_id", "row_no").agg(F.min_by("marker", "start").alias("marker"), F.min_by("tier", "start").alias("tier"), F.count(F.lit(1)).alias("n_anchors"))
     words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
     unit = normalise_unit(F.when(F.col("c_unit") != "", F.col("c_unit")))
@@ -144,7 +171,7 @@ def parse(items: DataFrame) -> DataFrame:
     in_value = F.concat(F.transform(words("c_value"), lambda w: F.lit(True)), F.transform(words("c_range"), lambda w: F.lit(False)))
     read = cells.withColumn("r", read_cells(tokens, in_value, F.col("unit_known"))).select("*", "r.*")
     read = read.where(F.col("marker").isNotNull() | (F.col("status") == "value") | F.col("unit_known") | F.col("range_kind").isNotNull())
-    dim = F.broadcast(markers(spark).select(F.col("marker_key").alias("marker"), "low", "high"))
+    dim = F.broadcast(markers(spark, registry).select(F.col("marker_key").alias("marker"), "low", "high"))
     read = read.join(dim, "marker", "left")
     doubts = {"unrecognised-unit": F.col("unit").isNotNull() & ~F.col("unit_known"), "implausible-value": ~F.col("value").between(F.col("low"), F.col("high")), "competing-anchors": F.col("n_anchors") > 1}
     flags = F.concat("flags", F.array_compact(F.array(*[F.when(d, f) for f, d in doubts.items()])))
@@ -153,5 +180,5 @@ def parse(items: DataFrame) -> DataFrame:
     low = F.col("marker").isNull() | (F.col("status") == "missing") | has("ambiguous-thousands", "ambiguous-role", "implausible-value")
     medium = (F.col("tier") == "T4") | F.col("comparator").isNotNull() | has("unparsed-range", "unrecognised-unit", "competing-anchors")
     order = F.row_number().over(Window.partitionBy("source_id").orderBy("row_no")) - 1
-    return out.select("source_id", "collected_date", "page", "row_no", order.alias("source_order"), F.coalesce("marker", derived_key(F.col("c_label"))).alias("marker_key"), F.col("c_label").alias("label"), "tier",
+    return out.select("source_id", "collected_date", "page", "row_no", "section", order.alias("source_order"), F.coalesce("marker", derived_key(F.col("c_label"))).alias("marker_key"), F.col("c_label").alias("label"), "tier",
                       "status", "value", "comparator", "text_value", "categorical_reference", "unit", "range_kind", "range_min", "range_max", "range_comparator", F.when(low, "low").when(medium, "medium").otherwise("high").alias("confidence"), "flags")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,37 +18,46 @@ def is_pdf(name: Column, content: Column) -> Column:
 def route(files: DataFrame) -> DataFrame:
     """Each file of a batch with its outcome.
 
-    ``files``: (batch_id, source_index, supported, n_bytes, pages). A batch of too many files is refused
-    as a whole; type comes before size; pages are counted over what was decoded, and the file that
-    crosses the page budget is refused with all later ones.
+    ``files``: (batch_id, source_index, supported, n_bytes, pages, valid); pages are null where decoding failed. A
+    batch of too many files is refused as a whole. Pages are counted over what was decoded; the file that crosses the
+    budget ends the batch, and later ones are unread, whatever they are. Of the others type comes before size,
+    then decoding, then the document gate.
     """
     batch = Window.partitionBy("batch_id")
-    readable = F.col("supported") & (F.col("n_bytes") <= MOST_BYTES)
-    so_far = F.sum(F.when(readable, F.col("pages")).otherwise(0)).over(batch.orderBy("source_index").rowsBetween(Window.unboundedPreceding, 0))
+    decoded = F.col("supported") & (F.col("n_bytes") <= MOST_BYTES) & F.col("pages").isNotNull()
+    so_far = F.sum(F.when(decoded, F.col("pages")).otherwise(0)).over(batch.orderBy("source_index").rowsBetween(Window.unboundedPreceding, 0))
     counted = files.withColumn("n_files", F.count(F.lit(1)).over(batch)).withColumn("pages_so_far", so_far)
-    outcome = (F.when(F.col("n_files") > MOST_FILES, "too-many-files").when(~F.col("supported"), "unsupported-type").when(F.col("n_bytes") > MOST_BYTES, "too-large")
-               .when(F.col("pages_so_far") > MOST_PAGES, "page-budget").otherwise("accepted"))
-    return counted.withColumn("outcome", outcome)
+    crossing = F.min(F.when(F.col("pages_so_far") > MOST_PAGES, F.col("source_index"))).over(batch)
+    outcome = (F.when(F.col("n_files") > MOST_FILES, "too-many-files").when(F.col("source_index") > F.col("_crossing"), "unread").when(F.col("source_index") == F.col("_crossing"), "page-budget")
+               .when(~F.col("supported"), "unsupported-type").when(F.col("n_bytes") > MOST_BYTES, "too-large").when(F.col("pages").isNull(), "decode-failed")
+               .when(~F.col("valid"), "not-a-document").otherwise("accepted"))
+    return counted.withColumn("_crossing", crossing).withColumn("outcome", outcome).drop("_crossing")
+
+
+def _join_page(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Items of one page: a fragment joins the open item if it is on its baseline, not left of its start, and nearly touches its end."""
+    items: list[dict] = []
+    for f in pdf.sort_values("frag").to_dict("records"):
+        if f["text"] == "" or f["ascent"] == f["descent"]:
+            continue
+        head = items[-1] if items else None
+        if head and abs(head["baseline"] - f["baseline"]) < BASELINE and f["x"] >= head["x"] and f["x"] - (head["x"] + head["w"]) < JOIN_GAP:
+            head |= {"text": head["text"] + f["text"], "w": f["x"] + f["w"] - head["x"], "ascent": max(head["ascent"], f["ascent"]), "descent": min(head["descent"], f["descent"])}
+        else:
+            items.append(dict(f))
+    out = pd.DataFrame(items, columns=pdf.columns)
+    out["item"] = range(1, len(out) + 1)
+    return out[["source_id", "page", "item", "text", "x", "baseline", "w", "ascent", "descent"]]
 
 
 def rejoin(fragments: DataFrame) -> DataFrame:
-    """Consecutive fragments on one baseline, rightward and nearly touching, joined to one item.
+    """Fragments (source_id, page, frag, text, x, baseline, w, ascent, descent) joined to the items of their page.
 
-    ``fragments``: (page, frag, text, x, baseline, w, ascent, descent). The comparison is with the run's
-    first fragment for the baseline and with the last one for the gap; fragments without text or
-    height are dropped first. Runs whose baselines are equal throughout, as printed lines are, need no
-    more than the fragment before.
+    The comparison is with the open item's own start, so fragments that drift apart do not chain; those
+    without text or height are dropped. A page is one group, a few thousand fragments at most.
     """
-    kept = fragments.where((F.col("text") != "") & (F.col("ascent") != F.col("descent")))
-    order = Window.partitionBy("page").orderBy("frag")
-    before = lambda c: F.lag(c).over(order)
-    gap = F.col("x") - (before("x") + before("w"))
-    joins = (F.abs(F.col("baseline") - before("baseline")) < BASELINE) & (F.col("x") >= before("x")) & (gap < JOIN_GAP)
-    runs = kept.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("item", F.sum("_new").over(order))
-    parts = F.array_sort(F.collect_list(F.struct("frag", "text")))
-    return runs.groupBy("page", "item").agg(
-        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.min("x").alias("x"), F.min_by("baseline", "frag").alias("baseline"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), F.max("ascent").alias("ascent"), F.min("descent").alias("descent"))
+    schema = "source_id string, page int, item int, text string, x double, baseline double, w double, ascent double, descent double"
+    return fragments.groupBy("source_id", "page").applyInPandas(_join_page, schema)
 
 
 def normalise_coordinates(items: DataFrame, width: float, height: float) -> DataFrame:
@@ -55,4 +65,4 @@ def normalise_coordinates(items: DataFrame, width: float, height: float) -> Data
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     x, top = clamp(F.col("x") / width), clamp((height - F.col("baseline") - F.col("ascent")) / height)
     w, h = F.col("w") / width, (F.col("ascent") - F.col("descent")) / height
-    return items.select("page", "item", "text", x.alias("x"), top.alias("y"), F.least(w, 1 - x).alias("w"), F.least(h, 1 - top).alias("h"))
+    return items.select(*[c for c in ("source_id", "page", "item") if c in items.columns], "text", x.alias("x"), top.alias("y"), F.least(w, 1 - x).alias("w"), F.least(h, 1 - top).alias("h"))

@@ -51,3 +51,17 @@ def greedy(spans: DataFrame, row: str) -> DataFrame:
     keep = lambda kept, s: F.when(F.exists(kept, lambda k: clash(k, s)), kept).otherwise(F.concat(kept, F.array(s)))
     picked = spans.groupBy(row).agg(F.aggregate(sorted_spans, F.array().cast(f"array<{kind.simpleString()}>"), keep).alias("kept"))
     return picked.select(row, F.inline("kept")).select(row, "start", "stop", "marker")
+
+
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) of all nodes that ``start`` (node) reaches over ``edges`` (a, b).
+
+    Each round follows the edges of the nodes found last; lineage is cut by a checkpoint where the session has a
+    folder for it. Rounds end when nothing is new, so cycles and chains of any length are fine.
+    """
+    keep = (lambda d: d.checkpoint()) if start.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
+    found = new = keep(start.select("node").distinct())
+    while not new.isEmpty():
+        new = keep(edges.join(new, edges["a"] == new["node"], "left_semi").select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti"))
+        found = keep(found.unionByName(new))
+    return found

@@ -10,7 +10,7 @@ from ..operators import extract, layout
 from ..sources.text_items import printed_suppliers
 from .registry import query
 
-_ROWS = ", ".join(f"({i}, '{f[0]}', '{f[5]}', {f[6]}, {f[7]})" for i, f in enumerate(m.split(";") for m in MARKERS))
+_ROWS = ", ".join(f"({i}, '{m.key}', '{m.unit}', {m.plausible[0]}, {m.plausible[1]})" for i, m in enumerate(MARKERS))
 
 
 @query("""SELECT 's' || s_suppkey AS source_id, TRUE AS ok, DATE '2024-03-05' AS collected_date FROM supplier""")

@@ -129,11 +129,10 @@ def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH stored AS (SELECT o_orderkey AS id, o_custkey AS p, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 <> 0),
-    added AS (SELECT o_orderkey AS id, o_custkey AS p, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 = 0)
-    SELECT a.id AS added_id, s.id AS stored_id, a.d AS day FROM added a JOIN stored s ON a.p = s.p AND a.d = s.d""")
+    WITH o AS (SELECT o_orderkey AS id, o_custkey % 20 AS p, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 <> 0 AS timed FROM orders)
+    SELECT a.id AS added_id, s.id AS stored_id, a.d AS day FROM o a JOIN o s ON a.p = s.p AND a.d = s.d AND a.id % 3 = 0 AND s.id % 3 <> 0 AND NOT (a.timed AND s.timed)""")
 def same_day_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reports(spark, sf_dir).withColumn("time", F.lit(None).cast("string"))
+    r = reports(spark, sf_dir).withColumn("profile_id", F.col("profile_id") % 20).withColumn("time", F.when(F.col("report_id") % 4 != 0, "10:00"))
     stored, added = r.where(F.col("report_id") % 3 != 0), r.where(F.col("report_id") % 3 == 0)
     return profile.same_day_conflicts(stored, added)
 
@@ -191,14 +190,17 @@ def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.uniqueness_violations(reports(spark, sf_dir), measurements(spark, sf_dir))
 
 
-@query(f"""WITH {MEASUREMENTS_SQL}, v AS (
-        SELECT report_id, marker_key, l_linenumber, unnest(list_filter([CASE WHEN status = 'value' AND value IS NULL THEN 'value-missing' END, CASE WHEN status = 'missing' AND value IS NOT NULL THEN 'missing-with-value' END,
-            CASE WHEN range_kind = 'closed' AND range_min > range_max THEN 'range-order' END, CASE WHEN range_kind = 'closed' AND range_min + 10 > value THEN 'low-margin' END,
-            CASE WHEN NOT regexp_matches(marker_key, '^m\\d+$') THEN 'marker-key' END], lambda x: x IS NOT NULL)) AS rule FROM measurements)
+@query(f"""WITH {MEASUREMENTS_SQL}, d AS (SELECT * REPLACE (CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 7 = 0 THEN 1.5 ELSE value END AS value, CASE WHEN l_suppkey % 9 = 0 THEN range_min + 50 ELSE range_min END AS range_min,
+            CASE l_linenumber WHEN 6 THEN 'bad key!' WHEN 7 THEN '' ELSE marker_key END AS marker_key) FROM measurements),
+    v AS (SELECT report_id, unnest(list_filter([CASE WHEN status = 'value' AND value IS NULL THEN 'value-missing' END, CASE WHEN status = 'missing' AND value IS NOT NULL THEN 'missing-with-value' END,
+            CASE WHEN range_kind = 'closed' AND range_min > range_max THEN 'range-order' END, CASE WHEN NOT regexp_matches(marker_key, '^(x:)?[a-z0-9-]+$') THEN 'marker-key' END, CASE WHEN marker_key = '' THEN 'empty-key' END], lambda x: x IS NOT NULL)) AS rule FROM d)
     SELECT report_id, rule, count(*) AS n FROM v GROUP BY ALL""")
 def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = {"low-margin": (F.col("range_kind") == "closed") & (F.col("range_min") + 10 > F.col("value"))}
-    return profile.measurement_violations(measurements(spark, sf_dir), extra).groupBy("report_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    """Every broken rule of measurements that were damaged in several ways."""
+    m, part, line = measurements(spark, sf_dir), F.col("l_partkey"), F.col("l_linenumber")
+    damaged = m.withColumn("value", F.when(part % 13 != 0, F.when(part % 7 == 0, 1.5).otherwise(F.col("value")))).withColumn("range_min", F.when(F.col("l_suppkey") % 9 == 0, F.col("range_min") + 50).otherwise(F.col("range_min")))
+    damaged = damaged.withColumn("marker_key", F.when(line == 6, "bad key!").when(line == 7, "").otherwise(F.col("marker_key")))
+    return profile.measurement_violations(damaged).groupBy("report_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -278,22 +280,36 @@ def remove_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("profile_id")).agg(F.count_if(~gone).alias("n_left"), (F.count_if(gone) > 0).alias("removed"))
 
 
-@query("""
-    WITH p AS (SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' ELSE 'a' END, '' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN roles = '' THEN 'idle' WHEN regexp_matches(roles, 'a$') THEN 'viewing' WHEN regexp_matches(roles, 'u$') THEN 'reviewing' ELSE 'idle' END AS phase, CAST(length(roles) AS BIGINT) AS n_actions FROM p""")
+_ACTION_NAMES = ["profile-loaded", "extract-started", "extract-progressed", "review-ready", "extract-started", "review-ready", "commit-started", "commit-succeeded", "review-updated", "review-empty", "cancelled", "cleared", "failed",
+                 "review-ready", "commit-started", "commit-succeeded"]
+
+
+@query(f"""
+    WITH a AS (SELECT user_id AS session, {_ACTION_NAMES}[1 + CAST((event_id * 7 + floor(value)) % 16 AS INTEGER)] AS action, ts, event_id FROM events),
+    l AS (SELECT session, list([action] ORDER BY ts, event_id) AS actions FROM a GROUP BY session),
+    f AS (SELECT session, len(actions) AS n, list_reduce(list_prepend(['idle', 'n'], actions), lambda s, b: [
+        CASE WHEN b[1] = 'profile-loaded' THEN CASE WHEN s[1] = 'idle' THEN 'viewing' ELSE s[1] END WHEN b[1] = 'extract-started' THEN 'extracting' WHEN b[1] = 'cleared' THEN 'idle'
+            WHEN b[1] IN ('cancelled', 'failed') OR (s[1] = 'extracting' AND b[1] = 'review-empty') THEN CASE WHEN s[2] = 'y' THEN 'viewing' ELSE 'idle' END WHEN s[1] = 'extracting' AND b[1] = 'review-ready' THEN 'reviewing'
+            WHEN s[1] = 'reviewing' AND b[1] = 'commit-started' THEN 'committing' WHEN s[1] = 'committing' AND b[1] = 'commit-succeeded' THEN 'viewing' ELSE s[1] END,
+        CASE WHEN b[1] = 'profile-loaded' OR (s[1] = 'committing' AND b[1] = 'commit-succeeded') THEN 'y' WHEN b[1] = 'cleared' THEN 'n' ELSE s[2] END]) AS s FROM l)
+    SELECT session, s[1] AS phase, s[2] = 'y' AS held, CAST(n AS BIGINT) AS n_actions FROM f""")
 def state_machine_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phase each conversation ends in, by an ordered fold over its actions."""
+    """The state each user's actions end in; the events table gives the actions."""
     from ..streaming.phases import fold
 
-    return fold(table(spark, sf_dir, "conversations"))
+    pick = F.pmod(F.col("event_id") * 7 + F.floor("value").cast("long"), F.lit(16)).cast("int")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("place"), F.get(F.array(*map(F.lit, _ACTION_NAMES)), pick).alias("action"))
+    return fold(e)
 
 
 @query("""
-    WITH RECURSIVE edges(a, b) AS (VALUES ('app', 'view'), ('app', 'state'), ('view', 'format'), ('state', 'types'), ('format', 'types'), ('types', 'state'), ('tool', 'types')),
-    reach(m) AS (SELECT 'app' UNION SELECT b FROM edges JOIN reach ON a = m) SELECT m AS module FROM reach""")
+    WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS a, n_nationkey AS b FROM nation WHERE n_nationkey <> n_regionkey UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey % 4 <> 1),
+    reach(m) AS (SELECT CAST(2 AS BIGINT) UNION SELECT CAST(b AS BIGINT) FROM e JOIN reach ON a = m) SELECT m AS module FROM reach""")
 def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All modules that the entry module imports, cycles included: a recursive query."""
-    return spark.sql("""
-        WITH RECURSIVE edges(a, b) AS (VALUES ('app', 'view'), ('app', 'state'), ('view', 'format'), ('state', 'types'), ('format', 'types'), ('types', 'state'), ('tool', 'types')),
-        reach(m, depth) AS (SELECT 'app', 0 UNION ALL SELECT b, depth + 1 FROM edges JOIN reach ON a = m WHERE depth < 7)
-        SELECT DISTINCT m AS module FROM reach""")
+    """All nodes that node 2 reaches, cycles included, however long the chains: rounds until nothing is new."""
+    from ..operators.match import closure
+
+    n = table(spark, sf_dir, "nation")
+    edges = n.where("n_nationkey <> n_regionkey").select(F.col("n_regionkey").cast("long").alias("a"), F.col("n_nationkey").cast("long").alias("b"))
+    edges = edges.unionByName(n.where("n_nationkey % 4 <> 1").select(F.col("n_nationkey").cast("long").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("long").alias("b")))
+    return closure(edges.distinct(), spark.range(2, 3).toDF("node")).select(F.col("node").alias("module"))

@@ -13,26 +13,38 @@ _LINE = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quan
 
 
 @query("""
-    WITH f AS (SELECT conv_id // 40 AS batch_id, conv_id * 100 + turn AS source_index, role <> 'system' AS supported, length(text) * 40000 AS n_bytes, CAST(length(text) % 17 AS BIGINT) AS pages FROM conversations),
-    c AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n_files, sum(CASE WHEN supported AND n_bytes <= 52428800 THEN pages ELSE 0 END)
-        OVER (PARTITION BY batch_id ORDER BY source_index ROWS UNBOUNDED PRECEDING) AS so_far FROM f)
-    SELECT batch_id, source_index, CASE WHEN n_files > 20 THEN 'too-many-files' WHEN NOT supported THEN 'unsupported-type' WHEN n_bytes > 52428800 THEN 'too-large' WHEN so_far > 100 THEN 'page-budget' ELSE 'accepted' END AS outcome FROM c""")
+    WITH f AS (SELECT conv_id // 4 AS batch_id, conv_id * 100 + turn AS source_index, role <> 'system' AS supported, length(text) * 400000 AS n_bytes, CASE WHEN (conv_id + turn) % 11 <> 0 THEN CAST(length(text) % 29 AS BIGINT) END AS pages,
+        (conv_id * 3 + turn) % 8 <> 0 AS valid FROM conversations),
+    c AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n_files, sum(CASE WHEN supported AND n_bytes <= 52428800 THEN coalesce(pages, 0) ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY source_index ROWS UNBOUNDED PRECEDING) AS so_far FROM f),
+    x AS (SELECT *, min(CASE WHEN so_far > 100 THEN source_index END) OVER (PARTITION BY batch_id) AS crossing FROM c)
+    SELECT batch_id, source_index, CASE WHEN n_files > 20 THEN 'too-many-files' WHEN source_index > crossing THEN 'unread' WHEN source_index = crossing THEN 'page-budget' WHEN NOT supported THEN 'unsupported-type'
+        WHEN n_bytes > 52428800 THEN 'too-large' WHEN pages IS NULL THEN 'decode-failed' WHEN NOT valid THEN 'not-a-document' ELSE 'accepted' END AS outcome FROM x""")
 def batch_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each file of a batch; after the file that crosses the page budget nothing is read."""
     c = table(spark, sf_dir, "conversations")
-    n = F.length("text").cast("long")
-    files = c.select(F.floor(F.col("conv_id") / 40).alias("batch_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("source_index"), (F.col("role") != "system").alias("supported"), (n * 40000).alias("n_bytes"), (n % 17).alias("pages"))
+    n, conv, turn = F.length("text").cast("long"), F.col("conv_id"), F.col("turn")
+    files = c.select(F.floor(conv / 4).alias("batch_id"), (conv * 100 + turn).alias("source_index"), (F.col("role") != "system").alias("supported"), (n * 400000).alias("n_bytes"),
+                     F.when((conv + turn) % 11 != 0, n % 29).alias("pages"), ((conv * 3 + turn) % 8 != 0).alias("valid"))
     return intake.route(files).select("batch_id", "source_index", "outcome")
 
 
-_FRAGMENTS = ("(1, 1, 'Αιμο', 10.0, 700.0, 20.0, 709.0, 698.0), (1, 2, 'σφαιρίνη', 30.2, 700.0, 40.0, 709.0, 698.0), (1, 3, '13,6', 100.0, 700.0, 18.0, 709.0, 698.0), (1, 4, '', 118.0, 700.0, 1.0, 709.0, 698.0), "
-              "(1, 5, 'g', 150.0, 700.0, 5.0, 709.0, 698.0), (1, 6, '/dL', 155.1, 700.005, 14.0, 710.0, 697.0), (1, 7, 'next', 10.0, 680.0, 20.0, 689.0, 678.0)")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'Αιμοσφαιρίνη', 10.0::DOUBLE, 60.2::DOUBLE), (1, 2, '13,6', 100.0, 18.0), (1, 3, 'g/dL', 150.0, 19.1), (1, 4, 'next', 10.0, 20.0)) t(page, item, text, x, w)")
+@query("""
+    WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM conversations),
+    f AS (SELECT conv_id, turn, unnest(list_transform(w, lambda x, i: {'frag': i, 'text': x, 'x': CAST(12 * i + CASE WHEN i % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE), 'w': CAST(CASE WHEN i % 3 = 1 THEN 12 WHEN i % 3 = 2 THEN 12.5 ELSE 8 END AS DOUBLE),
+        'b': 700 + 0.004 * (i % 4)})) AS f FROM w),
+    k AS (SELECT conv_id, turn, f.frag AS frag, f.text AS text, f.x AS x, f.w AS w, f.b AS b FROM f WHERE f.text <> ''),
+    l AS (SELECT conv_id, turn, list([{'text': text, 'x': x, 'w': w, 'b': b}] ORDER BY frag) AS l FROM k GROUP BY ALL),
+    j AS (SELECT conv_id, turn, list_reduce(l, lambda a, n: CASE WHEN abs(a[len(a)].b - n[1].b) < 0.01 AND n[1].x >= a[len(a)].x AND n[1].x - (a[len(a)].x + a[len(a)].w) < 0.5
+        THEN list_append(a[1:len(a) - 1], {'text': a[len(a)].text || n[1].text, 'x': a[len(a)].x, 'w': n[1].x + n[1].w - a[len(a)].x, 'b': a[len(a)].b}) ELSE list_append(a, n[1]) END) AS r FROM l)
+    SELECT 'c' || conv_id AS source_id, CAST(turn AS INTEGER) AS page, CAST(i AS INTEGER) AS item, r[i].text AS text, round(r[i].x, 6) AS x, round(r[i].w, 6) AS w FROM j, unnest(range(1, len(r) + 1)) t(i)""")
 def fragment_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = values(spark, _FRAGMENTS, "page, frag, text, x, baseline, w, ascent, descent")
-    f = f.select("page", "frag", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "baseline", "w", "ascent", "descent")])
-    return intake.rejoin(f).select("page", F.col("item").cast("int").alias("item"), "text", "x", F.round("w", 6).alias("w"))
+    """Words set as fragments, some touching, on baselines that drift; joined back to items."""
+    words = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source_id"), F.col("turn").cast("int").alias("page"),
+                                                         F.posexplode(F.split(F.regexp_replace("text", r"\s+", " "), " ", -1)).alias("i", "text"))
+    i = F.col("i") + 1
+    f = words.select("source_id", "page", i.alias("frag"), "text", (12 * i + F.when(i % 3 == 0, 0.25).otherwise(0.0)).cast("double").alias("x"), (F.lit(700) + F.lit(0.004) * (i % 4)).alias("baseline"),
+                     F.when(i % 3 == 1, 12.0).when(i % 3 == 2, 12.5).otherwise(8.0).alias("w"), F.lit(709.0).alias("ascent"), F.lit(698.0).alias("descent"))
+    return intake.rejoin(f).select("source_id", "page", "item", "text", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"))
 
 
 @query(f"""WITH {MEASUREMENTS_SQL} SELECT report_id, l_linenumber, marker_key,

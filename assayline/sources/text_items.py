@@ -33,9 +33,9 @@ def printed_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = F.lit("05-03-2024") if "Ημερομηνία" in m else F.concat(F.lit("A"), F.col("s_suppkey").cast("string"))
         parts += [item(1, f"{m}:", 0.131, 0.2 + 0.0213 * i), item(1, value, 0.371, 0.2 + 0.0213 * i)]
     parts += [item(2, h, _X[r], 0.12) for r, h in HEADINGS.items()]
-    for i, f in enumerate(m.split(";") for m in MARKERS):
+    for i, m in enumerate(MARKERS):
         y, value = 0.15 + 0.0213 * i, F.format_number(F.col("v") % (10 + i) + i, 2)
-        parts += [item(2, f"{f[1]} ({f[3].split('|')[0]})", 0.131, y), item(2, F.replace(F.replace(value, F.lit(","), F.lit("")), F.lit("."), F.lit(",")), _X["value"], y, 0.03), item(2, f[5], _X["unit"], y, 0.05)]
+        parts += [item(2, f"{m.en} ({m.abbreviations[0]})", 0.131, y), item(2, F.replace(F.replace(value, F.lit(","), F.lit("")), F.lit("."), F.lit(",")), _X["value"], y, 0.03), item(2, m.unit, _X["unit"], y, 0.05)]
         parts += [item(2, f"{i} - {2 * i + 10}" if i % 3 else f"<{2 * i + 10}", _X["range"], y)]
     docs = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"), F.posexplode(F.array(*parts)).alias("item", "i"))
     return docs.select("source_id", "i.page", (F.col("item") + 1).alias("item"), "i.text", "i.x", "i.y", "i.w", "i.h")

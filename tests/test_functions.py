@@ -35,6 +35,7 @@ def test_every_character_of_the_tables_folds_alike(spark):
 
 def test_abbreviations_fold_look_alikes(spark):
     assert column(spark, ["(ΜΟΝΟ%)", "( HGB )", "ΝΕUT#"], lexical.normalise_abbreviation) == ["(mono%)", "(hgb)", "neut#"]
+    assert [lexical.fold_abbreviation(t) for t in ("(ΜΟΝΟ%)", "( HGB )", "ΝΕUT#")] == ["(mono%)", "(hgb)", "neut#"] and [lexical.fold_label(x) for x in LABELS] == [plain_label(x) for x in LABELS]
 
 
 def test_identifiers(spark):
@@ -124,6 +125,21 @@ def test_regions_bound_tails_and_units():
     assert readout.roles(["5", "foo", "bar"]).unit == "foo" and readout.split_glued("5,5mg/dL") == ["5,5", "mg/dL"] and readout.split_glued("5%") == ["5", "%"]
 
 
+def test_registry_faults(tmp_path):
+    import json
+
+    from assayline.functions import registry
+
+    assert registry.faults(registry.MARKERS) == []
+    bad = [registry.Marker("a b", "A"), registry.Marker("x", " X"), registry.Marker("x", "Y", aliases=["a"]), registry.Marker("z", "Z", unit="mg/dl"), registry.Marker("w", "W", plausible=(2, 1))]
+    assert [f.split(":")[0] for f in registry.faults(bad)] == ["a b", "x", "x", "x", "z", "w"]
+    (tmp_path / "r.json").write_text(json.dumps([{"key": "crp", "en": "C-reactive protein", "unit": "mg/L", "plausible": [0, 1000]}]))
+    assert registry.load(str(tmp_path / "r.json"))[0].plausible == (0, 1000)
+    (tmp_path / "r.json").write_text(json.dumps([{"key": "crp", "en": "", "unit": "mg/L"}]))
+    with pytest.raises(ValueError):
+        registry.load(str(tmp_path / "r.json"))
+
+
 def test_categorical_and_missing():
     assert readout.read(["Αρνητικό"], [True], False)[2::8] == ("Αρνητικό", "categorical")
     assert readout.read(["Αρνητικό", "<10", "x"], [True] * 3)[-1] == "value" and readout.read(["Ίχνη", "Αρνητικό"], [True, False])[2:4] == ("Ίχνη", "Αρνητικό")
