@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +80,21 @@ def _assemble_page(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             lines.append([it])
     key = pdf.iloc[0]
-    rows = [(key["source_id"], int(key["page"]), n, " ".join(i["text"] for i in sorted(line, key=lambda i: (i["x"], i["item"]))), len(line)) for n, line in enumerate(lines, 1)]
-    return pd.DataFrame(rows, columns=["source_id", "page", "line_no", "text", "n_items"])
+    rows = []
+    for n, line in enumerate(lines, 1):
+        texts = [i["text"] for i in sorted(line, key=lambda i: (i["x"], i["item"]))]
+        starts = [0, *accumulate(len(t) + 1 for t in texts)][:-1]
+        rows.append((key["source_id"], int(key["page"]), n, " ".join(texts), len(line), starts))
+    return pd.DataFrame(rows, columns=["source_id", "page", "line_no", "text", "n_items", "starts"])
 
 
 def assemble_lines(items: DataFrame) -> DataFrame:
-    """Lines of each page with their items' texts joined by one blank."""
-    return items.groupBy("source_id", "page").applyInPandas(_assemble_page, "source_id string, page int, line_no int, text string, n_items int")
+    """Lines of each page with their items' texts joined by one blank, and where in the line each of them starts (code points)."""
+    return items.groupBy("source_id", "page").applyInPandas(_assemble_page, "source_id string, page int, line_no int, text string, n_items int, starts array<int>")
+
+
+def out_of_bounds(items: DataFrame) -> DataFrame:
+    """Items with the first reason that they cannot stand on a page; those that can are left out."""
+    fault = (F.when(F.coalesce("text", F.lit("")) == "", "empty-text").when((F.col("x") < 0) | (F.col("y") < 0), "off-page")
+             .when(F.col("x") + F.col("w") > 1, "too-wide").when(F.col("y") + F.col("h") > 1, "too-high"))
+    return items.withColumn("fault", fault).where(F.col("fault").isNotNull())

@@ -13,10 +13,13 @@ from .registry import query
 _ROWS = ", ".join(f"({i}, '{m.key}', '{m.unit}', {m.plausible[0]}, {m.plausible[1]})" for i, m in enumerate(MARKERS))
 
 
-@query("""SELECT 's' || s_suppkey AS source_id, TRUE AS ok, DATE '2024-03-05' AS collected_date FROM supplier""")
+@query("""
+    SELECT 's' || s_suppkey AS source_id, s_suppkey % 6 IN (0, 5) AS ok, CASE s_suppkey % 6 WHEN 1 THEN 'missing-title' WHEN 2 THEN 'missing-metadata' WHEN 3 THEN 'missing-table' WHEN 4 THEN 'missing-date' END AS reject_reason,
+        CASE WHEN s_suppkey % 6 <> 4 THEN DATE '2024-03-05' END AS collected_date FROM supplier""")
 def document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.with_columns(layout.rows_of(layout.cluster_rows(printed_suppliers(spark, sf_dir))))
-    return extract.gate(rows).select("source_id", "ok", "collected_date")
+    """Printed documents, most of them damaged, with the first check that each fails."""
+    rows = extract.with_columns(layout.rows_of(layout.cluster_rows(printed_suppliers(spark, sf_dir, damaged=True))))
+    return extract.gate(rows).select("source_id", "ok", "reject_reason", "collected_date")
 
 
 @query(f"""

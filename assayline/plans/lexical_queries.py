@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, fuzzy, lexical, numeric, units
+from ..functions import dates, lexical, numeric
 from ..sources.labview import table
-from .registry import query, values
+from .registry import query
 
 
 @query("""SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS label_md5 FROM documents""")
@@ -42,43 +42,6 @@ def parse_number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_numbers"), F.min("p.value").alias("least"), F.max("p.value").alias("most"), F.count_if("p.ambiguous").alias("n_ambiguous"))
 
 
-_NUMBERS = "('6.93'), ('6,93'), ('<1.03'), ('< 1.03'), ('≤5'), ('≥ 7,5'), ('1e5'), ('1.234'), ('12,345'), ('0.123'), ('-3'), ('+4.5'), ('>= 3'), ('abc'), ('1.2.3'), ('')"
-
-
-@query(f"""
-    WITH x AS (SELECT * FROM (VALUES {_NUMBERS}) t(token)),
-    y AS (SELECT token, regexp_extract(token, '^([<>≤≥]?)\\s*([+-]?\\d+(?:[.,]\\d+)?)$', 2) AS n, regexp_extract(token, '^([<>≤≥]?)\\s*([+-]?\\d+(?:[.,]\\d+)?)$', 1) AS c FROM x)
-    SELECT token, CASE WHEN n <> '' THEN CAST(replace(n, ',', '.') AS DOUBLE) END AS value,
-        CASE WHEN n <> '' THEN CASE c WHEN '≤' THEN '<=' WHEN '≥' THEN '>=' WHEN '' THEN NULL ELSE c END END AS comparator,
-        CASE WHEN n <> '' THEN regexp_matches(n, '^[+-]?[1-9]\\d{{0,2}}[.,]\\d{{3}}$') END AS ambiguous FROM y""")
-def parse_number_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = values(spark, _NUMBERS, "token").withColumn("p", numeric.parse_number(F.col("token")))
-    return p.select("token", "p.value", "p.comparator", "p.ambiguous")
-
-
-_RANGES = [("4.0 - 11.0", "closed", 4.0, 11.0, None), ("4,5–5,9", "closed", 4.5, 5.9, None), ("10 — 2", None, None, None, None), ("< 5", "maxOnly", None, 5.0, "<"), ("≤5.5", "maxOnly", None, 5.5, "<="),
-           (">= 60", "minOnly", 60.0, None, ">="), ("> 1,2", "minOnly", 1.2, None, ">"), ("Έως 200", "maxOnly", None, 200.0, "<="), ("μέχρι 35", "maxOnly", None, 35.0, "<="), ("7", None, None, None, None),
-           ("-2 - 3", "closed", -2.0, 3.0, None), ("<1 - 2", None, None, None, None), ("Αρνητικό", None, None, None, None)]
-_RANGE_ROWS = ", ".join(f"('{t}')" for t, *_ in _RANGES)
-_lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in _RANGES) + ") t(text, kind, low, high, comparator)")
-def parse_range_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = values(spark, _RANGE_ROWS, "text").withColumn("p", numeric.parse_range(F.col("text")))
-    return p.select("text", "p.kind", F.col("p.min").alias("low"), F.col("p.max").alias("high"), "p.comparator")
-
-
-_UNITS = [("mg/dl", "mg/dL", True), ("mg / dL", "mg/dL", True), ("μmol/l", "µmol/L", True), ("k/μl", "10^3/µL", True), ("Κ/μL", "10^3/µL", True), ("Μ/μl", "10^6/µL", True), ("M/µL", "10^6/µL", True),
-          ("gr/dl", "g/dL", True), ("fl", "fL", True), ("x10^3/μL", "10^3/µL", True), ("x10³/μL", "x10³/µL", False), ("pg/cell", "pg/celL", False), ("%", "%", True), ("k/ml", "10^3/µL", True), ("u/L", "U/L", True)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _UNITS) + ") t(printed, unit, known)")
-def normalise_unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = values(spark, ", ".join(f"('{a}')" for a, *_ in _UNITS), "printed")
-    return u.select("printed", units.normalise_unit(F.col("printed")).alias("unit"), units.is_known_unit(F.col("printed")).alias("known"))
-
-
 @query("""
     WITH d AS (
         SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN o_orderkey % 4 = 1 THEN ' ' || strftime(o_orderdate, '%d-%m-%Y') || ' '
@@ -90,21 +53,6 @@ def document_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", printed.alias("printed")).withColumn("parsed", dates.parse_document_date(F.col("printed")))
 
 
-_ALIASES = "(0, 'red steel'), (1, 'smal ring'), (2, 'large bolt'), (3, 'gren copper'), (4, 'blue')"
-
-
-@query()
-def osa_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct part name with its nearest alias within the bound; ties give none."""
-    names = table(spark, sf_dir, "part").select(lexical.normalise_label(F.col("p_name")).alias("name")).distinct()
-    aliases = F.broadcast(values(spark, _ALIASES, "alias_ord, alias"))
-    near = names.join(aliases, fuzzy.may_be_near(F.col("name"), F.col("alias"), fuzzy.fuzzy_bound(F.col("name"))))
-    near = near.withColumn("distance", fuzzy.osa_distance(F.col("name"), F.col("alias"), fuzzy.fuzzy_bound(F.col("name")))).where(F.col("distance") <= fuzzy.fuzzy_bound(F.col("name")))
-    best = near.groupBy("name").agg(F.min("distance").alias("best"), F.collect_list(F.struct("distance", "alias_ord")).alias("all"))
-    tied = F.filter("all", lambda a: a["distance"] == F.col("best"))
-    return best.where(F.size(tied) == 1).select("name", tied[0]["alias_ord"].alias("alias_ord"), F.col("best").alias("distance"))
-
-
 _FOUND = r"""
     found AS (
         SELECT doc_id, 'national-id' AS kind, unnest(list_distinct(regexp_extract_all(text, '\b\d{11}\b'))) AS found FROM documents UNION ALL
@@ -145,7 +93,17 @@ def identifier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH t AS (SELECT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS label FROM documents)
     SELECT lang, label, count(*) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, label) AS BIGINT) AS place FROM t GROUP BY lang, label""")
 def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by language, most frequent first, with their place.
+
+    No task sorts a whole vocabulary: places are counted within (language, frequency, first letters), and each such
+    group starts after the groups before it, of which there are few.
+    """
     words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("lang", F.lower("w").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "label")
-    return counts.withColumn("place", F.row_number().over(w).cast("long"))
+    counts = words.groupBy("lang", F.lower("w").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("label", 1, 3))
+    group = ["lang", "n", "head"]
+    sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("n"), "head").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("size").withColumnRenamed("lang", "l2")
+    placed = counts.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("label")))
+    joined = placed.join(starts, placed["lang"].eqNullSafe(starts["l2"]) & (placed["n"] == starts["n"]) & (placed["head"] == starts["head"]))
+    return joined.select(placed["lang"], "label", placed["n"], (F.col("at") + F.col("before")).cast("long").alias("place"))

@@ -54,69 +54,6 @@ def tier_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("p_partkey", "b.tier", "b.ord")
 
 
-_ITEMS = ("(1, 1, 'RBC', 0.13, 0.200, 0.05, 0.0141), (1, 2, '4.5', 0.38, 0.201, 0.03, 0.0141), (1, 3, '10^6', 0.51, 0.199, 0.05, 0.0141), (1, 4, 'note', 0.13, 0.2141, 0.06, 0.0141), "
-          "(1, 5, 'WBC', 0.13, 0.260, 0.05, 0.0141), (1, 6, '6.9', 0.38, 0.262, 0.03, 0.0141), (2, 1, 'HCT', 0.13, 0.100, 0.05, 0.0141), (2, 2, '40', 0.38, 0.1065, 0.03, 0.0141), (2, 3, '%', 0.51, 0.113, 0.02, 0.0141)")
-_ITEM_COLUMNS = "page, item, text, x, y, w, h"
-_ITEM_SQL = f"items AS (SELECT page, item, text, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM (VALUES {_ITEMS}) t({_ITEM_COLUMNS}))"
-
-
-def _items(spark: SparkSession) -> DataFrame:
-    i = values(spark, _ITEMS, _ITEM_COLUMNS)
-    return i.select("page", "item", "text", *[F.col(c).cast("double").alias(c) for c in "xywh"])
-
-
-@query(f"""WITH {_ITEM_SQL}
-    SELECT a.page, a.item AS anchor, b.item, CASE WHEN abs(a.y + a.h / 2 - b.y - b.h / 2) < 0.6 * least(a.h, b.h) THEN CASE WHEN b.x >= a.x + a.w THEN 'right' ELSE 'left' END ELSE 'below' END AS region
-    FROM items a JOIN items b ON a.page = b.page AND a.item <> b.item AND (
-        (abs(a.y + a.h / 2 - b.y - b.h / 2) < 0.6 * least(a.h, b.h) AND (b.x >= a.x + a.w OR b.x < a.x))
-        OR (abs(a.y + a.h / 2 - b.y - b.h / 2) >= 0.6 * least(a.h, b.h) AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.5 * least(a.w, b.w) AND b.y - a.y - a.h BETWEEN 0 AND 2.5 * a.h))""")
-def spatial_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.layout import same_row, sits_below
-
-    i = _items(spark)
-    a, b = i.alias("a"), i.alias("b")
-    row = same_row("a", "b")
-    right, left = F.col("b.x") >= F.col("a.x") + F.col("a.w"), F.col("b.x") < F.col("a.x")
-    near = (F.col("a.page") == F.col("b.page")) & (F.col("a.item") != F.col("b.item")) & ((row & (right | left)) | (~row & sits_below("a", "b")))
-    return a.join(b, near).select(F.col("a.page").alias("page"), F.col("a.item").alias("anchor"), F.col("b.item").alias("item"), F.when(~row, "below").when(right, "right").otherwise("left").alias("region"))
-
-
-@query(f"""WITH {_ITEM_SQL} SELECT page, count(*) AS n_items, min(x) AS left_x, min(y) AS top_y, CASE WHEN count(*) = 1 THEN min(w) ELSE round(max(x + w) - min(x), 9) END AS width,
-    CASE WHEN count(*) = 1 THEN min(h) ELSE round(max(y + h) - min(y), 9) END AS height FROM items GROUP BY page""")
-def row_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.count(F.lit(1)) == 1
-    return _items(spark).groupBy("page").agg(
-        F.count(F.lit(1)).alias("n_items"), F.min("x").alias("left_x"), F.min("y").alias("top_y"),
-        F.when(one, F.min("w")).otherwise(F.round(F.max(F.col("x") + F.col("w")) - F.min("x"), 9)).alias("width"),
-        F.when(one, F.min("h")).otherwise(F.round(F.max(F.col("y") + F.col("h")) - F.min("y"), 9)).alias("height"))
-
-
-@query()
-def cluster_rows_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed rows of the fixture pages, by the any-member sweep."""
-    from ..operators.layout import cluster_rows
-
-    return cluster_rows(_items(spark).select(F.lit("fixture").alias("source_id"), "*"))
-
-
-@query()
-def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the fixture pages with their joined text."""
-    from ..operators.layout import assemble_lines
-
-    return assemble_lines(_items(spark).select(F.lit("fixture").alias("source_id"), "*"))
-
-
-_SPANS = "(1, 0, 3, 'a'), (1, 2, 4, 'b'), (1, 3, 5, 'c'), (1, 0, 1, 'a'), (2, 0, 2, 'x'), (2, 1, 3, 'y'), (2, 4, 5, 'x'), (2, 5, 8, 'z')"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 3, 'a'), (1, 3, 5, 'c'), (2, 0, 2, 'x'), (2, 5, 8, 'z')) t(row_id, start, stop, marker)")
-def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.match import greedy
-
-    return greedy(values(spark, _SPANS, "row_id, start, stop, marker"), "row_id")
-
-
 @query("""
     WITH stored AS (SELECT o_orderkey AS id, o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0),
     arriving AS (SELECT o_orderkey AS id, o_custkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 2 = 0)

@@ -129,12 +129,12 @@ def structural_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("report_id", flat(F.col("a")).eqNullSafe(flat(F.col("b"))).alias("same_content"))
 
 
-@query(f"""WITH {MEASUREMENTS_SQL}, d AS (SELECT report_id % 50 AS target, report_id, count(*) AS n FROM measurements GROUP BY ALL)
+@query(f"""WITH {MEASUREMENTS_SQL}, d AS (SELECT report_id // 8 AS target, report_id, count(*) AS n FROM measurements GROUP BY ALL)
     SELECT target, string_agg(CAST(report_id AS VARCHAR), ',' ORDER BY report_id) AS drafts, CAST(sum(n) AS BIGINT) AS n_measurements FROM d GROUP BY target""")
 def append_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts aimed at one stored report, put together in order; counts first, so rows are shuffled once."""
     d = measurements(spark, sf_dir).groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
-    g = d.groupBy((F.col("report_id") % 50).alias("target")).agg(F.array_sort(F.collect_list("report_id")).alias("d"), F.sum("n").alias("n_measurements"))
+    g = d.groupBy(F.floor(F.col("report_id") / 8).alias("target")).agg(F.array_sort(F.collect_list("report_id")).alias("d"), F.sum("n").alias("n_measurements"))
     return g.select("target", F.array_join(F.col("d").cast("array<string>"), ",").alias("drafts"), "n_measurements")
 
 
