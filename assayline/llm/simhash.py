@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, spread_join
 
 RADIUS = 2
-#: Shingles whose frequency is looked up, shingles counted at a time, and sets of a key compared in one block.
-MAX_COMMON, _CHUNK, _BLOCK = 1 << 19, 1 << 21, 2048
+#: Shingles whose frequency is looked up, shingles counted at a time, sets of a key compared in one block, bits of a sketch.
+MAX_COMMON, _CHUNK, _BLOCK, _BITS = 1 << 19, 1 << 20, 2048, 2048
 _CUTS = (0, 10, 20, 31, 42, 53, 64)
 
 
@@ -283,7 +283,7 @@ def _shingled(width: int, least: float, sent):
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 prefixes.append(s[np.argsort(rank, kind="stable")[:keep]])
-                sketches.append(np.packbits(np.bincount(s & 511, minlength=512).astype(np.uint8) & 1).view(np.int64))
+                sketches.append(np.packbits(np.bincount(s & _BITS - 1, minlength=_BITS).astype(np.uint8) & 1).view(np.int64))
             cols = [b["doc_id"], b["h"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "prefix", "sketch"])
 
@@ -293,14 +293,14 @@ def _shingled(width: int, least: float, sent):
 def _possible(least: float, na, nb, differing):
     """Whether two sets of these sizes can have the likeness, their sketches being so many bits apart.
 
-    A sketch has the parity of the hashes in each of 512 classes, so two sets differ in at least as many
+    A sketch has the parity of the hashes in each of ``_BITS`` classes, so two sets differ in at least as many
     hashes as their sketches in bits: no pair of the likeness is left out.
     """
     return differing * (1 + least) <= (1 - least) * (na + nb) + 1e-6
 
 
 def _apart(least: float):
-    """The possible pairs of a block in different components; rows arrive sorted by block.
+    """The possible pairs of a block in different trees, with the trees and how far apart the sketches are; rows arrive sorted by block.
 
     A block holds one part of a key's sets, or two, whose sets are compared crosswise. A pair that meets under
     several keys is reported under the lowest.
@@ -310,7 +310,7 @@ def _apart(least: float):
     def pairs(cols: list[np.ndarray], sketch: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
         block, key, node, n, c, side = cols
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        a, b = [], []
+        out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
             if (c[lo:hi] == c[lo]).all():
                 continue
@@ -320,23 +320,24 @@ def _apart(least: float):
                 ok = (c[j] != c[i]) & ((side[j] < 0) | (side[j] != side[i])) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
                 k = i + 1 + np.flatnonzero(ok)
                 if len(k):
-                    k = k[_possible(least, n[k], n[i], np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))]
-                for x in k.tolist():
+                    d = np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    near = _possible(least, n[k], n[i], d)
+                    k, d = k[near], (d / (n[k] + n[i]))[near]
+                for x, apart in zip(k.tolist(), d.tolist() if len(k) else [], strict=True):
                     for y in (i, x):
                         if y not in held:
                             held[y] = frozenset(keys[y].tolist())
                     if min(held[i] & held[x]) == key[i]:
-                        a.append(node[i])
-                        b.append(node[x])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        out.append((node[i], node[x], c[i], c[x], apart))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["a", "b", "ca", "cb", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, 8), np.int64), []
+        cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, _BITS // 64), np.int64), []
         for b in batches:
             if not b.num_rows:
                 continue
             cols = [np.concatenate([r, np.asarray(b[k])]) for r, k in zip(cols, names, strict=True)]
-            sketch = np.concatenate([sketch, np.asarray(b["sketch"].flatten()).reshape(-1, 8)])
+            sketch = np.concatenate([sketch, np.asarray(b["sketch"].flatten()).reshape(-1, _BITS // 64)])
             keys += np.split(np.asarray(b["keys"].flatten()), np.cumsum(np.asarray(b["keys"].value_lengths()))[:-1])
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if last:
@@ -377,6 +378,18 @@ def _roots(parents: DataFrame) -> DataFrame:
             return now
 
 
+def _joined(links: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(a, b): every node's root once the linked nodes' trees are joined; None if no link joins two trees."""
+    root = lambda x: F.coalesce(F.col(f"r{x}"), F.col(x)).alias(x)
+    found = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(root("a"), root("b"))
+    found = materialise(found.where(F.col("a") != F.col("b")).distinct(), "links")
+    if found.isEmpty():
+        return None
+    joined = materialise(components(found), "roots")
+    whole = roots.join(joined.toDF("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("b")).unionByName(joined.toDF("a", "b"))
+    return materialise(whole, "roots")
+
+
 def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, h, component): rows with an id, ``h`` the hash of the text, linked where the Jaccard likeness of their
     shingle sets is ``least`` or more.
@@ -386,7 +399,8 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     pair is lost, and a passage in many unlike texts files them together only if it is most of them.
     Of keys with the same sets under them one is kept.
     First each set is compared to the one nearest by its sketch among the heads (the smallest sets) of its keys, which gives
-    trees; then all pairs of sets under a key that are in different trees are compared, keys with many sets in blocks.
+    trees; then all pairs of sets under a key that are in different trees are looked at, keys with many sets in blocks: the
+    nearest pair of every tree is compared first, and then whatever is still apart.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
@@ -408,7 +422,6 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         out = materialise(both.mapInArrow(_alike(width, least), "a long, b long"), "links")
         discard(texts)
-        discard(pairs)
         return out
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -428,16 +441,20 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     met = mixed.select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key", "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
     met = met.join(nodes.select("node", "n", "sketch"), "node").join(own_keys, "node").repartition("block").sortWithinPartitions("block")
-    apart = met.select("block", "key", "node", "n", "c", "side", "sketch", "keys").mapInArrow(_apart(least), "a long, b long")
-    apart = materialise(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    root = lambda x: F.coalesce(F.col(f"r{x}"), F.col(x)).alias(x)
-    links = verified(apart).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(root("a"), root("b")).distinct()
-    links = materialise(links, "links")
-    if not links.isEmpty():
-        joined = components(links)
-        roots = roots.join(joined.toDF("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("b")).unionByName(joined.toDF("a", "b"))
-        roots = materialise(roots.groupBy("a").agg(F.min("b").alias("b")), "roots")
-    for t in (mixed, nodes, links):
+    apart = met.select("block", "key", "node", "n", "c", "side", "sketch", "keys").mapInArrow(_apart(least), "a long, b long, ca long, cb long, d double")
+    apart = materialise(apart.distinct(), "apart")
+    # first the nearest pair of every tree, which joins most trees that belong together; then what is still apart
+    ends = apart.select("a", "b", "d", F.explode(F.array("ca", "cb")).alias("c"))
+    nearest = materialise(ends.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    rest, joined = apart.join(nearest, ["a", "b"], "left_anti"), _joined(verified(nearest), roots)
+    if joined is not None:
+        roots = joined
+        rest = rest.join(roots.toDF("ca", "ra"), "ca", "left").join(roots.toDF("cb", "rb"), "cb", "left").where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
+    joined = _joined(verified(materialise(rest.select("a", "b"), "pairs")), roots)
+    if joined is not None:
+        roots = joined
+    discard(nearest)
+    for t in (mixed, nodes, apart):
         discard(t)
     return shingled.select("doc_id", "h", "node").join(roots.toDF("node", "root"), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("component"))
 
