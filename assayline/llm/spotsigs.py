@@ -19,7 +19,6 @@ ANCHORS = (
     "de la le les et des en un une du que est "
     "el los las y no lo su se por con para").split()
 CHAIN = 2
-_STOP = "(?:" + "|".join(ANCHORS) + ")"
 _MISSING = -(1 << 63)
 
 
@@ -35,10 +34,21 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     equal sets and a set is never empty.
     """
     words = normalised(text)
-    step = rf"(?: {_STOP}(?= ))*+ [^ ]+(?= )"
-    spots = F.regexp_extract_all(words, F.lit(rf" {_STOP}(?=((?:{step}){{{chain}}}))"), F.lit(1))
-    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, rf" {_STOP}(?= )", "")))
-    return F.array_sort(F.when(F.size(spots) > 0, F.array_distinct(hashed)).otherwise(F.array(F.hash(F.trim(words)))))
+    split = lambda t: F.transform(F.array(_content(t)), lambda at: _chains(t, at, chain))[0]
+    hashed = F.transform(F.array(F.split(F.trim(words), " ", -1)), split)[0]  # an array is bound once as a lambda's variable
+    return F.array_sort(F.when(F.size(hashed) > 0, F.array_distinct(hashed)).otherwise(F.array(F.hash(F.trim(words)))))
+
+
+def _content(words: Column) -> Column:
+    """Where the content words stand."""
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).isin(*ANCHORS))
+
+
+def _chains(words: Column, at: Column, chain: int) -> Column:
+    """The hash of every run of ``chain`` content words that follows an anchor: one where the place before its first word is skipped."""
+    follows = lambda j: (j + chain <= F.size(at)) & (F.get(at, j) - F.coalesce(F.get(at, j - 1), F.lit(-1)) > 1)
+    run = lambda j: F.concat(*[x for k in range(chain) for x in (F.lit(" "), F.get(words, F.get(at, j + k)))])
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(at)), follows), lambda j: F.hash(run(j)))
 
 
 def fingerprint(hashes: Column) -> Column:
