@@ -1,12 +1,13 @@
 """Licence scanning by a trained paragraph classifier, in DataFrame functions only.
 
-A multinomial logistic regression over sparse word n-grams (one to three words) is trained on the
-driver from the notices below, from cropped and thinned copies of them, and from ordinary
-sentences that use the same words: the class ``unknown``. On the executors a paragraph's n-grams
-meet the trained weights in one join; the weights are as many as the notices have n-grams, so
-their size is fixed. A family is reported if its probability passes a threshold calibrated on
-held-out copies, and confirmed if a notice of it is found in the paragraph by at least
-``CONFIRM`` of the notice's n-grams.
+A multinomial logistic regression over sparse word n-grams (one to three words, at least one of them a content
+word of the notices below) is trained on the driver from the notices, from cropped and thinned copies of
+them, and from ordinary sentences that use the same words: the class ``unknown``. What passes as a
+licence is calibrated on sentences that were never trained on. A text without any content word of the notices has no
+feature and is unknown, so only lines with one are looked at: consecutive ones make a paragraph, which keeps
+notices whole that are wrapped over lines. A paragraph's n-grams meet the trained weights in one join; the weights
+are as many as the notices have n-grams, so their size is fixed. A family is confirmed if a notice of it is
+found in the paragraph by at least ``CONFIRM`` of the notice's n-grams.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ UNKNOWN, CONFIRM = "unknown", 0.8
 #: Short notices of each licence family.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0",
-                   "Apache License Version 2.0, January 2004"],
+                   "Apache License Version 2.0, January 2004", "Apache 2.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "Released under the BSD 3-Clause License.", "Licensed under the BSD License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "GPL v2", "GPLv2", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "GPL v3", "GPLv3", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC", "Released under the ISC License."],
     "LGPL": ["under the terms of the GNU Lesser General Public License", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -45,10 +46,19 @@ OTHER = [
     "version 2.0 of the program was released under a new name", "a copy of the file is in the folder", "the work of the author is a source of joy", "the apache people live in the south",
     "conditions are met when the public is free", "she teaches at mit and has a license to practise", "all copyright questions go to the general office", "this license plate is from the year 2004",
     "the foundation published a free version of its form", "rights and terms of use differ between versions", "commercial and creative work is permitted in common rooms",
+    "der hund ist mit der katze im haus", "sie kommt mit dem zug und geht mit ihm", "mit einem wort", "wir fahren mit den anderen", "es ist mit uns", "tanz mit mir", "mit und ohne", "was ist mit dem werk",
     "token password key secret value of the file", "provided that the following form is used", "please copy and distribute this note to any person in the office",
 ]
-#: A paragraph holding none of these stems is no licence paragraph.
-_CUE = r"(?i)licen[sc]|copyright|permission|redistribut|spdx|cc0|public domain|all rights reserved|proprietary|subject to the terms"
+#: Sentences that use licence words without granting anything, kept apart to calibrate what is unknown.
+UNTRAINED = [
+    "the license office opens at nine and closes at four", "copyright law was the subject of the lecture", "all rights and duties of members are in the statute", "the software was released in spring",
+    "permission to enter the building is given at the gate", "the general public likes free concerts", "version 3 of the report replaces version 2", "the author of this work lives by the sea",
+    "he studied at mit before he joined the foundation", "apache helicopters flew over the town", "source and binary stars differ in colour", "the library keeps old copies of the code",
+    "conditions in the mine were met with protest", "no part of the house was without damage", "a creative commons room is open to all", "the publisher asked for written comments",
+    "he was licensed as a pilot under the old rules", "please use the following form to modify your order", "the charge was paid by the associated company", "documentation of the dig fills many files",
+]
+#: Function words, which make no feature alone.
+FUNCTION_WORDS = frozenset("a all and any are as at be been by each for from had has have he if in into is it its may no not of on or other shall she that the their they this to under use used was will with without you your".split())
 _GRAMS = (1, 2, 3)
 
 
@@ -59,10 +69,48 @@ def grams(text: str) -> list[str]:
     return [" ".join(words[i:i + n]) for n in _GRAMS for i in range(len(words) - n + 1)]
 
 
-def _gram_column(text):
+def content_words() -> list[str]:
+    """Words of the notices that say something about licences."""
+    return sorted({w for ts in NOTICES.values() for t in ts for g in grams(t) for w in g.split()} - FUNCTION_WORDS)
+
+
+def features(text: str) -> set[str]:
+    """The n-grams with a content word."""
+    known = set(content_words())
+    return {g for g in grams(text) if known & set(g.split())}
+
+
+def gate() -> str:
+    """A pattern for texts with a content word; without one there is no feature."""
+    by_letter: dict[str, list[str]] = {}
+    for w in content_words():
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    parts = [f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()]
+    return rf"(?i)(?<![a-z0-9.-])[.-]*(?:{'|'.join(parts)})[.-]*(?![a-z0-9.-])"
+
+
+def paragraphs(text, pattern: str):
+    """(first line, lines, text) of the runs of consecutive lines that the pattern finds, as an array."""
+
+    def runs(lines, hits):
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(hits, i) & ~F.coalesce(F.get(hits, i - 1), F.lit(False)))
+
+        def run(i):
+            stop = F.array_position(F.slice(hits, i + 1, F.size(lines)), F.lit(False)).cast("int")
+            n = F.when(stop > 0, stop - 1).otherwise(F.size(lines) - i)
+            return F.struct(i.alias("paragraph"), n.alias("lines"), F.array_join(F.slice(lines, i + 1, n), " ").alias("text"))
+
+        return F.transform(starts, run)
+
+    # an array is bound once as a lambda's variable
+    return F.transform(F.array(F.split(text, "\n")), lambda lines: F.transform(F.array(F.transform(lines, lambda x: x.rlike(pattern))), lambda hits: runs(lines, hits))[0])[0]
+
+
+def _gram_column(text, known: list[str]):
+    """The words of a paragraph, and of its n-grams (column ``w`` holds the words) those that have a weight, each once."""
     words = F.split(F.lower(text), r"[^a-z0-9.-]+")
     words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
-    parts = [F.when(F.size("w") >= n, _runs_of(n)).otherwise(F.array().cast("array<string>")) for n in _GRAMS]
+    parts = [F.when(F.size("w") >= n, F.filter(_runs_of(n), lambda g: g.isin(*known))).otherwise(F.array().cast("array<string>")) for n in _GRAMS]
     return words, F.array_distinct(F.concat(*parts))
 
 
@@ -72,6 +120,11 @@ def _runs_of(n: int):
     return F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 @cache
 def model(copies: int = 24, rounds: int = 300, ridge: float = 1e-3) -> dict:
     """Train; returns classes, offsets, a weight list for every n-gram, notices and threshold."""
@@ -88,37 +141,34 @@ def model(copies: int = 24, rounds: int = 300, ridge: float = 1e-3) -> dict:
                 pad = [str(w) for w in rng.choice(OTHER, 1)] if rng.random() < 0.5 else []
                 texts.append(" ".join([*pad, *keep] if rng.random() < 0.5 else [*keep, *pad]))
                 labels.append(y)
-    vocabulary = sorted({g for t in [t for ts in NOTICES.values() for t in ts] + OTHER for g in grams(t)})
+    vocabulary = sorted({g for t in [t for ts in NOTICES.values() for t in ts] + OTHER for g in features(t)})
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), np.float32)
     for i, t in enumerate(texts):
-        x[i, [at[g] for g in set(grams(t)) if g in at]] = 1
-    y, held = np.array(labels), rng.random(len(texts)) < 0.2
+        x[i, [at[g] for g in features(t) if g in at]] = 1
+    y = np.array(labels)
     goal = np.eye(len(classes), dtype=np.float32)[y]
     w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
     for _ in range(rounds):
-        z = x[~held] @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p = (p / p.sum(axis=1, keepdims=True) - goal[~held]) / (~held).sum()
-        w, b = w - 2.0 * (x[~held].T @ p + ridge * w / len(classes)), b - 2.0 * p.sum(axis=0)
-    z = x[held] @ w + b
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    own = p[:, :-1].max(axis=1)
-    background = own[(y[held] == len(classes) - 1)]
-    threshold = float(max(0.5, np.quantile(background, 0.99))) if len(background) else 0.5
-    notices = [(family, i, t, sorted(set(grams(t)))) for family, ts in NOTICES.items() for i, t in enumerate(ts)]
+        p = _softmax(x @ w + b)
+        p = (p - goal) / len(x)
+        w, b = w - 2.0 * (x.T @ p + ridge * w / len(classes)), b - 2.0 * p.sum(axis=0)
+    unseen = np.zeros((len(UNTRAINED), len(vocabulary)), np.float32)
+    for i, t in enumerate(UNTRAINED):
+        unseen[i, [at[g] for g in features(t) if g in at]] = 1
+    threshold = float(max(0.5, _softmax(unseen @ w + b)[:, :-1].max(axis=1).max()))
+    notices = [(family, i, t, sorted(features(t))) for family, ts in NOTICES.items() for i, t in enumerate(ts)]
     return {"classes": classes, "offsets": [float(v) for v in b], "threshold": threshold, "notices": notices,
             "weights": {g: [round(float(v), 5) for v in w[i]] for g, i in at.items()}}
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for every paragraph (line) that speaks of a licence.
+    """One row for every paragraph (run of lines) with a content word of the notices and a licence, or a licence's words.
 
-    Result: doc_id, paragraph (number from 0), family (``unknown`` below the threshold), score (its
-    probability), notice (the closest notice of that family), coverage (share of the notice's
-    n-grams found) and confirmed. Null and empty texts have no paragraphs; repeated rows give
-    repeated findings. An empty table gives an empty result.
+    Result: doc_id, paragraph (number of its first line, from 0), lines, family (``unknown`` below the threshold), score (its
+    probability), notice (the closest notice of that family), coverage (share of the notice's n-grams found) and confirmed.
+    Paragraphs whose score for ``unknown`` is that of a text without any feature or more are left out. Null and empty texts have
+    no paragraphs; repeated rows give repeated findings. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     m = model()
@@ -129,15 +179,15 @@ def scan(docs: DataFrame) -> DataFrame:
             held.setdefault(g, []).append(n)
     rows = json.dumps([{"g": g, "w": w, "n": held.get(g, [])} for g, w in m["weights"].items()])
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<g string, w array<double>, n array<int>>>")))
-    text = F.col("text").cast("string")
-    lines = docs.where(text.rlike(_CUE)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike(_CUE)).withColumn("row", F.monotonically_increasing_id())
-    words, all_grams = _gram_column(F.col("line"))
-    spread = lines.select("doc_id", "paragraph", "row", words.alias("w")).select("doc_id", "paragraph", "row", F.explode_outer(all_grams).alias("g"))
-    met = spread.join(F.broadcast(weights), "g", "left")
+    text, pattern = F.col("text").cast("string"), gate()
+    found = docs.where(text.rlike(pattern)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(paragraphs(text, pattern)).alias("p"))
+    rows_ = found.select("doc_id", "p.paragraph", "p.lines", "p.text").withColumn("row", F.monotonically_increasing_id())
+    words, all_grams = _gram_column(F.col("text"), sorted(m["weights"]))
+    spread = rows_.select("doc_id", "paragraph", "lines", "row", words.alias("w")).select("doc_id", "paragraph", "lines", "row", F.explode(all_grams).alias("g"))
+    met = spread.join(F.broadcast(weights), "g")
     sums = [F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     hits = [F.count_if(F.array_contains("n", i)).alias(f"h{i}") for i in range(len(m["notices"]))]
-    found = met.groupBy("doc_id", "paragraph", "row").agg(*sums, *hits)
+    found = met.groupBy("doc_id", "paragraph", "lines", "row").agg(*sums, *hits)
     z = [F.col(f"s{i}") + m["offsets"][i] for i in range(k)]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
@@ -145,6 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
     sure = (F.col("best.p") >= m["threshold"]) & (F.col("best.c") != UNKNOWN)
     odds = odds.withColumn("family", F.when(sure, F.col("best.c")).otherwise(UNKNOWN))
     near = F.array_max(F.array(*[F.struct(F.when(F.col("family") == f, F.col(f"h{i}") / len(gs)).otherwise(0.0).alias("c"), F.lit(t).alias("t")) for i, (f, _, t, gs) in enumerate(m["notices"])]))
-    out = odds.withColumn("near", near)
-    return out.select("doc_id", "paragraph", "family", F.col("best.p").alias("score"), F.when(F.col("near.c") > 0, F.col("near.t")).alias("notice"),
+    empty = _softmax(np.array([m["offsets"]]))[0, -1]
+    out = odds.withColumn("near", near).where((F.col("family") != UNKNOWN) | (F.exp(z[-1] - top) / total < float(empty)))
+    return out.select("doc_id", "paragraph", "lines", "family", F.col("best.p").alias("score"), F.when(F.col("near.c") > 0, F.col("near.t")).alias("notice"),
                       F.col("near.c").alias("coverage"), ((F.col("family") != UNKNOWN) & (F.col("near.c") >= CONFIRM)).alias("confirmed"))
