@@ -1,13 +1,14 @@
 """Exact top-k search through vector-approximation files.
 
-Every vector is approximated by the cell numbers of its components on a grid of 2**bits
-cells per dimension. A scan over the cells bounds the inner product with each query from
-both sides; exact vectors are then read in the order of their bounds until the k-th exact
-score proves that no unread vector can enter the result.
-
-Queries are taken in blocks of ``block`` vectors; a block is what gets broadcast, so its size
-is fixed (block * dims * 8 bytes) however many queries there are. Candidates are never moved:
-each partition keeps k rows per query, and only those are shuffled.
+The vectors are written once as a VA-file: blocks of at most ``BLOCK`` vectors of one length, each with the cell
+numbers of all components on a grid of 2**bits cells per dimension, the grid, and the exact vectors. Queries are
+written as blocks too. Every block of vectors meets every block of queries: the scan of the cells bounds all
+inner products from both sides, and only then exact vectors are read, by their place, in the order of their
+bounds until the k-th exact score proves that no unread vector can enter the result.
+
+The blocks of vectors are dealt to parts and stay there; the blocks of queries, by the contract a fixed share of the rows, are
+copied to every part. The plan has the same size however many queries there are, nothing is broadcast or brought to the
+driver, and a task holds one block of each side at a time. Of every pair of blocks k rows a query are shuffled at most.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_OUT = "query_id long, vec_id long, score long"
+from .common import materialise
+
+BLOCK, PART = 1024, 1 << 16
+_FILE = "dims int, ids binary, exact binary, cells binary, low binary, width binary"
 
 
 def quantised(df: DataFrame, column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -31,23 +35,37 @@ def quantised(df: DataFrame, column: str = "embedding", scale: int = 256) -> Dat
     v = F.col(column)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     kept = df.where(v.isNotNull() & F.col("vec_id").isNotNull()).where((F.size(v) > 0) & ~bad)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"),
-                       F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-
-
-def _matrix(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, matrix) of the list entries that have ``dims`` components."""
-    lengths = np.asarray(col.value_lengths())
-    rows = np.flatnonzero(lengths == dims)
-    flat = np.asarray(col.take(pa.array(rows)).flatten(), dtype=np.float64)
-    return rows, flat.reshape(-1, dims)
-
-
-def _cells(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    # floor() to a long would stop at 2**63; a double of that size is a whole number already
+    floor = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: floor(x.cast("double") * scale)).alias("v"))
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dims, ids, matrix) of at most ``BLOCK`` vectors of one length, as many together as the batches allow."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in batches:
+        lengths, ids = np.asarray(b["v"].value_lengths()), np.asarray(b["vec_id"])
+        for dims in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == dims)
+            x = np.asarray(b["v"].take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dims)
+            parts = held.setdefault(dims, [])
+            parts.append((ids[rows], x))
+            if sum(len(i) for i, _ in parts) >= BLOCK:
+                all_ids, all_x = np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
+                whole = len(all_ids) - len(all_ids) % BLOCK
+                for at in range(0, whole, BLOCK):
+                    yield dims, all_ids[at:at + BLOCK], all_x[at:at + BLOCK]
+                held[dims] = [(all_ids[whole:], all_x[whole:])] if whole < len(all_ids) else []
+    for dims, parts in held.items():
+        if parts:
+            yield dims, np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
+
+
+def cells_of(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The approximation: cell numbers (uint8), and the grid's origin and width per dimension."""
     low = x.min(axis=0)
     width = np.maximum(np.ceil((x.max(axis=0) - low + 1) / (1 << bits)), 1)
-    return ((x - low) // width).astype(np.uint8), low, width
+    return np.clip((x - low) // width, 0, (1 << bits) - 1).astype(np.uint8), low, width
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -57,18 +75,18 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x @ q).astype(np.int64)
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, bits: int = 6,
+def search_block(cells: np.ndarray, low: np.ndarray, width: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int,
                  step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of x for every query by the VA-file method: (query ids, vector ids, scores)."""
-    cell, low, width = _cells(x, bits)
-    mid = cell * width + (low + (width - 1) / 2)
+    """Top k of one block for every query by the VA-file method: (query ids, vector ids, scores)."""
+    mid = cells * width + (low + (width - 1) / 2)
     centre = mid @ q.T
-    slack = np.abs(q) @ ((width - 1) / 2) + 1e-6 * (1 + np.abs(centre).max(axis=0, initial=0))
+    # half a cell either way, and what rounding of the sums can hide
+    slack = np.abs(q) @ ((width + 1) / 2) + 1e-9 * (np.abs(q) @ np.abs(mid).max(axis=0, initial=0)) + 1e-6
     out = []
     for j in range(len(q)):
         upper, lower = centre[:, j] + slack[j], centre[:, j] - slack[j]
         need = k + int((ids == q_ids[j]).sum())
-        floor = np.partition(lower, -need)[-need] if len(x) > need else -np.inf
+        floor = np.partition(lower, -need)[-need] if len(ids) > need else -np.inf
         near = np.flatnonzero((upper >= floor) & (ids != q_ids[j]))
         near = near[np.argsort(-upper[near], kind="stable")]
         best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -83,48 +101,45 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024, bits: int = 6) -> DataFrame:
+def _filed(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dims, ids, x in _matrices(batches):
+            parts = [ids.astype(np.int64), x, *cells_of(x, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *[pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts]], ["dims", "ids", "exact", "cells", "low", "width"])
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for dims, ids, x in _matrices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dims", "q_ids", "q"])
+
+
+def _searched(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                dims = b["dims"][r].as_py()
+                of = lambda c, kind=np.float64, r=r, b=b: np.frombuffer(b[c][r].as_buffer(), kind)
+                found = search_block(of("cells", np.uint8).reshape(-1, dims), of("low"), of("width"), of("exact").reshape(-1, dims), of("ids", np.int64), of("q").reshape(-1, dims), of("q_ids", np.int64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6) -> DataFrame:
     """The k best candidates of every query by integer inner product, ties to the smaller id.
 
     ``vectors`` and ``queries`` hold (vec_id, v) as ``quantised`` makes them. A query never
     meets rows of its own id; vectors of another length than the query's take no part. Repeated
     rows count as often as they occur. Empty inputs give an empty result.
     """
-    spark = vectors.sparkSession
-    edges = _block_edges(queries, block)
-    parts = []
-    for low, high in edges:
-        rows = queries.where((F.col("vec_id") >= low) & (F.col("vec_id") <= high)).toArrow()
-        ids = np.asarray(rows["vec_id"], dtype=np.int64)
-        vecs = rows["v"].to_pylist()
-        sent = spark.sparkContext.broadcast([(d, ids[m], np.array([vecs[i] for i in np.flatnonzero(m)], dtype=np.float64))
-                                             for d in sorted({len(v) for v in vecs}) for m in [np.array([len(v) == d for v in vecs])]])
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                all_ids = np.asarray(b["vec_id"], dtype=np.int64)
-                for dims, q_ids, q in sent.value:
-                    rows, x = _matrix(b["v"], dims)
-                    if len(rows):
-                        found = search_block(x, all_ids[rows], q, q_ids, k, bits)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
-
-        parts.append(vectors.mapInArrow(scan, _OUT))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    file = materialise(vectors.mapInArrow(_filed(bits), _FILE), "vafile")
+    asked = materialise(queries.mapInArrow(_asked, "dims int, q_ids binary, q binary"), "asked")
+    parts = max(1, -(-(file.count() * BLOCK) // PART))
+    file = file.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = file.join(asked.hint("merge"), ["dims", "part"])
+    found = met.select("dims", "ids", "exact", "cells", "low", "width", "q_ids", "q").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block_edges(queries: DataFrame, block: int) -> list[tuple[int, int]]:
-    """Id ranges holding about ``block`` queries each: only these few numbers reach the driver."""
-    n = queries.count()
-    if not n:
-        return []
-    shares = [i / max(1, -(-n // block)) for i in range(1, max(1, -(-n // block)))]
-    lo, hi, cuts = queries.agg(F.min("vec_id"), F.max("vec_id"), F.percentile_approx("vec_id", shares or [0.5], 100000)).first()
-    cuts = sorted({c for c in cuts if lo <= c < hi}) if shares else []
-    return list(zip([lo, *[c + 1 for c in cuts]], [*cuts, hi], strict=True))

@@ -20,7 +20,7 @@ def test_block_search_equals_brute_force(seed, n, dims, spread):
     q, qi = np.floor(rng.normal(size=(3, dims)) * min(spread, 2**20)), np.array([0, 1, 999])
     if not len(x):
         return
-    got = vafile.search_block(x, ids, q, qi, 5, bits=3, step=4)
+    got = vafile.search_block(*vafile.cells_of(x, 3), x, ids, q, qi, 5, step=4)
     if spread > 2**30:
         return
     for j in range(3):
@@ -28,12 +28,23 @@ def test_block_search_equals_brute_force(seed, n, dims, spread):
         assert rows == brute(x, ids, q[j], qi[j], 5)
 
 
-def test_whole_query(spark):
+def test_exact_vectors_are_read_for_few_cells_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, q, read = np.floor(rng.normal(size=(2000, 16)) * 256), np.floor(rng.normal(size=(3, 16)) * 256), []
+    exact = vafile._exact
+    monkeypatch.setattr(vafile, "_exact", lambda rows, v: read.append(len(rows)) or exact(rows, v))
+    vafile.search_block(*vafile.cells_of(x, 6), x, np.arange(2000), q, np.array([5000, 5001, 5002]), 5, step=16)
+    assert sum(read) < 0.1 * 3 * len(x)
+
+
+def test_whole_query(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK", 64)
+    monkeypatch.setattr(vafile, "PART", 128)
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=8)], 0) for i in range(300)] + [(300, None, 0), (350, [1.0, float("nan")] + [0.0] * 6, 0), (400, [1.0] * 7 + [None], 0), (450, [], 0), (500, [float("inf")] * 8, 0), (None, [1.0] * 8, 0)]
     v = vafile.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     got = {}
-    for r in vafile.top_k(v, v.where("vec_id % 50 = 0"), block=2).collect():
+    for r in vafile.top_k(v, v.where("vec_id % 50 = 0")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = [(i, np.floor(256 * np.float64(np.array(e, np.float32)))) for i, e, _ in rows[:300]]
     assert set(got) == {0, 50, 100, 150, 200, 250}
@@ -41,6 +52,14 @@ def test_whole_query(spark):
         assert [(b, c) for _, b, c in sorted(found)] == brute([e for _, e in good], [i for i, _ in good], good[qi][1], qi, 5)
 
 
+def test_repeated_rows_and_huge_components(spark):
+    rows = [(50, [1.0, 2.0])] * 3 + [(i, [float(i), 1.0]) for i in range(1, 5)] + [(7, [3e18, 1.0]), (100, [1e3, 0.0, 1.0])]
+    v = vafile.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: r.v for r in v.collect()}[7] == [3e18 * 256, 256.0]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in vafile.top_k(v.where("vec_id <> 7"), v.where("vec_id % 50 = 0"), k=2).collect()]
+    assert sorted(got) == [(50, 1, 4), (50, 2, 4)]  # a query that occurs three times asks three times
+
+
 def test_nothing_to_search(spark):
     v = vafile.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
     assert vafile.top_k(v, v).count() == 0
