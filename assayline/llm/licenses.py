@@ -69,6 +69,7 @@ def grams(text: str) -> list[str]:
     return [" ".join(words[i:i + n]) for n in _GRAMS for i in range(len(words) - n + 1)]
 
 
+@cache
 def content_words() -> list[str]:
     """Words of the notices that say something about licences."""
     return sorted({w for ts in NOTICES.values() for t in ts for g in grams(t) for w in g.split()} - FUNCTION_WORDS)
@@ -106,18 +107,16 @@ def paragraphs(text, pattern: str):
     return F.transform(F.array(F.split(text, "\n")), lambda lines: F.transform(F.array(F.transform(lines, lambda x: x.rlike(pattern))), lambda hits: runs(lines, hits))[0])[0]
 
 
-def _gram_column(text, known: list[str]):
-    """The words of a paragraph, and of its n-grams (column ``w`` holds the words) those that have a weight, each once."""
-    words = F.split(F.lower(text), r"[^a-z0-9.-]+")
-    words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
-    parts = [F.when(F.size("w") >= n, F.filter(_runs_of(n), lambda g: g.isin(*known))).otherwise(F.array().cast("array<string>")) for n in _GRAMS]
-    return words, F.array_distinct(F.concat(*parts))
+def _gram_column(text):
+    """A paragraph's n-grams, each once; the same rule as ``grams``."""
 
+    def runs(words, n):
+        starts = F.filter(F.sequence(F.lit(1), F.size(words) + 1), lambda i: i + n - 1 <= F.size(words))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-def _runs_of(n: int):
-    """All runs of n words of column ``w``."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
+    words = F.transform(F.split(F.lower(text), r"[^a-z0-9.-]+"), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+    bound = F.array(F.filter(words, lambda w: w != ""))  # an array is bound once as a lambda's variable
+    return F.array_distinct(F.transform(bound, lambda w: F.concat(*[runs(w, n) for n in _GRAMS]))[0])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -182,20 +181,22 @@ def scan(docs: DataFrame) -> DataFrame:
     text, pattern = F.col("text").cast("string"), gate()
     found = docs.where(text.rlike(pattern)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(paragraphs(text, pattern)).alias("p"))
     rows_ = found.select("doc_id", "p.paragraph", "p.lines", "p.text").withColumn("row", F.monotonically_increasing_id())
-    words, all_grams = _gram_column(F.col("text"), sorted(m["weights"]))
-    spread = rows_.select("doc_id", "paragraph", "lines", "row", words.alias("w")).select("doc_id", "paragraph", "lines", "row", F.explode(all_grams).alias("g"))
+    spread = rows_.select("doc_id", "paragraph", "lines", "row", F.explode(_gram_column(F.col("text"))).alias("g"))
     met = spread.join(F.broadcast(weights), "g")
-    sums = [F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
-    hits = [F.count_if(F.array_contains("n", i)).alias(f"h{i}") for i in range(len(m["notices"]))]
-    found = met.groupBy("doc_id", "paragraph", "lines", "row").agg(*sums, *hits)
-    z = [F.col(f"s{i}") + m["offsets"][i] for i in range(k)]
-    top = F.greatest(*z)
-    total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    odds = found.withColumn("best", F.array_max(F.array(*[F.struct((F.exp(v - top) / total).alias("p"), F.lit(c).alias("c")) for v, c in zip(z, m["classes"], strict=True)])))
+    # one notice number for every n-gram found in it: as many as the paragraph's distinct n-grams have
+    found = met.groupBy("doc_id", "paragraph", "lines", "row").agg(F.array(*[F.sum(F.get("w", F.lit(i))) + m["offsets"][i] for i in range(k)]).alias("z"), F.flatten(F.collect_list("n")).alias("hits"))
+    exps = lambda z: F.transform(F.array(F.array_max(z)), lambda top: F.transform(z, lambda v: F.exp(v - top)))[0]
+    share = lambda e: F.transform(F.array(F.aggregate(e, F.lit(0.0), lambda s, v: s + v)), lambda total: F.transform(e, lambda v: v / total))[0]
+    odds = found.withColumn("p", F.transform(F.array(exps(F.col("z"))), share)[0])
+    names = F.from_json(F.lit(json.dumps(m["classes"])), "array<string>")
+    odds = odds.withColumn("best", F.array_max(F.arrays_zip(F.col("p").alias("p"), names.alias("c"))))
     sure = (F.col("best.p") >= m["threshold"]) & (F.col("best.c") != UNKNOWN)
     odds = odds.withColumn("family", F.when(sure, F.col("best.c")).otherwise(UNKNOWN))
-    near = F.array_max(F.array(*[F.struct(F.when(F.col("family") == f, F.col(f"h{i}") / len(gs)).otherwise(0.0).alias("c"), F.lit(t).alias("t")) for i, (f, _, t, gs) in enumerate(m["notices"])]))
-    empty = _softmax(np.array([m["offsets"]]))[0, -1]
-    out = odds.withColumn("near", near).where((F.col("family") != UNKNOWN) | (F.exp(z[-1] - top) / total < float(empty)))
+    empty = float(_softmax(np.array([m["offsets"]]))[0, -1])
+    odds = odds.where((F.col("family") != UNKNOWN) | (F.get("p", F.lit(k - 1)) < empty))
+    notices = F.from_json(F.lit(json.dumps([{"f": f, "i": i, "n": len(gs), "t": t} for i, (f, _, t, gs) in enumerate(m["notices"])])), "array<struct<f:string,i:int,n:int,t:string>>")
+    of_family = F.filter(notices, lambda x: x["f"] == F.col("family"))
+    cover = F.transform(of_family, lambda x: F.struct((F.size(F.filter("hits", lambda h: h == x["i"])) / x["n"]).alias("c"), x["t"].alias("t")))
+    out = odds.withColumn("near", F.coalesce(F.array_max(cover), F.struct(F.lit(0.0).alias("c"), F.lit("").alias("t"))))
     return out.select("doc_id", "paragraph", "lines", "family", F.col("best.p").alias("score"), F.when(F.col("near.c") > 0, F.col("near.t")).alias("notice"),
                       F.col("near.c").alias("coverage"), ((F.col("family") != UNKNOWN) & (F.col("near.c") >= CONFIRM)).alias("confirmed"))

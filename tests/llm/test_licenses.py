@@ -70,9 +70,7 @@ def test_grams_agree_with_the_column_form(spark):
     from pyspark.sql import functions as F
 
     texts = ["Licensed under CC BY-NC 4.0.", "", "...", "a", "SPDX-License-Identifier: GPL-3.0-only (x)", "v. 2.0"]
-    known = sorted({g for t in texts for g in licenses.grams(t)})
-    words, grams = licenses._gram_column(F.col("t"), known)
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", words.alias("w")).select("t", grams.alias("g"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses._gram_column(F.col("t")).alias("g"))
     for r in df.collect():
         assert sorted(r.g) == sorted(set(licenses.grams(r.t)))
 
