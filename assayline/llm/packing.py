@@ -24,8 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 WINDOW, END_ID, LEVELS, CUT = 4096, 2, 16, 8
-_CACHE = 600_000
+_CACHE = 200_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -207,5 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         packer.drain()
         if packer.done:
             yield _batch(packer.taken())
+        del cache, packer
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)

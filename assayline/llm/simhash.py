@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, spread_join
+from .common import discard, materialise, spread_join, trim
 
 RADIUS = 2
 #: Shingles whose frequency is looked up, shingles counted at a time, sets of a key compared in one block, bits of a sketch.
@@ -242,6 +242,8 @@ def _common(width: int):
                     held, size = [], 0
         if held:
             yield out()
+        held.clear()
+        trim()
 
     return run
 
@@ -307,7 +309,11 @@ def _apart(least: float):
     """
     names = ("block", "key", "node", "n", "c", "side")
 
-    def pairs(cols: list[np.ndarray], sketch: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True) if found else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["a", "b", "ca", "cb", "d"])
+
+    def pairs(cols: list[np.ndarray], sketch: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         block, key, node, n, c, side = cols
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         out = []
@@ -329,7 +335,10 @@ def _apart(least: float):
                             held[y] = frozenset(keys[y].tolist())
                     if min(held[i] & held[x]) == key[i]:
                         out.append((node[i], node[x], c[i], c[x], apart))
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["a", "b", "ca", "cb", "d"])
+                if len(out) > 10_000:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, _BITS // 64), np.int64), []
@@ -341,10 +350,12 @@ def _apart(least: float):
             keys += np.split(np.asarray(b["keys"].flatten()), np.cumsum(np.asarray(b["keys"].value_lengths()))[:-1])
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if last:
-                yield pairs([x[:last] for x in cols], sketch[:last], keys[:last])
+                yield from pairs([x[:last] for x in cols], sketch[:last], keys[:last])
                 cols, sketch, keys = [x[last:] for x in cols], sketch[last:], keys[last:]
         if len(cols[0]):
-            yield pairs(cols, sketch, keys)
+            yield from pairs(cols, sketch, keys)
+        del cols, sketch, keys
+        trim()
 
     return run
 
@@ -360,6 +371,7 @@ def _alike(width: int, least: float):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 held.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(held, pa.bool_()))
+        trim()
 
     return run
 
