@@ -41,7 +41,10 @@ def _range(kind: Column, low: Column, high: Column, comparator: Column) -> Colum
 
 def parse_range(text: Column) -> Column:
     """(kind, min, max, comparator) of a printed reference range; null if it is none."""
-    t = normalise_label(text)
+    return F.transform(F.array(normalise_label(text)), _parse_folded)[0]  # folded once, as a lambda's variable
+
+
+def _parse_folded(t: Column) -> Column:
     none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
     upper = F.regexp_extract(t, rf"^(?:{'|'.join(UPPER_WORDS)})\s+({NUMBER})$", 1)
     sign = F.regexp_extract(t, rf"^([{_COMPARATORS}])\s*({NUMBER})$", 1)

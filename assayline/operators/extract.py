@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_document_date
 from ..functions.fuzzy import fuzzy_bound, may_be_near, osa_distance
 from ..functions.lexical import GREEK, LATIN, derived_key, fold_label, normalise_label
+from ..functions.numeric import parse_number, parse_range
 from ..functions.registry import Marker, markers, names
 from ..functions.units import is_known_unit, normalise_unit
 from .layout import cluster_rows, rows_of
@@ -182,3 +183,39 @@ def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("source_id").orderBy("row_no")) - 1
     return out.select("source_id", "collected_date", "page", "row_no", "section", order.alias("source_order"), F.coalesce("marker", derived_key(F.col("c_label"))).alias("marker_key"), F.col("c_label").alias("label"), "tier",
                       "status", "value", "comparator", "text_value", "categorical_reference", "unit", "range_kind", "range_min", "range_max", "range_comparator", F.when(low, "low").when(medium, "medium").otherwise("high").alias("confidence"), "flags")
+
+
+def positional(rows: DataFrame) -> DataFrame:
+    """Rows without a known marker read by their bound columns alone: (source_id, row_no, label, marker_key, status, value, comparator, unit, range_kind, confidence).
+
+    ``rows``: (source_id, row_no, c_label, c_value, c_unit, c_range). The value is the longest beginning of its cell, two tokens
+    at most, that is a number; a range cell may end in a known unit. Rows without a number, a known unit or a range
+    are page furniture and left out. Confidence is always low.
+    """
+    tokens = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
+    run = lambda t, n: F.when(F.size(t) >= n, F.array_join(F.slice(t, 1, n), " "))
+    v, u, r = tokens("c_value"), tokens("c_unit"), tokens("c_range")
+    value = F.coalesce(parse_number(run(v, 2)), parse_number(run(v, 1)))
+    known = F.coalesce(*[F.when(is_known_unit(run(u, n)), normalise_unit(run(u, n))) for n in (3, 2, 1)])
+    unit = F.coalesce(known, F.when(F.size(u) > 0, normalise_unit(F.array_join(u, " "))))
+    tail = is_known_unit(F.get(r, F.size(r) - 1)) & (F.size(r) > 1)
+    bounds = parse_range(F.array_join(F.when(tail, F.slice(r, 1, F.size(r) - 1)).otherwise(r), " "))
+    read = rows.select("*", value.alias("_v"), unit.alias("_u"), known.isNotNull().alias("_k"), bounds.alias("_r")).where(F.trim("c_label") != "")
+    read = read.where(F.col("_v").isNotNull() | F.col("_k") | F.col("_r").isNotNull())
+    words = F.col("_v").isNull() & (F.trim("c_value") != "")
+    status = F.when(F.col("_v").isNotNull(), "value").when(words, "categorical").otherwise("missing")
+    return read.select("source_id", "row_no", F.col("c_label").alias("label"), derived_key(F.col("c_label")).alias("marker_key"), status.alias("status"), "_v.value", "_v.comparator",
+                       F.when(~words, F.col("_u")).alias("unit"), F.when(~words, F.col("_r.kind")).alias("range_kind"), F.lit("low").alias("confidence"))
+
+
+def coverage(rows: DataFrame, zones: dict[str, str]) -> DataFrame:
+    """(source_id, n_labels, complete, zones): how many metadata labels the first page prints, and which of the given ones name a person.
+
+    ``rows`` come from ``with_columns``; ``zones`` maps labels to kinds of identifiers, whose boxes are redacted.
+    """
+    colon = F.instr("text", ":")
+    label = F.when((F.col("page") == 1) & (colon > 1), normalise_label(F.substring_index("text", ":", 1)))
+    known = rows.select("source_id", label.alias("label")).where(F.col("label").isin(*[fold_label(m) for m in METADATA])).distinct()
+    kinds = F.create_map(*[F.lit(x) for m, kind in zones.items() for x in (fold_label(m), kind)])
+    g = known.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_labels"), F.array_sort(F.collect_set(F.element_at(kinds, F.col("label")))).alias("zones"))
+    return g.select("source_id", "n_labels", (F.col("n_labels") == len(METADATA)).alias("complete"), F.array_join("zones", ",").alias("zones"))

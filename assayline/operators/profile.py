@@ -63,20 +63,30 @@ def uniqueness_violations(reports: DataFrame, measurements: DataFrame) -> DataFr
     return m.unionByName(r)
 
 
-#: Rules every measurement must keep: a row per rule it breaks.
+def _infinite(name: str) -> Column:
+    return F.isnan(name) | (F.abs(name) == float("inf"))
+
+
+#: Rules every measurement must keep: the columns a rule looks at and when it is broken, in the order that names the first fault.
 RULES = {
-    "value-missing": lambda: (F.col("status") == "value") & F.col("value").isNull(),
-    "missing-with-value": lambda: (F.col("status") == "missing") & F.col("value").isNotNull(),
-    "range-order": lambda: (F.col("range_kind") == "closed") & (F.col("range_min") > F.col("range_max")),
-    "not-finite": lambda: F.isnan("value") | (F.abs("value") == float("inf")),
-    "marker-key": lambda: ~F.col("marker_key").rlike(r"^(x:)?[\p{L}\p{N}-]+$"),
-    "empty-key": lambda: F.coalesce(F.col("marker_key"), F.lit("")) == "",
+    "status": (("status",), lambda: ~F.coalesce(F.col("status").isin("value", "categorical", "missing"), F.lit(False))),
+    "value-missing": (("status", "value"), lambda: (F.col("status") == "value") & F.col("value").isNull()),
+    "missing-with-value": (("status", "value"), lambda: (F.col("status") == "missing") & F.col("value").isNotNull()),
+    "categorical-with-value": (("status", "value"), lambda: (F.col("status") == "categorical") & F.col("value").isNotNull()),
+    "categorical-without-text": (("status", "text_value"), lambda: (F.col("status") == "categorical") & (F.trim(F.coalesce("text_value", F.lit(""))) == "")),
+    "comparator": (("comparator", "status"), lambda: F.col("comparator").isNotNull() & (~F.col("comparator").isin("<", "<=", ">", ">=") | (F.col("status") != "value"))),
+    "range-order": (("range_kind", "range_min", "range_max"), lambda: (F.col("range_kind") == "closed") & (F.col("range_min") > F.col("range_max"))),
+    "range-direction": (("range_kind", "range_comparator"), lambda: ((F.col("range_kind") == "minOnly") & ~F.col("range_comparator").isin(">", ">=")) | ((F.col("range_kind") == "maxOnly") & ~F.col("range_comparator").isin("<", "<="))),
+    "range-bound": (("range_kind", "range_min", "range_max"), lambda: (F.col("range_kind").isin("closed", "minOnly") & (F.col("range_min").isNull() | _infinite("range_min"))) | (F.col("range_kind").isin("closed", "maxOnly") & (F.col("range_max").isNull() | _infinite("range_max")))),
+    "not-finite": (("value",), lambda: _infinite("value")),
+    "marker-key": (("marker_key",), lambda: ~F.col("marker_key").rlike(r"^(x:)?[\p{L}\p{N}-]+$")),
+    "empty-key": (("marker_key",), lambda: F.coalesce(F.col("marker_key"), F.lit("")) == ""),
 }
 
 
 def measurement_violations(measurements: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Each measurement once for every rule it breaks, in one pass."""
-    rules = {name: rule() for name, rule in RULES.items()} | (extra or {})
+    """Each measurement once for every rule it breaks, in one pass; rules over columns that are not there do not apply."""
+    rules = {name: rule() for name, (needed, rule) in RULES.items() if set(needed) <= set(measurements.columns)} | (extra or {})
     broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
     return measurements.withColumn("rule", F.explode(broken))
 

@@ -83,6 +83,11 @@ def redact(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(per_draft, "draft_id", "left").withColumns({f: F.when(F.col("_f").isNull(), F.col(f)).otherwise(scrub(F.col(f), F.col("_f"))) for f in fields}).drop("_f")
 
 
+def carries(text: Column) -> Column:
+    """Whether any free-text field of a row holds the text."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f), text), F.lit(False)) for f in FREE_TEXT])
+
+
 def begin(results: DataFrame, rows: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(drafts, rows, conflicts) of a new session: one draft for each source (draft_id, collected_date), its date unconfirmed.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import MARKERS
 from ..operators import extract, layout
+from ..operators.identifiers import LABELS
 from ..sources.text_items import printed_suppliers
 from .registry import query
 
@@ -31,3 +32,10 @@ def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents printed from the supplier table, parsed back to the numbers they were made of."""
     p = extract.parse(printed_suppliers(spark, sf_dir))
     return p.select("source_id", "source_order", "marker_key", "value", "unit", "range_kind", "range_min", "range_max", F.array_contains("flags", "implausible-value").alias("implausible"))
+
+
+@query("""SELECT 's' || s_suppkey AS source_id, CASE WHEN s_suppkey % 6 = 2 THEN 11 ELSE 12 END AS n_labels, s_suppkey % 6 <> 2 AS complete, 'name,national-id,patient-id' AS zones FROM supplier""")
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata labels found on the first page of printed documents, one of which is missing from a sixth of them."""
+    rows = extract.with_columns(layout.rows_of(layout.cluster_rows(printed_suppliers(spark, sf_dir, damaged=True))))
+    return extract.coverage(rows, LABELS)

@@ -128,8 +128,10 @@ def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MEASUREMENTS_SQL}, d AS (SELECT * REPLACE (CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 7 = 0 THEN 1.5 ELSE value END AS value, CASE WHEN l_suppkey % 9 = 0 THEN range_min + 50 ELSE range_min END AS range_min,
-            CASE l_linenumber WHEN 6 THEN 'bad key!' WHEN 7 THEN '' ELSE marker_key END AS marker_key) FROM measurements),
-    v AS (SELECT report_id, unnest(list_filter([CASE WHEN status = 'value' AND value IS NULL THEN 'value-missing' END, CASE WHEN status = 'missing' AND value IS NOT NULL THEN 'missing-with-value' END,
+            CASE l_linenumber WHEN 6 THEN 'bad key!' WHEN 7 THEN '' ELSE marker_key END AS marker_key, CASE WHEN l_partkey % 11 = 0 THEN '=' ELSE comparator END AS comparator,
+            CASE WHEN l_suppkey % 7 = 0 THEN '<' ELSE range_comparator END AS range_comparator, CASE l_linenumber WHEN 5 THEN 'odd' WHEN 4 THEN 'categorical' ELSE status END AS status) FROM measurements),
+    v AS (SELECT report_id, unnest(list_filter([CASE WHEN status NOT IN ('value', 'categorical', 'missing') THEN 'status' END, CASE WHEN status = 'categorical' AND value IS NOT NULL THEN 'categorical-with-value' END,
+            CASE WHEN comparator IS NOT NULL AND (comparator NOT IN ('<', '<=', '>', '>=') OR status <> 'value') THEN 'comparator' END, CASE WHEN range_kind = 'minOnly' AND range_comparator NOT IN ('>', '>=') THEN 'range-direction' END, CASE WHEN status = 'value' AND value IS NULL THEN 'value-missing' END, CASE WHEN status = 'missing' AND value IS NOT NULL THEN 'missing-with-value' END,
             CASE WHEN range_kind = 'closed' AND range_min > range_max THEN 'range-order' END, CASE WHEN NOT regexp_matches(marker_key, '^(x:)?[a-z0-9-]+$') THEN 'marker-key' END, CASE WHEN marker_key = '' THEN 'empty-key' END], lambda x: x IS NOT NULL)) AS rule FROM d)
     SELECT report_id, rule, count(*) AS n FROM v GROUP BY ALL""")
 def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +139,8 @@ def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, part, line = measurements(spark, sf_dir), F.col("l_partkey"), F.col("l_linenumber")
     damaged = m.withColumn("value", F.when(part % 13 != 0, F.when(part % 7 == 0, 1.5).otherwise(F.col("value")))).withColumn("range_min", F.when(F.col("l_suppkey") % 9 == 0, F.col("range_min") + 50).otherwise(F.col("range_min")))
     damaged = damaged.withColumn("marker_key", F.when(line == 6, "bad key!").when(line == 7, "").otherwise(F.col("marker_key")))
+    damaged = damaged.withColumn("comparator", F.when(part % 11 == 0, "=").otherwise(F.col("comparator"))).withColumn("range_comparator", F.when(F.col("l_suppkey") % 7 == 0, "<").otherwise(F.col("range_comparator")))
+    damaged = damaged.withColumn("status", F.when(line == 5, "odd").when(line == 4, "categorical").otherwise(F.col("status")))
     return profile.measurement_violations(damaged).groupBy("report_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, display, fuzzy, lexical, numeric, units
-from ..operators import readout
+from ..operators import extract, intake, readout, session
 from ..sources.labview import DRAFTS_SQL, draft_rows, table
 from .registry import query
 
@@ -171,3 +171,54 @@ def osa_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = near.groupBy("name").agg(F.min("distance").alias("best"), F.collect_list(F.struct("distance", "alias_ord")).alias("all"))
     tied = F.filter("all", lambda a: a["distance"] == F.col("best"))
     return best.where(F.size(tied) == 1).select("name", tied[0]["alias_ord"].alias("alias_ord"), F.col("best").alias("distance"))
+
+
+_VALUE_CELL, _UNIT_CELL, _RANGE_CELL = _text("{q},5", "< {q}", "{q} Όξινη", "Ίχνη", "", "-"), _text("mg / dL", "foo", "", "%", "k/μl x"), _text("1 - 60 k/μl", "60 - 1", "", "<{q}", "1 - 60 foo", "1-60", "Αρνητικό")
+
+
+@query(f"""
+    WITH {_PRINTED}, x AS (SELECT DISTINCT id, n, p, q, {_VALUE_CELL} AS v, {_UNIT_CELL} AS u, {_RANGE_CELL} AS r FROM printed),
+    y AS (SELECT *, regexp_extract(v, '^(<?) ?(\\d+(?:,\\d+)?)( |$)', 2) AS num, regexp_extract(v, '^(<?) ?(\\d+(?:,\\d+)?)( |$)', 1) AS cmp, u IN ('mg / dL', '%', 'k/μl x') AS known, CASE WHEN r IN ('1 - 60 k/μl', '1-60') THEN 'closed' WHEN starts_with(r, '<') THEN 'maxOnly' END AS kind FROM x)
+    SELECT id || '' AS source_id, n AS row_no, p, q, CASE WHEN num <> '' THEN 'value' WHEN v IN ('', ' ') THEN 'missing' ELSE 'categorical' END AS status, TRY_CAST(replace(num, ',', '.') AS DOUBLE) AS value, nullif(cmp, '') AS comparator,
+        CASE WHEN num <> '' OR v = '' THEN CASE u WHEN 'mg / dL' THEN 'mg/dL' WHEN 'k/μl x' THEN '10^3/µL' ELSE nullif(u, '') END END AS unit, CASE WHEN num <> '' OR v = '' THEN kind END AS range_kind FROM y WHERE num <> '' OR known OR kind IS NOT NULL""")
+def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of unknown markers read by their columns: number, unit run, range with a repeated unit."""
+    c = _printed(spark, sf_dir).select(F.col("id").cast("string").alias("source_id"), F.col("n").alias("row_no"), "p", "q", F.lit("A label").alias("c_label"), F.expr(_VALUE_CELL).alias("c_value"), F.expr(_UNIT_CELL).alias("c_unit"), F.expr(_RANGE_CELL).alias("c_range"))
+    keyed = c.withColumn("source_id", F.concat_ws("/", "source_id", F.col("p").cast("string"), F.col("q").cast("string")))
+    out = extract.positional(keyed)
+    part = lambda i: F.element_at(F.split("source_id", "/"), i)
+    return out.select(part(1).alias("source_id"), "row_no", part(2).cast("int").alias("p"), part(3).cast("int").alias("q"), "status", "value", "comparator", "unit", "range_kind")
+
+
+@query("""
+    WITH f AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Report.PDF' WHEN 1 THEN 'scan.pdf' ELSE 'scan.pdf.txt' END AS name, CASE WHEN conv_id % 2 = 0 THEN '%PDF-1.7 ' ELSE '%pdf ' END || text AS content FROM conversations)
+    SELECT conv_id, turn, lower(name) LIKE '%.pdf' AND starts_with(content, '%PDF-') AS supported FROM f""")
+def type_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose name and first bytes both say that they are documents."""
+    k = F.col("turn") % 3
+    name = F.when(k == 0, "Report.PDF").when(k == 1, "scan.pdf").otherwise("scan.pdf.txt")
+    content = F.concat(F.when(F.col("conv_id") % 2 == 0, "%PDF-1.7 ").otherwise("%pdf "), "text").cast("binary")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", intake.is_pdf(name, content).alias("supported"))
+
+
+@query("""
+    WITH i AS (SELECT l_orderkey AS page, l_linenumber AS item, l_suppkey AS s, l_quantity * 14.0 AS x, 842.0 - l_quantity * 17 AS b, 30.0 + l_partkey % 70 AS w, 9.0 AS a, -2.5 AS d FROM lineitem), n AS (SELECT *, least(1.0, greatest(0.0, x / 595)) AS nx, least(1.0, greatest(0.0, (842 - b - a) / 842)) AS ny FROM i)
+    SELECT page, item, s, round(nx, 9) AS x, round(ny, 9) AS y, round(least(w / 595, 1 - nx), 9) AS w, round(least((a - d) / 842, 1 - ny), 9) AS h FROM n""")
+def page_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in points from the bottom left as shares of the page from the top left, clamped to it."""
+    q = F.col("l_quantity")
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct(F.col("l_linenumber").alias("item"), F.col("l_suppkey").alias("s")).alias("item"), F.lit("").alias("text"), (q * 14.0).alias("x"), (842.0 - q * 17).alias("baseline"),
+                                                 (F.lit(30.0) + F.col("l_partkey") % 70).alias("w"), F.lit(9.0).alias("ascent"), F.lit(-2.5).alias("descent"))
+    out = intake.normalise_coordinates(i, 595.0, 842.0)
+    return out.select("page", "item.item", "item.s", *[F.round(c, 9).alias(c) for c in "xywh"])
+
+
+@query(f"""
+    WITH {DRAFTS_SQL}, r AS (SELECT report_id, row_no, 'part ' || l_partkey AS label, CASE WHEN row_no % 3 = 0 THEN 'seen by A' || l_suppkey END AS text_value, CASE WHEN row_no % 4 = 0 THEN 'A' || (l_suppkey + 1) || ' is usual' END AS reference FROM draft_rows)
+    SELECT report_id, row_no FROM r WHERE contains(label, 'A1') OR contains(text_value, 'A1') OR contains(reference, 'A1')""")
+def rows_carrying_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose label, result or reference holds a text that was called an identifier."""
+    r, n = draft_rows(spark, sf_dir), F.col("row_no")
+    r = r.withColumn("label", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).withColumn("text_value", F.when(n % 3 == 0, F.concat(F.lit("seen by A"), F.col("l_suppkey").cast("string"))))
+    r = r.withColumn("categorical_reference", F.when(n % 4 == 0, F.concat(F.lit("A"), (F.col("l_suppkey") + 1).cast("string"), F.lit(" is usual"))))
+    return r.where(session.carries(F.lit("A1"))).select("report_id", "row_no")
