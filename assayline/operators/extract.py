@@ -43,15 +43,35 @@ def with_columns(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.max(F.when(F.col("row_no") == F.col("header_row"), start(r))).over(whole).alias(f"x_{r}") for r in _ROLES])
 
 
+def gated(rows: DataFrame) -> DataFrame:
+    """The rows of accepted sources with their ``collected_date``: the gate's checks as windows, so rows are made once."""
+    whole = Window.partitionBy("source_id")
+    checks = rows.select("*", _label().alias("_label"))
+    any_ = lambda c: F.coalesce(F.bool_or(c).over(whole), F.lit(False))
+    seen = F.collect_set(F.when(F.col("_label").isin(*[fold_label(m) for m in METADATA]), F.col("_label"))).over(whole)
+    dated = F.when(F.col("_label") == _norm(COLLECTED), F.struct("row_no", _value().alias("v")))
+    checks = checks.select("*", any_((F.col("page") == 1) & F.col("norm_text").contains(_norm(TITLE))).alias("_title"), F.size(seen).alias("_seen"), F.min(dated).over(whole)["v"].alias("_printed"))
+    table = F.col("x_label").isNotNull() & F.col("x_value").isNotNull() & F.col("x_unit").isNotNull() & F.col("x_range").isNotNull()
+    checks = checks.withColumn("collected_date", parse_document_date(F.col("_printed")))
+    return checks.where(F.col("_title") & (F.col("_seen") == len(METADATA)) & table & F.col("collected_date").isNotNull()).drop("_label", "_title", "_seen", "_printed")
+
+
+def _label() -> Column:
+    """What stands before a first-page row's colon, folded."""
+    colon = F.instr("text", ":")
+    return F.when((F.col("page") == 1) & (colon > 1), normalise_label(F.substring_index("text", ":", 1)))
+
+
+def _value() -> Column:
+    return F.trim(F.substr("text", F.instr("text", ":") + 1))
+
+
 def gate(rows: DataFrame) -> DataFrame:
     """(source_id, ok, reject_reason, collected_date): the first check that fails names the reason.
 
     ``rows`` come from ``with_columns``.
     """
-    colon = F.instr("text", ":")
-    label = F.when((F.col("page") == 1) & (colon > 1), normalise_label(F.substring_index("text", ":", 1)))
-    value = F.trim(F.substr("text", colon + 1))
-    rows = rows.withColumn("label_text", label)
+    rows, value = rows.withColumn("label_text", _label()), _value()
     label = F.col("label_text")
     g = rows.groupBy("source_id").agg(
         F.bool_or((F.col("page") == 1) & F.col("norm_text").contains(_norm(TITLE))).alias("title"),
@@ -152,9 +172,7 @@ def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     come from the bound columns; flags say what is doubtful and grade the confidence.
     """
     spark = items.sparkSession
-    rows = headings(with_columns(rows_of(cluster_rows(items))))
-    passed = gate(rows).where("ok").select("source_id", "collected_date")
-    table = rows.join(passed, "source_id")
+    table = gated(headings(with_columns(rows_of(cluster_rows(items)))))
     table = table.where(~F.col("is_header") & ~F.col("is_heading") & (F.col("row_no") > F.col("header_row")))
     centre = lambda i: i["x"] + i["w"] / 2
     ends = {r: F.col(f"x_{n}") if n else F.lit(2.0) for r, n in zip(_ROLES, [*_ROLES[1:], None], strict=True)}
@@ -162,7 +180,7 @@ def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     text = lambda role: F.array_join(F.transform(column(role), lambda i: i["text"]), " ")
     table = table.select("*", *[text(r).alias(f"c_{r}") for r in ("label", "value", "unit", "range")])
     body = table.where((F.col("c_value") != "") | (F.col("c_unit") != "") | (F.col("c_range") != ""))
-    body = body.withColumn("label_items", column("label"))
+    body = body.withColumn("label_items", column("label")).repartition("source_id", "row_no")  # both uses below read this exchange
     found = anchors(body.select("source_id", "row_no", "section", F.col("label_items").alias("items")), registry=registry)
     per_row = found.groupBy("source_id", "row_no").agg(F.min_by("marker", "start").alias("marker"), F.min_by("tier", "start").alias("tier"), F.count(F.lit(1)).alias("n_anchors"))
     words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
@@ -213,9 +231,7 @@ def coverage(rows: DataFrame, zones: dict[str, str]) -> DataFrame:
 
     ``rows`` come from ``with_columns``; ``zones`` maps labels to kinds of identifiers, whose boxes are redacted.
     """
-    colon = F.instr("text", ":")
-    label = F.when((F.col("page") == 1) & (colon > 1), normalise_label(F.substring_index("text", ":", 1)))
-    known = rows.select("source_id", label.alias("label")).where(F.col("label").isin(*[fold_label(m) for m in METADATA])).distinct()
+    known = rows.select("source_id", _label().alias("label")).where(F.col("label").isin(*[fold_label(m) for m in METADATA])).distinct()
     kinds = F.create_map(*[F.lit(x) for m, kind in zones.items() for x in (fold_label(m), kind)])
     g = known.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_labels"), F.array_sort(F.collect_set(F.element_at(kinds, F.col("label")))).alias("zones"))
     return g.select("source_id", "n_labels", (F.col("n_labels") == len(METADATA)).alias("complete"), F.array_join("zones", ",").alias("zones"))
