@@ -30,6 +30,24 @@ def test_signatures_equal_brute_force(spark):
         assert r.n == max(1, len(brute(r.text))), r.text
 
 
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    texts = [t for t in make(40, 5) if brute(t)] + ["the one two", "the one two three of one two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    chains = {c for t in texts for c in brute(t)}
+    for r in spotsigs.edited_comparison(df).collect():
+        chains |= brute(r.edited)
+    known = spark.createDataFrame([(" " + " ".join(c),) for c in chains], "s string").select("s", F.hash("s").alias("h")).collect()
+    number = {tuple(r.s.split()): r.h for r in known}
+    sets = [sorted(number[c] for c in brute(t)) for t in texts]
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for r in spotsigs.edited_comparison(df).collect():
+        i, after = r.doc_id, (r.doc_id - 1) % len(texts)
+        assert list(r.hashes) == sets[i] and abs(r.near_next - like(sets[i], sets[after])) < 1e-12
+        if brute(r.edited):
+            edited = sorted(number[c] for c in brute(r.edited))
+            assert list(r.edited_hashes) == edited and abs(r.near_edited - like(sets[i], edited)) < 1e-12
+
+
 def test_each_row_meets_the_next_by_descending_id(spark):
     rng = random.Random(3)
     ids = rng.sample(range(10**9), 200)
