@@ -12,10 +12,6 @@ def parse_document_date(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(t, "dd-MM-yyyy"))
 
 
-def is_time(text: Column) -> Column:
-    return text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$")
-
-
 def moment(date: Column, time: Column) -> Column:
     """A timezone-free moment; a day without a time stands at noon."""
     return F.to_timestamp_ntz(F.concat(date.cast("string"), F.lit(" "), F.coalesce(time, F.lit("12:00"))), F.lit("yyyy-MM-dd HH:mm"))

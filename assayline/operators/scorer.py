@@ -57,3 +57,16 @@ def unscorable(rows: DataFrame, table: str, order: str) -> DataFrame:
              .when((s == "missing") & (v.isNotNull() | F.col("comparator").isNotNull()), "missing-with-value").when((F.col("range_kind") == "closed") & (F.col("range_min") > F.col("range_max")), "range-order"))
     found = rows.withColumn("fault", fault).where(F.col("fault").isNotNull())
     return found.groupBy(table).agg(F.min_by("fault", order).alias("fault"), F.min(order).alias("first_row"), F.count(F.lit(1)).alias("n_faults"))
+
+
+#: For each metric what was right and what was asked.
+METRICS = {"recall": ("matched", "expected"), "value": ("values_correct", "judged"), "unit": ("unit_correct", "unit_total"), "range": ("range_correct", "range_total")}
+
+
+def release_breaches(scores: DataFrame, by: str, floors: DataFrame) -> DataFrame:
+    """(scope, metric, floor_pct, correct, total) of the metrics below their floor: scores of each ``by`` (one = 1) and of all together (one = 0)."""
+    parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("correct"), F.col(t).alias("total")) for m, (c, t) in METRICS.items()])
+    single = scores.select(F.col(by).cast("string").alias("scope"), F.lit(1).alias("one"), F.inline(parts))
+    whole = single.groupBy("metric").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")).select(F.lit("all").alias("scope"), F.lit(0).alias("one"), "metric", "correct", "total")
+    j = single.unionByName(whole).join(F.broadcast(floors), ["one", "metric"])
+    return j.where((F.col("total") > 0) & (F.col("correct") * 100 < F.col("floor_pct") * F.col("total"))).select("scope", "metric", "floor_pct", "correct", "total")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import scrub
@@ -187,15 +187,9 @@ def confirm_gates(sessions: DataFrame, drafts: DataFrame, rows: DataFrame, answe
     return out.select("profile_id", *GATES, (reduce(lambda a, b: a & b, map(F.col, GATES)) & F.col("n_drafts").isNotNull()).alias("may_confirm"))
 
 
-def needs_review(rows: DataFrame, answered: DataFrame) -> Column | DataFrame:
+def needs_review(rows: DataFrame, answered: DataFrame) -> DataFrame:
     """Rows with ``needs_review``: doubtful, flagged, unknown and not approved, or in an open conflict."""
     contested = answered.where(F.col("resolution").isNull()).select("draft_id", "marker_key", F.lit(True).alias("_open"))
     j = rows.join(contested, ["draft_id", "marker_key"], "left")
     doubt = (F.col("confidence") != "high") | (F.size("flags") > 0) | (is_unknown(F.col("marker_key")) & ~F.coalesce("approved", F.lit(False))) | F.col("_open").isNotNull()
     return j.withColumn("needs_review", doubt).drop("_open")
-
-
-def review_number(rows: DataFrame, parent: str, kind: str) -> DataFrame:
-    """Rows with the id ``<parent>:<kind>:<n>``, numbered in reading order under their parent."""
-    n = F.row_number().over(Window.partitionBy(parent).orderBy("row_no"))
-    return rows.withColumn("item_id", F.concat_ws(":", F.col(parent).cast("string"), F.lit(kind), n.cast("string")))

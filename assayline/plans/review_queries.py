@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile, scorer, session
 from ..sources.labview import DRAFTS_SQL, draft_rows, reports, table
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _CONFLICTS_SQL = DRAFTS_SQL + """, conflicts AS (
         SELECT report_id AS draft_id, marker_key, 'draft:' || report_id || ':conflict:' || marker_key AS conflict_id, list(row_no ORDER BY row_no) AS candidates
@@ -287,3 +287,18 @@ def evidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = c.select("source_id", (F.col("source_id") % 4 != 0).alias("evidence_available"), (F.col("source_id") % 7 != 0).alias("held"), "pages")
     refs = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("source_id"), (F.col("event_id") % 9).cast("int").alias("page"))
     return profile.evidence(refs, sources).select("event_id", "outcome")
+
+
+#: The least percentages of each metric, over all laboratories and for each one; null: no floor.
+_FLOORS = "(0, 'recall', 95), (0, 'value', 99), (0, 'unit', 95), (0, 'range', 95), (1, 'recall', 90), (1, 'value', 98)"
+
+
+@query(f"""
+    WITH s AS ({ORACLE_SQL['score_opportunities']}), f(one, metric, floor_pct) AS (VALUES {_FLOORS}),
+    m AS (SELECT CAST(lab AS VARCHAR) AS scope, 1 AS one, unnest([{{'metric': 'recall', 'c': matched, 't': expected}}, {{'metric': 'value', 'c': values_correct, 't': judged}}, {{'metric': 'unit', 'c': unit_correct, 't': unit_total}}, {{'metric': 'range', 'c': range_correct, 't': range_total}}]) AS x FROM s),
+    t AS (SELECT scope, one, x.metric AS metric, x.c AS c, x.t AS t FROM m UNION ALL SELECT 'all', 0, x.metric, sum(x.c), sum(x.t) FROM m GROUP BY x.metric)
+    SELECT scope, metric, floor_pct, CAST(c AS BIGINT) AS correct, CAST(t AS BIGINT) AS total FROM t JOIN f USING (one, metric) WHERE t > 0 AND c * 100 < floor_pct * t""")
+def release_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics below their floor, for each laboratory and for all; what was never asked passes."""
+    floors = spark.sql(f"SELECT * FROM VALUES {_FLOORS} AS t(one, metric, floor_pct)")
+    return scorer.release_breaches(score_opportunities(spark, sf_dir), "lab", floors)

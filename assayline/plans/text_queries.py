@@ -222,3 +222,20 @@ def rows_carrying_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = r.withColumn("label", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).withColumn("text_value", F.when(n % 3 == 0, F.concat(F.lit("seen by A"), F.col("l_suppkey").cast("string"))))
     r = r.withColumn("categorical_reference", F.when(n % 4 == 0, F.concat(F.lit("A"), (F.col("l_suppkey") + 1).cast("string"), F.lit(" is usual"))))
     return r.where(session.carries(F.lit("A1"))).select("report_id", "row_no")
+
+
+_FACTORS = ", ".join(f"({i}, '{m}', '{a}', '{b}', {f})" for i, (m, a, b, f) in enumerate(units.CONVERSIONS))
+
+
+@query(f"""
+    WITH c(i, marker_key, a, b, factor) AS (VALUES {_FACTORS}), v AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity AS value, c.*, CASE l_linenumber % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 'odd' END AS unit FROM lineitem JOIN c ON i = l_partkey % {len(units.CONVERSIONS) + 1})
+    SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, marker_key, unit, CASE unit WHEN a THEN b WHEN b THEN a END AS to_unit, CASE WHEN unit = a THEN value * factor::DOUBLE WHEN unit = b THEN value / factor::DOUBLE END AS converted FROM v""")
+def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in the other unit of their marker: multiplied one way, divided the other, null where no conversion is listed."""
+    li = table(spark, sf_dir, "lineitem")
+    kinds = spark.sql(f"SELECT * FROM VALUES {_FACTORS} AS t(i, marker_key, a, b, factor)").drop("factor")
+    n = F.col("l_linenumber") % 3
+    v = li.join(F.broadcast(kinds), kinds["i"] == li["l_partkey"] % (len(units.CONVERSIONS) + 1)).withColumn("unit", F.when(n == 0, F.col("a")).when(n == 1, F.col("b")).otherwise("odd"))
+    c = F.broadcast(units.conversions(spark).withColumnRenamed("from_unit", "unit"))
+    out = v.join(c, ["marker_key", "unit"], "left")
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "marker_key", "unit", "to_unit", F.when(F.col("to_unit").isNotNull(), units.convert(F.col("l_quantity"), F.col("factor").cast("double"), F.col("forward"))).alias("converted"))
