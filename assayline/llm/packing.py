@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import trim
 
 WINDOW, END_ID, LEVELS, CUT = 4096, 2, 16, 8
-_CACHE = 200_000
+_CACHE = 400_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
