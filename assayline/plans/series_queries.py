@@ -108,6 +108,26 @@ def trend_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                            F.round("range_min", 9).alias("range_min"), F.round("range_max", 9).alias("range_max"))
 
 
+@query(_WITH + f""", d AS (SELECT *, datediff('day', DATE '1970-01-01', collected_date) AS day FROM points),
+    s AS (SELECT *, min(day) OVER a AS d0, max(day) OVER a AS d1, min(least(value, range_min, range_max)) OVER a AS lo, max(greatest(value, range_min, range_max)) OVER a AS hi FROM d WINDOW a AS (PARTITION BY profile_id, series_id)),
+    g AS (SELECT *, CASE WHEN d1 = d0 THEN 0.5 ELSE (day - d0) / CAST(d1 - d0 AS DOUBLE) END AS x, lo - 0.5 * greatest(0.1 * (hi - lo), 0.1 * abs(hi), 1) AS y0, hi + 0.5 * greatest(0.1 * (hi - lo), 0.1 * abs(hi), 1) AS y1 FROM s),
+    o AS (SELECT *, CAST(row_number() OVER w AS BIGINT) AS pt_ord, lead(x) OVER w AS next_x FROM g WINDOW w AS (PARTITION BY profile_id, series_id {_ORD_SQL}))
+    SELECT profile_id, series_id, pt_ord, round(CASE WHEN pt_ord = 1 THEN 0 ELSE x END, 9) AS from_x, round(coalesce(next_x, 1), 9) AS to_x,
+        round(CASE WHEN range_kind = 'maxOnly' THEN 0 ELSE least(1, greatest(0, (range_min - y0) / (y1 - y0))) END, 9) AS low, round(CASE WHEN range_kind = 'minOnly' THEN 1 ELSE least(1, greatest(0, (range_max - y0) / (y1 - y0))) END, 9) AS high
+    FROM o WHERE range_kind IS NOT NULL""")
+def trend_band_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stepped bands as shapes in the plot: from point to point in time, clamped to it, one-sided ranges shaded to its edge."""
+    whole, b = Window.partitionBy("profile_id", "series_id"), ["value", "range_min", "range_max"]
+    p = series_points(spark, sf_dir).withColumn("day", F.unix_date("collected_date"))
+    p = p.select("*", F.min("day").over(whole).alias("d0"), F.max("day").over(whole).alias("d1"), F.min(F.least(*b)).over(whole).alias("lo"), F.max(F.greatest(*b)).over(whole).alias("hi"))
+    pad = 0.5 * F.greatest(0.1 * (F.col("hi") - F.col("lo")), 0.1 * F.abs("hi"), F.lit(1.0))
+    p = p.select("*", F.when(F.col("d1") == F.col("d0"), 0.5).otherwise((F.col("day") - F.col("d0")) / (F.col("d1") - F.col("d0"))).alias("x"), (F.col("lo") - pad).alias("y0"), (F.col("hi") + pad).alias("y1"))
+    p = p.withColumn("pt_ord", F.row_number().over(_series()).cast("long")).withColumn("next_x", F.lead("x").over(_series())).where(F.col("range_kind").isNotNull())
+    inside = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.col("y0")) / (F.col("y1") - F.col("y0"))))
+    low, high = F.when(F.col("range_kind") == "maxOnly", 0.0).otherwise(inside("range_min")), F.when(F.col("range_kind") == "minOnly", 1.0).otherwise(inside("range_max"))
+    return p.select("profile_id", "series_id", "pt_ord", F.round(F.when(F.col("pt_ord") == 1, 0.0).otherwise(F.col("x")), 9).alias("from_x"), F.round(F.coalesce("next_x", F.lit(1.0)), 9).alias("to_x"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
 @query(f"""WITH {_EVENTS_SQL}, i AS (
         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) - row_number() OVER (PARTITION BY user_id, event_type, exact ORDER BY us, event_id) AS island FROM g)
     SELECT user_id, event_type, min(us) AS from_us, max(us) AS to_us, count(*) AS n_points FROM i WHERE exact GROUP BY user_id, event_type, island HAVING count(*) >= 2""")
