@@ -32,8 +32,18 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _LONGER = _decompositions()
 _LATIN_GREEK = [i for i, c in enumerate(_FROM) if c < "\u0400" or "\u1e00" <= c < "\u2000"]
 _NEAR_FROM, _NEAR_TO = ("".join(t[i] for i in _LATIN_GREEK) for t in (_FROM, _TO))
-#: What the short table does not cover: characters with a longer decomposition, and letters of other scripts that have one.
-_RARE = r"[" + "".join(c for c in _LONGER if c < "\u0400" or "\u1e00" <= c < "\u2000") + r"\u0400-\u1dff\u2000-\uabff\uf900-\uffff\x{1d400}-\x{1d7ff}]"
+def _ranges(codes: list[int]) -> str:
+    """Sorted code points as the ranges of a character class."""
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    stops = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in zip(starts, stops, strict=True))
+
+
+#: Texts of other characters than these need more than the short table: Latin, Greek and punctuation that no table spells out.
+_PLAIN = [*range(0x400), *range(0x1E00, 0x2000), *(c for c in range(0x2010, 0x2033) if chr(c) not in _FROM)]
+_RARE = "[^" + _ranges([c for c in _PLAIN if chr(c) not in _LONGER]) + "]"
+#: Characters with a longer decomposition.
+_SPELT = "[" + "".join(_LONGER) + "]"
 #: Greek letters and the Latin ones they are confused with in codes.
 GREEK, LATIN = "αβεζηικμνορτυχ", "abezhikmnoptyx"
 #: Identifier patterns, in the order of their scan; word boundaries are ASCII.
@@ -51,12 +61,13 @@ CONTROL = r"[\x00-\x1F\x7F]"
 def normalise_label(text: Column) -> Column:
     """Compatibility letters, no marks, lower case, one sigma, single blanks; exact but for Hangul syllables.
 
-    Texts of Latin and Greek letters stay inside code generation with a short table; only texts with a
-    rarer character go through the long ones.
+    Texts of Latin and Greek letters take a short table, texts with a rarer character the whole one; only those
+    with a character that is spelt out go through it character by character.
     """
     table = F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>")
     spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    plain = F.when(text.rlike(_RARE), F.translate(spelt, _FROM, _TO)).otherwise(F.translate(text, _NEAR_FROM, _NEAR_TO))
+    full = F.translate(F.when(text.rlike(_SPELT), spelt).otherwise(text), _FROM, _TO)
+    plain = F.when(text.rlike(_RARE), full).otherwise(F.translate(text, _NEAR_FROM, _NEAR_TO))
     return F.trim(F.regexp_replace(F.translate(F.lower(F.regexp_replace(plain, r"\p{M}", "")), "ς", "σ"), r"(?U)\s+", " "))
 
 
