@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
+from . import crosspolytope, ctw, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
 from .common import id_remainder, table
 
 
@@ -78,8 +78,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth, by cosine."""
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_toxicity, op4_secret_scan, op5_topk_search, op6_packing, op7_language_id,
-                                   op8_license_scan, op9_spotsigs, op10_simhash)}
+                                   op8_license_scan, op9_spotsigs, op10_simhash, op12_cross_polytope)}
 
 ORACLE_SQL = {
     "op5_topk_search": """
