@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, ctw, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
+from . import crosspolytope, ctw, divergence, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
 from .common import id_remainder, table
 
 
@@ -83,8 +83,14 @@ def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words stray from its language's other sources, and its most telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_toxicity, op4_secret_scan, op5_topk_search, op6_packing, op7_language_id,
-                                   op8_license_scan, op9_spotsigs, op10_simhash, op12_cross_polytope)}
+                                   op8_license_scan, op9_spotsigs, op10_simhash, op12_cross_polytope,
+                                   op13_source_divergence)}
 
 ORACLE_SQL = {
     "op5_topk_search": """
@@ -99,4 +105,26 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS no, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+        ), t AS (SELECT no, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT no) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+        p AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v.v) AS BIGINT) AS p,
+                CAST(1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * v.v) AS BIGINT) AS q
+            FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+        ), r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+            GROUP BY ALL
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        ), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+    """,
 }
