@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, ctw, divergence, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
+from . import bisected_search, crosspolytope, ctw, divergence, langid, licenses, packing, secrets_scan, sentencepiece_codec, simhash, spotsigs, toxicity, vafile
 from .common import id_remainder, table
 
 
@@ -78,6 +78,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, from an index in bisected order."""
+    return bisected_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth, by cosine."""
     return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -89,8 +94,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_toxicity, op4_secret_scan, op5_topk_search, op6_packing, op7_language_id,
-                                   op8_license_scan, op9_spotsigs, op10_simhash, op12_cross_polytope,
-                                   op13_source_divergence)}
+                                   op8_license_scan, op9_spotsigs, op10_simhash, op11_ranked_search,
+                                   op12_cross_polytope, op13_source_divergence)}
 
 ORACLE_SQL = {
     "op5_topk_search": """
@@ -105,6 +110,20 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), t AS (SELECT no, term, count(*) AS tf FROM (SELECT no, unnest(terms) AS term FROM d) GROUP BY ALL),
+        s AS (SELECT count(*) AS total, sum(len(terms)) AS length FROM d WHERE len(terms) > 0),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, total),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        m AS (SELECT no, doc_id, 50 + (50 * len(terms) * total) // length AS m FROM d, s WHERE len(terms) > 0),
+        r AS (
+            SELECT item_id, t.no, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM i JOIN w USING (term) JOIN t USING (term) JOIN m ON m.no = t.no GROUP BY item_id, t.no, doc_id
+        ), o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+    """,
     "op13_source_divergence": r"""
         WITH d AS (
             SELECT row_number() OVER () AS no, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
