@@ -165,7 +165,7 @@ def impacts(tf: np.ndarray, n: np.ndarray, total: int, length: int) -> np.ndarra
     return 10**9 * tf // (1000 * tf + 20 * m)
 
 
-def _indexed(total: int, length: int):
+def _indexed(total: int, length: int, size: int):
     """Pieces come as runs of rows; one is cut early where its terms take more than ``PIECE_BYTES``."""
     def flush(key: tuple[int, int], first: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
@@ -174,7 +174,7 @@ def _indexed(total: int, length: int):
         sizes = np.array([len(r[3]) // 8 for r in rows])
         start, n, names = np.concatenate([[0], np.cumsum(sizes)]), np.array([r[1] for r in rows], np.int64), list(number)
         impact = impacts(tf, np.repeat(n, sizes), total, length)
-        for at, chosen in enumerate(clusters(start, terms, len(names), CLUSTER)):
+        for at, chosen in enumerate(clusters(start, terms, len(names), size)):
             begin, places = _rows(start, chosen)
             owner = np.repeat(np.arange(len(chosen), dtype=np.int32), np.diff(begin))
             order = np.argsort(terms[places], kind="stable")
@@ -187,25 +187,25 @@ def _indexed(total: int, length: int):
                 [f.split()[0] for f in _INDEX.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, first = None, [], 0, 0
+        key, held, taken, first = None, [], 0, 0
         for b in batches:
             for leaf, piece, *row in zip(*(b[c].to_pylist() for c in ("leaf", "piece", "doc_id", "n", "terms", "tf")), strict=True):
-                if held and ((leaf, piece) != key or size > PIECE_BYTES):
+                if held and ((leaf, piece) != key or taken > PIECE_BYTES):
                     yield from flush(key, first, held)
-                    first, held, size = first + len(held) if (leaf, piece) == key else 0, [], 0
+                    first, held, taken = first + len(held) if (leaf, piece) == key else 0, [], 0
                 elif (leaf, piece) != key:
                     first = 0
                 key = leaf, piece
                 held.append(tuple(row))
-                size += len(row[2]) + len(row[3])
+                taken += len(row[2]) + len(row[3])
         if held:
             yield from flush(key, first, held)
 
     return run
 
 
-def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(index, documents with a term, terms in all): every document of ``docs`` that has a term is in one cluster."""
+def build(docs: DataFrame, size: int = CLUSTER) -> tuple[DataFrame, int, int]:
+    """(index, documents with a term, terms in all): every document of ``docs`` that has a term is in one cluster of at most ``size``."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = named.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     rows = max(1, docs.count())
@@ -216,7 +216,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
     sizes = {r.leaf: r["count"] for r in read.groupBy("leaf").count().collect()}  # one row a leaf of the tree
     pieces = F.element_at(F.create_map(*[F.lit(x) for leaf in range(1 << DEPTH) for x in (leaf, -(-sizes.get(leaf, 1) // PIECE))]), F.col("leaf"))
     dealt = read.withColumn("piece", F.pmod("salt", pieces)).repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", "salt", "doc_id")
-    return materialise(dealt.mapInArrow(_indexed(total, length), _INDEX), "index"), total, length
+    return materialise(dealt.mapInArrow(_indexed(total, length, size), _INDEX), "index"), total, length
 
 
 # The search
