@@ -1,14 +1,15 @@
 """Ranked lexical search over a clustered index whose documents are ordered by recursive graph bisection.
 
 Building. A bisection tree is fitted on at most ``SAMPLE`` documents (those of the lowest hashes); every document of the
-table follows its moves' gains down to a leaf, and leaves are dealt into pieces of ``PIECE`` documents. Each piece is bisected
-further where the shuffle brings it, until its runs hold ``CLUSTER`` documents with words in common. A cluster is one row: its
-documents, its terms with their number of documents and best impact, and the postings.
-
-Searching. A cluster's bound for an item is the sum of weight times best impact over their common terms. Clusters are visited in
-the order of their bounds, a growing number a round; an item is certain when no cluster left can reach its k-th score. Nothing is
-cut: whatever could still enter the answer, ties included, is visited. Documents are only reordered inside; answers
-carry their doc_id, which also settles ties.
+table follows its moves' gains down to a leaf, and leaves are dealt into pieces of about ``PIECE`` documents. Each piece is
+bisected further where the shuffle brings it, until its runs hold ``CLUSTER`` documents with words in common. A cluster is one
+row: its documents, its terms with their number of documents and best impact, and the postings.
+
+Searching. Items are asked in blocks of about ``PAIRS`` terms, which go to where the index lies: nothing of the index is shuffled.
+A cluster's bound for an item is the sum of weight times best impact over their common terms, from the clusters'
+dictionaries alone. Clusters are visited in the order of their bounds, a growing number a round; an item is certain when no
+cluster left can reach its k-th score. Nothing is cut: whatever could still enter the answer, ties included, is visited.
+Documents are only reordered inside; answers carry their doc_id, which also settles ties.
 """
 
 from __future__ import annotations
@@ -20,22 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join
+from .common import discard, materialise
 
 #: Documents that the tree is fitted on, its depth, its term buckets; documents of a piece and of a cluster; bytes of a piece's terms.
 SAMPLE, DEPTH, BUCKETS = 2048, 4, 1 << 16
-PIECE, CLUSTER, PIECE_BYTES = 4096, 256, 48 << 20
+PIECE, CLUSTER, PIECE_BYTES = 2048, 256, 48 << 20
 ROUNDS = 8
-#: Clusters of an item's first round, how much more each next round visits, items of one list.
-FIRST, GROWTH, ITEMS = 8, 16, 256
+#: Clusters of an item's first round, how much more each next round visits, terms of all items of one block.
+FIRST, GROWTH, PAIRS = 8, 16, 1 << 18
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
-_READ = "doc_id long, n long, leaf int, salt long, terms binary, tf binary"
+_READ = "leaf int, salt long, doc_id long, n long, terms binary, tf binary"
 _INDEX = "cluster long, ids array<long>, terms array<string>, df array<int>, top array<long>, docs binary, impacts binary"
 
 
@@ -147,9 +148,9 @@ def _read(weights: np.ndarray):
                 for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
                     if found := term_counts(text):
                         tf = np.fromiter(found.values(), np.int64, len(found))
-                        out.append((doc_id, int(tf.sum()), route(weights, _features(list(found))), seen, b" ".join(found), tf.tobytes()))
+                        out.append((route(weights, _features(list(found))), seen, doc_id, int(tf.sum()), b" ".join(found), tf.tobytes()))
                         seen += 1
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _READ.split(", ")])
 
@@ -166,7 +167,7 @@ def impacts(tf: np.ndarray, n: np.ndarray, total: int, length: int) -> np.ndarra
 
 
 def _indexed(total: int, length: int, size: int):
-    """Pieces come as runs of rows; one is cut early where its terms take more than ``PIECE_BYTES``."""
+    """Pieces come as runs of rows; one is cut where it has twice as many documents as it should, or terms of more than ``PIECE_BYTES``."""
     def flush(key: tuple[int, int], first: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         terms = np.concatenate([np.fromiter((number.setdefault(t, len(number)) for t in r[2].split(b" ")), np.int64) for r in rows])
@@ -190,7 +191,7 @@ def _indexed(total: int, length: int, size: int):
         key, held, taken, first = None, [], 0, 0
         for b in batches:
             for leaf, piece, *row in zip(*(b[c].to_pylist() for c in ("leaf", "piece", "doc_id", "n", "terms", "tf")), strict=True):
-                if held and ((leaf, piece) != key or taken > PIECE_BYTES):
+                if held and ((leaf, piece) != key or taken > PIECE_BYTES or len(held) >= 2 * PIECE):
                     yield from flush(key, first, held)
                     first, held, taken = first + len(held) if (leaf, piece) == key else 0, [], 0
                 elif (leaf, piece) != key:
@@ -204,92 +205,149 @@ def _indexed(total: int, length: int, size: int):
     return run
 
 
-def build(docs: DataFrame, size: int = CLUSTER) -> tuple[DataFrame, int, int]:
-    """(index, documents with a term, terms in all): every document of ``docs`` that has a term is in one cluster of at most ``size``."""
+def _terms(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(PATTERN), F.lit(0))
+
+
+def build(docs: DataFrame, size: int = CLUSTER) -> tuple[DataFrame, int]:
+    """(index, documents with a term): every document of ``docs`` that has a term is in one cluster of at most ``size``."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.size(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    rows, total, length = named.select(n.alias("n")).agg(F.count(F.lit(1)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     hashed = named.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    rows = max(1, docs.count())
-    drawn = hashed.where(F.pmod("h", F.lit(rows)) < 2 * SAMPLE).mapInArrow(_sampled, "h long, features binary").orderBy("h", "features").limit(SAMPLE).collect()
-    weights = fit_tree([f for f in (np.frombuffer(r.features, np.int32) for r in drawn) if len(f)], DEPTH)
-    read = materialise(named.mapInArrow(_read(weights), _READ), "read")
-    total, length = read.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sizes = {r.leaf: r["count"] for r in read.groupBy("leaf").count().collect()}  # one row a leaf of the tree
-    pieces = F.element_at(F.create_map(*[F.lit(x) for leaf in range(1 << DEPTH) for x in (leaf, -(-sizes.get(leaf, 1) // PIECE))]), F.col("leaf"))
-    dealt = read.withColumn("piece", F.pmod("salt", pieces)).repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", "salt", "doc_id")
-    return materialise(dealt.mapInArrow(_indexed(total, length, size), _INDEX), "index"), total, length
+    drawn = hashed.where(F.pmod("h", F.lit(max(1, rows))) < 2 * SAMPLE).mapInArrow(_sampled, "h long, features binary").orderBy("h", "features").limit(SAMPLE).collect()
+    sample = [f for f in (np.frombuffer(r.features, np.int32) for r in drawn) if len(f)]
+    weights = fit_tree(sample, DEPTH)
+    share = Counter(route(weights, f) for f in sample)
+    pieces = [-(-total * share[leaf] // (max(1, len(sample)) * PIECE)) + 1 for leaf in range(1 << DEPTH)]
+    piece = F.pmod("salt", F.get(F.array(*map(F.lit, pieces)), F.col("leaf")))
+    dealt = named.mapInArrow(_read(weights), _READ).withColumn("piece", piece.cast("long")).repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", "salt", "doc_id")
+    return materialise(dealt.mapInArrow(_indexed(total, length, size), _INDEX), "index"), total
 
 
 # The search
 
 
-def _scored(k: int):
-    """Rows are clusters with a list of items, each with its floor and the (place, weight) of its words there."""
+class Block:
+    """Some items, as the executors see them: their terms by number, and which items ask for each term."""
+
+    def __init__(self, terms: list[list[str]]):
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(t for item in terms for t in item))}
+        self.of = [np.array([self.number[t] for t in item], np.int64) for item in terms]
+        asked = np.concatenate([*self.of, np.empty(0, np.int64)])
+        order = np.argsort(asked, kind="stable")
+        self.items = np.repeat(np.arange(len(terms)), [len(o) for o in self.of])[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(asked, minlength=len(self.number)))])
+
+    def places(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in a cluster's dictionary, number) of the terms asked for that the cluster has."""
+        found = [(p, self.number[t]) for p, t in enumerate(terms) if t in self.number]
+        return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _bounded(block: Block, weight: np.ndarray):
+    """(item, cluster, bound) from the clusters' dictionaries; clusters without a common term are no candidates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cluster, terms, top in zip(b["cluster"].to_pylist(), b["terms"], b["top"], strict=True):
+                place, number = block.places(terms.values.to_pylist())
+                begin, places = _rows(block.start, number)
+                bound = np.zeros(len(block.of), np.int64)
+                np.add.at(bound, block.items[places], np.repeat(weight[number] * np.asarray(top.values)[place], np.diff(begin)))
+                item = np.flatnonzero(bound)
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.full(len(item), cluster, np.int64)), pa.array(bound[item])], ["item", "cluster", "bound"])
+
+    return run
+
+
+def _scored(block: Block, weight: np.ndarray, floor: np.ndarray, k: int):
+    """(item, doc_id, score): the k best documents of each cluster for each item that visits it, none below the item's floor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 owner, impact = np.frombuffer(b["docs"][r].as_buffer(), np.int32), np.frombuffer(b["impacts"][r].as_buffer(), np.int32)
                 ids = b["ids"][r].values
-                doc = np.asarray(ids.fill_null(0))
-                unknown = np.asarray(ids.is_null())
+                doc, unknown = np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())
                 edge = np.concatenate([[0], np.cumsum(np.asarray(b["df"][r].values))])
-                asked = b["asked"][r].values
-                words = asked.field("words")
-                cut = np.asarray(words.offsets)
-                place, weight = np.asarray(words.values.field("place")), np.asarray(words.values.field("w"))
+                place, number = block.places(b["terms"][r].values.to_pylist())
+                place_of = np.full(len(block.number), -1, np.int64)
+                place_of[number] = place
                 out = ([], [], [])
-                for qno, floor, a, z in zip(np.asarray(asked.field("qno")).tolist(), np.asarray(asked.field("floor")).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    begin, places = _rows(edge, place[a:z])
+                for item in b["items"][r].values.to_pylist():
+                    mine = block.of[item][place_of[block.of[item]] >= 0]
+                    begin, places = _rows(edge, place_of[mine])
                     score = np.zeros(len(doc), np.int64)
-                    np.add.at(score, owner[places], impact[places].astype(np.int64) * np.repeat(weight[a:z], np.diff(begin)))
-                    near = np.flatnonzero(score >= floor)
+                    np.add.at(score, owner[places], impact[places].astype(np.int64) * np.repeat(weight[mine], np.diff(begin)))
+                    near = np.flatnonzero(score >= floor[item])
                     near = near[np.lexsort((doc[near], unknown[near], -score[near]))[:k]]
-                    out[0].append(np.full(len(near), qno))
+                    out[0].append(np.full(len(near), item))
                     out[1].append(near)
                     out[2].append(score[near])
-                qno, near, score = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays([pa.array(qno.astype(np.int64)), ids.take(pa.array(near)), pa.array(score)], ["qno", "doc_id", "score"])
+                item, near, score = (np.concatenate(c) for c in out)
+                yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), ids.take(pa.array(near.astype(np.int64))), pa.array(score)], ["item", "doc_id", "score"])
 
     return run
 
 
+def _best(index: DataFrame, total: int, block: Block, k: int) -> DataFrame | None:
+    """(item, doc_id, score, rank) of one block's items; None if no document has a term that is asked for."""
+    spark, names = index.sparkSession, list(block.number)
+    if not names:
+        return None
+    words = spark.createDataFrame(list(enumerate(names)), "number long, term string")
+    counted = index.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("df").alias("df")))).join(F.broadcast(words), "term").groupBy("number").agg(F.sum("df").alias("df"))
+    weight = np.zeros(len(names), np.int64)
+    for r in counted.select("number", F.floor(1000 * F.log((2 * F.lit(total) + 2).cast("double") / (2 * F.col("df") + 1))).alias("w")).collect():
+        weight[r.number] = r.w
+    bounds = materialise(index.select("cluster", "terms", "top").mapInArrow(_bounded(block, weight), "item long, cluster long, bound long"), "bounds")
+    floor, best, share, visited = np.ones(len(block.of), np.int64), None, FIRST, spark.createDataFrame([], "item long, last long, at long")
+    order = Window.partitionBy("item").orderBy(F.desc("bound"), "cluster")
+    top = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    while True:
+        floors = spark.createDataFrame(list(enumerate(floor.tolist())), "item long, floor long")
+        left = bounds.join(F.broadcast(floors), "item").where(F.col("bound") >= F.col("floor")).join(F.broadcast(visited), "item", "left")
+        left = left.where(F.col("last").isNull() | (F.col("bound") < F.col("last")) | ((F.col("bound") == F.col("last")) & (F.col("cluster") > F.col("at"))))
+        todo = materialise(left.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= share).select("item", "cluster", "bound"), "todo")
+        ends = todo.groupBy("item").agg(F.min(F.struct("bound", F.negative("cluster").alias("back"))).alias("v")).select("item", F.col("v.bound").alias("last"), F.negative("v.back").alias("at")).collect()
+        if not ends:
+            break
+        grouped = todo.groupBy("cluster").agg(F.array_sort(F.collect_list("item")).alias("items"))  # a block's items at most
+        scored = index.select("cluster", "ids", "terms", "df", "docs", "impacts").join(F.broadcast(grouped) if todo.count() <= PAIRS else grouped, "cluster").drop("cluster")
+        scored = scored.mapInArrow(_scored(block, weight, floor, k), "item long, doc_id long, score long")
+        both = scored if best is None else best.drop("rank").unionByName(scored)
+        found = materialise(both.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k), "best")
+        for old in (best, todo):
+            if old is not None:
+                discard(old)
+        best, share = found, share * GROWTH
+        for r in best.where(F.col("rank") == k).select("item", "score").collect():  # one row an item of the block
+            floor[r.item] = r.score
+        known = {r.item: (r.last, r.at) for r in visited.collect()} | {r.item: (r.last, r.at) for r in ends}
+        visited = spark.createDataFrame([(i, *v) for i, v in known.items()], "item long, last long, at long")
+    discard(bounds)
+    return best
+
+
 def search(index: DataFrame, total: int, items: DataFrame, k: int = 50) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k best documents with a score above 0.
 
     ``items``: (item_id, text). Rows of one item_id are one item, which asks for the terms of all of them; a null id is an item too, a null
     text has no terms. ``index`` and ``total`` come from ``build``.
     """
-    found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(PATTERN), F.lit(0))
-    asked = items.select("item_id", F.explode(F.array_distinct(found)).alias("term")).groupBy("item_id").agg(F.collect_set("term").alias("terms"))
-    asked = materialise(asked.withColumn("qno", F.monotonically_increasing_id()), "asked")
-    words = asked.select("qno", F.explode("terms").alias("term"))
-    listed = index.select("cluster", F.posexplode(F.arrays_zip("terms", "df", "top")).alias("place", "t")).select("cluster", "place", F.col("t.terms").alias("term"), "t.df", "t.top")
-    hits = materialise(listed.join(words.select("term").distinct(), "term"), "hits")
-    weight = F.floor(1000 * F.log((2 * F.lit(total) + 2).cast("double") / (2 * F.sum("df") + 1)))
-    known = hits.groupBy("term").agg(F.count(F.lit(1)).alias("times"), weight.alias("w"))
-    known = materialise(known.join(words.groupBy("term").agg(F.collect_list("qno").alias("by")), "term"), "known")
-    met = spread_join(hits, known, "term").where(F.col("w") > 0).select(F.explode("by").alias("qno"), "cluster", "place", "w", "top")
-    bounds = materialise(met.groupBy("qno", "cluster").agg(F.sum(F.col("w") * F.col("top")).alias("bound"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("words")), "bounds")
-    state = materialise(asked.select("qno", F.lit(1).cast("long").alias("floor"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("at")), "state")
-    best, blocks, share = None, max(1, -(-asked.count() // ITEMS)), FIRST
-    order = Window.partitionBy("qno").orderBy(F.desc("bound"), "cluster")
-    top = Window.partitionBy("qno").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    while True:
-        after = F.col("last").isNull() | (F.col("bound") < F.col("last")) | ((F.col("bound") == F.col("last")) & (F.col("cluster") > F.col("at")))
-        todo = bounds.join(state, "qno").where((F.col("bound") >= F.col("floor")) & after)
-        todo = materialise(todo.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= share).drop("turn", "last", "at"), "todo")
-        if todo.isEmpty():
-            break
-        grouped = todo.groupBy("cluster", F.pmod("qno", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qno", "floor", "words")).alias("asked"))
-        scored = index.select("cluster", "ids", "df", "docs", "impacts").join(grouped, "cluster").drop("cluster", "block").mapInArrow(_scored(k), "qno long, doc_id long, score long")
-        both = scored if best is None else best.unionByName(scored)
-        best = materialise(both.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).drop("rank"), "best")
-        reached = best.groupBy("qno").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(1)).alias("reached"))
-        visited = todo.groupBy("qno").agg(F.min(F.struct("bound", F.negative("cluster").alias("back"))).alias("v"))
-        state = state.join(reached, "qno", "left").join(visited, "qno", "left").select("qno", F.coalesce("reached", "floor").alias("floor"), F.coalesce("v.bound", "last").alias("last"), F.coalesce(-F.col("v.back"), "at").alias("at"))
-        state, share = materialise(state, "state"), share * GROWTH
-    if best is None:
-        best = state.select("qno", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).where(F.lit(False))
-    return best.join(asked.select("qno", "item_id"), "qno").withColumn("rank", F.row_number().over(top)).select("item_id", "rank", "doc_id", "score")
+    asked = items.select("item_id", F.explode(F.array_distinct(_terms("text"))).alias("term")).groupBy("item_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    asked = materialise(asked, "asked")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // PAIRS))
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        best = _best(index, total, Block([r.terms for r in rows]), k)
+        if best is not None:
+            named = items.sparkSession.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
+            found = best.join(F.broadcast(named), "item").select("item_id", "rank", "doc_id", "score")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return asked.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).where(F.lit(False))
+    return out
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
@@ -298,5 +356,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     Every row of ``docs`` (doc_id, text) is a document of its own; a null text has no terms; a null doc_id takes part and comes last among
     equals. Repeated rows score alike and are all returned, with ranks of their own. Empty tables give no rows.
     """
-    index, total, _ = build(docs)
-    return search(index, total, items, k)
+    index, total = build(docs)
+    found = materialise(search(index, total, items, k), "ranked")
+    discard(index)
+    return found

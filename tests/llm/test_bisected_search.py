@@ -60,12 +60,12 @@ def test_search_is_brute_force(spark, monkeypatch):
     docs = corpus(400, 1)
     items = [(i, docs[i * 3][1]) for i in range(25)] + [(99, "nowhere to be found zz"), (98, ""), (97, None)]
     want = brute(docs, items, 10)
-    for piece, size, first, items_a_list in ((4096, 256, 8, 256), (64, 5, 1, 3)):  # whole; many pieces, clusters, rounds and lists
+    for piece, size, first, pairs in ((2048, 256, 8, 1 << 18), (64, 5, 1, 40)):  # whole; many pieces, clusters, rounds and blocks
         monkeypatch.setattr(bs, "PIECE", piece)
         monkeypatch.setattr(bs, "FIRST", first)
         monkeypatch.setattr(bs, "GROWTH", 2)
-        monkeypatch.setattr(bs, "ITEMS", items_a_list)
-        index, total, _ = bs.build(frames(spark, docs, items)[0], size)
+        monkeypatch.setattr(bs, "PAIRS", pairs)
+        index, total = bs.build(frames(spark, docs, items)[0], size)
         assert sum(len(r.ids) for r in index.select("ids").collect()) == total == sum(1 for _, t in docs if terms_of(t))
         assert rows_of(bs.search(index, total, frames(spark, docs, items)[1], 10)) == want
 
