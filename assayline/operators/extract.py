@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_document_date
-from ..functions.fuzzy import fuzzy_bound, may_be_near, osa_distance
-from ..functions.lexical import GREEK, LATIN, derived_key, fold_label, normalise_label
+from ..functions.lexical import derived_key, fold_label, normalise_label, tokens
 from ..functions.numeric import parse_number, parse_range
-from ..functions.registry import Marker, markers, names
+from ..functions.registry import Marker, markers
 from ..functions.units import is_known_unit, normalise_unit
-from .layout import cluster_rows, rows_of
-from .match import greedy
-from .readout import read_cells
+from .anchors import anchors, box_of, known_label, with_anchors
+from .layout import BELOW_OVERLAP, BELOW_REACH, ROW_SHARE, cluster_rows, rows_of
+from .outward import FAR, GAP
+from .readout import read_outward
 
 #: The document template's title, metadata labels and column headings.
 TITLE = "Αποτελέσματα Εργαστηριακών Εξετάσεων"
 METADATA = ["Αρ. Υπόθεσης", "ΑΜΚΑ", "Επώνυμο", "Όνομα", "Αριθμός Παραγγελίας", "Ημερομηνία Λήψης Δείγματος", "Ημερομηνία Αποτελέσματος", "Επώνυμο Ιατρού", "Όνομα Ιατρού", "ΑΜΚΑ Ιατρού",
             "Ειδικότητα Ιατρού", "Επωνυμία Εργαστηρίου"]
-COLLECTED = "Ημερομηνία Λήψης Δείγματος"
+COLLECTED, RESULTED = "Ημερομηνία Λήψης Δείγματος", "Ημερομηνία Αποτελέσματος"
 HEADINGS = {"label": "Περιγραφή", "value": "Αποτέλεσμα", "unit": "Μονάδα Μέτρησης", "range": "Φυσιολογικές Τιμές", "notes": "Παρατηρήσεις"}
 _ROLES = list(HEADINGS)
-_RUN = 5
+
+__all__ = ["anchors", "coverage", "gate", "gated", "headings", "parse", "positional", "with_columns"]
 
 
 def _norm(text: str) -> Column:
@@ -44,16 +45,16 @@ def with_columns(rows: DataFrame) -> DataFrame:
 
 
 def gated(rows: DataFrame) -> DataFrame:
-    """The rows of accepted sources with their ``collected_date``: the gate's checks as windows, so rows are made once."""
+    """The rows of accepted sources with their ``collected_date`` and ``result_date``: the gate's checks as windows, so rows are made once."""
     whole = Window.partitionBy("source_id")
     checks = rows.select("*", _label().alias("_label"))
     any_ = lambda c: F.coalesce(F.bool_or(c).over(whole), F.lit(False))
     seen = F.collect_set(F.when(F.col("_label").isin(*[fold_label(m) for m in METADATA]), F.col("_label"))).over(whole)
-    dated = F.when(F.col("_label") == _norm(COLLECTED), F.struct("row_no", _value().alias("v")))
-    checks = checks.select("*", any_((F.col("page") == 1) & F.col("norm_text").contains(_norm(TITLE))).alias("_title"), F.size(seen).alias("_seen"), F.min(dated).over(whole)["v"].alias("_printed"))
+    dated = lambda name: F.min(F.when(F.col("_label") == _norm(name), F.struct("row_no", _value().alias("v")))).over(whole)["v"]
+    checks = checks.select("*", any_((F.col("page") == 1) & F.col("norm_text").contains(_norm(TITLE))).alias("_title"), F.size(seen).alias("_seen"), dated(COLLECTED).alias("_printed"), dated(RESULTED).alias("_resulted"))
     table = F.col("x_label").isNotNull() & F.col("x_value").isNotNull() & F.col("x_unit").isNotNull() & F.col("x_range").isNotNull()
-    checks = checks.withColumn("collected_date", parse_document_date(F.col("_printed")))
-    return checks.where(F.col("_title") & (F.col("_seen") == len(METADATA)) & table & F.col("collected_date").isNotNull()).drop("_label", "_title", "_seen", "_printed")
+    checks = checks.withColumns({"collected_date": parse_document_date(F.col("_printed")), "result_date": parse_document_date(F.col("_resulted"))})
+    return checks.where(F.col("_title") & (F.col("_seen") == len(METADATA)) & table & F.col("collected_date").isNotNull()).drop("_label", "_title", "_seen", "_printed", "_resulted")
 
 
 def _label() -> Column:
@@ -86,70 +87,6 @@ def gate(rows: DataFrame) -> DataFrame:
     return g.select("source_id", reason.isNull().alias("ok"), reason.alias("reject_reason"), day.alias("collected_date"))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Word runs of each row's items: (row keys, start, stop, text, sign printed right after, bracketed, code_beside)."""
-    spread = rows.select("source_id", "row_no", F.posexplode("items").alias("item_pos", "i"))
-    tokens = spread.select("source_id", "row_no", "item_pos", F.posexplode(F.split(F.trim("i.text"), r"\s+")).alias("token_pos", "token"))
-    bracket = r"(\([^()]*\))$"
-    beside = F.max(F.col("token").rlike(bracket)).over(Window.partitionBy("source_id", "row_no", "item_pos"))
-    order = Window.partitionBy("source_id", "row_no").orderBy("item_pos", "token_pos")
-    tokens = tokens.withColumn("code_beside", beside).withColumn("pos", F.row_number().over(order) - 1)
-    tokens = tokens.select("*", *[F.lead("token", k).over(order).alias(f"t{k}") for k in range(1, _RUN)])
-    ahead = [F.col(f"t{k}") for k in range(1, _RUN)]
-    after = [*ahead, F.lit(None).cast("string")]
-    runs = [F.struct(F.lit(n).alias("n"), F.array_join(F.array(F.col("token"), *ahead[:n - 1]), " ").alias("text"), F.when(after[n - 1].isin("%", "#"), after[n - 1]).alias("sign")) for n in range(1, _RUN + 1)]
-    open_runs = F.array(*[F.when(F.lit(True) if n == 1 else ahead[n - 2].isNotNull(), r) for n, r in enumerate(runs, 1)])
-    glued = F.regexp_extract("token", r"^.+" + bracket, 1)
-    all_runs = F.concat(F.array_compact(open_runs), F.when(glued != "", F.array(F.struct(F.lit(1).alias("n"), glued.alias("text"), F.lit(None).cast("string").alias("sign")))).otherwise(F.array().cast("array<struct<n:int,text:string,sign:string>>")))
-    c = tokens.select("source_id", "row_no", F.col("pos").alias("start"), "code_beside", F.explode(all_runs).alias("r"))
-    return c.select("source_id", "row_no", "start", (F.col("start") + F.col("r.n")).alias("stop"), F.col("r.text").alias("text"), F.col("r.sign").alias("sign"), F.col("r.text").rlike(r"^\([^()]*\)$").alias("bracketed"), "code_beside")
-
-
-def anchors(rows: DataFrame, fuzzy: bool = True, registry: list[Marker] | None = None) -> DataFrame:
-    """(source_id, row_no, start, stop, marker, tier) of the markers that rows name.
-
-    Tiers: bracketed or bare abbreviation, exact name, contained name, name within a bounded number
-    of edits. A row's first tier with any hit decides; later tiers are searched only in rows
-    without one. Overlaps are settled by length, then position. Equally near names are told apart by the section
-    above the row, if rows have a ``section`` and just one of them belongs to it.
-    """
-    keys = ["source_id", "row_no"]
-    known = F.broadcast(names(rows.sparkSession, registry).withColumnsRenamed({"norm": "known", "section": "hint"}))
-    c = _candidates(rows).withColumn("norm", normalise_label(F.col("text")))
-    c = c.withColumn("code", F.regexp_replace(F.translate(F.regexp_replace("norm", r"\s*([()])\s*", "$1"), GREEK, LATIN), "^\\(|\\)$", "")).withColumn("bound", fuzzy_bound(F.col("norm")))
-    pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
-    is_code = F.col("kind") == "abbreviation"
-    tier = (F.when(is_code, F.when((F.col("code") == F.col("known")) & (F.col("bracketed") | ~F.col("code_beside")), 1))
-            .when(F.col("norm") == F.col("known"), 2).when(F.contains(pad("norm"), pad("known")), 3))
-    if fuzzy:
-        sign = lambda x: F.when(F.contains(F.col(x), F.lit("%")), "%").when(F.contains(F.col(x), F.lit("#")), "#")
-        differ = F.coalesce(F.coalesce(sign("norm"), F.nullif("sign", F.lit(""))) != sign("known"), F.lit(False))  # a share and a count are never near
-        tier = F.coalesce(tier, F.when(~is_code & ~differ & (F.col("bound") > 0) & may_be_near(F.col("norm"), F.col("known"), F.col("bound")), 4))
-    # Laboratories print the same few labels over and over: each distinct text meets the registry once.
-    parts = ["norm", "code", "bound", "bracketed", "code_beside"] + ["sign"] * fuzzy
-    c = c.withColumn("sign", F.coalesce("sign", F.lit("")))
-    met = c.select(*parts).distinct().join(known, tier.isNotNull()).withColumn("t", tier)
-    edits = F.when(F.col("t") == 4, osa_distance(F.col("norm"), F.col("known"), F.col("bound"))).otherwise(0) if fuzzy else F.lit(0)
-    met = met.withColumn("d", edits).where((F.col("t") < 4) | (F.col("d") <= F.col("bound"))).select(*parts, "t", "d", "ord", "marker_key", "hint")
-    row = Window.partitionBy(*keys)
-    hits = c.join(met, parts).withColumn("first", F.min("t").over(row)).where(F.col("t") == F.col("first"))
-    near = hits.withColumn("brackets", F.max("bracketed").over(row)).where((F.col("t") != 1) | (F.col("bracketed") == F.col("brackets")))
-    if "section" in rows.columns:
-        near = near.join(rows.select(*keys, normalise_label(F.col("section")).alias("section")), keys)
-    else:
-        near = near.withColumn("section", F.lit(None).cast("string"))
-    best = near.groupBy(*keys, "start", "stop", "t").agg(
-        F.min(F.struct("d", "ord", "marker_key")).alias("b"), F.collect_set(F.struct("d", "marker_key")).alias("all"),
-        F.collect_set(F.when(normalise_label(F.col("hint")) == F.col("section"), F.struct("d", "marker_key"))).alias("hinted"))
-    rivals = F.filter("all", lambda r: r["d"] == F.col("b.d"))
-    here = F.filter("hinted", lambda r: r["d"] == F.col("b.d"))
-    marker = F.when((F.col("t") != 4) | (F.size(rivals) == 1), F.col("b.marker_key")).when(F.size(here) == 1, here[0]["marker_key"])
-    best = best.withColumn("marker", marker).where(F.col("marker").isNotNull())
-    best = best.select(F.struct(*keys).alias("row_id"), "start", "stop", "marker", F.concat(F.lit("T"), F.col("t").cast("string")).alias("tier"))
-    tiers = best.select("row_id", "tier").distinct()
-    return greedy(best, "row_id").join(tiers, "row_id").select("row_id.*", "start", "stop", "marker", "tier")
-
-
 def headings(rows: DataFrame) -> DataFrame:
     """Rows with ``is_heading`` and the ``section`` they stand in, from ``with_columns``.
 
@@ -164,66 +101,172 @@ def headings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("section", F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _columns(role: str) -> tuple[Column, Column]:
+    """Where a bound column begins and ends: at the next one's heading, or at the page's edge."""
+    ends = dict(zip(_ROLES, [*[F.col(f"x_{r}") for r in _ROLES[1:]], F.lit(2.0)], strict=True))
+    return F.col(f"x_{role}"), F.coalesce(ends[role], F.lit(2.0))
+
+
+def _stands_in(item: Column, role: str) -> Column:
+    low, high = _columns(role)
+    centre = item["x"] + item["w"] / 2
+    return (centre >= low) & (centre < high)
+
+
+def _in_cell(role: str) -> Column:
+    return F.filter("items", lambda i: _stands_in(i, role))
+
+
+def _cell(role: str) -> Column:
+    """The text of a row's cell in a bound column, read from top to bottom, so that a wrapped label comes together."""
+    found = F.array_sort(F.transform(_in_cell(role), lambda i: F.struct(i["y"].alias("y"), i["x"].alias("x"), i["text"].alias("text"))))
+    return F.array_join(F.transform(found, lambda i: i["text"]), " ")
+
+
+def _tokens_of(items: Column, region: int, cell) -> Column:
+    """Tokens with their region, their item's number and whether it stands in the value column."""
+    return F.flatten(F.transform(items, lambda i: F.transform(tokens(i["text"]), lambda t: F.struct(t.alias("w"), F.lit(region).alias("r"), cell(i).alias("i"), _stands_in(i, "value").alias("v")))))
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """One line an anchor with the tokens that it may read (``cells``), in order, and whether the next anchor or a gap ended the walk.
+
+    What its own item goes on to say, unless that is a label cell; else the row to the right as far as the next anchor, what sits below it
+    above the next anchor, and the row to the left. ``rows`` carry their anchors; every window is on the source's own partition.
+    """
+    page = Window.partitionBy("source_id", "page")
+    boxed = F.transform("anchors", lambda a: F.struct(a.alias("hit"), box_of(F.col("items"), a["first"], a["last"]).alias("box")))
+    rows = rows.withColumn("anchors", boxed)
+    ys = F.flatten(F.collect_list(F.transform("anchors", lambda a: a["box"]["y"])).over(page))
+    rows = rows.withColumn("_ys", ys).withColumn("_page", F.collect_list(F.when(F.size("items") > 0, F.struct("row_no", "items"))).over(page))
+    a = rows.select("*", F.posexplode_outer("anchors").alias("nth", "a")).withColumns({"box": F.col("a.box"), "hit": F.col("a.hit")})
+    right_edge, bottom = F.col("box.x") + F.col("box.w"), F.col("box.y") + F.col("box.h")
+    bar_x = F.array_min(F.filter(F.transform("anchors", lambda o: o["box"]["x"]), lambda x: x > F.col("box.x")))
+    bar_y = F.array_min(F.filter("_ys", lambda y: y > bottom))
+    a = a.withColumns({"_bar_x": F.coalesce(bar_x, F.lit(FAR)), "_bar_y": F.coalesce(bar_y, F.lit(FAR)), "_reach": F.coalesce("x_unit", F.lit(0.0))})
+    centre = F.col("box.y") + F.col("box.h") / 2
+    beside = lambda i: F.abs(centre - (i["y"] + i["h"] / 2)) < ROW_SHARE * F.least(F.col("box.h"), i["h"])
+    placed = F.transform("items", lambda i, p: F.struct(i.alias("i"), p.alias("p")))
+    free = F.transform(F.filter(placed, lambda e: ~e["p"].between(F.col("hit.first"), F.col("hit.last")) & beside(e["i"])), lambda e: e["i"])
+    overlap = lambda i: F.least(right_edge, i["x"] + i["w"]) - F.greatest(F.col("box.x"), i["x"])
+    under = lambda i: (overlap(i) >= BELOW_OVERLAP * F.least(F.col("box.w"), i["w"])) & (i["y"] - bottom).between(0, BELOW_REACH * F.col("box.h")) & (i["y"] < F.col("_bar_y"))
+    others = F.flatten(F.transform(F.filter("_page", lambda r: r["row_no"] != F.col("row_no")), lambda r: F.filter(r["items"], under)))
+    below = F.transform(F.array_sort(F.transform(others, lambda i: F.struct(i["y"].alias("y"), i["x"].alias("x"), i["item"].alias("n"), i.alias("i")))), lambda e: e["i"])
+    a = a.withColumns({"_right": F.filter(free, lambda i: i["x"] >= right_edge), "_left": F.reverse(F.filter(free, lambda i: i["x"] < F.col("box.x"))), "_below": below})
+    first = F.get("_right", F.lit(0))["x"]
+    gap = F.coalesce((first >= F.col("_reach")) & (first - right_edge > GAP), F.lit(False))
+    walked = F.filter("_right", lambda i: ~gap & (i["x"] < F.col("_bar_x")))
+    own = F.get("items", F.col("hit.first"))
+    whole_line = F.coalesce((F.col("hit.first") == F.col("hit.last")) & ~(own["x"] + own["w"] <= F.col("x_value")), F.lit(False))
+    rest = F.filter(F.transform("placed", lambda t, n: F.struct(t.alias("t"), n.alias("n"))), lambda e: (e["t"]["pos"] == F.col("hit.first")) & (e["n"] >= F.col("hit.stop")))
+    tail = F.when(whole_line, F.transform(rest, lambda e: F.struct(e["t"]["text"].alias("w"), F.lit(0).alias("r"), F.lit(-1).alias("i"), F.lit(True).alias("v"))))
+    item = lambda i: i["item"]
+    around = F.concat(_tokens_of(walked, 1, item), _tokens_of(F.col("_below"), 2, item), _tokens_of(F.col("_left"), 3, item))
+    a = a.withColumns({"_tail": tail, "_around": around, "_stopped": F.exists("_right", lambda i: i["x"] >= F.col("_bar_x")) | gap})
+    lexical = F.coalesce(F.size("_tail") > 0, F.lit(False))
+    a = a.withColumn("cells", F.when(F.col("hit").isNull(), F.array().cast("array<struct<w:string,r:int,i:int,v:boolean>>")).when(lexical, F.col("_tail")).otherwise(F.col("_around")))
+    return a.withColumn("stopped", F.coalesce(~lexical & F.col("_stopped"), F.lit(False))).drop("_ys", "_page", "_bar_x", "_bar_y", "_reach", "_right", "_left", "_below", "_tail", "_around", "_stopped")
+
+
 def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     """Parsed rows of all accepted sources; nothing is read from a rejected one.
 
-    ``items``: (source_id, page, item, text, x, y, w, h). Rows of known and unknown markers alike, in
-    printed order; unknown ones need a value, a known unit or a range. Label, value, unit and range
-    come from the bound columns; flags say what is doubtful and grade the confidence.
+    ``items``: (source_id, page, item, text, x, y, w, h). Every marker that a row names is a row of the result, whatever its cells hold: it
+    is read outward from where it is printed, with the table's columns to go by, and its unit from the unit column. Headings name no
+    marker. A row below the first table header that names none is read by its columns (``positional``), and left out unless it has a
+    label and a number, a known unit or a range. Rows come in printed order, markers of one row from left to right; flags
+    say what is doubtful and lower the confidence. ``item_ids`` and the box (left, top, right, bottom) say where a row was
+    read; ``text_start`` and ``text_end`` delimit the marker where one item holds all that was read.
     """
-    spark = items.sparkSession
     table = gated(headings(with_columns(rows_of(cluster_rows(items)))))
-    table = table.where(~F.col("is_header") & ~F.col("is_heading") & (F.col("row_no") > F.col("header_row")))
-    centre = lambda i: i["x"] + i["w"] / 2
-    ends = {r: F.col(f"x_{n}") if n else F.lit(2.0) for r, n in zip(_ROLES, [*_ROLES[1:], None], strict=True)}
-    column = lambda role: F.filter("items", lambda i: (centre(i) >= F.col(f"x_{role}")) & (centre(i) < F.coalesce(ends[role], F.lit(2.0))))
-    text = lambda role: F.array_join(F.transform(column(role), lambda i: i["text"]), " ")
-    table = table.select("*", *[text(r).alias(f"c_{r}") for r in ("label", "value", "unit", "range")])
-    body = table.where((F.col("c_value") != "") | (F.col("c_unit") != "") | (F.col("c_range") != ""))
-    body = body.withColumn("label_items", column("label")).repartition("source_id", "row_no")  # both uses below read this exchange
-    found = anchors(body.select("source_id", "row_no", "section", F.col("label_items").alias("items")), registry=registry)
-    per_row = found.groupBy("source_id", "row_no").agg(F.min_by("marker", "start").alias("marker"), F.min_by("tier", "start").alias("tier"), F.count(F.lit(1)).alias("n_anchors"))
-    words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
-    unit = normalise_unit(F.when(F.col("c_unit") != "", F.col("c_unit")))
-    cells = body.join(per_row, ["source_id", "row_no"], "left").withColumn("unit", unit).withColumn("unit_known", F.coalesce(is_known_unit(F.col("c_unit")), F.lit(False)))
-    tokens = F.concat(words("c_value"), words("c_range"))
-    in_value = F.concat(F.transform(words("c_value"), lambda w: F.lit(True)), F.transform(words("c_range"), lambda w: F.lit(False)))
-    read = cells.withColumn("r", read_cells(tokens, in_value, F.col("unit_known"))).select("*", "r.*")
-    read = read.where(F.col("marker").isNotNull() | (F.col("status") == "value") | F.col("unit_known") | F.col("range_kind").isNotNull())
-    dim = F.broadcast(markers(spark, registry).select(F.col("marker_key").alias("marker"), "low", "high"))
-    read = read.join(dim, "marker", "left")
-    doubts = {"unrecognised-unit": F.col("unit").isNotNull() & ~F.col("unit_known"), "implausible-value": ~F.col("value").between(F.col("low"), F.col("high")), "competing-anchors": F.col("n_anchors") > 1}
-    flags = F.concat("flags", F.array_compact(F.array(*[F.when(d, f) for f, d in doubts.items()])))
+    after = F.coalesce(F.col("row_no") > F.col("header_row"), F.lit(False)) & ~F.col("is_header")
+    table = table.where(~F.col("is_heading"))
+    read = _neighbours(with_anchors(table, registry, after))
+    known = F.col("hit").isNotNull()
+    read = read.where(known | after).withColumns({f"c_{r}": _cell(r) for r in ("label", "value", "unit", "range")})
+    part = lambda f: F.transform("cells", lambda x: x[f])
+    read = read.withColumn("k", read_outward(part("w"), part("r"), part("i"), part("v")))
+    plain = F.transform(F.array(positional_of()), lambda p: F.when(~known, p))[0]
+    dim = F.broadcast(markers(items.sparkSession, registry).select(F.col("marker_key").alias("_marker"), "low", "high"))
+    read = read.withColumn("u", plain).where(known | F.col("u").isNotNull())
+    key = F.coalesce("hit.marker", known_label(F.col("c_label"), registry), derived_key(F.col("c_label")))
+    read = read.withColumn("marker_key", key).join(dim, F.col("marker_key") == F.col("_marker"), "left")
+    either = lambda f: F.when(known, F.col(f"k.{f}")).otherwise(F.col(f"u.{f}"))
+    out = read.withColumns({f: either(f) for f in ("status", "value", "comparator", "text_value", "categorical_reference", "range_kind", "range_min", "range_max", "range_comparator")})
+    words = F.col("status") == "categorical"
+    printed = F.trim("c_unit") != ""
+    out = out.withColumn("unit", F.when(~words, F.when(known, F.when(printed, normalise_unit(F.trim("c_unit")))).otherwise(F.col("u.unit"))))
+    doubts = {"unrecognised-unit": known & printed & ~F.coalesce(is_known_unit(F.trim("c_unit")), F.lit(False)), "implausible-value": ~F.col("value").between(F.col("low"), F.col("high")), "competing-anchor": F.size("anchors") > 1}
+    out = out.withColumn("flags", F.concat(F.coalesce(either("flags"), F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(d, f) for f, d in doubts.items()]))))
     has = lambda *f: F.arrays_overlap("flags", F.array(*map(F.lit, f)))
-    out = read.withColumn("flags", flags)
-    low = F.col("marker").isNull() | (F.col("status") == "missing") | has("ambiguous-thousands", "ambiguous-role", "implausible-value")
-    medium = (F.col("tier") == "T4") | F.col("comparator").isNotNull() | has("unparsed-range", "unrecognised-unit", "competing-anchors")
-    order = F.row_number().over(Window.partitionBy("source_id").orderBy("row_no")) - 1
-    return out.select("source_id", "collected_date", "page", "row_no", "section", order.alias("source_order"), F.coalesce("marker", derived_key(F.col("c_label"))).alias("marker_key"), F.col("c_label").alias("label"), "tier",
-                      "status", "value", "comparator", "text_value", "categorical_reference", "unit", "range_kind", "range_min", "range_max", "range_comparator", F.when(low, "low").when(medium, "medium").otherwise("high").alias("confidence"), "flags")
-
-
-def positional(rows: DataFrame) -> DataFrame:
-    """Rows without a known marker read by their bound columns alone: (source_id, row_no, label, marker_key, status, value, comparator, unit, range_kind, confidence).
-
-    ``rows``: (source_id, row_no, c_label, c_value, c_unit, c_range). The value is the longest beginning of its cell, two tokens
-    at most, that is a number; a range cell may end in a known unit. Rows without a number, a known unit or a range
-    are page furniture and left out. Confidence is always low.
+    low = ~known | (F.col("status") == "missing") | has("ambiguous-thousands", "ambiguous-role", "implausible-value") | (F.col("stopped") & (~printed | F.col("range_kind").isNull()))
+    medium = (F.col("hit.tier") == "T4") | F.col("comparator").isNotNull() | has("unparsed-range", "unrecognised-unit", "competing-anchor")
+    order = F.row_number().over(Window.partitionBy("source_id").orderBy("row_no", "nth")) - 1
+    out = out.withColumns({"source_order": order, "confidence": F.when(low, "low").when(medium, "medium").otherwise("high"), "label": F.coalesce("hit.text", "c_label")})
+    out = _placed(out)
+    return out.select("source_id", "collected_date", "result_date", "page", "row_no", "section", "source_order", "marker_key", "label", F.col("hit.tier").alias("tier"), "status", "value", "comparator", "text_value", "categorical_reference",
+                      "unit", "range_kind", "range_min", "range_max", "range_comparator", "confidence", "flags", "item_ids", "box_left", "box_top", "box_right", "box_bottom", "text_start", "text_end")
+
+
+def _placed(read: DataFrame) -> DataFrame:
+    """Where each row was read: the marker's own items and the cells that its reading used, or the four cells of a row read by its columns."""
+    anchor = F.slice("items", F.col("hit.first") + 1, F.col("hit.last") - F.col("hit.first") + 1)
+    mine = F.concat(anchor, F.filter("items", lambda i: F.array_contains("k.used", i["item"])))
+    cells = F.flatten(F.array(*[_in_cell(r) for r in ("label", "value", "unit", "range")]))
+    read = read.withColumn("_used", F.when(F.col("hit").isNotNull(), mine).otherwise(cells))
+    ids = F.when(F.col("hit").isNotNull(), F.concat(F.transform(anchor, lambda i: i["item"]), F.col("k.used"))).otherwise(F.transform("_used", lambda i: i["item"]))
+    lowest = lambda f: F.array_min(F.transform("_used", lambda i: i[f]))
+    highest = lambda f, g: F.array_max(F.transform("_used", lambda i: i[f] + i[g]))
+    # the marker's offsets in its item: the blanks and tokens before it, found one after the other
+    own = F.get("items", F.col("hit.first"))["text"]
+    mine_ = F.filter(F.transform("placed", lambda t, n: F.struct(t.alias("t"), n.alias("n"))), lambda e: e["t"]["pos"] == F.col("hit.first"))
+    spans = F.aggregate(mine_, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<n:int,a:int,z:int>>").alias("all")), lambda s, e: F.transform(F.array(F.call_function("locate", e["t"]["text"], own, s["at"] + 1) - 1),
+                        lambda a: F.struct((a + F.length(e["t"]["text"])).alias("at"), F.concat(s["all"], F.array(F.struct(e["n"].alias("n"), a.alias("a"), (a + F.length(e["t"]["text"])).alias("z")))).alias("all")))[0], lambda s: s["all"])
+    covered = F.filter(spans, lambda s: (s["n"] >= F.col("hit.start")) & (s["n"] < F.col("hit.stop")))
+    read = read.withColumns({"item_ids": ids, "box_left": lowest("x"), "box_top": lowest("y"), "box_right": highest("x", "w"), "box_bottom": highest("y", "h")})
+    single = (F.size("item_ids") == 1) & F.col("hit").isNotNull()
+    stop = F.array_max(F.transform(covered, lambda s: s["z"]))
+    # a code printed without a blank before it is the end of its token
+    begin = F.when((F.col("hit.stop") - F.col("hit.start") == 1) & F.startswith(F.col("hit.text"), F.lit("(")), stop - F.length("hit.text")).otherwise(F.array_min(F.transform(covered, lambda s: s["a"])))
+    return read.withColumns({"text_start": F.when(single, begin), "text_end": F.when(single, stop)})
+
+
+def positional_of() -> Column:
+    """The reading of a row by its cells c_label, c_value, c_unit and c_range alone; null for page furniture.
+
+    The value is the longest beginning of its cell, two tokens at most, that is a number; a range cell may end in a known unit.
     """
-    tokens = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
+    tokens_ = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
     run = lambda t, n: F.when(F.size(t) >= n, F.array_join(F.slice(t, 1, n), " "))
-    v, u, r = tokens("c_value"), tokens("c_unit"), tokens("c_range")
+    v, u, r = tokens_("c_value"), tokens_("c_unit"), tokens_("c_range")
     value = F.coalesce(parse_number(run(v, 2)), parse_number(run(v, 1)))
     known = F.coalesce(*[F.when(is_known_unit(run(u, n)), normalise_unit(run(u, n))) for n in (3, 2, 1)])
     unit = F.coalesce(known, F.when(F.size(u) > 0, normalise_unit(F.array_join(u, " "))))
     tail = is_known_unit(F.get(r, F.size(r) - 1)) & (F.size(r) > 1)
     bounds = parse_range(F.array_join(F.when(tail, F.slice(r, 1, F.size(r) - 1)).otherwise(r), " "))
-    read = rows.select("*", value.alias("_v"), unit.alias("_u"), known.isNotNull().alias("_k"), bounds.alias("_r")).where(F.trim("c_label") != "")
-    read = read.where(F.col("_v").isNotNull() | F.col("_k") | F.col("_r").isNotNull())
-    words = F.col("_v").isNull() & (F.trim("c_value") != "")
-    status = F.when(F.col("_v").isNotNull(), "value").when(words, "categorical").otherwise("missing")
-    return read.select("source_id", "row_no", F.col("c_label").alias("label"), derived_key(F.col("c_label")).alias("marker_key"), status.alias("status"), "_v.value", "_v.comparator",
-                       F.when(~words, F.col("_u")).alias("unit"), F.when(~words, F.col("_r.kind")).alias("range_kind"), F.lit("low").alias("confidence"))
+    read = F.struct(value.alias("v"), unit.alias("u"), known.isNotNull().alias("k"), bounds.alias("r"))
+
+    def row(x: Column) -> Column:
+        words = x["v"].isNull() & (F.trim("c_value") != "")
+        flags = {"ambiguous-thousands": x["v"]["ambiguous"], "unparsed-range": (F.size(r) > 0) & x["r"].isNull(), "unrecognised-unit": x["u"].isNotNull() & ~x["k"]}
+        plain = lambda c: F.when(~words, c)
+        found = F.struct(F.when(x["v"].isNotNull(), "value").when(words, "categorical").otherwise("missing").alias("status"), x["v"]["value"].alias("value"), x["v"]["comparator"].alias("comparator"), F.when(words, F.trim("c_value")).alias("text_value"),
+                         F.when(words & (F.trim("c_range") != ""), F.trim("c_range")).alias("categorical_reference"), plain(x["u"]).alias("unit"), plain(x["r"]["kind"]).alias("range_kind"), plain(x["r"]["min"]).alias("range_min"),
+                         plain(x["r"]["max"]).alias("range_max"), plain(x["r"]["comparator"]).alias("range_comparator"), F.array_compact(F.array(*[F.when(d, f) for f, d in flags.items()])).alias("flags"))
+        return F.when((F.trim("c_label") != "") & (x["v"].isNotNull() | x["k"] | x["r"].isNotNull()), found)
+
+    return F.transform(F.array(read), row)[0]
+
+
+def positional(rows: DataFrame) -> DataFrame:
+    """Rows without a known marker read by their bound columns alone: (source_id, row_no, label, marker_key, status, value, comparator, unit, range_kind, confidence, ...).
+
+    ``rows``: (source_id, row_no, c_label, c_value, c_unit, c_range). Rows without a number, a known unit or a range are page furniture, and
+    rows without a label are nameless: both are left out. Confidence is always low.
+    """
+    read = rows.withColumn("_p", positional_of()).where(F.col("_p").isNotNull())
+    fields = ("status", "value", "comparator", "unit", "range_kind", "text_value", "categorical_reference", "range_min", "range_max", "range_comparator", "flags")
+    return read.select("source_id", "row_no", F.col("c_label").alias("label"), derived_key(F.col("c_label")).alias("marker_key"), *[F.col(f"_p.{f}").alias(f) for f in fields], F.lit("low").alias("confidence"))
 
 
 def coverage(rows: DataFrame, zones: dict[str, str]) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_SHARE, BELOW_REACH, BELOW_OVERLAP = 0.6, 2.5, 0.5
@@ -28,38 +25,37 @@ def sits_below(a: str, b: str) -> Column:
     return (overlap >= BELOW_OVERLAP * F.least(_c(a, "w"), _c(b, "w"))) & gap.between(0, BELOW_REACH * _c(a, "h"))
 
 
-def sweep(items: list[dict]) -> list[int]:
-    """Cluster number of each item, in the given (y, x) order.
+def row_numbers(items: Column) -> Column:
+    """The row number of each item of a page, from 1; items (structs with y and h) come in (y, x) order.
 
-    One cluster is open at a time; an item joins it if it is on one row with any of its members,
-    else it opens the next. Clusters are never reopened.
+    One row is open at a time; an item joins it if it is on one row with any of its members, else it opens the next.
+    Rows are never reopened, so the fold carries the open row's centres and heights and the numbers so far.
     """
-    numbers, members, number = [], [], 0
-    for it in items:
-        centre = it["y"] + it["h"] / 2
-        if members and any(abs(centre - m["y"] - m["h"] / 2) < ROW_SHARE * min(it["h"], m["h"]) for m in members):
-            members.append(it)
-        else:
-            members, number = [it], number + 1
-        numbers.append(number)
-    return numbers
-
-
-def _cluster_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one source, numbered across its pages; a source has 100 pages at most."""
-    out, before = [], 0
-    for _, page in pdf.sort_values("page").groupby("page", sort=True):
-        page = page.sort_values(["y", "x", "item"], kind="stable").copy()
-        page["row_no"] = [before + n for n in sweep(page[["x", "y", "w", "h"]].to_dict("records"))]
-        before = int(page["row_no"].max())
-        out.append(page)
-    return pd.concat(out)[["source_id", "page", "row_no", "item", "text", "x", "y", "w", "h"]]
+    centre = lambda i: i["y"] + i["h"] / 2
+    member = lambda i: F.struct(centre(i).alias("c"), i["h"].alias("h"))
+    start = F.struct(F.array().cast("array<struct<c:double,h:double>>").alias("open"), F.array().cast("array<int>").alias("nos"))
+
+    def step(state: Column, i: Column) -> Column:
+        joins = F.exists(state["open"], lambda m: F.abs(centre(i) - m["c"]) < ROW_SHARE * F.least(i["h"], m["h"]))
+        last = F.coalesce(F.get(state["nos"], F.size(state["nos"]) - 1), F.lit(0))
+        return F.when(joins, F.struct(F.concat(state["open"], F.array(member(i))).alias("open"), F.concat(state["nos"], F.array(last)).alias("nos"))).otherwise(
+            F.struct(F.array(member(i)).alias("open"), F.concat(state["nos"], F.array(last + 1)).alias("nos")))
+
+    return F.aggregate(items, start, step, lambda state: state["nos"])
 
 
 def cluster_rows(items: DataFrame) -> DataFrame:
-    """Items (source_id, page, item, text, x, y, w, h) with their printed row's number."""
-    schema = "source_id string, page int, row_no int, item int, text string, x double, y double, w double, h double"
-    return items.groupBy("source_id").applyInPandas(_cluster_source, schema)
+    """Items (source_id, page, item, text, x, y, w, h) with their printed row's number.
+
+    Pages are folded apart; a source's rows are numbered across its pages by a prefix sum over one line a page. All
+    of it, and every window by source behind it, reads one exchange by source.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("y", "x", "item", "text", "w", "h")))
+    pages = items.repartition("source_id").groupBy("source_id", "page").agg(listed.alias("_items")).withColumn("_nos", row_numbers(F.col("_items")))
+    earlier = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("_before", F.coalesce(F.sum(F.array_max("_nos")).over(earlier), F.lit(0)))
+    out = pages.select("source_id", "page", "_before", F.inline(F.arrays_zip(F.col("_items").alias("i"), F.col("_nos").alias("n"))))
+    return out.select("source_id", F.col("page").cast("int").alias("page"), (F.col("_before") + F.col("n")).cast("int").alias("row_no"), F.col("i.item").cast("int").alias("item"), "i.text", "i.x", "i.y", "i.w", "i.h")
 
 
 def rows_of(clustered: DataFrame) -> DataFrame:
@@ -71,26 +67,28 @@ def rows_of(clustered: DataFrame) -> DataFrame:
     return g.withColumn("text", F.array_join(F.transform("items", lambda i: i["text"]), " "))
 
 
-def _assemble_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one page: an item joins the line whose first item it overlaps in height."""
-    lines: list[list[dict]] = []
-    for it in pdf.sort_values(["y", "x", "item"], kind="stable").to_dict("records"):
-        if lines and it["y"] < lines[-1][0]["y"] + lines[-1][0]["h"] and lines[-1][0]["y"] < it["y"] + it["h"]:
-            lines[-1].append(it)
-        else:
-            lines.append([it])
-    key = pdf.iloc[0]
-    rows = []
-    for n, line in enumerate(lines, 1):
-        texts = [i["text"] for i in sorted(line, key=lambda i: (i["x"], i["item"]))]
-        starts = [0, *accumulate(len(t) + 1 for t in texts)][:-1]
-        rows.append((key["source_id"], int(key["page"]), n, " ".join(texts), len(line), starts))
-    return pd.DataFrame(rows, columns=["source_id", "page", "line_no", "text", "n_items", "starts"])
+def _line_numbers(items: Column) -> Column:
+    """The line number of each item of a page: an item joins the open line if it overlaps that line's first item in height."""
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("end"), F.array().cast("array<int>").alias("nos"))
+
+    def step(state: Column, i: Column) -> Column:
+        joins = F.coalesce((i["y"] < state["end"]) & (state["y"] < i["y"] + i["h"]), F.lit(False))
+        last = F.coalesce(F.get(state["nos"], F.size(state["nos"]) - 1), F.lit(0))
+        return F.when(joins, F.struct(state["y"].alias("y"), state["end"].alias("end"), F.concat(state["nos"], F.array(last)).alias("nos"))).otherwise(
+            F.struct(i["y"].alias("y"), (i["y"] + i["h"]).alias("end"), F.concat(state["nos"], F.array(last + 1)).alias("nos")))
+
+    return F.aggregate(items, start, step, lambda state: state["nos"])
 
 
 def assemble_lines(items: DataFrame) -> DataFrame:
     """Lines of each page with their items' texts joined by one blank, and where in the line each of them starts (code points)."""
-    return items.groupBy("source_id", "page").applyInPandas(_assemble_page, "source_id string, page int, line_no int, text string, n_items int, starts array<int>")
+    listed = F.array_sort(F.collect_list(F.struct("y", "x", "item", "text", "h")))
+    pages = items.groupBy("source_id", "page").agg(listed.alias("_items"))
+    numbered = pages.select("source_id", "page", F.inline(F.arrays_zip(F.col("_items").alias("i"), _line_numbers(F.col("_items")).alias("line_no"))))
+    g = numbered.groupBy("source_id", "page", "line_no").agg(F.array_sort(F.collect_list(F.struct("i.x", "i.item", "i.text"))).alias("l"))
+    g = g.withColumn("t", F.transform("l", lambda i: i["text"]))
+    starts = F.aggregate("t", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, t: F.struct((s["at"] + F.length(t) + 1).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    return g.select("source_id", F.col("page").cast("int").alias("page"), "line_no", F.array_join("t", " ").alias("text"), F.size("l").alias("n_items"), starts.alias("starts"))
 
 
 def out_of_bounds(items: DataFrame) -> DataFrame:

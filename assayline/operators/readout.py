@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.units import KNOWN, fold_unit
@@ -21,7 +22,7 @@ _DASHES = ("-", "–", "—")
 _UPPER = {"έως", "εως", "μέχρι", "μεχρι"}
 MOST_UNIT_TOKENS = 3
 SCHEMA = ("value double, comparator string, text_value string, categorical_reference string, range_kind string, range_min double, range_max double, range_comparator string, "
-          "printed_unit string, flags array<string>, status string")
+          "printed_unit string, flags array<string>, status string, used array<int>")
 
 
 def _double(text: str) -> float:
@@ -133,6 +134,9 @@ class Cells:
     bounds: tuple | None = None
     unit: str | None = None
     flags: list[str] = field(default_factory=list)
+    #: The tokens that value and range were read from, and the unit's.
+    used: list[int] = field(default_factory=list)
+    unit_used: list[int] = field(default_factory=list)
 
 
 def roles(tokens: list[str], unit_known: bool = False, regions: list[int] | None = None, found: list[Group] | None = None) -> Cells:
@@ -148,45 +152,53 @@ def roles(tokens: list[str], unit_known: bool = False, regions: list[int] | None
         if g.kind == "range":
             if not seen:
                 out.bounds, unparsed, seen = g.bounds, g.bounds is None, True
+                out.used += range(g.start, g.stop)
         elif stop is not None:
             if g.kind == "comparator" and not seen:
                 out.bounds, seen = _one_sided(g.sign, g.value), True
+                out.used += range(g.start, g.stop)
         elif g.kind == "number":
             out.value, stop = _double(g.value), g.stop
+            out.used += range(g.start, g.stop)
             if _AMBIGUOUS.fullmatch(g.value):
                 out.flags.append("ambiguous-thousands")
         else:
             sure = unit_known or unit_run(unit_window(tokens, regions, g.stop)) is not None
             if sure or not seen:
                 out.value, out.comparator, stop, doubtful = _double(g.value), g.sign, g.stop, not sure
+                out.used += range(g.start, g.stop)
                 if _AMBIGUOUS.fullmatch(g.value):
                     out.flags.append("ambiguous-thousands")
     out.flags += ["ambiguous-role"] * doubtful + ["unparsed-range"] * unparsed
     window = unit_window(tokens, regions, stop) if stop is not None else []
     out.unit = unit_run(window) or (window[0] if window else None)
+    out.unit_used = list(range(stop, stop + len(out.unit.split(" ")))) if out.unit else []
     return out
 
 
-def read(tokens: list[str], in_value: list[bool], unit_known: bool = False, regions: list[int] | None = None, cells: list[int] | None = None) -> tuple:
+def read(tokens: list[str], in_value: list[bool], unit_known: bool = False, regions: list[int] | None = None, cells: list[int] | None = None, bound: bool = False) -> tuple:
     """One row of SCHEMA.
 
     Without any group the first cell is a categorical value, if it stands in the value column, and what
-    follows in its region its reference; a lone dash is none. ``cells`` numbers the cell of each token;
-    without it all tokens of the value column are one cell.
+    follows in its region its reference; a lone dash is none. ``cells`` numbers the cell of each token, below 0 where
+    a printed line goes on, whose tokens are cells of their own; without it all tokens of the value column are one cell.
+    ``bound``: the unit has a column of its own, so no token is read for it.
     """
     regions = regions or [0] * len(tokens)
     found = groups(tokens, regions)
     got = roles(tokens, unit_known, regions, found)
     kind, low, high, sign = got.bounds or (None, None, None, None)
     text = reference = None
+    used = got.used + ([] if bound else got.unit_used)
     if not found and tokens and in_value[0]:
-        head = [i for i in range(len(tokens)) if regions[i] == regions[0] and (cells[i] == cells[0] if cells else in_value[i])]
-        rest = [t for i, t in enumerate(tokens) if regions[i] == regions[0] and i not in head]
+        alike = [i for i in range(len(tokens)) if regions[i] == regions[0]]
+        head = alike[:1] if cells and cells[0] < 0 else [i for i in alike if (cells[i] == cells[0] if cells else in_value[i])]
         words = " ".join(tokens[i] for i in head)
         if not all(c in _DASHES for c in words):
-            text, reference = words, " ".join(rest) or None
+            text, reference = words, " ".join(tokens[i] for i in alike if i not in head) or None
+            used = alike
     status = "categorical" if text else "value" if got.value is not None else "missing"
-    return got.value, got.comparator, text, reference, kind, low, high, sign, got.unit, got.flags, status
+    return got.value, got.comparator, text, reference, kind, low, high, sign, got.unit, got.flags, status, list(dict.fromkeys(cells[i] for i in sorted(used) if cells[i] >= 0)) if cells else []
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -198,12 +210,15 @@ def _read_all(tokens: pd.Series, in_value: pd.Series, known: pd.Series) -> pd.Da
     return _frame([read(list(t), list(v), bool(k)) for t, v, k in zip(tokens, in_value, known, strict=True)])
 
 
-def _read_outward(tokens: pd.Series, regions: pd.Series, cells: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, r, c in zip(tokens, regions, cells, strict=True):
-        split = [(x, reg, cell) for word, reg, cell in zip(t, r, c, strict=True) for x in split_glued(word)]
-        rows.append(read([x[0] for x in split], [True] * len(split), False, [x[1] for x in split], [x[2] for x in split]))
-    return _frame(rows)
+def _read_outward(bound: bool):
+    def run(tokens: pd.Series, regions: pd.Series, cells: pd.Series, in_value: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, r, c, v in zip(tokens, regions, cells, in_value, strict=True):
+            split = [(x, reg, cell, inside) for word, reg, cell, inside in zip(t, r, c, v, strict=True) for x in split_glued(word)]
+            rows.append(read([x[0] for x in split], [bool(x[3]) for x in split], False, [int(x[1]) for x in split], [int(x[2]) for x in split], bound))
+        return _frame(rows)
+
+    return run
 
 
 def read_cells(tokens: Column, in_value: Column, unit_known: Column) -> Column:
@@ -211,6 +226,13 @@ def read_cells(tokens: Column, in_value: Column, unit_known: Column) -> Column:
     return pandas_udf(_read_all, SCHEMA)(tokens, in_value, unit_known)
 
 
-def read_outward(tokens: Column, regions: Column, cells: Column) -> Column:
-    """A row read outward from its anchor: tokens with the region (1 right, 2 below, 3 left) and the cell they stand in."""
-    return pandas_udf(_read_outward, SCHEMA)(tokens, regions, cells)
+def read_outward(tokens: Column, regions: Column, cells: Column, in_value: Column | None = None) -> Column:
+    """A row read outward from its anchor: tokens with the region (0 its own item, 1 right, 2 below, 3 left) and the cell they stand in.
+
+    ``in_value``, where columns are bound: whether the token's cell stands in the value column.
+    """
+    def run(tokens: pd.Series, regions: pd.Series, cells: pd.Series, in_value: pd.Series) -> pd.DataFrame:
+        return kernel(tokens, regions, cells, in_value)
+
+    kernel = _read_outward(in_value is not None)
+    return pandas_udf(run, SCHEMA)(tokens, regions, cells, F.transform(cells, lambda c: F.lit(True)) if in_value is None else in_value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import MARKERS
 from ..operators import extract, layout
 from ..operators.identifiers import LABELS
-from ..sources.text_items import printed_suppliers
+from ..sources.text_items import printed_layouts, printed_suppliers
 from .registry import query
 
 _ROWS = ", ".join(f"({i}, '{m.key}', '{m.unit}', {m.plausible[0]}, {m.plausible[1]})" for i, m in enumerate(MARKERS))
@@ -34,6 +34,29 @@ def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "source_order", "marker_key", "value", "unit", "range_kind", "range_min", "range_max", F.array_contains("flags", "implausible-value").alias("implausible"))
 
 
+#: What each marker of the printed layouts must come to: place, key, label, tier, base of its number (null: none printed), comparator, text, reference, unit, range, confidence, flags, section.
+_LAYOUT_ROWS = """(0, 'haemoglobin', '(HGB)', 'T1', 8, NULL, NULL, NULL, 'g/dL', 'closed', 12, 16, 'high', '', NULL),
+    (1, 'hct', 'Haematocrit', 'T2', 30, NULL, NULL, NULL, '%', 'closed', 36, 46, 'medium', 'competing-anchor', NULL), (2, 'plt', 'Platelets', 'T2', 30, NULL, NULL, NULL, '%', 'closed', 36, 46, 'medium', 'competing-anchor', NULL),
+    (3, 'rbc', 'RBC', 'T1', NULL, NULL, NULL, NULL, '10^3/µL', NULL, NULL, NULL, 'low', 'competing-anchor', NULL), (4, 'wbc', 'WBC', 'T1', 3, NULL, NULL, NULL, '10^3/µL', 'closed', 4, 10, 'medium', 'competing-anchor', NULL),
+    (5, 'mcv', 'MCV', 'T1', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'low', '', NULL), (6, 'mch', '(MCH)', 'T1', 20, NULL, NULL, NULL, 'pg', 'closed', 27, 33, 'high', '', NULL),
+    (7, 'x:strange-thing-index', 'Strange thing index', NULL, 2, NULL, NULL, NULL, 'foo', 'closed', 1, 5, 'low', 'unrecognised-unit', NULL), (8, 'creatinine', 'Creatinine', 'T2', 1, NULL, NULL, NULL, 'mg/dL', NULL, NULL, NULL, 'high', '', NULL),
+    (9, 'rdw', 'Red Cell Distribution Width', 'T2', 10, '<', NULL, NULL, '%', 'closed', 11, 15, 'medium', '', NULL), (10, 'monocytes-percent', 'Monocytez %', 'T4', 3, NULL, NULL, NULL, '%', 'closed', 2, 10, 'medium', '', NULL),
+    (11, 'glucose', 'Γλυκόζη', 'T2', 5000, NULL, NULL, NULL, 'mg/dL', 'maxOnly', NULL, 100, 'low', 'implausible-value', 'Βιοχημικές εξετάσεις'), (12, 'cholesterol', 'Cholesterol', 'T2', NULL, NULL, 'Ίχνη', 'Αρνητικό', NULL, NULL, NULL, NULL, 'high', '', 'Βιοχημικές εξετάσεις'),
+    (13, 'plt', 'PLT', 'T1', -1, NULL, NULL, NULL, NULL, 'closed', 150, 400, 'high', '', 'Βιοχημικές εξετάσεις'), (14, 'x:another-thing', 'Another thing', NULL, -2, NULL, NULL, NULL, 'mg/dL', NULL, NULL, NULL, 'low', 'ambiguous-thousands,unparsed-range', 'Βιοχημικές εξετάσεις')"""
+
+
+@query(f"""
+    WITH e(source_order, marker_key, label, tier, base, comparator, text_value, categorical_reference, unit, range_kind, range_min, range_max, confidence, flags, section) AS (VALUES {_LAYOUT_ROWS})
+    SELECT 's' || s_suppkey AS source_id, source_order, marker_key, label, tier, CASE WHEN base = -1 THEN 250.0 WHEN base = -2 THEN 1.234 WHEN base >= 0 THEN round(round(abs(s_acctbal), 2) % 5 + base, 1) END::DOUBLE AS value,
+        CASE WHEN base IS NOT NULL THEN 'value' WHEN text_value IS NOT NULL THEN 'categorical' ELSE 'missing' END AS status, comparator, text_value, categorical_reference, unit, range_kind, range_min::DOUBLE AS range_min, range_max::DOUBLE AS range_max, confidence, flags, section
+    FROM supplier, e""")
+def parse_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no clean table has: two markers, wrapped labels, empty and nameless cells, words as values, whole lines; each anchor a row, each with its doubts."""
+    p = extract.parse(printed_layouts(spark, sf_dir))
+    return p.select("source_id", "source_order", "marker_key", "label", "tier", "value", "status", "comparator", "text_value", "categorical_reference", "unit", "range_kind", "range_min", "range_max", "confidence",
+                    F.array_join("flags", ",").alias("flags"), "section")
+
+
 @query("""SELECT 's' || s_suppkey AS source_id, CASE WHEN s_suppkey % 6 = 2 THEN 11 ELSE 12 END AS n_labels, s_suppkey % 6 <> 2 AS complete, 'name,national-id,patient-id' AS zones FROM supplier""")
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata labels found on the first page of printed documents, one of which is missing from a sixth of them."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, display, fuzzy, lexical, numeric, units
 from ..operators import extract, intake, readout, session
+from ..operators.match import nearest
 from ..sources.labview import DRAFTS_SQL, draft_rows, table
 from .registry import query
 
@@ -164,10 +165,8 @@ _ALIASES = "(0, 'red steel'), (1, 'smal ring'), (2, 'large bolt'), (3, 'gren cop
 def osa_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct part name with its nearest alias within the bound; ties give none."""
     names = table(spark, sf_dir, "part").select(lexical.normalise_label(F.col("p_name")).alias("name")).distinct()
-    aliases = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_ALIASES} AS t(alias_ord, alias)"))
-    bound = fuzzy.fuzzy_bound(F.col("name"))
-    near = names.join(aliases, fuzzy.may_be_near(F.col("name"), F.col("alias"), bound))
-    near = near.withColumn("distance", fuzzy.osa_distance(F.col("name"), F.col("alias"), bound)).where(F.col("distance") <= bound)
+    aliases = spark.sql(f"SELECT * FROM VALUES {_ALIASES} AS t(alias_ord, alias)")
+    near = nearest(names, aliases, "name", "alias")
     best = near.groupBy("name").agg(F.min("distance").alias("best"), F.collect_list(F.struct("distance", "alias_ord")).alias("all"))
     tied = F.filter("all", lambda a: a["distance"] == F.col("best"))
     return best.where(F.size(tied) == 1).select("name", tied[0]["alias_ord"].alias("alias_ord"), F.col("best").alias("distance"))

@@ -63,6 +63,43 @@ def printed_suppliers(spark: SparkSession, sf_dir: str, damaged: bool = False) -
     return docs.select("source_id", "i.page", (F.col("item") + 1).alias("item"), "i.text", "i.x", "i.y", "i.w", "i.h")
 
 
+#: Printed rows that no clean table has: label parts (text, x, below the row's line, width), what the value cell holds ({} stands for a number), unit, range, and the number's base.
+LAYOUTS = [
+    ([("Haemoglobin (HGB)", 0.131, 0.0, 0.1)], "{}", "g/dL", "12 - 16", 8),
+    ([("Haematocrit Platelets", 0.131, 0.0, 0.1)], "{}", "%", "36 - 46", 30),
+    ([("RBC", 0.131, 0.0, 0.05), ("WBC", 0.25, 0.0, 0.05)], "{}", "10^3/µL", "4 - 10", 3),
+    ([("MCV", 0.131, 0.0, 0.1)], "", "", "80 - 100", 0),
+    ([("Mean Corpuscular", 0.131, -0.0065, 0.1), ("Haemoglobin (MCH)", 0.131, 0.0065, 0.1)], "{}", "pg", "27 - 33", 20),
+    ([("Strange", 0.131, -0.0065, 0.1), ("thing index", 0.131, 0.0065, 0.1)], "{}", "foo", "1 - 5", 2),
+    ([("Serum", 0.131, -0.0065, 0.1), ("Creatinine", 0.131, 0.0065, 0.1)], "{}", "mg/dL", "", 1),
+    ([("Red Cell Distribution Width", 0.131, 0.0, 0.2)], "<{}", "%", "11 - 15", 10),
+    ([("Monocytez %", 0.131, 0.0, 0.1)], "{}", "%", "2 - 10", 3),
+    ([("Βιοχημικές εξετάσεις", 0.131, 0.0, 0.2)], "", "", "", 0),
+    ([("Γλυκόζη", 0.131, 0.0, 0.1)], "{}", "mg/dL", "<100", 5000),
+    ([("Cholesterol", 0.131, 0.0, 0.1)], "Ίχνη", "", "Αρνητικό", 0),
+    ([], "{}", "mg/dL", "", 7),
+    ([("PLT 250 10^3/µL 150 - 400", 0.131, 0.0, 0.6)], "", "", "9 - 9", 0),
+    ([("Another thing", 0.131, 0.0, 0.1)], "1,234", "mg/dL", "x - y", 0),
+]
+
+
+def printed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a two-page document whose table has the rows of ``LAYOUTS``."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.abs("s_acctbal"), 2).alias("v"))
+    item = lambda page, text, x, y, w=0.1: F.struct(F.lit(page).alias("page"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x).alias("x"), F.lit(round(y, 4)).alias("y"), F.lit(w).alias("w"), F.lit(0.0141).alias("h"))
+    parts = [item(1, TITLE, 0.283, 0.119, 0.3)]
+    for i, m in enumerate(METADATA):
+        parts += [item(1, f"{m}:", 0.131, 0.2 + 0.0213 * i), item(1, "05-03-2024" if "Ημερομηνία" in m else F.concat(F.lit("A"), F.col("s_suppkey").cast("string")), 0.371, 0.2 + 0.0213 * i)]
+    parts += [item(2, h, _X[r], 0.12) for r, h in HEADINGS.items()]
+    for i, (label, value, unit, range_, base) in enumerate(LAYOUTS):
+        y, number = 0.17 + 0.05 * i, F.regexp_replace(F.round(F.col("v") % 5 + base, 1).cast("string"), r"\.", ",")
+        parts += [item(2, text, x, y + down, w) for text, x, down, w in label]
+        printed = F.concat(F.lit(value.split("{")[0]), number) if "{}" in value else value
+        parts += [item(2, text, _X[role], y, 0.05) for role, text in (("value", printed), ("unit", unit), ("range", range_)) if not isinstance(text, str) or text]
+    docs = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"), F.posexplode(F.array(*parts)).alias("item", "i"))
+    return docs.select("source_id", "i.page", (F.col("item") + 1).alias("item"), "i.text", "i.x", "i.y", "i.w", "i.h")
+
+
 def printed_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier as a page of two panels side by side, without table columns: ten rows of label, value, unit and range.
 

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -90,6 +91,21 @@ def test_bounded_osa(a, b, bound):
     assert fuzzy.osa(a, b, bound) == min(full_osa(a, b), max(0, bound) + 1)
 
 
+def test_osa_inside_the_jvm(spark):
+    rng, rows = random.Random(0), [(None, "a", 1), ("a", None, 1)]
+    for _ in range(400):
+        a = [rng.choice("abcdé") for _ in range(rng.choice([0, 1, 2, 5, 8, 20, 61, 62, 70]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, max(0, len(b) - 2))
+            b[at:at + 2] = rng.choice([b[at:at + 2][::-1], b[at:at + 1], [*b[at:at + 2], "x"], ["y", *b[at + 1:at + 2]]])
+        rows.append(("".join(a), "".join(b), rng.randint(-1, 4)))
+    df = spark.createDataFrame(rows, "a string, b string, n int")
+    got = df.select("a", "b", "n", fuzzy.osa_distance(F.col("a"), F.col("b"), F.col("n")).alias("d"))
+    assert all(r.d == (None if r.a is None or r.b is None else fuzzy.osa(r.a, r.b, r.n)) for r in got.collect())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_conversion_divides_back(spark):
     c = units.conversions(spark).where("marker_key = 'glucose'").collect()
     assert {(r.from_unit, r.to_unit, r.forward) for r in c} == {("mg/dL", "mmol/L", True), ("mmol/L", "mg/dL", False)}
@@ -141,7 +157,7 @@ def test_registry_faults(tmp_path):
 
 
 def test_categorical_and_missing():
-    assert readout.read(["Αρνητικό"], [True], False)[2::8] == ("Αρνητικό", "categorical")
-    assert readout.read(["Αρνητικό", "<10", "x"], [True] * 3)[-1] == "value" and readout.read(["Ίχνη", "Αρνητικό"], [True, False])[2:4] == ("Ίχνη", "Αρνητικό")
-    assert readout.read(["%"], [False])[-1] == "missing"
-    assert readout.read(["-"], [True], False)[-1] == "missing" and readout.read([], [], True)[-1] == "missing"
+    assert readout.read(["Αρνητικό"], [True], False)[2:11:8] == ("Αρνητικό", "categorical")
+    assert readout.read(["Αρνητικό", "<10", "x"], [True] * 3)[10] == "value" and readout.read(["Ίχνη", "Αρνητικό"], [True, False])[2:4] == ("Ίχνη", "Αρνητικό")
+    assert readout.read(["%"], [False])[10] == "missing"
+    assert readout.read(["-"], [True], False)[10] == "missing" and readout.read([], [], True)[10] == "missing"

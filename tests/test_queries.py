@@ -38,8 +38,3 @@ def test_query_equals_its_sql(spark, duck, name):
     a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=str)
     b = sorted((tuple(plain(v) for _, v in sorted(zip(names, r))) for r in want.fetchall()), key=str)
     assert a == b
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
