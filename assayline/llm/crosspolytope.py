@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .common import materialise, spread_join
+from .vector_classes import answers, best_classes, listed
 
 TABLES, FILL, REACH, ROUNDS = 6, 24, 1.15, 3
 PIECE, _CHUNK = 4096, 2048
@@ -149,15 +150,6 @@ def _asked(kind: type, bits: int, shift: int, tables: int, count: int | None):
     return run
 
 
-def best_classes(scores: np.ndarray, smallest: np.ndarray, want: int) -> np.ndarray:
-    """The ``want`` best rows by score, ties to the smaller id."""
-    if len(scores) > want:
-        kept = np.flatnonzero(scores >= np.partition(scores, -want)[-want])
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((smallest[kept], -scores[kept]))[:want]]
-
-
 def _met(kind: type, want: int):
     """Pieces come as runs: their classes in the order of codes, then the queries, which read the classes under their codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +215,7 @@ def _search(classes: DataFrame, asked: DataFrame, kind: type, want: int, bits: i
     met = met.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     right = met.select("key", "piece", F.lit(1).alias("side"), null("long").alias("code"), "codes", "qno", null("array<long>").alias("ids"), "v")
     both = left.unionByName(right).repartition("key", "piece").sortWithinPartitions("key", "piece", "side", "code")
-    found = both.mapInArrow(_met(kind, want), "qno long, vec_id long, score double").groupBy("qno", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("qno").orderBy(F.desc("score"), "vec_id"))
-    kept = found.withColumn("place", place).where(F.col("place") <= want)
-    return kept.groupBy("qno").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))), lambda s: F.struct(s["vec_id"].alias("vec_id"), s["score"].alias("score"))).alias("near"))
+    return listed(both.mapInArrow(_met(kind, want), "qno long, vec_id long, score double").groupBy("qno", "vec_id").agg(F.max("score").alias("score")), want)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "embedding", probed: Callable[[int], int] | None = None) -> DataFrame:
@@ -239,20 +228,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "emb
     """
     rows, kind = usable(vectors, column)
     rows = materialise(rows, "vectors")
-    queries = rows.where(is_query)
-    # an answer leaves out the query's own id, so as many more rows are kept as one id has vectors
-    want = k + (queries.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= want)
-    classes = materialise(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("salt", F.xxhash64("v")), "classes")
-    asked = materialise(queries.groupBy("v").agg(F.count(F.lit(1)).alias("times")).withColumn("qno", F.monotonically_increasing_id()), "asked")
-    bits = max(1, (max(1, classes.count()) // FILL).bit_length())
-    count = max(1, round(REACH * 2 ** (0.6 * bits))) if probed is None else probed(1 << bits)
-    found = materialise(_search(classes, asked, kind, want, bits, TABLES, count), "near")
-    few = asked.join(found.where(F.size("near") >= want).select("qno"), "qno", "left_anti")
-    if not few.isEmpty():
-        again = _search(classes, few, kind, want, bits, 1, None)
-        found = found.where(F.size("near") >= want).unionByName(again)
-    listed = materialise(asked.join(found, "qno").select("v", "times", "near"), "listed")
-    answers = spread_join(queries, listed, "v").withColumn("near", F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("vec_id")), 1, k))
-    out = answers.select(F.col("vec_id").alias("query_id"), F.posexplode("near").alias("place", "s"))
-    return out.select("query_id", (F.col("place") + 1).alias("rank"), "s.vec_id", "s.score")
+
+    def search(classes: DataFrame, asked: DataFrame, want: int) -> DataFrame:
+        bits = max(1, (max(1, classes.count()) // FILL).bit_length())
+        count = max(1, round(REACH * 2 ** (0.6 * bits))) if probed is None else probed(1 << bits)
+        found = materialise(_search(classes, asked, kind, want, bits, TABLES, count), "near")
+        full = found.where(F.size("near") >= want)
+        few = asked.join(full.select("qno"), "qno", "left_anti")
+        return found if few.isEmpty() else full.unionByName(_search(classes, few, kind, want, bits, 1, None))
+
+    return answers(rows, is_query, k, search)

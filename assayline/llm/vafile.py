@@ -1,29 +1,35 @@
 """Exact top-k search through vector-approximation files.
 
-The vectors are written once as a VA-file: blocks of at most ``BLOCK`` vectors of one length, each with the cell
-numbers of all components on a grid of 2**bits cells per dimension, the grid, and the exact vectors. Queries are
-written as blocks too. Every block of vectors meets every block of queries: the scan of the cells bounds all
-inner products from both sides, and only then exact vectors are read, by their place, in the order of their
-bounds until the k-th exact score proves that no unread vector can enter the result.
+The vectors are written once as a VA-file: blocks of at most ``BLOCK`` vectors of one length, each with the cell numbers of
+all components on a grid of 2**bits cells per dimension, the grid, and, in columns that only the last pass reads, the exact
+vectors. Three passes answer all queries:
 
-The blocks of vectors are dealt to parts and stay there; the blocks of queries, by the contract a fixed share of the rows, are
+1. every block's cells meet every block of queries and bound all inner products from both sides; a query's k-th largest
+   lower bound, over all blocks, is its floor;
+2. the cells again: vectors whose upper bound reaches the floor are named, block by block, in the order of their bounds;
+3. only blocks with a named vector send their exact vectors, which are read in that order until the k-th exact score of the
+   block proves that no unread one can enter the result.
+
+The blocks of cells are dealt to parts and stay there; the blocks of queries, by the contract a fixed share of the rows, are
 copied to every part. The plan has the same size however many queries there are, nothing is broadcast or brought to the
-driver, and a task holds one block of each side at a time. Of every pair of blocks k rows a query are shuffled at most.
+driver, and a task holds one block of each side at a time. Equal vectors are one class (``vector_classes``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .vector_classes import answers, best_classes, listed
 
 BLOCK, PART = 1024, 1 << 16
-_FILE = "dims int, ids binary, exact binary, cells binary, low binary, width binary"
+_FILE = "dims int, cells binary, low binary, width binary, exact binary, members array<array<long>>"
 
 
 def quantised(df: DataFrame, column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -40,25 +46,29 @@ def quantised(df: DataFrame, column: str = "embedding", scale: int = 256) -> Dat
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: floor(x.cast("double") * scale)).alias("v"))
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dims, ids, matrix) of at most ``BLOCK`` vectors of one length, as many together as the batches allow."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lengths, ids = np.asarray(b["v"].value_lengths()), np.asarray(b["vec_id"])
-        for dims in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == dims)
-            x = np.asarray(b["v"].take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dims)
-            parts = held.setdefault(dims, [])
-            parts.append((ids[rows], x))
-            if sum(len(i) for i, _ in parts) >= BLOCK:
-                all_ids, all_x = np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
-                whole = len(all_ids) - len(all_ids) % BLOCK
-                for at in range(0, whole, BLOCK):
-                    yield dims, all_ids[at:at + BLOCK], all_x[at:at + BLOCK]
-                held[dims] = [(all_ids[whole:], all_x[whole:])] if whole < len(all_ids) else []
-    for dims, parts in held.items():
-        if parts:
-            yield dims, np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
+        flat, ends = np.asarray(b["v"].flatten(), np.float64), np.cumsum(np.asarray(b["v"].value_lengths()))
+        parts = [flat[a:z].tobytes() for a, z in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends, strict=True)] if len(ends) else []
+        yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(parts, pa.binary())], ["vec_id", "v"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[pa.RecordBatch]]]:
+    """(dims, matrix, rows) of at most ``BLOCK`` vectors of one length, as many together as the batches allow."""
+    held: dict[int, list[tuple[bytes, dict]]] = {}
+
+    def made(dims: int, rows: list[dict]) -> tuple[int, np.ndarray, list[dict]]:
+        return dims, np.frombuffer(b"".join(r["v"] for r in rows), np.float64).reshape(-1, dims), rows
+
+    for b in batches:
+        for row in b.to_pylist():
+            dims = len(row["v"]) // 8
+            rows = held.setdefault(dims, [])
+            rows.append(row)
+            if len(rows) == BLOCK:
+                yield made(dims, held.pop(dims))
+    for dims, rows in held.items():
+        yield made(dims, rows)
 
 
 def cells_of(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +78,15 @@ def cells_of(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.clip((x - low) // width, 0, (1 << bits) - 1).astype(np.uint8), low, width
 
 
+def bounds(cells: np.ndarray, low: np.ndarray, width: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of the inner products of all queries (rows) with all vectors (columns), from the cells alone."""
+    mid = cells * width + (low + (width - 1) / 2)
+    centre = q @ mid.T
+    # half a cell either way, and what rounding of the sums can hide
+    slack = np.abs(q) @ ((width + 1) / 2) + 1e-9 * (np.abs(q) @ np.abs(mid).max(axis=0, initial=0)) + 1e-6
+    return centre - slack[:, None], centre + slack[:, None]
+
+
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products as int64. Doubles are exact below 2**53; larger products use whole numbers."""
     if x.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[-1] >= 2.0**53:
@@ -75,71 +94,134 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x @ q).astype(np.int64)
 
 
-def search_block(cells: np.ndarray, low: np.ndarray, width: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int,
-                 step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of one block for every query by the VA-file method: (query ids, vector ids, scores)."""
-    mid = cells * width + (low + (width - 1) / 2)
-    centre = mid @ q.T
-    # half a cell either way, and what rounding of the sums can hide
-    slack = np.abs(q) @ ((width + 1) / 2) + 1e-9 * (np.abs(q) @ np.abs(mid).max(axis=0, initial=0)) + 1e-6
-    out = []
-    for j in range(len(q)):
-        upper, lower = centre[:, j] + slack[j], centre[:, j] - slack[j]
-        need = k + int((ids == q_ids[j]).sum())
-        floor = np.partition(lower, -need)[-need] if len(ids) > need else -np.inf
-        near = np.flatnonzero((upper >= floor) & (ids != q_ids[j]))
-        near = near[np.argsort(-upper[near], kind="stable")]
-        best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
-        for at in range(0, len(near), step):
-            if len(best_s) == k and upper[near[at]] < best_s[-1]:
-                break
-            part = near[at:at + step]
-            s, i = np.concatenate([best_s, _exact(x[part], q[j])]), np.concatenate([best_i, ids[part]])
-            order = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[order], i[order]
-        out.append((np.full(len(best_s), q_ids[j]), best_i, best_s))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+def read_in_order(x: np.ndarray, q: np.ndarray, places: np.ndarray, upper: np.ndarray, smallest: np.ndarray, want: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the best ``want`` named vectors of a block; ``places`` come by descending upper bound, and reading stops once it is certain."""
+    best, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, len(places), step):
+        if len(best) == want and upper[at] < scores[-1]:
+            break
+        part = places[at:at + step]
+        best, scores = np.concatenate([best, part]), np.concatenate([scores, _exact(x[part], q)])
+        keep = best_classes(scores, smallest[best], want)
+        best, scores = best[keep], scores[keep]
+    return best, scores
 
 
 def _filed(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dims, ids, x in _matrices(batches):
-            parts = [ids.astype(np.int64), x, *cells_of(x, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *[pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts]], ["dims", "ids", "exact", "cells", "low", "width"])
+        for dims, x, rows in _blocks(batches):
+            parts = [np.ascontiguousarray(p).tobytes() for p in (*cells_of(x, bits), x)]
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *[pa.array([p], pa.binary()) for p in parts], pa.array([[r["ids"] for r in rows]], pa.list_(pa.list_(pa.int64())))], [f.split()[0] for f in _FILE.split(", ")])
 
     return run
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for dims, ids, x in _matrices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dims", "q_ids", "q"])
+    for dims, q, rows in _blocks(batches):
+        floor = np.array([r["floor"] for r in rows], np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array([r["qno"] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary()), pa.array([floor.tobytes()], pa.binary())], ["dims", "qnos", "q", "floors"])
+
+
+def _met(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query numbers, queries, lower, upper) of one pair of blocks."""
+    dims = b["dims"][r].as_py()
+    of = lambda c, kind=np.float64: np.frombuffer(b[c][r].as_buffer(), kind)
+    q = of("q").reshape(-1, dims)
+    return of("qnos", np.int64), q, *bounds(of("cells", np.uint8).reshape(-1, dims), of("low"), of("width"), q)
+
 
+def _floors(want: int):
+    """Each query's ``want`` largest lower bounds over the blocks of a part that follow one another."""
+    def emit(qnos: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        real = best > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qnos, best.shape[1])[real.ravel()]), pa.array(best[real])], ["qno", "lower"])
 
-def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best = None, None
         for b in batches:
             for r in range(b.num_rows):
-                dims = b["dims"][r].as_py()
-                of = lambda c, kind=np.float64, r=r, b=b: np.frombuffer(b[c][r].as_buffer(), kind)
-                found = search_block(of("cells", np.uint8).reshape(-1, dims), of("low"), of("width"), of("exact").reshape(-1, dims), of("ids", np.int64), of("q").reshape(-1, dims), of("q_ids", np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
+                qnos, _, lower, _ = _met(b, r)
+                if held is not None and not np.array_equal(held, qnos):
+                    yield emit(held, best)
+                    held = None
+                best = lower if held is None else np.concatenate([best, lower], axis=1)
+                best, held = (np.partition(best, -want, axis=1)[:, -want:] if best.shape[1] > want else best), qnos.copy()
+        if held is not None:
+            yield emit(held, best)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6) -> DataFrame:
-    """The k best candidates of every query by integer inner product, ties to the smaller id.
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, qno, q, places, uppers): for each query the vectors of a block whose upper bound reaches its floor, best bound first."""
+    for b in batches:
+        for r in range(b.num_rows):
+            qnos, q, _, upper = _met(b, r)
+            floor, out = np.frombuffer(b["floors"][r].as_buffer(), np.float64), ([], [], [], [])
+            reach = upper >= floor[:, None]
+            for j in np.flatnonzero(reach.any(axis=1)).tolist():
+                near = np.flatnonzero(reach[j])
+                near = near[np.argsort(-upper[j, near], kind="stable")]
+                for c, v in zip(out, (int(qnos[j]), q[j].tobytes(), near.astype(np.int32).tobytes(), upper[j, near].tobytes()), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array([b["block"][r].as_py()] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["block", "qno", "q", "places", "uppers"])
+
+
+def _read(want: int):
+    """Blocks come as their exact vectors, then the queries that name some of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, x, members, smallest = None, None, None, None
+        for b in batches:
+            out = ([], [], [])
+            for r in range(b.num_rows):
+                block = b["block"][r].as_py()
+                if b["side"][r].as_py() == 0:
+                    members = b["members"][r].as_py()
+                    held, x = block, np.frombuffer(b["exact"][r].as_py(), np.float64).reshape(len(members), -1)
+                    smallest = np.array([m[0] for m in members])
+                    continue
+                if block != held:
+                    raise ValueError("a named block is missing")
+                of = lambda c, kind, r=r, b=b: np.frombuffer(b[c][r].as_buffer(), kind)
+                places, scores = read_in_order(x, of("q", np.float64), of("places", np.int32).astype(np.int64), of("uppers", np.float64), smallest, want)
+                for p, s in zip(places.tolist(), scores.tolist(), strict=True):
+                    for c, v in zip(out, ([b["qno"][r].as_py()] * len(members[p]), members[p], [s] * len(members[p])), strict=True):
+                        c += v
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["qno", "vec_id", "score"])
 
-    ``vectors`` and ``queries`` hold (vec_id, v) as ``quantised`` makes them. A query never
-    meets rows of its own id; vectors of another length than the query's take no part. Repeated
-    rows count as often as they occur. Empty inputs give an empty result.
-    """
-    file = materialise(vectors.mapInArrow(_filed(bits), _FILE), "vafile")
-    asked = materialise(queries.mapInArrow(_asked, "dims int, q_ids binary, q binary"), "asked")
+    return run
+
+
+def _search(classes: DataFrame, asked: DataFrame, want: int, bits: int) -> DataFrame:
+    """(qno, near) by the three passes."""
+    file = materialise(classes.mapInArrow(_filed(bits), _FILE).withColumn("block", F.monotonically_increasing_id()), "vafile")
     parts = max(1, -(-(file.count() * BLOCK) // PART))
-    file = file.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    met = file.join(asked.hint("merge"), ["dims", "part"])
-    found = met.select("dims", "ids", "exact", "cells", "low", "width", "q_ids", "q").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cells = file.select("dims", "block", "cells", "low", "width").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+
+    def meet(queries: DataFrame) -> DataFrame:
+        blocks = materialise(queries.select("v", "qno", "floor").mapInArrow(_asked, "dims int, qnos binary, q binary, floors binary"), "asked")
+        copied = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return copied.join(cells.hint("merge"), ["dims", "part"]).select("block", "dims", "qnos", "q", "floors", "cells", "low", "width")
+
+    lower = meet(asked.withColumn("floor", F.lit(float("-inf")))).mapInArrow(_floors(want), "qno long, lower double")
+    place = F.row_number().over(Window.partitionBy("qno").orderBy(F.desc("lower")))
+    kth = lower.withColumn("place", place).where(F.col("place") == want).select("qno", F.col("lower").alias("floor"))
+    floored = materialise(asked.join(kth, "qno", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
+    named = materialise(meet(floored).mapInArrow(_named, "block long, qno long, q binary, places binary, uppers binary"), "named")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    shelf = file.select("block", "exact", "members").join(named.select("block").distinct(), "block", "left_semi")
+    both = shelf.select("block", F.lit(0).alias("side"), "exact", "members", null("qno", "long"), null("q", "binary"), null("places", "binary"), null("uppers", "binary")).unionByName(
+        named.select("block", F.lit(1).alias("side"), null("exact", "binary"), null("members", "array<array<long>>"), "qno", "q", "places", "uppers"))
+    found = both.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_read(want), "qno long, vec_id long, score long")
+    return listed(found, want)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 6) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best rows by integer inner product for every row that ``is_query``, ties to the smaller id.
+
+    ``vectors`` holds (vec_id, v) as ``quantised`` makes them; ``is_query`` is an expression of vec_id. A query never meets rows of its own id, nor
+    vectors of another length than its own. A row repeated with the same vector counts once; an id with several vectors asks once, and
+    is found once, for each of them. Empty inputs give an empty result.
+    """
+    rows = materialise(vectors.mapInArrow(_packed, "vec_id long, v binary").distinct(), "vectors")
+    return answers(rows, is_query, k, partial(_search, bits=bits))
