@@ -257,6 +257,10 @@ _REWRITES = {
     "literal": (re.compile(_LITERAL.pattern.encode()), lambda e: _literal_part(e.decode())[0].encode("latin-1"), re.compile(rb"\\(?:x[0-9A-Fa-f]?)?\Z"))}
 
 
+#: What a window must hold before its escapes are looked for.
+_HINTS = {"url": (b"%",), "unicode": (b"\\u", b"\\U", b"\\x", b"&#"), "literal": (b"\\x",)}
+
+
 class Gather:
     """What a reader decodes: a layer of its own if it stays small, else a flow."""
 
@@ -294,7 +298,7 @@ class Flow:
 
     def __init__(self, begin: int, end: int, path: tuple[str, ...], found: dict, heads: tuple = ()) -> None:
         self.begin, self.end, self.path, self.found, self.heads = begin, end, path, found, heads
-        self.held, self.inside, self.handled, self.readers, self.names, self.first, self.idle = b"", False, 0, [], set(), True, False
+        self.parts, self.size, self.inside, self.handled, self.readers, self.names, self.first, self.idle = [], 0, False, 0, [], set(), True, False
 
     def report(self, findings: list[tuple[int, int, int]], path: tuple[str, ...]) -> None:
         for _, k, _ in findings:
@@ -315,16 +319,17 @@ class Flow:
             for r in self.readers:
                 r.feed(part)
             self.readers = [r for r in self.readers if not r.done]
-            self.held += part
-            if len(self.held) >= PIECE + 2 * OVERLAP:
+            self.parts.append(part)
+            self.size += len(part)
+            if self.size >= PIECE + 2 * OVERLAP:
                 self._window(last=False)
 
     def close(self) -> None:
-        if self.held and not self.idle:
+        if self.size and not self.idle:
             self._window(last=True)
         for r in self.readers:
             r.close()
-        self.readers, self.held = [], b""
+        self.readers, self.parts = [], []
 
     def _read(self, reader, window: bytes) -> None:
         reader.feed(window)
@@ -332,7 +337,7 @@ class Flow:
             self.readers.append(reader)
 
     def _window(self, last: bool) -> None:
-        window = self.held
+        window = b"".join(self.parts)
         if self.first:
             head, self.first = hashlib.blake2b(window[:PIECE], digest_size=16).digest(), False
             if self.heads.count(head) >= CYCLE:
@@ -352,7 +357,7 @@ class Flow:
             if m.end() > self.handled:
                 self._read(Inflate(Gather(self, "compressed")), window[m.start():])
         for name, (pattern, part, wait) in _REWRITES.items():
-            if name not in self.names and pattern.search(window) and (name != "literal" or b"\\x" in window):
+            if name not in self.names and any(h in window for h in _HINTS[name]) and pattern.search(window):
                 self.names.add(name)
                 self._read(Rewrite(Gather(self, name), pattern, part, wait), window)
         keep = len(window)
@@ -362,7 +367,7 @@ class Flow:
             keep = len(window) - OVERLAP if giant else min(run, len(window) - OVERLAP)
             sign = re.compile(rb"[" + _SIGNS + rb"]")
             self.inside = bool(giant or (sign.match(window, keep - 1) and sign.match(window, keep)))
-        self.handled, self.held = len(window) - keep, window[keep:]
+        self.handled, self.parts, self.size = len(window) - keep, [window[keep:]], len(window) - keep
 
 
 def _open_run(window: bytes) -> int | None:
