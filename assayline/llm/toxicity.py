@@ -136,9 +136,13 @@ def _hashes(batches):
 
 
 def _collect(texts: DataFrame, most: int) -> list[np.ndarray]:
-    """The features of the ``most`` rows of the lowest hashes among those drawn: whatever their order."""
-    got = texts.select(_pick("doc_id").alias("pick"), F.col("text").cast("string").alias("text")).mapInArrow(_hashes, "pick long, x binary").toArrow()
-    found = [np.frombuffer(x, np.uint32) for _, x in sorted(zip(got["pick"].to_pylist(), got["x"].to_pylist(), strict=True))[:most]]
+    """The features of the ``most`` rows of the lowest hashes among those drawn, whatever their order; repeated rows count once.
+
+    The rows are cut where they lie, so an id with any number of rows brings no more than ``most`` to the driver.
+    """
+    read = texts.select(_pick("doc_id").alias("pick"), F.col("text").cast("string").alias("text")).mapInArrow(_hashes, "pick long, x binary")
+    got = read.distinct().orderBy("pick", "x").limit(most).toArrow()
+    found = [np.frombuffer(x, np.uint32) for x in got["x"].to_pylist()]
     del got
     pa.default_memory_pool().release_unused()
     return found
@@ -153,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Cl
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     n_labels, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n_docs = docs.count()
+    n_docs = docs.select("doc_id").distinct().count()  # drawn by id: repeated rows must not change the draw
     drawn = usable.where(F.col("toxic") == 1).where(_draw("doc_id", sample, n_toxic)).select("doc_id")
     positive = _collect(docs.join(F.broadcast(drawn), "doc_id", "left_semi"), sample)
     unlabelled = _collect(docs.where(learn(F.col("doc_id"))).where(_draw("doc_id", 2 * sample, n_docs)), 2 * sample)

@@ -114,3 +114,14 @@ def test_families_of_three_and_a_single_language():
     h = langid.Hierarchy(x, langs)
     assert len(h.families) == 4 and set(h.pairs) == {("de", "en"), ("es", "fr")}
     assert langid.Hierarchy(x[:5], ["en"] * 5).predict(b"hello")[0] == "en"
+
+
+def test_a_row_repeated_many_times_leaves_the_toxicity_model_as_it_is(spark):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    text = lambda bad: " ".join([*rng.choices(words, k=20), *(["nastyterm", "viletalk"] if bad else [])])
+    rows = [(i, text(i % 10 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    model = lambda extra: toxicity.train(spark.createDataFrame(rows + extra, "doc_id long, text string").repartition(3), labels, lambda i: i >= 0, sample=60)
+    once, often = model([]), model([rows[10]] * 10000)
+    assert once.weights == often.weights and once.offset == often.offset and once.weights

@@ -31,8 +31,9 @@ def test_run_on_a_small_table(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 100
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op5_topk_search"])
+@pytest.mark.parametrize("name", [f"op{i}" for i in (1, 2, 3, 4, 6, 7, 8, 9, 10)])
 def test_every_query_covers_its_table(spark, name):
+    name = next(n for n in queries.QUERIES if n.startswith(f"{name}_"))
     got = queries.QUERIES[name](spark, SF)
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     everything = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
@@ -47,6 +48,9 @@ def test_the_rest_stands_without_these_folders(tmp_path):
 
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
-    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True).returncode == 0
-    run = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider", "-k", "functions or confirm_gate or series_build or greedy or store"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": os.pathsep.join([str(copy), os.environ.get("PYTHONPATH", "")])}, capture_output=True).returncode == 0
+    inherited = os.pathsep.join([str(copy), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))])
+    # every test of the rest is collected; of the queries' own, which the driver runs anyway, a few are run again here
+    chosen = "not test_query_equals_its_sql or confirm_gate or series_build or greedy or parse_layouts"
+    run = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider", "-k", chosen], cwd=copy, env={**os.environ, "PYTHONPATH": inherited}, capture_output=True, text=True)
     assert run.returncode == 0, run.stdout[-2000:]
