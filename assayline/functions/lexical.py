@@ -6,8 +6,10 @@ import json
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def _decompositions() -> tuple[str, str, dict[str, str]]:
@@ -59,16 +61,39 @@ CONTROL = r"[\x00-\x1F\x7F]"
 
 
 def normalise_label(text: Column) -> Column:
-    """Compatibility letters, no marks, lower case, one sigma, single blanks; exact but for Hangul syllables.
+    """Compatibility letters, no marks, lower case, one sigma, single blanks; exact but for Hangul syllables and letters beyond the basic plane.
 
-    Texts of Latin and Greek letters take a short table, texts with a rarer character the whole one; only those
-    with a character that is spelt out go through it character by character.
+    For labels and inside lambdas; whole texts go through ``normalise_text``. ASCII texts need no table; texts of Latin and Greek letters
+    take a short one, texts with a rarer character the whole one; only those with a character that is spelt out go through it
+    character by character.
     """
     table = F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>")
     spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     full = F.translate(F.when(text.rlike(_SPELT), spelt).otherwise(text), _FROM, _TO)
     plain = F.when(text.rlike(_RARE), full).otherwise(F.translate(text, _NEAR_FROM, _NEAR_TO))
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.regexp_replace(plain, r"\p{M}", "")), "ς", "σ"), r"(?U)\s+", " "))
+    full = F.regexp_replace(F.translate(F.lower(F.regexp_replace(plain, r"\p{M}", "")), "ς", "σ"), r"(?U)\s+", " ")
+    return F.trim(F.when(text.rlike(r"^[\x21-\x7E]*$"), F.lower(text)).when(text.rlike(r"^[\x00-\x7F]*$"), F.regexp_replace(F.lower(text), r"\s+", " ")).otherwise(full))
+
+
+#: Every combining mark, to be dropped; blanks as the column form sees them.
+_MARKS = dict.fromkeys(c for c in range(0x110000) if unicodedata.category(chr(c)).startswith("M"))
+_BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
+
+
+def fold_text(text: str) -> str:
+    """``normalise_label`` of one whole text, for the kernels that read texts in Arrow batches; exact for every character."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
+    return _BLANKS.sub(" ", text.lower().replace("ς", "σ")).strip(" ")
+
+
+def normalise_text(text: Column) -> Column:
+    """``normalise_label`` of whole texts, in Arrow batches."""
+    @pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else fold_text(t) for t in texts], dtype=object)
+
+    return folded(text)
 
 
 def fold_label(text: str) -> str:

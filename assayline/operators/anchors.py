@@ -22,7 +22,8 @@ def placed_tokens(items: Column) -> Column:
 
 
 def _code(norm: Column) -> Column:
-    return F.translate(F.regexp_replace(norm, r"\s*([()])\s*", "$1"), GREEK, LATIN)
+    tight = F.when(norm.rlike(r"[()]"), F.regexp_replace(norm, r"\s*([()])\s*", "$1")).otherwise(norm)
+    return F.when(norm.rlike(r"^[\x00-\x7F]*$"), tight).otherwise(F.translate(tight, GREEK, LATIN))
 
 
 def token_runs(placed: Column) -> Column:
@@ -72,7 +73,8 @@ def exact_hits(runs: Column, registry: list[Marker]) -> Column:
     codes = _first([(fold_abbreviation(a), i, m.key) for i, m in enumerate(registry) for a in m.abbreviations])
     names_ = _first([(fold_label(a), i, m.key) for i, m in enumerate(registry) for a in [m.en, m.el, *m.aliases] if a])
     sizes = sorted({len(n.split(" ")) for n in names_})
-    in_ = lambda c, forms: c.isin(*forms) if forms else F.lit(False)
+    listed = lambda forms: F.from_json(F.lit(json.dumps(sorted(forms), ensure_ascii=False)), "array<string>")
+    in_ = lambda c, forms: F.array_contains(listed(forms), c)
     hit = lambda r, marker, tier: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), marker.alias("marker"), F.lit(tier).alias("tier"), r["text"].alias("text"), r["first"].alias("first"), r["last"].alias("last")).cast(HIT)
 
     def windows(norm: Column) -> Column:
@@ -145,7 +147,7 @@ def anchors(rows: DataFrame, fuzzy: bool = True, registry: list[Marker] | None =
 def known_label(label: Column, registry: list[Marker] | None = None) -> Column:
     """The marker whose name a label is, or null."""
     forms = _first([(fold_label(a), i, m.key) for i, m in enumerate(MARKERS if registry is None else registry) for a in [m.en, m.el, *m.aliases] if a])
-    return F.transform(F.array(normalise_label(label)), lambda n: F.when(n.isin(*forms), F.element_at(_dictionary(forms), n)["key"]))[0] if forms else F.lit(None).cast("string")
+    return F.transform(F.array(normalise_label(label)), lambda n: F.element_at(_dictionary(forms), n)["key"])[0]
 
 
 def box_of(items: Column, first: Column, last: Column) -> Column:

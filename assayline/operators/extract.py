@@ -186,7 +186,7 @@ def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     read = read.where(known | after).withColumns({f"c_{r}": _cell(r) for r in ("label", "value", "unit", "range")})
     part = lambda f: F.transform("cells", lambda x: x[f])
     read = read.withColumn("k", read_outward(part("w"), part("r"), part("i"), part("v")))
-    plain = F.transform(F.array(positional_of()), lambda p: F.when(~known, p))[0]
+    plain = F.when(~known, positional_of())  # only rows without a marker are read so
     dim = F.broadcast(markers(items.sparkSession, registry).select(F.col("marker_key").alias("_marker"), "low", "high"))
     read = read.withColumn("u", plain).where(known | F.col("u").isNotNull())
     key = F.coalesce("hit.marker", known_label(F.col("c_label"), registry), derived_key(F.col("c_label")))
@@ -224,11 +224,11 @@ def _placed(read: DataFrame) -> DataFrame:
                         lambda a: F.struct((a + F.length(e["t"]["text"])).alias("at"), F.concat(s["all"], F.array(F.struct(e["n"].alias("n"), a.alias("a"), (a + F.length(e["t"]["text"])).alias("z")))).alias("all")))[0], lambda s: s["all"])
     covered = F.filter(spans, lambda s: (s["n"] >= F.col("hit.start")) & (s["n"] < F.col("hit.stop")))
     read = read.withColumns({"item_ids": ids, "box_left": lowest("x"), "box_top": lowest("y"), "box_right": highest("x", "w"), "box_bottom": highest("y", "h")})
-    single = (F.size("item_ids") == 1) & F.col("hit").isNotNull()
-    stop = F.array_max(F.transform(covered, lambda s: s["z"]))
+    read = read.withColumn("_spans", F.when((F.size("item_ids") == 1) & F.col("hit").isNotNull(), covered))
+    stop = F.array_max(F.transform("_spans", lambda s: s["z"]))
     # a code printed without a blank before it is the end of its token
-    begin = F.when((F.col("hit.stop") - F.col("hit.start") == 1) & F.startswith(F.col("hit.text"), F.lit("(")), stop - F.length("hit.text")).otherwise(F.array_min(F.transform(covered, lambda s: s["a"])))
-    return read.withColumns({"text_start": F.when(single, begin), "text_end": F.when(single, stop)})
+    begin = F.when((F.col("hit.stop") - F.col("hit.start") == 1) & F.startswith(F.col("hit.text"), F.lit("(")), stop - F.length("hit.text")).otherwise(F.array_min(F.transform("_spans", lambda s: s["a"])))
+    return read.withColumns({"text_start": begin, "text_end": stop})
 
 
 def positional_of() -> Column:

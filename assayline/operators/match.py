@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import deletions, fuzzy_bound, osa_distance
-from ..functions.lexical import normalise_label
+from ..functions.lexical import fold_text, normalise_label
 
 _KEY_WORDS = 3
 #: Characters of a dictionary that one automaton holds.
@@ -29,14 +29,14 @@ def _windows(text: Column, sizes: list[int]) -> Column:
 
 
 def _scan(words: list[str]):
-    """Which of the words each text holds between blanks: one pass of an Aho-Corasick automaton, built once a worker's task."""
+    """Which of the words each text, once normalised, holds between blanks: one pass of an Aho-Corasick automaton, built once a worker's task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ahocorasick.Automaton()
         for n, w in enumerate(words):
             automaton.add_word(f" {w} ", n)
         automaton.make_automaton()
         for b in batches:
-            found = [sorted({n for _, n in automaton.iter(f" {t} ")}) if t else [] for t in b["text"].to_pylist()]
+            found = [sorted({n for _, n in automaton.iter(f" {fold_text(t)} ")}) if t else [] for t in b["text"].to_pylist()]
             kept = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(kept)), pa.array([n for f in found for n in f], pa.int32())], ["doc_id", "word_no"])
 
@@ -54,10 +54,9 @@ def contained(docs: DataFrame, items: DataFrame, most: int = MOST_DICTIONARY) ->
     if (distinct.agg(F.sum(F.length("alias"))).first()[0] or 0) > most:
         return contained_by_words(docs, items)
     words = sorted(r.alias for r in distinct.collect())  # bounded by ``most``
-    texts = docs.select("doc_id", normalise_label(F.col("text")).alias("text"))
     if not words:
-        return texts.join(items, F.lit(False)).select("doc_id", "item_id")
-    hits = texts.mapInArrow(_scan(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word_no int").distinct()
+        return docs.select("doc_id").join(items, F.lit(False)).select("doc_id", "item_id")
+    hits = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word_no int").distinct()
     numbered = items.join(F.broadcast(items.sparkSession.createDataFrame(list(enumerate(words)), "word_no int, alias string")), "alias").select("word_no", "item_id").distinct()
     return hits.join(numbered, "word_no").select("doc_id", "item_id").distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import derived_key, normalise_label
 from ..operators import profile, review
-from ..sources.labview import LINE_ORDER, MEASUREMENTS_SQL, measurements, reports, table
+from ..sources.labview import LINE_ORDER, MEASUREMENTS_SQL, draft_rows, measurements, reports, table
 from .registry import query, values
 
 _LINE = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity"
@@ -193,6 +193,40 @@ def profile_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("report_id", "outcome", F.col("profile.total").alias("total"))
 
 
+_DAMAGE = """CASE o_orderkey % 14 WHEN 1 THEN 'profile.schemaVersion|schema-version' WHEN 2 THEN 'profile.id|id' WHEN 3 THEN 'profile.reports[0].collectedAt.date|date' WHEN 4 THEN 'profile.reports[0].measurements[0].status|status'
+        WHEN 5 THEN 'profile.reports[0].measurements[0].value|value-missing' WHEN 6 THEN 'profile.reports[0].measurements[0].referenceRange|range-order' WHEN 7 THEN 'profile.reports[0].measurements|repeated-marker' WHEN 8 THEN 'profile.reports[1].id|repeated-report'
+        WHEN 9 THEN 'profile.reports[r' || o_orderkey || '].measurements[x:m1].label|label-email' WHEN 10 THEN 'profile.reports[0].measurements[0].value|number' WHEN 11 THEN 'profile.reports[0].collectedAt|same-day' WHEN 12 THEN 'profile.reports[0].measurements|too-many' END"""
+
+
+@query(f"""
+    WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT o_orderkey AS report_id, {_DAMAGE} AS fault FROM orders JOIN n ON l_orderkey = o_orderkey WHERE o_orderkey % 14 <> 13),
+    r AS (SELECT report_id, CASE WHEN fault IS NULL THEN 'ok' ELSE 'invalid-profile' END AS outcome, split_part(fault, '|', 1) AS path, split_part(fault, '|', 2) AS rule FROM d)
+    SELECT report_id, outcome, path, rule FROM r UNION ALL SELECT o_orderkey, 'version', NULL, NULL FROM orders JOIN n ON l_orderkey = o_orderkey WHERE o_orderkey % 14 = 13""")
+def validated_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole profiles as JSON files, most of them damaged, read back: the first broken rule by document order, with its path."""
+    from ..sources import profile_file
+
+    k = F.col("report_id") % 14
+    m = draft_rows(spark, sf_dir).where(F.col("row_no").isNotNull())
+    first = F.col("row_no") == 1
+    value = F.when((k == 5) & first, F.lit(None).cast("double")).otherwise(F.coalesce("value", F.lit(1.0)))
+    # one text for a number makes a JSON string, so numbers are written as they are and the damaged one in quotes
+    body = F.to_json(F.struct(F.concat(F.lit("x:m"), "row_no").alias("markerKey"), F.when((k == 9) & first, "a.b@c.gr").otherwise("some label").alias("label"), F.when((k == 4) & first, "odd").otherwise("value").alias("status"), value.alias("value"),
+                              F.lit(None).cast("string").alias("comparator"), F.lit("mg/dL").alias("unit"), F.struct(F.lit("closed").alias("kind"), F.when((k == 6) & first, 9).otherwise(1).alias("min"), F.lit(5).alias("max")).alias("referenceRange"),
+                              (F.col("row_no") - 1).alias("sourceOrder")), {"ignoreNullFields": "false"})
+    body = F.when((k == 10) & first, F.regexp_replace(body, r'"value":([0-9.]+)', '"value":"$1"')).otherwise(body)
+    g = m.withColumn("body", body).groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "body"))), lambda x: x["body"]).alias("l"))
+    lists = F.when(k == 7, F.concat("l", F.slice("l", 1, 1))).when(k == 12, F.concat("l", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.replace(F.col("l")[0], F.lit("x:m1"), F.concat(F.lit("x:n"), i.cast("string")))))).otherwise(F.col("l"))
+    at = F.when(k == 3, "2024-02-30").otherwise("2024-02-29")
+    report = lambda id_: F.concat(F.lit('{"id":"'), id_, F.lit('","collectedAt":{"date":"'), at, F.lit('","time":null,"precision":"day"},"measurements":['), F.array_join(lists, ","), F.lit("]}"))
+    name = F.concat(F.lit("r"), F.col("report_id").cast("string"))
+    reports_ = F.when(k == 8, F.concat(report(name), F.lit(","), report(name))).when(k == 11, F.concat(report(name), F.lit(","), report(F.concat(name, F.lit("b"))))).otherwise(report(name))
+    text = F.concat(F.lit('{"format":"' + profile_file.FORMAT + '","v":'), F.when(k == 13, "2").otherwise("1"), F.lit(',"profile":{"schemaVersion":'), F.when(k == 1, "2").otherwise("1"), F.lit(',"id":"'), F.when(k == 2, "").otherwise("p"), F.lit('","reports":['), reports_, F.lit("]}}"))
+    # files are far larger than the rows that they are made of here, so the small shuffle before them must not be drawn into one task
+    files = g.select("report_id", F.encode(text, "UTF-8").alias("content")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "report_id")
+    return profile_file.read_validated(files, "report_id").select("report_id", "outcome", "path", "rule")
+
+
 @query(f"""WITH {MEASUREMENTS_SQL}, e AS (SELECT report_id, CASE WHEN l_partkey % 10 = 3 THEN 'm' || (l_partkey - 1) ELSE marker_key END AS marker_key FROM measurements)
     SELECT report_id, marker_key, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 2""")
 def review_reassign(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,38 @@ def test_progress_and_cancelling_between_sources(spark, tmp_path):
                 break
             time.sleep(0.1)
     assert sum(n for _, _, n in seen.events) == 5 and seen.started == seen.ended
+
+
+def test_validated_profiles_name_the_first_broken_rule(spark):
+    import copy
+    import json
+
+    from assayline.sources import profile_file
+
+    def m(key, **change):
+        return {"markerKey": key, "status": "value", "value": 1.5, "comparator": None, "unit": "mg/dL", "referenceRange": {"kind": "closed", "min": 1, "max": 5}, "sourceOrder": 0, **change}
+
+    def report(id_, date="2024-02-29", time=None, ms=()):
+        return {"id": id_, "collectedAt": {"date": date, "time": time, "precision": "minute" if time else "day"}, "measurements": list(ms)}
+
+    good = {"schemaVersion": 1, "id": "p", "reports": [report("a", ms=[m("hb"), m("x:odd", label="some label", status="categorical", value=None, unit=None, referenceRange=None, textValue="traces", categoricalReference="none")]), report("b", "2024-03-01", "08:00"), report("c", "2024-03-01", "09:30")]}
+    one = lambda **change: {**good, "reports": [report("a", ms=[m("hb"), m("plt", **change)])]}
+    at = "profile.reports[0].measurements[1]"
+    cases = {
+        "good": (good, None, None), "no object": ([1], "profile", "object"), "schema": ({**good, "schemaVersion": "1"}, "profile.schemaVersion", "schema-version"), "no id": ({k: v for k, v in good.items() if k != "id"}, "profile.id", "id"),
+        "reports": ({**good, "reports": {}}, "profile.reports", "array"), "report": ({**good, "reports": [5]}, "profile.reports[0]", "object"), "date": ({**good, "reports": [report("a", "2023-02-29")]}, "profile.reports[0].collectedAt.date", "date"),
+        "time": ({**good, "reports": [report("a", time="24:00")]}, "profile.reports[0].collectedAt.time", "time"), "first of two": ({**good, "id": "", "reports": [report("", "x")]}, "profile.id", "id"),
+        "number": (one(value="5"), f"{at}.value", "number"), "missing unit": ({**good, "reports": [report("a", ms=[{k: v for k, v in m("hb").items() if k != "unit"}])]}, "profile.reports[0].measurements[0].unit", "string"),
+        "comparator": (one(comparator="="), f"{at}.comparator", "comparator"), "direction": (one(referenceRange={"kind": "minOnly", "min": 1, "comparator": "<"}), f"{at}.referenceRange.comparator", "range-direction"),
+        "order": (one(sourceOrder=1.5), f"{at}.sourceOrder", "whole-number"), "words": (one(status="categorical", textValue=" "), f"{at}.textValue", "text-missing"), "unit of words": (one(status="categorical", value=None, textValue="x"), f"{at}.unit", "null-when-categorical"),
+        "text": (one(textValue="x"), f"{at}.textValue", "only-when-categorical"), "missing": (one(status="missing"), f"{at}.value", "null-when-missing"), "label": (one(label="x"), f"{at}.label", "label-on-known-key"),
+        "twice": ({**good, "reports": [report("a", ms=[m("hb"), m("hb")])]}, "profile.reports[0].measurements", "repeated-marker"), "same id": ({**good, "reports": [report("a"), report("a", "2024-03-01")]}, "profile.reports[1].id", "repeated-report"),
+        "same time": ({**good, "reports": [report("a", time="08:00"), report("b", time="08:00")]}, "profile.reports[1].collectedAt.time", "same-time"), "same day": ({**good, "reports": [report("a", time="08:00"), report("b")]}, "profile.reports[1].collectedAt", "same-day"),
+        "phone": ({**good, "reports": [report("a", ms=[m("x:a", label="call 6912345678")])]}, "profile.reports[a].measurements[x:a].label", "label-phone"), "lines": ({**good, "reports": [report("a", ms=[m("x:a", label="two\nlines")])]}, "profile.reports[a].measurements[x:a].label", "label-control-characters"),
+        "many": ({**good, "reports": [report("a", ms=[m(f"k{i}") for i in range(1001)])]}, "profile.reports[0].measurements", "too-many")}
+    files = [(n, json.dumps({"format": profile_file.FORMAT, "v": 1, "profile": copy.deepcopy(p)}).encode()) for n, (p, _, _) in cases.items()]
+    files += [("cut", b'{"format"'), ("bytes", b"\xff{}"), ("other", b'{"format": "x"}'), ("list", b"[]"), ("later", json.dumps({"format": profile_file.FORMAT, "v": 2}).encode()), ("text version", json.dumps({"format": profile_file.FORMAT, "v": "1"}).encode())]
+    got = {r.name: r for r in profile_file.read_validated(spark.createDataFrame(files, "name string, content binary"), "name").collect()}
+    assert {n: (got[n].path, got[n].rule) for n in cases} == {n: (p, r) for n, (_, p, r) in cases.items()}
+    assert {n: got[n].outcome for n in ("good", "many", "cut", "bytes", "other", "list", "later", "text version")} == {
+        "good": "ok", "many": "invalid-profile", "cut": "not-json", "bytes": "not-utf8", "other": "not-a-profile", "list": "not-a-profile", "later": "version", "text version": "version"}
