@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import lru_cache
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from ..functions.lexical import GREEK, LATIN, fold_abbreviation, fold_label, normalise_label, tokens
+from ..functions.lexical import GREEK, LATIN, fold_abbreviation, fold_label, fold_text, normalise_label
 from ..functions.registry import MARKERS, Marker, names
 from .match import greedy_of, nearest
 
@@ -15,88 +20,106 @@ LONGEST_RUN = 5
 HIT = "struct<start:int,stop:int,marker:string,tier:string,text:string,first:int,last:int>"
 
 
-def placed_tokens(items: Column) -> Column:
-    """The tokens of a row's items, in their order: text, matching form and the place of their item."""
-    one = lambda i, p: F.transform(tokens(i["text"]), lambda t: F.struct(t.alias("text"), normalise_label(t).alias("norm"), p.alias("pos")))
-    return F.flatten(F.transform(items, one))
+_TOKEN = re.compile(r"(?:\S|[\x1c-\x1f])+")
+_GLUED = re.compile(r".+(\([^()]*\))", re.DOTALL)
+_READ = ("tokens array<string>, places array<int>, starts array<int>, stops array<int>, markers array<string>, tiers array<string>, texts array<string>, firsts array<int>, lasts array<int>, "
+         "run_starts array<int>, run_stops array<int>, run_texts array<string>, run_norms array<string>, run_signs array<string>, run_firsts array<int>, run_lasts array<int>")
 
 
-def _code(norm: Column) -> Column:
-    tight = F.when(norm.rlike(r"[()]"), F.regexp_replace(norm, r"\s*([()])\s*", "$1")).otherwise(norm)
-    return F.when(norm.rlike(r"^[\x00-\x7F]*$"), tight).otherwise(F.translate(tight, GREEK, LATIN))
+class Run(NamedTuple):
+    """A run of a row's tokens: its text, its matching form, the % or # printed right after it, and the places of its first and last item."""
 
+    start: int
+    stop: int
+    text: str
+    norm: str
+    sign: str
+    first: int
+    last: int
 
-def token_runs(placed: Column) -> Column:
-    """All runs of one to five tokens, and bracketed codes printed without a blank before them.
 
-    Each with the places of its first and last item, the % or # printed right after it, its code form, and whether that is in brackets.
-    """
-    def run(t: Column, start: Column, n: Column) -> Column:
-        part = F.slice(t, start + 1, n)
-        after = F.get(t, start + n)["text"]
-        return F.struct(start.alias("start"), (start + n).alias("stop"), F.array_join(F.transform(part, lambda x: x["text"]), " ").alias("text"), F.array_join(F.filter(F.transform(part, lambda x: x["norm"]), lambda x: x != ""), " ").alias("norm"),
-                        F.when(after.isin("%", "#"), after).otherwise("").alias("sign"), F.get(t, start)["pos"].alias("first"), F.get(t, start + n - 1)["pos"].alias("last"))
-
-    def glued(t: Column, start: Column) -> Column:
-        token, code = F.get(t, start), r"^.+(\([^()]*\))$"
-        return F.struct(start.alias("start"), (start + 1).alias("stop"), F.regexp_extract(token["text"], code, 1).alias("text"), F.regexp_extract(token["norm"], code, 1).alias("norm"), F.lit("").alias("sign"), token["pos"].alias("first"), token["pos"].alias("last"))
+_fold = lru_cache(1 << 16)(fold_text)
 
-    def at(t: Column, start: Column) -> Column:
-        whole = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_RUN), F.size(t) - start)), lambda n: run(t, start, n))
-        return F.concat(whole, F.filter(F.array(glued(t, start)), lambda g: g["text"] != ""))
 
-    every = lambda t: F.when(F.size(t) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda s: at(t, s))))
-    coded = lambda r: F.struct(*[r[f].alias(f) for f in ("start", "stop", "text", "norm", "sign", "first", "last")], _code(r["norm"]).alias("code"))
-    bracketed = lambda r: F.struct(*[r[f].alias(f) for f in ("start", "stop", "text", "norm", "sign", "first", "last")], (F.startswith(r["code"], F.lit("(")) & F.endswith(r["code"], F.lit(")")) & (F.length(r["code"]) > 1)).alias("bracketed"),
-                                   F.regexp_replace(r["code"], r"^\((.*)\)$", "$1").alias("code"))
-    found = F.transform(F.array(placed), every)[0]
-    return F.coalesce(F.transform(F.transform(found, coded), bracketed), F.array().cast("array<struct<start:int,stop:int,text:string,norm:string,sign:string,first:int,last:int,bracketed:boolean,code:string>>"))
+@lru_cache(1 << 16)
+def _code(norm: str) -> str:
+    return re.sub(r"\s*([()])\s*", r"\1", norm).translate(_LATIN)
 
 
-def _dictionary(forms: dict[str, tuple[int, str]]) -> Column:
-    """A constant map from a printed form to its marker; looked up for hits only, which a hash set finds first."""
-    return F.from_json(F.lit(json.dumps({k: {"ord": o, "key": m} for k, (o, m) in forms.items()}, ensure_ascii=False)), "map<string,struct<ord:int,key:string>>")
+_LATIN = str.maketrans(GREEK, LATIN)
 
 
-def _first(pairs: list[tuple[str, int, str]]) -> dict[str, tuple[int, str]]:
-    out: dict[str, tuple[int, str]] = {}
-    for form, ord_, key in pairs:
-        out.setdefault(form, (ord_, key))
+def token_runs(tokens: list[tuple[str, int]]) -> list[Run]:
+    """All runs of one to five tokens, and bracketed codes printed without a blank before them."""
+    out, norms = [], [_fold(t) for t, _ in tokens]
+    for start in range(len(tokens)):
+        for stop in range(min(start + LONGEST_RUN, len(tokens)), start, -1):
+            sign = tokens[stop][0] if stop < len(tokens) and tokens[stop][0] in ("%", "#") else ""
+            out.append(Run(start, stop, " ".join(t for t, _ in tokens[start:stop]), " ".join(filter(None, norms[start:stop])), sign, tokens[start][1], tokens[stop - 1][1]))
+        if (m := _GLUED.fullmatch(tokens[start][0])):
+            out.append(Run(start, start + 1, m[1], _fold(m[1]), "", tokens[start][1], tokens[start][1]))
     return out
 
 
-def exact_hits(runs: Column, registry: list[Marker]) -> Column:
-    """The hits of the first of three tiers that has any: a code, a name, a name inside the run as whole words.
-
-    A bare code beside a bracketed one in the same item is prose; bracketed codes go before bare ones.
-    """
-    codes = _first([(fold_abbreviation(a), i, m.key) for i, m in enumerate(registry) for a in m.abbreviations])
-    names_ = _first([(fold_label(a), i, m.key) for i, m in enumerate(registry) for a in [m.en, m.el, *m.aliases] if a])
-    sizes = sorted({len(n.split(" ")) for n in names_})
-    listed = lambda forms: F.from_json(F.lit(json.dumps(sorted(forms), ensure_ascii=False)), "array<string>")
-    in_ = lambda c, forms: F.array_contains(listed(forms), c)
-    hit = lambda r, marker, tier: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), marker.alias("marker"), F.lit(tier).alias("tier"), r["text"].alias("text"), r["first"].alias("first"), r["last"].alias("last")).cast(HIT)
-
-    def windows(norm: Column) -> Column:
-        starts = lambda w, n: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + n - 1 <= F.size(w))
-        runs_ = lambda w, n: F.transform(starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.transform(F.array(F.split(norm, " ", -1)), lambda w: F.concat(*[runs_(w, n) for n in sizes]))[0]
-
-    def tiers(r: Column) -> Column:
-        brackets = F.filter(r, lambda x: x["bracketed"])
-        beside = lambda x: F.exists(brackets, lambda b: (b["first"] <= x["last"]) & (b["last"] >= x["first"]))
-        one = F.filter(F.filter(r, lambda x: in_(x["code"], codes)), lambda x: x["bracketed"] | ~beside(x))
-        one = F.transform(F.array(one), lambda h: F.when(F.exists(h, lambda x: x["bracketed"]), F.filter(h, lambda x: x["bracketed"])).otherwise(h))[0]
-        two = F.filter(r, lambda x: in_(x["norm"], names_))
-        inside = lambda x: F.filter(windows(x["norm"]), lambda w: in_(w, names_))
-        three = F.filter(F.transform(r, lambda x: F.struct(x.alias("x"), inside(x).alias("w"))), lambda h: F.size(h["w"]) > 0) if names_ else None
-        by_code, by_name = _dictionary(codes), _dictionary(names_)
-        none = F.array().cast(f"array<{HIT}>")
-        last = F.transform(three, lambda h: hit(h["x"], F.array_min(F.transform(h["w"], lambda w: F.element_at(by_name, w)))["key"], "T3")) if names_ else none
-        return F.transform(F.array(F.struct(one.alias("one"), two.alias("two"))), lambda t: F.when(F.size(t["one"]) > 0, F.transform(t["one"], lambda x: hit(x, F.element_at(by_code, x["code"])["key"], "T1")))
-                           .when(F.size(t["two"]) > 0, F.transform(t["two"], lambda x: hit(x, F.element_at(by_name, x["norm"])["key"], "T2"))).otherwise(last))[0]
-
-    return F.transform(F.array(runs), tiers)[0]
+class Dictionary:
+    """A registry's codes and names in their matching forms; of two markers with one form the first has it."""
+
+    def __init__(self, registry: list[Marker]) -> None:
+        self.codes: dict[str, str] = {}
+        self.names: dict[str, tuple[int, str]] = {}
+        for n, m in enumerate(registry):
+            for a in m.abbreviations:
+                self.codes.setdefault(fold_abbreviation(a), m.key)
+            for name in filter(None, [m.en, m.el, *m.aliases]):
+                self.names.setdefault(fold_label(name), (n, m.key))
+        self.sizes = sorted({n.count(" ") + 1 for n in self.names})
+
+    def inside(self, norm: str) -> str | None:
+        """The first marker, in the registry's order, whose name a text holds as whole words."""
+        words = norm.split(" ")
+        found = [self.names[w] for n in self.sizes for i in range(len(words) - n + 1) if (w := " ".join(words[i:i + n])) in self.names]
+        return min(found)[1] if found else None
+
+    def hits(self, runs: list[Run]) -> list[tuple[Run, str, str]]:
+        """(run, marker, tier) of the first of three tiers that has any: a code, a name, a name inside the run as whole words.
+
+        A bare code beside a bracketed one in the same item is prose; bracketed codes go before bare ones.
+        """
+        codes = [_code(r.norm) for r in runs]
+        brackets = [len(c) > 1 and c[0] == "(" and c[-1] == ")" for c in codes]
+        printed = [r for r, b in zip(runs, brackets, strict=True) if b]
+        one = [(r, self.codes[k], b) for r, c, b in zip(runs, codes, brackets, strict=True) if (k := c[1:-1] if b else c) in self.codes and (b or not any(p.first <= r.last and p.last >= r.first for p in printed))]
+        if one:
+            return [(r, m, "T1") for r, m, b in one if b or not any(x[2] for x in one)]
+        two = [(r, self.names[r.norm][1], "T2") for r in runs if r.norm in self.names]
+        return two or [(r, m, "T3") for r in runs if (m := self.inside(r.norm))]
+
+
+def chosen(hits: list[tuple[Run, str, str]]) -> list[tuple[Run, str, str]]:
+    """The longest hits first, then the leftmost; none overlaps a kept one or repeats its marker. Left to right."""
+    kept: list[tuple[Run, str, str]] = []
+    for h in sorted(hits, key=lambda h: (h[0].start - h[0].stop, h[0].start)):
+        if not any((k[0].start < h[0].stop and h[0].start < k[0].stop) or k[1] == h[1] for k in kept):
+            kept.append(h)
+    return sorted(kept, key=lambda h: h[0].start)
+
+
+def _read_rows(registry: list[Marker]):
+    def run(items: pd.Series) -> pd.DataFrame:
+        known, rows = Dictionary(registry), []
+        for texts in items:
+            tokens = [(t, n) for n, text in enumerate(texts) for t in _TOKEN.findall(text or "")]
+            runs = token_runs(tokens)
+            hits = chosen(known.hits(runs))
+            rest = runs if not hits else []  # what is left to be met by distance
+            rows.append(([t for t, _ in tokens], [n for _, n in tokens], [r.start for r, _, _ in hits], [r.stop for r, _, _ in hits], [m for _, m, _ in hits], [t for _, _, t in hits], [r.text for r, _, _ in hits], [r.first for r, _, _ in hits],
+                         [r.last for r, _, _ in hits], *[[r[k] for r in rest] for k in range(len(Run._fields))]))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _READ.split(", ")])
+
+    def kernel(items: pd.Series) -> pd.DataFrame:
+        return run(items)
+
+    return kernel
 
 
 def near_hits(rows: DataFrame, registry: list[Marker] | None) -> DataFrame:
@@ -124,11 +147,13 @@ def near_hits(rows: DataFrame, registry: list[Marker] | None) -> DataFrame:
 def with_anchors(rows: DataFrame, registry: list[Marker] | None = None, fuzzy: Column | None = None) -> DataFrame:
     """``rows`` with their ``placed`` tokens and ``anchors``: the markers a row names, left to right, none twice and none overlapping.
 
-    ``rows``: (source_id, row_no, items, section). Exact tiers are settled inside the row, without a join; only rows that they leave
-    without a hit, and that ``fuzzy`` allows, meet the registry by distance, and come back by their source's key.
+    ``rows``: (source_id, row_no, items, section). Exact tiers are settled inside the row, in Arrow batches and without a join; only rows that
+    they leave without a hit, and that ``fuzzy`` allows, meet the registry by distance, and come back by their source's key.
     """
-    read = rows.withColumn("placed", placed_tokens(F.col("items")))
-    read = read.withColumn("runs", token_runs(F.col("placed"))).withColumn("anchors", greedy_of(exact_hits(F.col("runs"), MARKERS if registry is None else registry)))
+    named = lambda **c: F.arrays_zip(*[F.col(f"_k.{v}").alias(k) for k, v in c.items()])
+    read = rows.withColumn("_k", pandas_udf(_read_rows(MARKERS if registry is None else registry), _READ)(F.transform("items", lambda i: i["text"])))
+    read = read.withColumns({"placed": named(text="tokens", pos="places"), "anchors": named(start="starts", stop="stops", marker="markers", tier="tiers", text="texts", first="firsts", last="lasts").cast(f"array<{HIT}>"),
+                             "runs": named(start="run_starts", stop="run_stops", text="run_texts", norm="run_norms", sign="run_signs", first="run_firsts", last="run_lasts")}).drop("_k")
     if fuzzy is None:
         return read.drop("runs")
     late = near_hits(read.where(fuzzy & (F.size("anchors") == 0)), registry).groupBy("source_id").agg(F.collect_list(F.struct("row_no", "hits")).alias("_late"))
@@ -146,8 +171,9 @@ def anchors(rows: DataFrame, fuzzy: bool = True, registry: list[Marker] | None =
 
 def known_label(label: Column, registry: list[Marker] | None = None) -> Column:
     """The marker whose name a label is, or null."""
-    forms = _first([(fold_label(a), i, m.key) for i, m in enumerate(MARKERS if registry is None else registry) for a in [m.en, m.el, *m.aliases] if a])
-    return F.transform(F.array(normalise_label(label)), lambda n: F.element_at(_dictionary(forms), n)["key"])[0]
+    names_ = {n: m for n, (_, m) in Dictionary(MARKERS if registry is None else registry).names.items()}
+    table = F.from_json(F.lit(json.dumps(names_, ensure_ascii=False)), "map<string,string>")
+    return F.element_at(table, normalise_label(label))
 
 
 def box_of(items: Column, first: Column, last: Column) -> Column:

@@ -12,7 +12,7 @@ from .registry import query
 
 @query("""SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS label_md5 FROM documents""")
 def normalise_label_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lexical.normalise_label(F.col("text")).cast("binary")).alias("label_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lexical.normalise_text(F.col("text")).cast("binary")).alias("label_md5"))
 
 
 @query("""
