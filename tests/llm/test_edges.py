@@ -1,6 +1,7 @@
 """Ties and repeats that the other tests do not reach."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from assayline.llm import packing, vafile
 
@@ -8,7 +9,7 @@ from assayline.llm import packing, vafile
 def test_many_equal_vectors_go_to_the_smallest_ids(spark):
     rows = [(i, [0.5, 0.25]) for i in range(400)]
     v = vafile.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = vafile.top_k(v, v.where("vec_id % 50 = 0")).collect()
+    got = vafile.top_k(v, F.col("vec_id") % 50 == 0).collect()
     assert len(got) == 8 * 5
     for q in range(0, 400, 50):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in range(7) if i != q][:5]
