@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import MARKERS
@@ -39,6 +39,11 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return items.select("source_id", "page", (F.col("o") + 1).alias("item"), "i.text", "i.x", "i.y", "i.w", "i.h")
 
 
+def _tenths(number: Column) -> Column:
+    """A number rounded as SQL's engine rounds it: the tenfold is, so 11.649999999999999, whose tenfold is 116.5, is printed as 11.7."""
+    return F.round(number * 10, 0) / 10
+
+
 _X = {"label": 0.131, "value": 0.3837, "unit": 0.5101, "range": 0.6364, "notes": 0.7628}
 
 
@@ -109,7 +114,7 @@ def printed_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.abs("s_acctbal"), 2).alias("v"))
     k = s.select("s_suppkey", "v", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("r")).withColumn("panel", F.explode(F.array(F.lit(0), F.lit(1))))
     r, panel = F.col("r"), F.col("panel")
-    value = F.regexp_replace(F.round(F.col("v") % (7 + r) + r + panel, 1).cast("string"), r"\.", ",")
+    value = F.regexp_replace(_tenths(F.col("v") % (7 + r) + r + panel).cast("string"), r"\.", ",")
     below, wide = r % 4 == 3, r % 5 == 4
     left = panel * 0.5 + 0.02
     shift = F.when(below, 0.0).when(wide, 0.33).otherwise(0.1)
