@@ -97,7 +97,7 @@ def printed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts += [item(1, f"{m}:", 0.131, 0.2 + 0.0213 * i), item(1, "05-03-2024" if "Ημερομηνία" in m else F.concat(F.lit("A"), F.col("s_suppkey").cast("string")), 0.371, 0.2 + 0.0213 * i)]
     parts += [item(2, h, _X[r], 0.12) for r, h in HEADINGS.items()]
     for i, (label, value, unit, range_, base) in enumerate(LAYOUTS):
-        y, number = 0.17 + 0.05 * i, F.regexp_replace(F.round(F.col("v") % 5 + base, 1).cast("string"), r"\.", ",")
+        y, number = 0.17 + 0.05 * i, F.regexp_replace(_tenths(F.col("v") % 5 + base).cast("string"), r"\.", ",")
         parts += [item(2, text, x, y + down, w) for text, x, down, w in label]
         printed = F.concat(F.lit(value.split("{")[0]), number) if "{}" in value else value
         parts += [item(2, text, _X[role], y, 0.05) for role, text in (("value", printed), ("unit", unit), ("range", range_)) if not isinstance(text, str) or text]

@@ -17,7 +17,7 @@ def halves(tmp_path_factory):
     return str(sf)
 
 
-@pytest.mark.parametrize("name", ["cluster_rows_layout", "line_assembly", "outward_readout", "spatial_neighbourhood"])
+@pytest.mark.parametrize("name", ["cluster_rows_layout", "line_assembly", "outward_readout", "parse_layouts", "spatial_neighbourhood"])
 def test_numbers_next_to_a_half_are_printed_as_in_the_sql(spark, halves, name):
     got = QUERIES[name](spark, halves)
     con = duckdb.connect()
