@@ -64,8 +64,7 @@ def outward_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT u.source_id, u.anchor, count(*) AS n_items, min(x) AS x, min(y) AS y, round(max(x + w) - min(x), 9) AS w, round(max(y + h) - min(y), 9) AS h FROM used u JOIN items i ON i.source_id = u.source_id AND i.item = u.item GROUP BY ALL""")
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box around everything a row was read from."""
-    a, items = _anchors(spark, sf_dir)
-    r = outward.source_refs(outward.neighbourhood(a, items), items)
+    r = outward.source_refs(outward.neighbourhood(*_anchors(spark, sf_dir)))
     return r.select("source_id", "anchor", "n_items", "x", "y", F.round("w", 9).alias("w"), F.round("h", 9).alias("h"))
 
 
