@@ -110,3 +110,12 @@ def test_validated_profiles_name_the_first_broken_rule(spark):
     assert {n: (got[n].path, got[n].rule) for n in cases} == {n: (p, r) for n, (_, p, r) in cases.items()}
     assert {n: got[n].outcome for n in ("good", "many", "cut", "bytes", "other", "list", "later", "text version")} == {
         "good": "ok", "many": "invalid-profile", "cut": "not-json", "bytes": "not-utf8", "other": "not-a-profile", "list": "not-a-profile", "later": "version", "text version": "version"}
+
+
+def test_what_a_report_breaks_is_told_once_not_for_each_of_its_measurements(spark):
+    from assayline.operators.validate import violations
+
+    plan = violations(spark.sql("SELECT 1 AS id, parse_json('{}') AS v FROM range(1)"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    spread = plan.index("Generate posexplode(measurements")
+    assert "array_distinct" not in plan[:spread]
+    assert "array_distinct" in plan[spread:]
