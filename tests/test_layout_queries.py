@@ -28,7 +28,7 @@ def test_numbers_next_to_a_half_are_printed_as_in_the_sql(spark, halves, name):
     assert rows(tuple(r[c] for c in names) for r in got.collect()) == rows(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["source_refs"])
+@pytest.mark.parametrize("name", ["source_refs", "outward_readout", "spatial_neighbourhood"])
 def test_items_of_a_page_are_not_broadcast(spark, name):
     """A supplier prints eighty items, which no estimate of its table's size knows of: a broadcast that it allows fills the driver."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
