@@ -33,7 +33,7 @@ def normalise_unit(unit: Column) -> Column:
 
 def fold_unit(unit: str) -> str:
     """``normalise_unit`` of one text, for the kernels that read rows in Arrow batches."""
-    u = "".join(unit.split()).replace("μ", "µ")
+    u = re.sub(r"[^\S\x1c-\x1f]+", "", unit).replace("μ", "µ")
     u = re.sub("[Κκk](?=/)", "K", re.sub("Μ(?=/)", "M", u))
     u = re.sub("l$", "L", u)
     return PRINTED.get(u, u)

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_document_date
 from ..functions.lexical import derived_key, fold_label, normalise_label, tokens
-from ..functions.numeric import parse_number, parse_range
 from ..functions.registry import Marker, markers
 from ..functions.units import is_known_unit, normalise_unit
 from .anchors import anchors, box_of, known_label, with_anchors
 from .layout import BELOW_OVERLAP, BELOW_REACH, ROW_SHARE, cluster_rows, rows_of
 from .outward import FAR, GAP
-from .readout import read_outward
+from .readout import read_columns, read_outward
 
 #: The document template's title, metadata labels and column headings.
 TITLE = "Αποτελέσματα Εργαστηριακών Εξετάσεων"
@@ -186,7 +185,7 @@ def parse(items: DataFrame, registry: list[Marker] | None = None) -> DataFrame:
     read = read.where(known | after).withColumns({f"c_{r}": _cell(r) for r in ("label", "value", "unit", "range")})
     part = lambda f: F.transform("cells", lambda x: x[f])
     read = read.withColumn("k", read_outward(part("w"), part("r"), part("i"), part("v")))
-    plain = F.when(~known, positional_of())  # only rows without a marker are read so
+    plain = positional_of(~known)  # only rows without a marker are read so
     dim = F.broadcast(markers(items.sparkSession, registry).select(F.col("marker_key").alias("_marker"), "low", "high"))
     read = read.withColumn("u", plain).where(known | F.col("u").isNotNull())
     key = F.coalesce("hit.marker", known_label(F.col("c_label"), registry), derived_key(F.col("c_label")))
@@ -231,31 +230,13 @@ def _placed(read: DataFrame) -> DataFrame:
     return read.withColumns({"text_start": begin, "text_end": stop})
 
 
-def positional_of() -> Column:
-    """The reading of a row by its cells c_label, c_value, c_unit and c_range alone; null for page furniture.
+def positional_of(where: Column | None = None) -> Column:
+    """The reading of a row by its cells c_label, c_value, c_unit and c_range alone; null for page furniture, and where ``where`` does not hold.
 
     The value is the longest beginning of its cell, two tokens at most, that is a number; a range cell may end in a known unit.
     """
-    tokens_ = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")
-    run = lambda t, n: F.when(F.size(t) >= n, F.array_join(F.slice(t, 1, n), " "))
-    v, u, r = tokens_("c_value"), tokens_("c_unit"), tokens_("c_range")
-    value = F.coalesce(parse_number(run(v, 2)), parse_number(run(v, 1)))
-    known = F.coalesce(*[F.when(is_known_unit(run(u, n)), normalise_unit(run(u, n))) for n in (3, 2, 1)])
-    unit = F.coalesce(known, F.when(F.size(u) > 0, normalise_unit(F.array_join(u, " "))))
-    tail = is_known_unit(F.get(r, F.size(r) - 1)) & (F.size(r) > 1)
-    bounds = parse_range(F.array_join(F.when(tail, F.slice(r, 1, F.size(r) - 1)).otherwise(r), " "))
-    read = F.struct(value.alias("v"), unit.alias("u"), known.isNotNull().alias("k"), bounds.alias("r"))
-
-    def row(x: Column) -> Column:
-        words = x["v"].isNull() & (F.trim("c_value") != "")
-        flags = {"ambiguous-thousands": x["v"]["ambiguous"], "unparsed-range": (F.size(r) > 0) & x["r"].isNull(), "unrecognised-unit": x["u"].isNotNull() & ~x["k"]}
-        plain = lambda c: F.when(~words, c)
-        found = F.struct(F.when(x["v"].isNotNull(), "value").when(words, "categorical").otherwise("missing").alias("status"), x["v"]["value"].alias("value"), x["v"]["comparator"].alias("comparator"), F.when(words, F.trim("c_value")).alias("text_value"),
-                         F.when(words & (F.trim("c_range") != ""), F.trim("c_range")).alias("categorical_reference"), plain(x["u"]).alias("unit"), plain(x["r"]["kind"]).alias("range_kind"), plain(x["r"]["min"]).alias("range_min"),
-                         plain(x["r"]["max"]).alias("range_max"), plain(x["r"]["comparator"]).alias("range_comparator"), F.array_compact(F.array(*[F.when(d, f) for f, d in flags.items()])).alias("flags"))
-        return F.when((F.trim("c_label") != "") & (x["v"].isNotNull() | x["k"] | x["r"].isNotNull()), found)
-
-    return F.transform(F.array(read), row)[0]
+    cells = [F.col(f"c_{r}") for r in ("label", "value", "unit", "range")]
+    return read_columns(*cells if where is None else [F.when(where, c) for c in cells])
 
 
 def positional(rows: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _printed(spark, sf_dir).select(F.col("id").cast("string").alias("source_id"), F.col("n").alias("row_no"), "p", "q", F.lit("A label").alias("c_label"), F.expr(_VALUE_CELL).alias("c_value"), F.expr(_UNIT_CELL).alias("c_unit"), F.expr(_RANGE_CELL).alias("c_range"))
     keyed = c.withColumn("source_id", F.concat_ws("/", "source_id", F.col("p").cast("string"), F.col("q").cast("string")))
     out = extract.positional(keyed)
-    part = lambda i: F.element_at(F.split("source_id", "/"), i)
+    part = lambda i: F.substring_index(F.substring_index("source_id", "/", i), "/", -1)
     return out.select(part(1).alias("source_id"), "row_no", part(2).cast("int").alias("p"), part(3).cast("int").alias("q"), "status", "value", "comparator", "unit", "range_kind")
 
 
