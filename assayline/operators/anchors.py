@@ -17,6 +17,8 @@ from ..functions.registry import MARKERS, Marker, names
 from .match import greedy_of, nearest
 
 LONGEST_RUN = 5
+#: Parts over which the runs of one text are dealt where they meet what is near to it.
+PARTS = 32
 HIT = "struct<start:int,stop:int,marker:string,tier:string,text:string,first:int,last:int>"
 
 
@@ -135,7 +137,10 @@ def near_hits(rows: DataFrame, registry: list[Marker] | None) -> DataFrame:
     met = met.where(F.coalesce(F.coalesce(sign("norm"), F.nullif("sign", F.lit(""))) == sign("known"), F.lit(True)))
     best = met.groupBy("norm", "sign").agg(F.min("distance").alias("d"), F.collect_set(F.struct("distance", "marker_key", "hint")).alias("all"))
     best = best.select("norm", "sign", F.filter("all", lambda a: a["distance"] == F.col("d")).alias("rivals"))
-    hits = c.join(best, ["norm", "sign"])
+    # no size of ``best`` or ``late`` is known beforehand, so neither is broadcast; a label that every document prints is dealt over parts
+    part = F.pmod(F.xxhash64("source_id", "row_no"), F.lit(PARTS)).cast("int")
+    dealt = best.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    hits = c.withColumn("_part", part).join(dealt.hint("merge"), ["norm", "sign", "_part"])
     keys = lambda r: F.array_distinct(F.transform(r, lambda a: a["marker_key"]))
     here = keys(F.filter("rivals", lambda a: a["hint"] == F.col("section")))
     marker = F.when(F.size(keys(F.col("rivals"))) == 1, keys(F.col("rivals"))[0]).when(F.size(here) == 1, here[0])
@@ -157,7 +162,7 @@ def with_anchors(rows: DataFrame, registry: list[Marker] | None = None, fuzzy: C
     if fuzzy is None:
         return read.drop("runs")
     late = near_hits(read.where(fuzzy & (F.size("anchors") == 0)), registry).groupBy("source_id").agg(F.collect_list(F.struct("row_no", "hits")).alias("_late"))
-    read = read.drop("runs").join(late, "source_id", "left")
+    read = read.drop("runs").join(late.hint("merge"), "source_id", "left")
     found = F.get(F.filter("_late", lambda s: s["row_no"] == F.col("row_no")), F.lit(0))["hits"]
     return read.withColumn("anchors", F.when(F.size("anchors") > 0, F.col("anchors")).otherwise(F.coalesce(found, F.col("anchors")))).drop("_late")
 

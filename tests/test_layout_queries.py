@@ -34,3 +34,18 @@ def test_items_of_a_page_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert "SortMergeJoin" in plan
+
+
+def test_only_the_registry_is_broadcast_to_a_parser(spark):
+    """What rows are near to grows with the documents: it comes back to them by merging, and the driver holds fixed tables only."""
+    plan = QUERIES["parse_layouts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, x in enumerate(plan) if "BroadcastExchange" in x]
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    for i in at:
+        below = []
+        for x in plan[i + 1:]:
+            if depth(x) <= depth(plan[i]):
+                break
+            below.append(x)
+        assert not any("FileScan" in x or "ReusedExchange" in x for x in below)
+    assert sum("SortMergeJoin" in x for x in plan) == 2
