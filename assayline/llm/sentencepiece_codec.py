@@ -13,6 +13,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,7 @@ class Codec:
         self.kinds = [k for _, k in pieces]
         self.surface = [bytes([int(p[3:5], 16)]) if k == _BYTE else p for p, k in pieces]
         self.width = np.array([len(s) for s in self.surface])
+        self.silent = np.isin(self.kinds, (_UNKNOWN, _CONTROL))
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == _UNKNOWN), 0)
         crossing = any(re.search(f"[^{MARK}]{MARK}", p.decode("utf-8", "replace")) for p, k in pieces if k not in (_BYTE, _CONTROL))
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing else re.compile("(?s).+")
@@ -190,9 +192,11 @@ class Codec:
             at += int(width[i])
         return width
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of the ids, as the library decodes them."""
         kinds, surface = self.kinds, self.surface
+        silent = self.silent[np.asarray(ids, np.int64)]
+        ids = np.asarray(ids).tolist()
         for i, x in enumerate(ids):
             if kinds[x] != _CONTROL:
                 break
@@ -202,7 +206,7 @@ class Codec:
             first, rest = surface[ids[i]][len(_MARK):], ids[i + 1:]
         else:
             first, rest = b"", ids[i:]
-        if not {_UNKNOWN, _CONTROL} & set(map(kinds.__getitem__, rest)):
+        if not silent[len(ids) - len(rest):].any():
             return _lenient(first + b"".join(map(surface.__getitem__, rest))).replace(MARK, " ")
         out, run = [], [first]
         for x in rest:
@@ -229,6 +233,12 @@ def _lenient(data: bytes) -> str:
         return "".join(out)
 
 
+@lru_cache(1)
+def _codec(path: str) -> Codec:
+    """A worker's codec, kept with its memory of segments from task to task."""
+    return Codec(path)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -243,7 +253,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = _codec(model_path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -260,11 +270,12 @@ def decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = _codec(model_path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [codec.decode(x or []) for x in part["ids"].to_pylist()]
+                flat, ends = np.asarray(part["ids"].flatten()), np.cumsum([0, *part["ids"].value_lengths().fill_null(0).to_pylist()])
+                texts = [codec.decode(flat[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return source.mapInArrow(run, ", ".join([*fields, "decoded string"]))

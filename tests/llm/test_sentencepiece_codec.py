@@ -61,3 +61,29 @@ def test_table(odd_docs, no_docs):
     assert rows[4].ids == [] and rows[5].decoded == "" and enc.count() == odd_docs.count()
     assert {r.doc_id: r.text for r in odd_docs.collect()}[9] == rows[9].decoded
     assert spc.encode(no_docs, PATH).count() == 0 and spc.decode(spc.encode(no_docs, PATH), PATH).count() == 0
+
+
+def test_a_worker_reads_the_model_once(spark, tmp_path):
+    """Both steps of every task of a worker share one codec: the model is parsed once a process, not once a task."""
+    def seen(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{os.getpid()} {spc._codec.cache_info().misses}"])], ["seen"])
+
+    for k in range(3):
+        spark.createDataFrame([(k, "some text"), (k + 9, None)], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        got = spc.decode(spc.encode(docs, PATH), PATH).collect()
+        assert sorted((r.doc_id, r.decoded) for r in got) == [(k, "some text"), (k + 9, "")]
+    misses = [int(r.seen.split()[1]) for r in spark.range(8, numPartitions=4).mapInArrow(seen, "seen string").collect()]
+    assert max(misses) <= 1
+
+
+def test_null_ids_decode_to_the_empty_text(spark):
+    ids = spc.Codec(PATH).segmenter.encode("a few words")
+    frame = spark.createDataFrame([(1, ids), (2, None), (3, []), (4, [0, *ids, 2])], "doc_id long, ids array<int>").coalesce(1)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert {r.doc_id: r.decoded for r in spc.decode(frame, PATH).collect()} == {1: lib.decode(ids), 2: "", 3: "", 4: lib.decode([0, *ids, 2])}
