@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, spread_join, trim
 
 RADIUS = 2
-#: Shingles whose frequency is looked up, shingles counted at a time, sets of a key compared in one block, bits of a sketch.
-MAX_COMMON, _CHUNK, _BLOCK, _BITS = 1 << 19, 1 << 20, 2048, 2048
+#: Differing bits up to which the fingerprints of sets are searched for sets that may be alike.
+REACH = 16
+#: Shingles whose frequency is looked up, shingles counted at a time, sets of a key in one tree, compared in one block, bits of a sketch.
+MAX_COMMON, _CHUNK, _SHARD, _BLOCK, _BITS = 1 << 19, 1 << 20, 512, 2048, 2048
 _CUTS = (0, 10, 20, 31, 42, 53, 64)
 
 
@@ -45,7 +47,11 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at:at + 65536].astype("<u8")
@@ -269,12 +275,12 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingled(width: int, least: float, sent):
-    """Per row its set as a node (hash of the set), the set's size, and its rarest hashes, of which a partner has one."""
+    """Per row its set as a node (hash of the set), the set's size and fingerprint, and its rarest hashes, of which a partner has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = sent.value
         for b in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], []
+            nodes, sizes, fps, prefixes, sketches = [], [], [], [], []
             for t in b["text"].cast(pa.binary()):
                 s = shingle_set(t.as_py() or b"", width)
                 keep = len(s) - _least_common(len(s), least) + 1
@@ -284,10 +290,11 @@ def _shingled(width: int, least: float, sent):
                     rank = np.where(common[at] == s, times[at], 0)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
+                fps.append(_majority(s.view(np.uint64)))
                 prefixes.append(s[np.argsort(rank, kind="stable")[:keep]])
                 sketches.append(np.packbits(np.bincount(s & _BITS - 1, minlength=_BITS).astype(np.uint8) & 1).view(np.int64))
-            cols = [b["doc_id"], b["h"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "prefix", "sketch"])
+            cols = [b["doc_id"], b["h"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "fp", "prefix", "sketch"])
 
     return run
 
@@ -301,60 +308,117 @@ def _possible(least: float, na, nb, differing):
     return differing * (1 + least) <= (1 - least) * (na + nb) + 1e-6
 
 
-def _apart(least: float):
-    """The possible pairs of a block in different trees, with the trees and how far apart the sketches are; rows arrive sorted by block.
+def _file(tree: BKTree, places: list[list[int]], key: int, i: int) -> None:
+    """Add the fingerprint of set i; ``places`` has the sets of each key of the tree."""
+    at = tree.add(key)
+    if at == len(places):
+        places.append([])
+    places[at].append(i)
+
+
+def _sketched(least: float, n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the others that can have the likeness to set i, and how far apart the sketches are."""
+    others = others[np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i]) - 1e-9]
+    d = np.bitwise_count((sketch[others] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    near = _possible(least, n[others], n[i], d)
+    return others[near], (d / (n[others] + n[i]))[near]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]]:
+    """Columns, sketches and keys (none where there is no such column) of rows sorted by the first column, cut between its values only."""
+    cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, _BITS // 64), np.int64), []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.concatenate([r, np.asarray(b[k])]) for r, k in zip(cols, names, strict=True)]
+        sketch = np.concatenate([sketch, np.asarray(b["sketch"].flatten()).reshape(-1, _BITS // 64)])
+        if "keys" in b.schema.names:
+            keys += np.split(np.asarray(b["keys"].flatten()), np.cumsum(np.asarray(b["keys"].value_lengths()))[:-1])
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if last:
+            yield [x[:last] for x in cols], sketch[:last], keys[:last]
+            cols, sketch, keys = [x[last:] for x in cols], sketch[last:], keys[last:]
+    if len(cols[0]):
+        yield cols, sketch, keys
+
+
+def _runs(ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist()
+    return zip(starts, [*starts[1:], len(ids)], strict=True)
+
 
-    A block holds one part of a key's sets, or two, whose sets are compared crosswise. A pair that meets under
-    several keys is reported under the lowest.
+def _nearest(least: float, reach: int):
+    """Per set of a shard the nearest before it that its BK-tree holds within ``reach`` bits; rows arrive sorted by shard and node.
+
+    The tree grows as it is searched. Of the sets found, the nearest by its sketch is reported, if any can have the likeness.
+    """
+
+    def found(cols: list[np.ndarray], sketch: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        shard, node, n, fp = cols
+        for lo, hi in _runs(shard):
+            tree, places = BKTree(), []
+            for i, key in zip(range(lo, hi), fp[lo:hi].view(np.uint64).tolist(), strict=True):
+                near = np.array([x for at in tree.near(key, reach) for x in places[at]], np.int64)
+                near, apart = _sketched(least, n, sketch, i, near)
+                if len(near):
+                    best = int(apart.argmin())
+                    yield int(node[i]), int(node[near[best]]), float(apart[best])
+                _file(tree, places, key, i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, sketch, _ in _whole(batches, ("shard", "node", "n", "fp")):
+            pairs = list(zip(*found(cols, sketch), strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(pairs, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["a", "b", "d"])
+        trim()
+
+    return run
+
+
+def _apart(least: float, reach: int):
+    """The possible pairs of a block in different components, with these and how far apart the sketches are; rows arrive sorted by block.
+
+    A block holds one part of a key's sets, or two, whose sets are compared crosswise. Pairs within ``reach`` bits come from the
+    BK-tree of the block's fingerprints, asked for every set outside the block's largest component; no other pair is in two
+    components. Only fingerprints further apart than that are compared one by one, so that no pair is lost. A pair that meets
+    under several keys is reported under the lowest.
     """
-    names = ("block", "key", "node", "n", "c", "side")
+    names = ("block", "key", "node", "n", "c", "side", "fp")
 
     def batch(found: list[tuple]) -> pa.RecordBatch:
         cols = zip(*found, strict=True) if found else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["a", "b", "ca", "cb", "d"])
 
     def pairs(cols: list[np.ndarray], sketch: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        block, key, node, n, c, side = cols
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        block, key, node, n, c, side, fp = cols
         out = []
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+        for lo, hi in _runs(block):
             if (c[lo:hi] == c[lo]).all():
                 continue
             held: dict[int, frozenset] = {}
-            for i in range(lo, hi - 1):
-                j = slice(i + 1, hi)
-                ok = (c[j] != c[i]) & ((side[j] < 0) | (side[j] != side[i])) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)
-                k = i + 1 + np.flatnonzero(ok)
-                if len(k):
-                    d = np.bitwise_count((sketch[k] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    near = _possible(least, n[k], n[i], d)
-                    k, d = k[near], (d / (n[k] + n[i]))[near]
-                for x, apart in zip(k.tolist(), d.tolist() if len(k) else [], strict=True):
+            found, sizes = np.unique(c[lo:hi], return_counts=True)
+            largest = found[sizes.argmax()]
+            fps, tree, places = fp[lo:hi].view(np.uint64), BKTree(), []
+            for i, x in enumerate(fps.tolist()):
+                _file(tree, places, x, i)
+            for i in lo + np.flatnonzero(c[lo:hi] != largest):
+                met = np.bitwise_count(fps ^ fps[i - lo]) > reach
+                met[[x for at in tree.near(int(fps[i - lo]), reach) for x in places[at]]] = True
+                k = lo + np.flatnonzero(met & (c[lo:hi] != c[i]) & ((side[lo:hi] < 0) | (side[lo:hi] != side[i])) & ((c[lo:hi] == largest) | (np.arange(lo, hi) > i)))
+                for x, apart in zip(*(v.tolist() for v in _sketched(least, n, sketch, i, k)), strict=True):
                     for y in (i, x):
                         if y not in held:
                             held[y] = frozenset(keys[y].tolist())
                     if min(held[i] & held[x]) == key[i]:
-                        out.append((node[i], node[x], c[i], c[x], apart))
+                        a, b = (i, x) if node[i] > node[x] else (x, i)
+                        out.append((node[a], node[b], c[a], c[b], apart))
                 if len(out) > 10_000:
                     yield batch(out)
                     out = []
         yield batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, sketch, keys = [np.empty(0, np.int64)] * len(names), np.empty((0, _BITS // 64), np.int64), []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.concatenate([r, np.asarray(b[k])]) for r, k in zip(cols, names, strict=True)]
-            sketch = np.concatenate([sketch, np.asarray(b["sketch"].flatten()).reshape(-1, _BITS // 64)])
-            keys += np.split(np.asarray(b["keys"].flatten()), np.cumsum(np.asarray(b["keys"].value_lengths()))[:-1])
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if last:
-                yield from pairs([x[:last] for x in cols], sketch[:last], keys[:last])
-                cols, sketch, keys = [x[last:] for x in cols], sketch[last:], keys[last:]
-        if len(cols[0]):
+        for cols, sketch, keys in _whole(batches, names):
             yield from pairs(cols, sketch, keys)
-        del cols, sketch, keys
         trim()
 
     return run
@@ -406,19 +470,21 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     """(doc_id, h, component): rows with an id, ``h`` the hash of the text, linked where the Jaccard likeness of their
     shingle sets is ``least`` or more.
 
-    Fingerprints do not find these pairs: they differ in up to a dozen bits. Instead each distinct set
-    is filed under its rarest hashes, so many that two sets of that likeness share one of them; no
-    pair is lost, and a passage in many unlike texts files them together only if it is most of them.
-    Of keys with the same sets under them one is kept.
-    First each set is compared to the one nearest by its sketch among the heads (the smallest sets) of its keys, which gives
-    trees; then all pairs of sets under a key that are in different trees are looked at, keys with many sets in blocks: the
-    nearest pair of every tree is compared first, and then whatever is still apart.
+    Sets are found as op10's fingerprints are, by BK-trees in shards, and every pair found is compared exactly. Sets so alike
+    differ in a dozen bits, too many for shards by blocks of bits. So a set is filed under its rarest hashes, so many that two
+    sets of that likeness share one of them: no pair is lost, and a passage in many unlike texts files them together only if
+    it is most of them. Of keys with the same sets under them one is kept; what is filed under a key is a shard, a large one in
+    parts, which all hold its head (the smallest set).
+    In the BK-tree of a shard's fingerprints each set is first compared to the nearest before it within ``REACH`` bits, which
+    joins sets into components. Then all pairs of sets of a shard that are in different components are looked at, large shards in
+    blocks: those within ``REACH`` bits by the trees again, those further apart, which no fingerprint shows, one by one. The
+    nearest pair of every component is compared first, and then whatever is still apart.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(_frequent(rows, width))
-    shingled = materialise(rows.mapInArrow(_shingled(width, least, sent), "doc_id long, h long, node long, n long, prefix array<long>, sketch array<long>"), "shingled")
-    nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "prefix", "sketch")).alias("set"))
+    shingled = materialise(rows.mapInArrow(_shingled(width, least, sent), "doc_id long, h long, node long, n long, fp long, prefix array<long>, sketch array<long>"), "shingled")
+    nodes = shingled.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min(F.struct("n", "fp", "prefix", "sketch")).alias("set"))
     nodes = materialise(nodes.select("node", "row.doc_id", "row.h", "set.*"), "nodes")
     every = nodes.select(F.explode("prefix").alias("key"), "node")
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
@@ -436,11 +502,11 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
         discard(texts)
         return out
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = filed.where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b", differing.alias("d"), (F.col("na") + F.col("nb")).alias("sizes"))
-    pairs = pairs.where(_possible(least, F.col("sizes"), F.lit(0), F.col("d"))).groupBy("a").agg(F.min_by("b", F.struct(F.col("d") / F.col("sizes"), "b")).alias("b"))
+    part_of = lambda parts: F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
+    parts = F.ceil(F.col("times") / _SHARD).cast("int")
+    treed = filed.select("key", "node", F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part_of(parts)))).alias("part"))
+    treed = treed.select(F.xxhash64("key", "part").alias("shard"), "node").join(nodes.select("node", "n", "fp", "sketch"), "node").repartition("shard").sortWithinPartitions("shard", "node")
+    pairs = treed.select("shard", "node", "n", "fp", "sketch").mapInArrow(_nearest(least, REACH), "a long, b long, d double").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     roots = _roots(verified(materialise(pairs, "pairs")))
     placed = materialise(filed.join(roots.toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c")), "placed")
     discard(filed)
@@ -449,13 +515,12 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     discard(placed)
     own_keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a part of one set's hashes
     parts = F.ceil(F.col("times") / _BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    met = mixed.select("key", "node", "c", parts.alias("parts"), own.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = mixed.select("key", "node", "c", parts.alias("parts"), part_of(parts).alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key", "node", "c", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side"))
-    met = met.join(nodes.select("node", "n", "sketch"), "node").join(own_keys, "node").repartition("block").sortWithinPartitions("block")
-    apart = met.select("block", "key", "node", "n", "c", "side", "sketch", "keys").mapInArrow(_apart(least), "a long, b long, ca long, cb long, d double")
+    met = met.join(nodes.select("node", "n", "fp", "sketch"), "node").join(own_keys, "node").repartition("block").sortWithinPartitions("block")
+    apart = met.select("block", "key", "node", "n", "c", "side", "fp", "sketch", "keys").mapInArrow(_apart(least, REACH), "a long, b long, ca long, cb long, d double")
     apart = materialise(apart.distinct(), "apart")
-    # first the nearest pair of every tree, which joins most trees that belong together; then what is still apart
+    # first the nearest pair of every component, which joins most that belong together; then what is still apart
     ends = apart.select("a", "b", "d", F.explode(F.array("ca", "cb")).alias("c"))
     nearest = materialise(ends.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     rest, joined = apart.join(nearest, ["a", "b"], "left_anti"), _joined(verified(nearest), roots)

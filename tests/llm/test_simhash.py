@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,3 +104,71 @@ def test_deduplicate_finds_every_similar_pair(spark, monkeypatch):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[i] for i in set(root))
+
+
+def edited_copies(seed):
+    """Texts with copies of a few edits each, and their five-word shingle sets."""
+    rng = random.Random(seed)
+    rows, words = [], [f"w{i}" for i in range(3000)]
+    for _ in range(12):
+        t = rng.choices(words, k=rng.randrange(60, 250))
+        for edits in (0, 0, 1, 2, 3):
+            w = list(t)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    shared = rng.choices(words, k=60)
+    rows += [(len(rows) + i, " ".join(shared + rng.choices(words, k=rng.choice([8, 9, 12, 15, 40])))) for i in range(15)]
+    return rows, [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+
+
+def alike(x, y):
+    both = len(np.intersect1d(x, y))
+    return both >= 0.8 * (len(x) + len(y) - both)
+
+
+def test_a_shards_tree_finds_the_nearest_set_within_reach():
+    _, sets = edited_copies(3)
+    sets = sorted({s.tobytes(): s for s in sets}.values(), key=lambda s: s[0])
+    fps = [simhash._majority(s.view(np.uint64)) for s in sets]
+    sketches = [np.packbits(np.bincount(s & 2047, minlength=2048).astype(np.uint8) & 1).view(np.int64) for s in sets]
+    shards = [i % 2 for i in range(len(sets))]
+    order = sorted(range(len(sets)), key=lambda i: (shards[i], i))
+    cols = [pa.array([shards[i] for i in order]), pa.array(order), pa.array([len(sets[i]) for i in order]), pa.array(np.array([fps[i] for i in order], np.uint64).view(np.int64)), pa.array([sketches[i] for i in order], pa.list_(pa.int64()))]
+    rows = pa.RecordBatch.from_arrays(cols, ["shard", "node", "n", "fp", "sketch"])
+    for reach in (0, 7, 16):
+        got = {r["a"]: r["d"] for b in simhash._nearest(0.8, reach)([rows.slice(0, 20), rows.slice(20)]) for r in b.to_pylist()}
+        expected = {}
+        for i in range(len(sets)):
+            for j in range(i % 2, i, 2):
+                d, sizes = int(np.bitwise_count((sketches[i] ^ sketches[j]).view(np.uint64)).sum()), len(sets[i]) + len(sets[j])
+                if (fps[i] ^ fps[j]).bit_count() <= reach and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and 1.8 * d <= 0.2 * sizes:
+                    expected[i] = min(expected.get(i, 1.0), d / sizes)
+        assert got == expected
+    assert len(got) > 15
+
+
+@pytest.mark.parametrize("reach", [-1, 16])
+def test_components_come_from_the_trees_and_lose_nothing_beyond_their_reach(spark, monkeypatch, reach):
+    """Sets meet in BK-trees of their fingerprints, whatever the reach leaves to the exact comparison."""
+    rows, sets = edited_copies(5)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    seen, roots = [], simhash._roots
+    monkeypatch.setattr(simhash, "REACH", reach)
+    monkeypatch.setattr(simhash, "_SHARD", 3)
+    monkeypatch.setattr(simhash, "_BLOCK", 4)
+    monkeypatch.setattr(simhash, "_roots", lambda parents: seen.append(parents.count()) or roots(parents))
+    got = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted([i for i in range(len(rows)) if root[i] == r] for r in set(root))
+    joins = len({s.tobytes() for s in sets}) - len(set(root))
+    assert seen == [0] if reach < 0 else 0 < seen[0] <= joins
+    if reach == 16:
+        assert seen[0] > 0.9 * joins
